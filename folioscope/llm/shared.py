@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.plans.ship import ship
+
 #: The white space of every contract: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of text that one numpy step works on; a longer document is one step of its own.
@@ -41,6 +43,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, f, schema: str) -> DataFrame:
+    """df.mapInArrow, with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns of the input can't clash with those an operator makes."""
     return df.select(*names)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import own_columns, shared_folder, table
+from folioscope.llm.shared import mapped, own_columns, shared_folder, table
 
 #: Records in one archive file at most.
 FILE_RECORDS = 2000
@@ -118,7 +118,7 @@ def _read(with_payload: bool):
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """Every record of the archives under path; a response's digest is checked against its payload."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(_read(with_payload), _SCHEMA)
+    return mapped(files, _read(with_payload), _SCHEMA)
 
 
 def joined_to_originals(records: DataFrame) -> DataFrame:
