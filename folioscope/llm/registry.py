@@ -1,8 +1,8 @@
 """Queries of this subpackage and their oracles."""
 
-from folioscope.llm import brown_lm, byte_bpe, exact_dedup, jaccard_join, packing, secret_scan, warc
+from folioscope.llm import brown_lm, byte_bpe, exact_dedup, jaccard_join, packing, quality, secret_scan, warc
 
-_ALL = {k: v for m in (brown_lm, byte_bpe, exact_dedup, jaccard_join, packing, secret_scan, warc) for k, v in m.QUERIES.items()}
+_ALL = {k: v for m in (brown_lm, byte_bpe, exact_dedup, jaccard_join, packing, quality, secret_scan, warc) for k, v in m.QUERIES.items()}
 
 QUERIES = {k: f for k, (f, _) in _ALL.items()}
 ORACLES = {k: sql for k, (_, sql) in _ALL.items() if sql}
