@@ -109,7 +109,7 @@ def described(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """docs with each run of overlapping spans replaced by the mask; texts without findings are untouched."""
+    """docs with each run of overlapping spans replaced by the mask and n_chars, if any, counted again; texts without findings are untouched."""
     _, found, _ = scan(docs)
     text = F.col("text")
     walked = F.aggregate(
@@ -122,7 +122,11 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.lit(2**31 - 1) - s["at"])),
     )
     tagged = docs.withColumn("_blob", F.sha2(F.coalesce(text, F.lit("")), 256)).join(found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left")
-    return tagged.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(walked)).select(*docs.columns)
+    found = F.col("_spans").isNotNull()
+    out = tagged.withColumn("text", F.when(found, walked).otherwise(text))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(found, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
