@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,31 +20,43 @@ from folioscope.llm.shared import mapped, own_columns, table
 
 #: Words that one recursive query takes, bytes in them, and its rounds.
 WORDS, WORD_BYTES, ROUNDS = 40_000, 400_000, 48
-#: Pre-tokens that a Python worker remembers; when they are more it forgets them all.
-REMEMBERED = 250_000
+#: Pre-tokens that a Python worker remembers, besides as many older ones; when they are more it forgets the older ones.
+REMEMBERED = 350_000
 
 _SPLIT = """
 CREATE TEMP TABLE merges AS
-SELECT a.id AS a, b.id AS b, v.id AS merged
+SELECT cast(a.id AS BIGINT) * 65536 + b.id AS pair, cast(v.id AS BIGINT) AS merged
 FROM (SELECT id, hex, unnest(range(2, length(hex), 2)) AS cut FROM vocabulary) v
 JOIN vocabulary a ON a.hex = v.hex[:cut] JOIN vocabulary b ON b.hex = v.hex[cut + 1:]
 """
 
+#: k is a row's word and position, follower the k of the next row; low is a pair's rank, then its position.
 _CONTRACT = """
-WITH RECURSIVE state(round, w, p, token) AS (
-  SELECT 0, w, p, token FROM start
+WITH RECURSIVE state(round, w, k, follower, token) AS (
+  SELECT 0, w, k, follower, token FROM start
   UNION ALL
   (WITH pairs AS (
-    SELECT round, w, p, token, lead(token) OVER word AS after, lag(p) OVER word AS before FROM state WHERE round < {rounds}
-    WINDOW word AS (PARTITION BY w ORDER BY p)
+    SELECT s.w, s.k, t.k AS gone, t.follower, merged * 4294967296 + s.k % 4294967296 AS low
+    FROM state s JOIN state t ON t.k = s.follower JOIN merges ON pair = s.token * 65536 + t.token WHERE s.round < {rounds}
   ), best AS (
-    SELECT w, arg_min(p, merged::BIGINT * 4294967296 + p) AS spot, min(merged) AS merged
-    FROM pairs JOIN merges ON token = a AND after = b GROUP BY w
+    SELECT pairs.* FROM pairs JOIN (SELECT w, min(low) AS low FROM pairs GROUP BY w) USING (w, low)
   )
-  SELECT round + 1, pairs.w, p, CASE WHEN p = spot THEN merged ELSE token END
-  FROM pairs JOIN best ON pairs.w = best.w WHERE before IS DISTINCT FROM spot)
+  SELECT round + 1, s.w, s.k, CASE WHEN s.k = b.k THEN b.follower ELSE s.follower END, CASE WHEN s.k = b.k THEN low // 4294967296 ELSE token END
+  FROM state s JOIN best b ON s.w = b.w WHERE s.k <> b.gone)
 )
-SELECT w, p, token, round FROM (SELECT *, max(round) OVER (PARTITION BY w) AS last FROM state) WHERE round = last
+SELECT s.w, k, follower, token, round FROM state s JOIN (SELECT w, max(round) AS last FROM state GROUP BY w) l ON l.w = s.w AND round = last
+"""
+
+_GIVEN = """
+CREATE OR REPLACE TEMP TABLE start AS
+SELECT w, k, CASE WHEN p + 1 < n THEN k + 1 ELSE -1 END AS follower, id AS token
+FROM (SELECT w, n, p, w * 4294967296 + p AS k, hex[2 * p + 1 : 2 * p + 2] AS hex
+  FROM (SELECT w, hex, length(hex) // 2 AS n, unnest(range(length(hex) // 2)) AS p FROM given ANTI JOIN whole USING (w))) JOIN singles USING (hex)
+"""
+
+_COLLECTED = """
+SELECT w, array_to_string(list_transform(x, lambda t: t.id), ','), array_to_string(list_transform(x, lambda t: t.hex), '')
+FROM (SELECT w, list({'id': id, 'hex': hex} ORDER BY k) AS x FROM (FROM whole UNION ALL FROM done) JOIN vocabulary ON id = token GROUP BY w)
 """
 
 
@@ -60,23 +72,33 @@ class Codec:
         self.db.register("given", pa.table({"id": pa.array([int(b) for _, b in pairs], pa.int32()), "hex": [base64.b64decode(a).hex() for a, _ in pairs]}))
         self.db.execute("CREATE TEMP TABLE vocabulary AS SELECT id, hex FROM given")
         self.db.execute(_SPLIT)
+        self.db.execute("CREATE TEMP TABLE singles AS SELECT hex, cast(id AS BIGINT) AS id FROM vocabulary WHERE length(hex) = 2")
         self.db.unregister("given")
         self.known: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def _contracted(self) -> None:
-        """Contract start until its fixpoint; start then holds the final rows."""
-        self.db.execute("CREATE OR REPLACE TEMP TABLE done (w INTEGER, p INTEGER, token INTEGER)")
+        """Contract start until its fixpoint; done then holds the final rows."""
+        self.db.execute("CREATE OR REPLACE TEMP TABLE done (w BIGINT, k BIGINT, token BIGINT)")
         while True:
             self.db.execute(f"CREATE OR REPLACE TEMP TABLE result AS {_CONTRACT.format(rounds=ROUNDS)}")
-            self.db.execute(f"INSERT INTO done SELECT w, p, token FROM result WHERE round < {ROUNDS}")
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE start AS SELECT w, p, token FROM result WHERE round = {ROUNDS}")
+            self.db.execute(f"INSERT INTO done SELECT w, k, token FROM result WHERE round < {ROUNDS}")
+            self.db.execute(f"CREATE OR REPLACE TEMP TABLE start AS SELECT w, k, follower, token FROM result WHERE round = {ROUNDS}")
             if not self.db.execute("SELECT count(*) FROM start").fetchall()[0][0]:
                 return
 
-    def encode(self, words: Iterable[str]) -> None:
-        """Learn the ids (as decimal text) and the decoded bytes of words."""
+    def learn(self, wanted: set[str]) -> None:
+        """Have the ids (as decimal text) and the decoded bytes of all wanted words; others may be forgotten."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        fresh = []
+        for word in wanted - self.known.keys():
+            if word in self.older:
+                self.known[word] = self.older[word]
+            else:
+                fresh.append(word)
         group, size = [], 0
-        for word in words:
+        for word in fresh:
             group.append(word)
             size += len(word)
             if len(group) >= WORDS or size >= WORD_BYTES:
@@ -86,19 +108,12 @@ class Codec:
             self._encode(group)
 
     def _encode(self, group: list[str]) -> None:
-        given = pa.table({"w": pa.array(range(len(group)), pa.int32()), "hex": [x.encode().hex() for x in group]})
-        self.db.register("given", given)
-        self.db.execute("CREATE OR REPLACE TEMP TABLE whole AS SELECT w, 0 AS p, id AS token FROM given JOIN vocabulary USING (hex)")
-        self.db.execute(
-            "CREATE OR REPLACE TEMP TABLE start AS SELECT w, p, id AS token FROM (SELECT w, cast(p AS INTEGER) AS p, hex[2 * p + 1 : 2 * p + 2] AS hex FROM "
-            "(SELECT w, hex, unnest(range(length(hex) // 2)) AS p FROM given ANTI JOIN whole USING (w))) JOIN vocabulary USING (hex)"
-        )
+        self.db.register("given", pa.table({"w": pa.array(range(len(group)), pa.int64()), "hex": [x.encode().hex() for x in group]}))
+        self.db.execute("CREATE OR REPLACE TEMP TABLE whole AS SELECT w, w * 4294967296 AS k, cast(id AS BIGINT) AS token FROM given JOIN vocabulary USING (hex)")
+        self.db.execute(_GIVEN)
         self.db.unregister("given")
         self._contracted()
-        rows = self.db.execute(
-            "SELECT w, string_agg(token, ',' ORDER BY p), string_agg(hex, '' ORDER BY p) FROM (FROM whole UNION ALL FROM done) JOIN vocabulary ON id = token GROUP BY w"
-        ).fetchall()
-        for w, ids, decoded in rows:
+        for w, ids, decoded in self.db.execute(_COLLECTED).fetchall():
             self.known[group[w]] = ids, bytes.fromhex(decoded)
 
     def text(self, parts: list[str]) -> tuple[str, bytes]:
@@ -131,9 +146,7 @@ def _encoded(path: str, pattern: str, digest: bool):
                     parts.append(split(text))
                     size += len(text)
                     at += 1
-                if len(codec.known) > REMEMBERED:
-                    codec.known.clear()
-                codec.encode(set().union(*parts) - codec.known.keys())
+                codec.learn(set().union(*parts))
                 rows = [codec.text(x) for x in parts]
                 own = ids.slice(first, at - first)
                 if digest:
