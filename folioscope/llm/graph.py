@@ -17,8 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     both = saved(edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), "edges")
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        hooked = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        told = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "component", F.lit(None).cast("long").alias("old"))
+        hooked = told.unionByName(labels.withColumn("old", F.col("component"))).groupBy("node").agg(F.max("old").alias("old"), F.min("component").alias("component"))
         target = labels.select(F.col("node").alias("to"), F.col("component").alias("beyond"))
         fresh = saved(hooked.join(target, F.col("component") == F.col("to")).select("node", "old", F.least("component", "beyond").alias("component")), "labels")
         if fresh.where("old <> component").isEmpty():

@@ -8,11 +8,11 @@ partners' H + 1 *strongest* keys (those of most shingles, then of least key) one
 the connected components of such keys.
 
 Each cluster gets signature trees, over blocks of BLOCK documents at most: documents in order of size and least hash are
-leaves, and a node holds the OR of their token bitmaps, the range of their sizes and the most shingles that a document has
-beyond its bits. Two trees (or one with itself) are walked together; a pair of nodes is dropped if its sizes can't match, if the bits
-that both have, and the shingles beyond, are too few for the overlap that the smallest sizes need, or if all its documents are known to be connected; what is left is
-verified on the full sets. Clusters of several blocks then compare one document of each part found, in
-blocks again, and last every pair of blocks that still holds documents of different parts, so that no link between parts is lost.
+leaves, and a node holds the OR of their token bitmaps and the range of their sizes. A bit stands for one token that several of the
+sets hold, so that two documents' common bits are their exact overlap and two nodes' are the most that any pair of them can have. Two
+trees (or one with itself) are walked together; a pair of nodes is dropped if its sizes can't match, if the common bits are
+too few for the overlap that the smallest sizes need, or if all its documents are known to be connected. Clusters of several blocks then compare one document
+of each part found, in blocks again, and last all documents outside the cluster's largest part with every block, so that no link between parts is lost.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from folioscope.llm.shared import mapped, mixed, own_columns, saved, steps, tabl
 
 #: Documents in a block, in a bottom node, and children of a node.
 BLOCK, LEAF, FAN = 256, 8, 8
+#: Blocks of documents outside the clusters' largest parts that are compared with all blocks at once; more are first compared in other blocks.
+CROSSED = 8
 #: Size bands grow by this factor; a band has this many keys for each key that partners may not share.
 BAND, SPARE = 1.25, 1.4
 
@@ -132,25 +134,38 @@ def _sets(k: int):
     return sets
 
 
+def bitmaps(groups: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Of each group of sets a row of bits for each set: a bit for every token that two sets of all groups hold. No other
+    token can be shared, so that common bits are common tokens."""
+    every = [x for g in groups for x in g]
+    _, at, counts = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    shared = counts > 1
+    column = np.cumsum(shared) - 1
+    width = -(-int(shared.sum()) // 64) * 64 or 64
+    rows, a = np.zeros((len(every), width // 8), np.uint8), 0
+    for row, x in zip(rows, every, strict=True):
+        own = at[a : a + len(x)]
+        a += len(x)
+        bits = np.zeros(width, bool)
+        bits[column[own[shared[own]]]] = True
+        row[:] = np.packbits(bits)
+    return np.split(rows.view(np.uint64), np.cumsum([len(g) for g in groups])[:-1])
+
+
 class SignatureTree:
     """A tree over sets: level 0 has the documents, level 1 the bottom nodes, the last level the root."""
 
-    def __init__(self, docs: np.ndarray, sets: list[np.ndarray], bits: int):
+    def __init__(self, docs: np.ndarray, sets: list[np.ndarray], bits: np.ndarray):
         order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0])))
-        self.docs, self.sets = docs[order], [sets[i] for i in order]
-        signatures = np.zeros((len(sets), bits // 64), np.uint64)
-        for row, s in zip(signatures, self.sets, strict=True):
-            at = s & np.uint64(bits - 1)
-            np.bitwise_or.at(row, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        sizes = np.array([len(s) for s in self.sets])
-        beyond = sizes - np.bitwise_count(signatures).sum(axis=1, dtype=np.int64)
-        #: by level: signatures, least and largest size, most shingles beyond the bits; from and to document of each node
-        self.levels = [(signatures, sizes, sizes, beyond)]
+        self.docs = docs[order]
+        sizes = np.array([len(sets[i]) for i in order])
+        #: by level: token bitmaps, least and largest size; from and to document of each node
+        self.levels = [(bits[order], sizes, sizes)]
         self.ranges = [np.stack([np.arange(len(sets)), np.arange(1, len(sets) + 1)], axis=1)]
         while len(self.levels[-1][0]) > 1 or len(self.levels) == 1:
             at = np.arange(0, len(self.levels[-1][0]), LEAF if len(self.levels) == 1 else FAN)
-            s, low, high, over = self.levels[-1]
-            self.levels.append((np.bitwise_or.reduceat(s, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(over, at)))
+            tokens, low, high = self.levels[-1]
+            self.levels.append((np.bitwise_or.reduceat(tokens, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
             inner = self.ranges[-1]
             self.ranges.append(np.stack([inner[at, 0], inner[np.append(at[1:], len(inner)) - 1, 1]], axis=1))
 
@@ -159,58 +174,44 @@ class SignatureTree:
         return range(i * fan, min((i + 1) * fan, len(self.ranges[level - 1])))
 
 
-def walk(a: SignatureTree, b: SignatureTree, percent: int, labels: dict[int, int], one: bool = False) -> Iterator[tuple[int, int]]:
-    """Links between a's and b's documents that join parts; labels (document: part's first document) is kept up to date.
-
-    one: stop at the first link.
-    """
+def walk(a: SignatureTree, b: SignatureTree, percent: int, labels: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """Links between a's and b's documents that join parts; labels (document: its part) is kept up to date."""
+    trees = (a,) if a is b else (a, b)
+    of = [np.array([labels[d] for d in t.docs.tolist()]) for t in trees]
     members: dict[int, list[int]] = {}
     for d, part in labels.items():
         members.setdefault(part, []).append(d)
-    of = [np.array([labels[d] for d in t.docs.tolist()]) for t in ((a,) if a is b else (a, b))]
-    where: dict[int, list[tuple[int, int]]] = {}
-    for t, tree in enumerate((a,) if a is b else (a, b)):
-        for i, d in enumerate(tree.docs.tolist()):
-            where.setdefault(d, []).append((t, i))
     la, lb = of[0], of[-1]
 
     def join(x: int, y: int) -> None:
         p, q = sorted((labels[x], labels[y]))
-        for d in members.pop(q):
+        for d in members[q]:
             labels[d] = p
-            members[p].append(d)
-            for t, i in where[d]:
-                of[t][i] = p
+        members[p] += members.pop(q)
+        for x in of:
+            x[x == q] = p
 
     stack = [(len(a.levels) - 1, 0, len(b.levels) - 1, 0)]
     while stack:
         u, i, v, j = stack.pop()
         (a0, a1), (b0, b1) = a.ranges[u][i], b.ranges[v][j]
-        first = la[a0]
-        if (la[a0:a1] == first).all() and (lb[b0:b1] == first).all():
+        if (la[a0:a1] == la[a0]).all() and (lb[b0:b1] == la[a0]).all():
             continue
-        sa, lowa, higha, overa = (x[i] for x in a.levels[u])
-        sb, lowb, highb, overb = (x[j] for x in b.levels[v])
+        (ta, lowa, higha), (tb, lowb, highb) = (x[i] for x in a.levels[u]), (x[j] for x in b.levels[v])
         if 100 * higha < percent * lowb or 100 * highb < percent * lowa:
             continue
-        needed = -(-percent * (int(lowa) + int(lowb)) // (100 + percent))
         same = a is b and (u, i) == (v, j)
-        if not same and int(np.bitwise_count(sa & sb).sum(dtype=np.int64)) + int(min(overa, overb)) < needed:
+        needed = -(-percent * (int(lowa) + int(lowb)) // (100 + percent))
+        if not same and int(np.bitwise_count(ta & tb).sum(dtype=np.int64)) < needed:
             continue
         if u == 1 and v == 1:
-            need = -(-percent * (a.levels[0][1][a0:a1, None] + b.levels[0][1][None, b0:b1]) // (100 + percent))
-            shared = np.bitwise_count(a.levels[0][0][a0:a1, None] & b.levels[0][0][None, b0:b1]).sum(axis=2, dtype=np.int64)
-            able = shared + np.minimum(a.levels[0][3][a0:a1, None], b.levels[0][3][None, b0:b1]) >= need
-            for x, y in np.argwhere(able).tolist():
+            sizes = a.levels[0][1][a0:a1, None] + b.levels[0][1][None, b0:b1]
+            common = np.bitwise_count(a.levels[0][0][a0:a1, None] & b.levels[0][0][None, b0:b1]).sum(axis=2, dtype=np.int64)
+            for x, y in np.argwhere(100 * common >= percent * (sizes - common)).tolist():
                 x, y = x + int(a0), y + int(b0)
-                if la[x] == lb[y]:
-                    continue
-                common = len(np.intersect1d(a.sets[x], b.sets[y], assume_unique=True))
-                if 100 * common >= percent * (len(a.sets[x]) + len(b.sets[y]) - common):
+                if la[x] != lb[y]:
                     yield int(a.docs[x]), int(b.docs[y])
                     join(int(a.docs[x]), int(b.docs[y]))
-                    if one:
-                        return
         elif same:
             kids = a.children(u, i)
             stack += [(u - 1, x, u - 1, y) for x in kids for y in kids if x < y] + [(u - 1, x, u - 1, x) for x in kids]
@@ -220,32 +221,30 @@ def walk(a: SignatureTree, b: SignatureTree, percent: int, labels: dict[int, int
             stack += [(u, i, v - 1, y) for y in b.children(v, j)]
 
 
-def _tree(rows: pd.DataFrame) -> SignatureTree:
-    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-    bits = 1 << min(17, max(9, int(np.median([len(s) for s in sets]) * 8).bit_length()))
-    return SignatureTree(rows["doc_id"].to_numpy(), sets, bits)
+def _sets_of(rows: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
 
 
 def _within(percent: int):
     def within(rows: pd.DataFrame) -> pd.DataFrame:
-        labels = {d: d for d in rows["doc_id"].tolist()}
+        labels = dict(zip(rows["doc_id"].tolist(), rows["part"].tolist(), strict=True))
+        found = []
         if len(rows) > 1:
-            tree = _tree(rows)
-            for _ in walk(tree, tree, percent, labels):
-                pass
-        return pd.DataFrame({"cluster": rows["cluster"].iloc[0], "block": rows["block"].iloc[0], "doc_id": list(labels), "part": list(labels.values())})
+            sets = _sets_of(rows)
+            tree = SignatureTree(rows["doc_id"].to_numpy(), sets, *bitmaps([sets]))
+            found = list(walk(tree, tree, percent, labels))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return within
 
 
 def _between(percent: int):
     def between(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        both = pd.concat([left, right])
-        bits = 1 << min(17, max(9, int(both["n"].median() * 8).bit_length()))
-        a, b = (SignatureTree(x["doc_id"].to_numpy(), [np.frombuffer(s, np.uint64) for s in x["shingles"]], bits) for x in (left, right))
-        labels = dict.fromkeys(left["doc_id"].tolist(), int(left["doc_id"].min())) | dict.fromkeys(right["doc_id"].tolist(), int(right["doc_id"].min()))
-        return pd.DataFrame(list(walk(a, b, percent, labels, one=True)), columns=["a", "b"], dtype="int64")
+        sides = [rows[rows["side"] == k] for k in (0, 1)]
+        sets = [_sets_of(x) for x in sides]
+        a, b = (SignatureTree(x["doc_id"].to_numpy(), y, z) for x, y, z in zip(sides, sets, bitmaps(sets), strict=True))
+        labels = dict(zip(rows["doc_id"].tolist(), rows["part"].tolist(), strict=True))
+        return pd.DataFrame(list(walk(a, b, percent, labels)), columns=["a", "b"], dtype="int64")
 
     return between
 
@@ -258,37 +257,31 @@ def _blocked(items: DataFrame, salt: int) -> DataFrame:
 
 def linked_parts(sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that connect exactly the documents of sets (cluster, doc_id, n, shingles) that links connect in a cluster."""
-    schema = "cluster long, block long, doc_id long, part long"
-    tagged = _blocked(sets, 0)
-    first = saved(tagged.groupBy("cluster", "block").applyInPandas(_within(percent), schema), "blocks")
-    edges = first.select(F.col("doc_id").alias("a"), F.col("part").alias("b"))
-    large = first.groupBy("cluster").agg(F.countDistinct("block").alias("blocks")).where("blocks > 1").select("cluster")
-    if large.isEmpty():
-        return edges
-    parts = saved(first.join(large, "cluster", "left_semi"), "large")
-    salt, left = 0, None
-    while True:  # one document of each part, until blocks of them join little
-        salt += 1
-        tops = parts.select("cluster", F.col("part").alias("doc_id")).distinct() if left is None else left
-        items = sets.join(tops, ["cluster", "doc_id"])
-        found = saved(_blocked(items, salt).groupBy("cluster", "block").applyInPandas(_within(percent), schema), "tops")
-        edges = edges.unionByName(found.select(F.col("doc_id").alias("a"), F.col("part").alias("b")))
-        before, after = found.select("cluster", "doc_id").distinct().count(), found.select("cluster", "part").distinct().count()
-        left = found.select("cluster", F.col("part").alias("doc_id")).distinct()
-        if 2 * after > before or after <= 1:
+    within = lambda rows: saved(rows.groupBy("cluster", "block").applyInPandas(_within(percent), "a long, b long"), "links")
+    edges = within(_blocked(sets.withColumn("part", F.col("doc_id")), 0))
+    large = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("cluster")
+    members = saved(sets.select("cluster", "doc_id").join(large, "cluster", "left_semi"), "large")
+    salt, before = 0, None
+    while True:  # in other blocks, until few documents are left outside each cluster's largest part or rounds gain little
+        known = components(edges)
+        units = saved(members.join(known, members["doc_id"] == known["node"], "left").select("cluster", "doc_id", F.coalesce("component", "doc_id").alias("part")), "units")
+        largest = units.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("top")).select("cluster", F.col("top.part").alias("part"))
+        others = units.join(largest, ["cluster", "part"], "left_anti")
+        left = others.count()
+        if not left:
+            return edges
+        if left <= CROSSED * BLOCK or before is not None and 5 * left > 4 * before:
             break
-    edges = saved(edges, "part-edges")
-    known = components(edges)
-    units = parts.join(known, parts["doc_id"] == known["node"], "left").select("cluster", "block", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-    sized = units.join(sets.select("cluster", "doc_id", "n"), ["cluster", "doc_id"]).groupBy("cluster", "block", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    a, b = sized.alias("a"), sized.alias("b")
-    fits = (F.col("a.high") * 100 >= F.col("b.low") * percent) & (F.col("b.high") * 100 >= F.col("a.low") * percent)
-    pairs = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.block") < F.col("b.block")) & (F.col("a.part") != F.col("b.part")) & fits)
-    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"{x}.block").alias("block"), F.col(f"{x}.part").alias("part")) for k, x in enumerate("ab")])
-    pair = pairs.select(F.col("a.cluster").alias("cluster"), F.col("a.block").alias("ab"), F.col("a.part").alias("ap"), F.col("b.block").alias("bb"), F.col("b.part").alias("bp"), F.explode(sides).alias("s"))
-    pair = pair.select("cluster", "ab", "ap", "bb", "bp", "s.side", "s.block", "s.part")
-    rows = pair.join(units, ["cluster", "block", "part"]).join(sets, ["cluster", "doc_id"])
-    crossed = rows.groupBy("cluster", "ab", "ap", "bb", "bp").applyInPandas(_between(percent), "a long, b long")
+        salt, before = salt + 1, left
+        again = _blocked(sets.join(units, ["cluster", "doc_id"]), salt)
+        edges = saved(edges.unionByName(within(again)), "part-edges")
+    units = saved(_blocked(units, 0), "units")
+    others = saved(_blocked(others, salt + 1), "others")
+    pairs = others.select("cluster", F.col("block").alias("x")).distinct().join(units.select("cluster", F.col("block").alias("y")).distinct(), "cluster")
+    left_side = pairs.join(others.select("cluster", F.col("block").alias("x"), "doc_id", "part"), ["cluster", "x"]).withColumn("side", F.lit(0))
+    right_side = pairs.join(units.select("cluster", F.col("block").alias("y"), "doc_id", "part"), ["cluster", "y"]).withColumn("side", F.lit(1))
+    rows = left_side.unionByName(right_side).join(sets, ["cluster", "doc_id"])
+    crossed = rows.groupBy("cluster", "x", "y").applyInPandas(_between(percent), "a long, b long")
     return edges.unionByName(saved(crossed, "crossed"))
 
 
@@ -314,7 +307,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     shared = saved(rows.withColumn("c", F.count(F.lit(1)).over(by_key)).where("c > 1").drop("c"), "shared-keys")
     # the same among the first of copies, and documents that share enough keys
     names = saved(nodes.join(copies, digest).select("doc_id", "rep").distinct(), "names")
-    of_reps = shared.join(names, "doc_id").select("key", "rep", "strong").groupBy("key", "rep").agg(F.max("strong").alias("strong"))
+    of_reps = shared.join(names, "doc_id").select("key", "rep", "strong").repartition("key").groupBy("key", "rep").agg(F.max("strong").alias("strong"))
     again = of_reps.withColumn("c", F.count(F.lit(1)).over(by_key)).where("c > 1").withColumn("band", F.col("key").bitwiseAND(127))
     again = saved(again.select("key", "rep", "strong", "band"), "rep-keys")
     need = F.get(F.array(*[F.lit(key_count(b, percent) - differing(b, percent)) for b in range(len(_EDGES) - 1)]), F.col("band").cast("int"))
