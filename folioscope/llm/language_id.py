@@ -132,8 +132,8 @@ def fit(docs: DataFrame, limit: int = LEARNED) -> Model:
     texts = saved(texts, "labelled")
     langs = sorted(r[0] for r in texts.select("lang").distinct().collect())
     counts = np.zeros((len(langs), TRIGRAMS + SCRIPTS))
-    for r in mapped(texts, _learned(langs), "lang long, feature long, c long").groupBy("lang", "feature").agg(F.sum("c")).toPandas().itertuples(index=False):
-        counts[r[0], r[1]] = r[2]
+    rows = mapped(texts, _learned(langs), "lang long, feature long, c long").groupBy("lang", "feature").agg(F.sum("c").alias("c")).toArrow()
+    counts[rows.column("lang").to_numpy(), rows.column("feature").to_numpy()] = rows.column("c").to_numpy()
     grams, scripts = counts[:, :TRIGRAMS] + 0.1, counts[:, TRIGRAMS:]
     scores = np.log(grams / grams.sum(axis=1, keepdims=True)).T.astype(np.float32) if langs else np.zeros((TRIGRAMS, 0), np.float32)
     return Model(langs, np.ascontiguousarray(scores), (scripts > SCRIPT_SHARE * scripts.sum(axis=1, keepdims=True)).T)
