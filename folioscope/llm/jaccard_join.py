@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.graph import components
-from folioscope.llm.shared import mapped, mixed, own_columns, saved, steps, table, text_buffer, words
+from folioscope.llm.shared import fitted, mapped, mixed, own_columns, saved, steps, table, text_buffer, words
 
 #: Documents in a block, in a bottom node, and children of a node.
 BLOCK, LEAF, FAN = 256, 8, 8
@@ -257,14 +257,16 @@ def _blocked(items: DataFrame, salt: int) -> DataFrame:
 
 def linked_parts(sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that connect exactly the documents of sets (cluster, doc_id, n, shingles) that links connect in a cluster."""
-    within = lambda rows: saved(rows.groupBy("cluster", "block").applyInPandas(_within(percent), "a long, b long"), "links")
+    size = sets.count()
+    few = lambda df: fitted(df, size, 2 * BLOCK)  # noqa: E731  a task for two blocks of documents at least
+    within = lambda rows: saved(few(rows.groupBy("cluster", "block").applyInPandas(_within(percent), "a long, b long")), "links")
     edges = within(_blocked(sets.withColumn("part", F.col("doc_id")), 0))
     large = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("cluster")
-    members = saved(sets.select("cluster", "doc_id").join(large, "cluster", "left_semi"), "large")
+    members = saved(few(sets.select("cluster", "doc_id").join(large, "cluster", "left_semi")), "large")
     salt, before = 0, None
     while True:  # in other blocks, until few documents are left outside each cluster's largest part or rounds gain little
         known = components(edges)
-        units = saved(members.join(known, members["doc_id"] == known["node"], "left").select("cluster", "doc_id", F.coalesce("component", "doc_id").alias("part")), "units")
+        units = saved(few(members.join(known, members["doc_id"] == known["node"], "left").select("cluster", "doc_id", F.coalesce("component", "doc_id").alias("part"))), "units")
         largest = units.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("top")).select("cluster", F.col("top.part").alias("part"))
         others = units.join(largest, ["cluster", "part"], "left_anti")
         left = others.count()
@@ -274,9 +276,9 @@ def linked_parts(sets: DataFrame, percent: int) -> DataFrame:
             break
         salt, before = salt + 1, left
         again = _blocked(sets.join(units, ["cluster", "doc_id"]), salt)
-        edges = saved(edges.unionByName(within(again)), "part-edges")
-    units = saved(_blocked(units, 0), "units")
-    others = saved(_blocked(others, salt + 1), "others")
+        edges = saved(few(edges.unionByName(within(again))), "part-edges")
+    units = saved(few(_blocked(units, 0)), "units")
+    others = saved(few(_blocked(others, salt + 1)), "others")
     pairs = others.select("cluster", F.col("block").alias("x")).distinct().join(units.select("cluster", F.col("block").alias("y")).distinct(), "cluster")
     left_side = pairs.join(others.select("cluster", F.col("block").alias("x"), "doc_id", "part"), ["cluster", "x"]).withColumn("side", F.lit(0))
     right_side = pairs.join(units.select("cluster", F.col("block").alias("y"), "doc_id", "part"), ["cluster", "y"]).withColumn("side", F.lit(1))

@@ -43,6 +43,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fitted(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """df in no more partitions than its number of rows asks for, but one for each core: small tables in few files."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def mapped(df: DataFrame, f, schema: str) -> DataFrame:
     """df.mapInArrow, with this package on the executors."""
     ship(df.sparkSession)
