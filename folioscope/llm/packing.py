@@ -11,57 +11,109 @@ Pieces get their place by a distributed rank among those of their length and a j
 from __future__ import annotations
 
 import os
+import re
 import sys
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import mapped, own_columns, saved, steps, table, text_buffer
+from folioscope.llm.shared import STEP_BYTES, mapped, own_columns, saved, steps, table, text_buffer
 
 CAPACITY = 2048
 #: Nodes that the search visits, fillings it tries at a node, and largest pieces it pairs when it looks for fillings.
 NODES, BRANCHES, LOOKED_AT = 12_000, 3, 64
-#: Words that a Python worker remembers; when they are more it forgets them all.
-REMEMBERED = 300_000
+#: Words that a Python worker remembers, besides as many older ones; when they are more it forgets the older ones.
+REMEMBERED = 250_000
 
 Filling = tuple[int, ...]
 
-_TOKENIZERS: dict = {}
+#: Letters of which a word is one token word each, whatever stands beside it; signs that may end such a word.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_SIGNS = b".,;:!?"
+#: Words that are encoded as one text.
+_JOINED = 2000
 
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class WordIds:
+    """The ids of white-space parted words, as little-endian 32-bit integers, remembered for REMEMBERED words and as many older ones.
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path), {}
-    return _TOKENIZERS[path]
+    The tokenizer ends each run of letters with a token of its own kind, so that many words of letters are encoded as one text
+    and cut there; signs behind an ASCII letter or digit are a run by themselves.
+    """
 
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-def _id_bytes(ids: list[int]) -> bytes:
-    return b"".join([x.to_bytes(4, "little") for x in ids])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for x, k in vocabulary.items() if x.endswith("</w>")]] = True
+
+    def learn(self, wanted: set[bytes]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = wanted - known.keys()
+        for word in missing & older.keys():
+            known[word] = older[word]
+        missing -= older.keys()
+        parted = []
+        for word in missing:
+            if word[-1] in _SIGNS:
+                core = word.rstrip(_SIGNS)
+                if core[-1:].isalnum():
+                    parted.append((word, core, word[len(core) :]))
+        missing.difference_update([x[0] for x in parted])
+        missing.update([x[1] for x in parted], [x[2] for x in parted])
+        missing -= known.keys()
+        letters = [x for x in missing if x.isalpha() or _LETTERS.fullmatch(x.decode())]
+        others = list(missing.difference(letters))
+        made = self.tokenizer.encode_batch_fast([x.decode() for x in others], add_special_tokens=False)
+        known.update(zip(others, [np.array(x.ids, "<u4").tobytes() for x in made], strict=True))
+        for a in range(0, len(letters), _JOINED):
+            part = letters[a : a + _JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            raw, cuts = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            known.update(zip(part, [raw[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+        for word, core, tail in parted:
+            known[word] = known[core] + known[tail]
+
+
+_WORD_IDS: dict[str, WordIds] = {}
+
+
+def _word_ids(path: str) -> WordIds:
+    if path not in _WORD_IDS:
+        _WORD_IDS[path] = WordIds(path)
+    return _WORD_IDS[path]
+
+
+def split_words(text: bytes) -> list[bytes]:
+    """A text's words; in lower case, as the tokenizer would have them, where none can be a special token."""
+    return (text if b"<|" in text else text.lower()).split()
 
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     """White space always parts this tokenizer's words, so a text's ids are those of its words one after the other."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = _tokenizer(path)
-        task, counts, end = TaskContext.get().partitionId(), [0] * (capacity + 1), _id_bytes([end_id])
+        words, end = _word_ids(path), end_id.to_bytes(4, "little")
+        task, counts = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             data, offsets = text_buffer(batch.column(1))
-            for a, b in steps(offsets):
-                texts = [data[offsets[k] : offsets[k + 1]].tobytes().split() for k in range(a, b)]
-                if len(known) > REMEMBERED:
-                    known.clear()
-                fresh = list(set().union(*texts) - known.keys())
-                for word, got in zip(fresh, tokenizer.encode_batch_fast([x.decode() for x in fresh], add_special_tokens=False), strict=True):
-                    known[word] = _id_bytes(got.ids)
+            for a, b in steps(offsets, 4 * STEP_BYTES):
+                texts = [split_words(data[offsets[k] : offsets[k + 1]].tobytes()) for k in range(a, b)]
+                words.learn(set().union(*texts))
+                known = words.known
                 out = []
                 for k, text in zip(range(a, b), texts, strict=True):
                     ids = b"".join([known[x] for x in text]) + end
@@ -73,6 +125,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
                 if out:
                     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], _NAMES)
+        words.older.clear()
 
     return pieces
 
