@@ -142,6 +142,18 @@ def test_quality_model_is_a_distribution_and_rejects_noise(spark):
     assert quality.classify(docs, labels.where("false")).where("NOT kept").count() == 0
 
 
+def test_quality_rejects_one_word_repeated(spark):
+    triple = lambda i: " ".join(w if k % 40 else f"{w} {w} {w}" for k, w in enumerate(prose(i, 60).split(), 1))
+    good = [(i, triple(i), "en") for i in range(300)]
+    word = lambda i: prose(i, 60).split()[i]
+    bad = [(1000 + i, " ".join([word(i)] * (20 + 10 * i)), "en") for i in range(20)]
+    mistaken = [(2000 + i, " ".join([word(i)] * 200), "en") for i in range(5)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)] + [(2000 + i, 1, 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    out = {x.doc_id: x.kept for x in quality.classify(docs_of(spark, good + bad + mistaken), labels).collect()}
+    assert not any(out[1000 + i] for i in range(20))
+    assert sum(out[i] for i in range(300)) >= 295
+
+
 def test_brown_lm_counts_and_beats_its_base(spark):
     a, b = ([f"{x}{i}{e}" for i in range(25)] for x, e in (("run", "ing"), ("Tree", "s")))
     r = random.Random(9)  # the two kinds of words take turns
