@@ -1,12 +1,13 @@
 """Brown class-based bigram language model.
 
-Words that make up a share of 1 / UNIT_SHARE or more of the training tokens are units of their own, so there are UNIT_SHARE of them at most; all other
-words belong to units by their last two bytes and their length. The exchange algorithm moves units between classes by the gain in
+Words that occur UNIT_COUNT times or more in the training texts are units of their own, however many they are; other words belong to
+units by their last two bytes and their length. Units, their classes and their bigrams are tables. The exchange algorithm moves units between classes by the gain in
 the class bigrams' likelihood. A word's probability is that of its class after the class before, times that of the word among
 its class's words by its own count in the whole training text (absolute discounting; unseen words share what it frees).
 
 Counts of all words stay a distributed table. Texts look up the words that make up 1 / LOOKUP_SHARE of the tokens (LOOKUP_SHARE words at
-most, which is what is broadcast) where they are; their other words, none of which is frequent, are joined to the table.
+most, which is what is broadcast) where they are; their other words, none of which is frequent, are joined to the table, and so are
+pairs with a word that is a unit but isn't looked up. Of these units a bitmap of fixed size is broadcast, which only spares joins.
 """
 
 from __future__ import annotations
@@ -25,9 +26,19 @@ from pyspark.sql import functions as F
 from folioscope.llm.shared import mapped, own_columns, saved, steps, table, text_buffer, words
 from folioscope.plans.ship import ship
 
-UNIT_SHARE, LOOKUP_SHARE = 10_000, 400_000
+UNIT_COUNT, LOOKUP_SHARE = 50, 400_000
+#: Words of this share of the tokens and more begin in classes by their rank, other units by their hash.
+RANKED_SHARE = 10_000
+#: Classes of up to this many units are broadcast in a round of exchange; of more they are joined by a shuffle.
+SMALL_UNITS = 500_000
+#: Tokens whose bigrams a task counts at once.
+STEP_TOKENS = 1 << 20
+#: Bits of a hash that choose a block of the bitmap, and a bit in its block.
+_BLOCK, _BIT = 12, 14
 #: Units by word ends, classes (0 is the text's end alone), rounds of exchange, and the weight of class frequencies in transitions.
 BUCKETS, CLASSES, EXCHANGES, KAPPA = 256, 64, 6, 20.0
+#: A unit is known by its word's hash or its bucket's number; this is a text's end.
+END = BUCKETS
 
 
 def held_out(doc_id, folds: int = 7, fold: int = 2) -> bool:
@@ -72,20 +83,48 @@ def _word_counts(batches):
 
 
 @dataclass
-class Units:
-    """Frequent words' hashes, sorted; unit i is the i-th, then come the buckets, then the end of a text."""
-
-    frequent: np.ndarray
-
-    @property
-    def end(self) -> int:
-        return len(self.frequent) + BUCKETS
-
-    def of(self, hashes: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-        if not len(self.frequent):
-            return buckets.astype(np.int64)
-        at = np.minimum(np.searchsorted(self.frequent, hashes), len(self.frequent) - 1)
-        return np.where(self.frequent[at] == hashes, at, len(self.frequent) + buckets)
+class Lookup:
+    """Hashes of the words that texts look up, sorted, which of them are units, and a bitmap of the units that aren't among them."""
+
+    words: np.ndarray
+    is_unit: np.ndarray
+    bits: np.ndarray | None
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place among the words, whether it is there, whether it may be another unit) of each hash."""
+        if not len(self.words):
+            none = np.zeros(len(hashes), bool)
+            return none.astype(np.int64), none, none if self.bits is None else self._marked(hashes)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        found = self.words[at] == hashes
+        return at, found, np.zeros(len(hashes), bool) if self.bits is None else ~found & self._marked(hashes)
+
+    def _marked(self, hashes: np.ndarray) -> np.ndarray:
+        spot = hashes.view(np.uint64) >> np.uint64(64 - _BLOCK - _BIT)
+        return (self.bits[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+    def units(self, hashes: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's unit, and its bucket if the unit is a word that may not be one, else -1."""
+        at, found, maybe = self.find(hashes)
+        own = found & self.is_unit[at] if len(self.words) else found
+        return np.where(own | maybe, hashes, buckets), np.where(maybe, buckets, -1)
+
+
+def _bit_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+    bits = np.zeros(1 << _BIT, bool)
+    bits[rows["bit"].to_numpy()] = True
+    return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+
+def bitmap(far: DataFrame) -> np.ndarray:
+    """The bitmap of far's words, of 2 ** (_BLOCK + _BIT) bits."""
+    ship(far.sparkSession)
+    spots = far.select(F.shiftrightunsigned("word", 64 - _BLOCK).alias("block"), F.shiftrightunsigned("word", 64 - _BLOCK - _BIT).bitwiseAND((1 << _BIT) - 1).alias("bit")).distinct()
+    size = 1 << (_BIT - 3)
+    made = np.zeros(size << _BLOCK, np.uint8)
+    for block, bits in spots.groupBy("block").applyInPandas(_bit_blocks, "block long, bits binary").collect():
+        made[block * size : (block + 1) * size] = np.frombuffer(bits, np.uint8)
+    return made
 
 
 def _sequence(units: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,20 +140,49 @@ def _sequence(units: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarr
     return before, tokens, cuts
 
 
-def _bigrams(units: Units):
+def _counted(pairs: list[np.ndarray], marks: list[np.ndarray]) -> pa.RecordBatch:
+    pair, mark = np.concatenate(pairs, axis=1), np.concatenate(marks, axis=1)
+    keys, first, at = np.unique(pair.ravel(), return_index=True, return_inverse=True)
+    left, at = mark.ravel()[first].astype(np.int32), at.reshape(2, -1)
+    unique, counts = np.unique((at[0] << 32) | at[1], return_counts=True)
+    x, y = unique >> 32, unique & 0xFFFFFFFF
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in (keys[x], left[x], keys[y], left[y], counts.astype(np.int64))], ["before", "before_bucket", "unit", "unit_bucket", "c"])
+
+
+def _bigrams(shared):
     def bigrams(batches):
         for batch in batches:
-            codes = []
+            pairs, marks, held = [], [], 0
             for a, b, h, k, bounds in _texts(batch):
-                before, tokens, cuts = _sequence(units.of(h, k), bounds, units.end)
-                codes.append(((before << 32) | tokens)[_chosen(batch, a, b, cuts)])
-            if codes:
-                unique, counts = np.unique(np.concatenate(codes), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(unique >> 32), pa.array(unique & 0xFFFFFFFF), pa.array(counts.astype(np.int64))], ["before", "unit", "c"])
+                own, left = shared.value.units(h, k)
+                before, tokens, cuts = _sequence(own, bounds, END)
+                chosen = _chosen(batch, a, b, cuts)
+                pairs.append(np.stack([before[chosen], tokens[chosen]]))
+                marks.append(np.stack([x[chosen] for x in _sequence(left, bounds, -1)[:2]]))
+                held += len(tokens)
+                if held >= STEP_TOKENS:
+                    yield _counted(pairs, marks)
+                    pairs, marks, held = [], [], 0
+            if pairs:
+                yield _counted(pairs, marks)
 
     return bigrams
 
 
+def unit_bigrams(source: DataFrame, shared, far: DataFrame | None) -> DataFrame:
+    """(before, unit, c) of training texts; units that may be far ones are joined to far (word), others go to their buckets."""
+    keys = ["before", "before_bucket", "unit", "unit_bucket"]
+    rows = saved(mapped(source, _bigrams(shared), "before long, before_bucket int, unit long, unit_bucket int, c long").groupBy(*keys).agg(F.sum("c").alias("c")), "bigrams")
+    if far is None:
+        return rows.select("before", "unit", "c")
+    open_ = rows.where("before_bucket >= 0 OR unit_bucket >= 0")
+    for side in ("before", "unit"):
+        maybe = F.col(f"{side}_bucket") >= 0
+        spread = open_.withColumn("_k", F.when(maybe, F.col(side)).otherwise(F.xxhash64("before", "unit")))  # rows that need no match are dealt out
+        open_ = spread.join(far.select(F.col("word").alias("_k"), F.lit(True).alias("_far")), "_k", "left").withColumn(side, F.when(maybe & F.col("_far").isNull(), F.col(f"{side}_bucket").cast("long")).otherwise(F.col(side))).drop("_k", "_far")
+    return saved(rows.where("before_bucket < 0 AND unit_bucket < 0").unionByName(open_).groupBy("before", "unit").agg(F.sum("c").alias("c")), "unit-bigrams")
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -142,55 +210,49 @@ def best_classes(right: np.ndarray, left: np.ndarray, own: np.ndarray, now: np.n
     return best
 
 
-def _moved(classes: np.ndarray, matrix: np.ndarray):
+def _moved(matrix: np.ndarray):
     def moved(rows: pd.DataFrame) -> pd.DataFrame:
         units, at = np.unique(rows["unit"].to_numpy(), return_inverse=True)
-        sides = np.zeros((3, len(units), CLASSES))
+        sides = np.zeros((4, len(units), CLASSES))
         np.add.at(sides, (rows["side"].to_numpy(), at, rows["class"].to_numpy()), rows["c"].to_numpy())
-        own = sides[2].sum(axis=1)
-        return pd.DataFrame({"unit": units, "class": best_classes(sides[0], sides[1], own, classes[units], matrix)})
+        return pd.DataFrame({"unit": units, "class": best_classes(sides[0], sides[1], sides[2].sum(axis=1), sides[3].argmax(axis=1), matrix)})
 
     return moved
 
 
-def _class_matrix(bigrams: DataFrame, classes: DataFrame) -> np.ndarray:
-    matrix = np.zeros((CLASSES, CLASSES))
-    joined = bigrams.join(F.broadcast(classes.select(F.col("unit").alias("before"), F.col("class").alias("p"))), "before").join(F.broadcast(classes), "unit")
-    for p, c, n in joined.groupBy("p", "class").agg(F.sum("c")).collect():
-        matrix[p, c] = n
-    return matrix
-
-
-def exchange(spark: SparkSession, bigrams: DataFrame, units: Units, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each unit and the class bigrams. Every round each second unit, by turns, takes its best class; units, and so
-    what the driver and each task hold of them, are UNIT_SHARE + BUCKETS + 1 at most."""
-    classes = np.zeros(units.end + 1, np.int64)
-    order = np.argsort(-frequency[: units.end], kind="stable")
-    classes[order] = 1 + np.arange(units.end) % (CLASSES - 1)
+def exchange(bigrams: DataFrame, classes: DataFrame, n_units: int) -> tuple[DataFrame, np.ndarray]:
+    """(unit, class) and the class bigrams, from bigrams (before, unit, c) and each unit's class at first. Every round each second
+    unit, by turns, takes its best class. Classes stay a table; the driver holds the class bigrams only."""
+    ship(bigrams.sparkSession)
     for turn in range(EXCHANGES + 1):
-        named = spark.createDataFrame(pd.DataFrame({"unit": np.arange(units.end + 1), "class": classes}))
-        matrix = _class_matrix(bigrams, named)
+        named = F.broadcast(classes) if n_units <= SMALL_UNITS else classes
+        earlier = named.select(F.col("unit").alias("before"), F.col("class").alias("p"))
+        matrix = np.zeros((CLASSES, CLASSES))
+        for p, c, n in bigrams.join(named, "unit").groupBy("before", "class").agg(F.sum("c").alias("c")).join(earlier, "before").groupBy("p", "class").agg(F.sum("c")).collect():
+            matrix[p, c] = n
         if turn == EXCHANGES:
             return classes, matrix
-        after = bigrams.join(F.broadcast(named), "unit").groupBy(F.col("before").alias("unit"), "class").agg(F.sum("c").alias("c")).withColumn("side", F.lit(0))
-        before = bigrams.join(F.broadcast(named.select(F.col("unit").alias("before"), "class")), "before").groupBy("unit", "class").agg(F.sum("c").alias("c")).withColumn("side", F.lit(1))
-        own = bigrams.where("unit = before").select("unit", F.lit(0).cast("long").alias("class"), "c", F.lit(2).alias("side"))
-        sides = after.unionByName(before).unionByName(own).where((F.col("unit") < units.end) & (F.col("unit") % 2 == turn % 2))
-        ship(spark)
-        for unit, c in sides.groupBy((F.col("unit") % 32).alias("part")).applyInPandas(_moved(classes, matrix), "unit long, class long").collect():
-            classes[unit] = c
+        mine = lambda unit: (F.col(unit) != END) & (F.col(unit).bitwiseAND(1) == turn % 2)  # noqa: B023, E731
+        after = bigrams.where(mine("before")).join(named, "unit").groupBy(F.col("before").alias("unit"), "class").agg(F.sum("c").alias("c")).withColumn("side", F.lit(0))
+        before = bigrams.where(mine("unit")).join(earlier, "before").groupBy("unit", F.col("p").alias("class")).agg(F.sum("c").alias("c")).withColumn("side", F.lit(1))
+        own = bigrams.where(mine("unit") & (F.col("unit") == F.col("before"))).select("unit", F.lit(0).cast("long").alias("class"), "c", F.lit(2).alias("side"))
+        now = classes.where(mine("unit")).select("unit", "class", F.lit(1).cast("long").alias("c"), F.lit(3).alias("side"))
+        sides = after.unionByName(before).unionByName(own).unionByName(now)
+        parts = F.pmod(F.xxhash64("unit"), F.lit(max(32, n_units // 1000)))
+        moved = sides.groupBy(parts.alias("part")).applyInPandas(_moved(matrix), "unit long, class long")
+        classes = saved(classes.where(~mine("unit")).unionByName(moved), "classes")
 
 
 @dataclass
 class Model:
-    """What texts are scored by where they are: transitions (class, class), each class's unseen word, both as log10, the
-    looked-up words' hashes, sorted, with what they add to an unseen word's scores, and the constants of the base."""
+    """What texts are scored by where they are: transitions (class, class), each class's unseen word, both as log10, the classes
+    of looked-up words and of buckets, what looked-up words add to an unseen word's scores, and the constants of the base."""
 
-    units: Units
+    lookup: Lookup
     classes: np.ndarray
+    buckets: np.ndarray
     transitions: np.ndarray
     unseen: np.ndarray
-    lookup: np.ndarray
     adds: np.ndarray
     adds_base: np.ndarray
     base_floor: float
@@ -204,18 +266,23 @@ def _scored(shared):
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for a, b, h, k, bounds in _texts(batch):
-                before, tokens, cuts = _sequence(m.units.of(h, k), bounds, m.units.end)
-                p, c = m.classes[before], m.classes[tokens]
-                per_token = m.transitions[p, c] + np.where(tokens == m.units.end, 0.0, m.unseen[c])
+                at, found, maybe = m.lookup.find(h)
+                own = np.where(found, m.classes[at], m.buckets[k]) if len(m.classes) else m.buckets[k]
+                p, c, cuts = _sequence(own, bounds, 0)
+                x_far, y_far, _ = _sequence(maybe.astype(np.int64), bounds, 0)
+                x_word, y_word, _ = _sequence(h, bounds, 0)
+                later = (x_far | y_far) > 0
+                per_token = np.where(later, 0.0, m.transitions[p, c] + m.unseen[c])
                 score = np.add.reduceat(per_token, cuts[:-1])
-                at = np.minimum(np.searchsorted(m.lookup, h), max(0, len(m.lookup) - 1))
-                found = m.lookup[at] == h if len(m.lookup) else np.zeros(len(h), bool)
-                sums = [np.concatenate(([0], np.cumsum(x))) for x in (np.where(found, m.adds[at], 0.0), np.where(found, m.adds_base[at], 0.0), found.astype(np.int64))] if len(m.lookup) else [np.zeros(len(h) + 1)] * 3
+                sums = [np.concatenate(([0], np.cumsum(x))) for x in (np.where(found, m.adds[at], 0.0), np.where(found, m.adds_base[at], 0.0), found.astype(np.int64))] if len(m.adds) else [np.zeros(len(h) + 1)] * 3
                 for i in range(a, b):
                     x, y = int(bounds[i - a]), int(bounds[i - a + 1])
                     rare, times = np.unique(h[x:y][~found[x:y]], return_counts=True)
                     adds = [s[y] - s[x] for s in sums]
-                    yield_rows.append((task << 33 | row, ids[i], held_out(ids[i]), y - x + 1, int(adds[2]) + m.end_known, (y - x) * m.base_floor + adds[1] + m.base_end, float(score[i - a] + adds[0]), rare, times.astype(np.int32)))
+                    u, v = int(cuts[i - a]), int(cuts[i - a + 1])
+                    open_ = u + np.flatnonzero(later[u:v])
+                    pairs = [x_word[open_], np.where(x_far[open_] > 0, -1 - p[open_], p[open_]).astype(np.int32), y_word[open_], np.where(y_far[open_] > 0, -1 - c[open_], c[open_]).astype(np.int32)]
+                    yield_rows.append((task << 33 | row, ids[i], held_out(ids[i]), y - x + 1, int(adds[2]) + m.end_known, (y - x) * m.base_floor + adds[1] + m.base_end, float(score[i - a] + adds[0]), rare, times.astype(np.int32), *pairs))
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*yield_rows, strict=True), _KINDS, strict=True)], _NAMES)
                 yield_rows.clear()
@@ -224,9 +291,22 @@ def _scored(shared):
     return scored
 
 
-_KINDS = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-_NAMES = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times"]
-_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>"
+_KINDS = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.list_(pa.int64()), pa.list_(pa.int32())] * 3]
+#: Pairs that wait for a join: each word, and its class, or -1 less the class that it has if it isn't a unit.
+_NAMES = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times", "x_word", "x", "y_word", "y"]
+_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>, x_word array<long>, x array<int>, y_word array<long>, y array<int>"
+
+
+def _waiting(texts: DataFrame, far: DataFrame, steps_: np.ndarray) -> DataFrame:
+    """(row, s): what the pairs that wait add to a text's score; far: word, class."""
+    rows = texts.select("row", F.explode(F.arrays_zip("x_word", "x", "y_word", "y")).alias("z")).select("row", "z.*").groupBy("row", "x_word", "x", "y_word", "y").agg(F.count(F.lit(1)).alias("n"))
+    for side in ("x", "y"):
+        maybe = F.col(side) < 0
+        spread = rows.withColumn("_k", F.when(maybe, F.col(f"{side}_word")).otherwise(F.xxhash64("row", "x_word", "y_word")))  # rows that need no match are dealt out
+        rows = spread.join(far.select(F.col("word").alias("_k"), F.col("class").alias("_c")), "_k", "left").withColumn(side, F.when(maybe, F.coalesce("_c", -1 - F.col(side))).otherwise(F.col(side)).cast("long")).drop("_k", "_c")
+    n = np.arange(CLASSES * CLASSES)
+    named = texts.sparkSession.createDataFrame(pd.DataFrame({"x": n // CLASSES, "y": n % CLASSES, "s": steps_.ravel()}))
+    return rows.join(F.broadcast(named), ["x", "y"]).groupBy("row").agg(F.sum(F.col("n") * F.col("s")).alias("w"))
 
 
 def class_lm(docs: DataFrame) -> DataFrame:
@@ -246,39 +326,65 @@ def class_lm(docs: DataFrame) -> DataFrame:
     tokens, distinct = (total or 0) + ends, distinct + bool(ends)
     discount = once / (once + 2 * twice) if once and twice else 0.5
 
-    common = counts.where(F.col("c") * LOOKUP_SHARE >= tokens).toArrow().to_pandas().sort_values("word")  # LOOKUP_SHARE rows at most
-    frequent = common[common["c"] * UNIT_SHARE >= tokens]
-    units = Units(frequent["word"].to_numpy(np.int64))
-    bigrams = saved(mapped(source, _bigrams(units), "before long, unit long, c long").groupBy("before", "unit").agg(F.sum("c").alias("c")), "bigrams")
-    frequency = np.zeros(units.end + 1)
-    for u, n in bigrams.groupBy("unit").agg(F.sum("c")).collect():  # a row for each unit
-        frequency[u] = n
-    classes, matrix = exchange(spark, bigrams, units, frequency)
+    looked_up, unit = F.col("c") * LOOKUP_SHARE >= tokens, F.col("c") >= UNIT_COUNT
+    common = counts.where(looked_up).toArrow().to_pandas().sort_values("word")  # LOOKUP_SHARE rows at most
+    far = saved(counts.where(unit & ~looked_up).select("word"), "far-units") if UNIT_COUNT * LOOKUP_SHARE < tokens else None
+    lookup = Lookup(common["word"].to_numpy(np.int64), common["c"].to_numpy() >= UNIT_COUNT, None if far is None else bitmap(far))
+    bigrams = unit_bigrams(source, spark.sparkContext.broadcast(lookup), far)
+
+    # at first, by rank the buckets and the words of RANKED_SHARE (RANKED_SHARE at most); counts and words of each bucket
+    in_bucket, types_in = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for k, n, m in counts.where(~unit).groupBy("bucket").agg(F.sum("c"), F.count(F.lit(1))).collect():
+        in_bucket[k], types_in[k] = n, m
+    top = common[(common["c"] >= UNIT_COUNT) & (common["c"] * RANKED_SHARE >= tokens)]
+    ranks = pd.DataFrame({"unit": np.concatenate([np.arange(BUCKETS), top["word"].to_numpy(np.int64)]), "c": np.concatenate([in_bucket, top["c"].to_numpy(float)])})
+    ranks = ranks.sort_values("c", ascending=False, kind="stable")[["unit"]].assign(**{"class": 1 + np.arange(len(ranks)) % (CLASSES - 1)})
+    ranks = pd.concat([ranks, pd.DataFrame({"unit": [END], "class": [0]})])
+    hashed = counts.where(unit & (F.col("c") * RANKED_SHARE < tokens)).select(F.col("word").alias("unit"), (1 + F.pmod(F.xxhash64("word"), F.lit(CLASSES - 1))).cast("long").alias("class"))
+    classes = saved(spark.createDataFrame(ranks, "unit long, class long").unionByName(hashed), "classes")
+    classes, matrix = exchange(bigrams, classes, classes.count())
 
     # tokens and distinct words of each class; rare words are counted by bucket
+    bucket_class = np.zeros(BUCKETS, np.int64)
+    for k, c in classes.where((F.col("unit") >= 0) & (F.col("unit") < BUCKETS)).collect():
+        bucket_class[k] = c
     sizes, types = np.zeros(CLASSES), np.zeros(CLASSES)
-    np.add.at(sizes, classes[:-1], frequency[:-1])
-    np.add.at(types, classes[: len(units.frequent)], 1)
-    for k, n in counts.where(F.col("c") * UNIT_SHARE < tokens).groupBy("bucket").agg(F.count(F.lit(1))).collect():
-        types[classes[len(units.frequent) + k]] += n
+    np.add.at(sizes, bucket_class, in_bucket)
+    np.add.at(types, bucket_class, types_in)
+    of_words = counts.where(unit).join(classes, F.col("word") == F.col("unit"))
+    for k, n, m in of_words.groupBy("class").agg(F.sum("c"), F.count(F.lit(1))).collect():
+        sizes[k] += n
+        types[k] += m
     sizes[0] = ends
     share = (sizes + 0.5) / (sizes.sum() + 0.5 * CLASSES)
     with np.errstate(divide="ignore", invalid="ignore"):
         transitions = np.log10((matrix + KAPPA * share) / (matrix.sum(axis=1, keepdims=True) + KAPPA))
         unseen = np.where(sizes > 0, np.log10(discount * types / sizes), 0.0)  # a class without words has unseen ones only
         seen_less = np.where(types > 0, np.log10(discount * types), 0.0)
-    spot = units.of(common["word"].to_numpy(np.int64), common["bucket"].to_numpy(np.int64))
+    unseen[0] = 0.0
+    known = of_words.where(looked_up).select("word", "class").toArrow().to_pandas()  # of the words looked up
+    spot = bucket_class[common["bucket"].to_numpy(np.int64)] if len(common) else np.zeros(0, np.int64)
+    spot[np.searchsorted(lookup.words, known["word"].to_numpy(np.int64))] = known["class"].to_numpy(np.int64)
     c = common["c"].to_numpy(float)
     base_floor = -float(np.log10(tokens + distinct + 1))
-    model = Model(units, classes, transitions, unseen, common["word"].to_numpy(np.int64), np.log10(c - discount) - seen_less[classes[spot]], np.log10(c + 1), base_floor, float(np.log10(ends + 1)) + base_floor, int(ends > 0))
+    model = Model(lookup, spot, bucket_class, transitions, unseen, np.log10(c - discount) - seen_less[spot], np.log10(c + 1), base_floor, float(np.log10(ends + 1)) + base_floor, int(ends > 0))
     texts = saved(mapped(source, _scored(spark.sparkContext.broadcast(model)), _SCORED), "scored")
 
-    less = F.get(F.array(*[F.lit(float(x)) for x in seen_less[classes[len(units.frequent) : units.end]]]), F.col("bucket"))
-    others = counts.where(F.col("c") * LOOKUP_SHARE < tokens).select("word", F.log10(F.col("c") + 1).alias("adds_base"), (F.log10(F.col("c") - discount) - less).alias("adds"))
+    less = lambda k: F.get(F.array(*[F.lit(float(x)) for x in seen_less]), k)
+    of_bucket = F.get(F.array(*map(F.lit, bucket_class.tolist())), F.col("bucket"))
+    others = counts.where(~looked_up)
+    if far is None:
+        others = others.withColumn("class", of_bucket)
+    else:
+        far = saved(of_words.where(~looked_up).select("word", "class"), "far-classes")
+        others = others.join(far, "word", "left").withColumn("class", F.coalesce("class", of_bucket))
+    others = others.select("word", F.log10(F.col("c") + 1).alias("adds_base"), (F.log10(F.col("c") - discount) - less(F.col("class").cast("int"))).alias("adds"))
     rare = texts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     more = rare.join(others, "word").groupBy("row").agg(F.sum("times").alias("k"), F.sum(F.col("times") * F.col("adds_base")).alias("b"), F.sum(F.col("times") * F.col("adds")).alias("s"))
+    if far is not None:
+        more = more.join(_waiting(texts, far, transitions + unseen), "row", "full_outer").withColumn("s", F.coalesce("s", F.lit(0.0)) + F.coalesce("w", F.lit(0.0)))
     sum_of = lambda x, y: (F.col(x) + F.coalesce(F.col(y), F.lit(0))).alias(x)
-    return texts.drop("rare", "times").join(more, "row", "left").select(
+    return texts.select(*_NAMES[:7]).join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", sum_of("n_known", "k"), F.lit(tokens).cast("long").alias("train_tokens"), sum_of("base_score", "b"), sum_of("score", "s")
     )
 

@@ -170,6 +170,26 @@ def test_brown_lm_counts_and_beats_its_base(spark):
     assert brown_lm.class_lm(docs_of(spark, [(d, "x y") for d in held if held[d]])).count() == sum(held.values())
 
 
+def test_brown_lm_clusters_words_by_count_and_joins_what_it_does_not_look_up(spark, monkeypatch):
+    first, second = ([f"{a}{b}{end}xxzz" for a in "abcdefgh" for b in "klm"] for end in "pq")  # one bucket
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(first if k % 2 else second) for k in range(100))) for i in range(60)]
+    rows += [(100 + i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(20)]  # words that occur once
+    right, wrong = [i for i in range(1000, 1100) if brown_lm.held_out(i)][:2]
+    rows += [(right, " ".join(f"{y} {x}" for x, y in zip(first, second))), (wrong, " ".join(second + first))]
+    monkeypatch.setattr(brown_lm, "UNIT_SHARE", 10, raising=False)  # whatever share of the tokens a word has, its count makes it a unit
+    run = lambda: {x.doc_id: x for x in brown_lm.class_lm(docs_of(spark, rows)).collect()}
+    near = run()
+    assert near[right].score > near[wrong].score + 5  # both have the same words
+    monkeypatch.setattr(brown_lm, "LOOKUP_SHARE", 100)
+    monkeypatch.setattr(brown_lm, "SMALL_UNITS", 0)
+    joined = run()
+    for i, x in near.items():
+        assert joined[i].n_known == x.n_known
+        assert joined[i].score == pytest.approx(x.score)
+        assert joined[i].base_score == pytest.approx(x.base_score)
+
+
 def test_exchange_takes_the_best_class():
     r = np.random.default_rng(1)
     u, c = 12, brown_lm.CLASSES
