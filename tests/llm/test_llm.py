@@ -158,14 +158,15 @@ def brute_kneser_ney(train, texts):
 def test_quality_scores_equal_brute_force_kneser_ney(spark, monkeypatch):
     train = [prose(i, 40) for i in range(60)] + ["go go go go on", "", " one"]
     texts = [prose(i, 30) for i in range(50, 90)] + ["", None, "go go go", "x x x x y", "unknown words only", "one", "go " * 5000, *train[-3:]]
-    counts = quality.fit(spark.createDataFrame([(x,) for x in train], "text string"))
+    sample = spark.createDataFrame([(x,) for x in train], "text string")
     want, p, uni = brute_kneser_ney(train, texts)
     assert sum(p(("alpha", "beta", w[0])) for w in [*uni, ("unknown",)]) == pytest.approx(1)
     docs = docs_of(spark, list(enumerate(texts))).repartition(5)
     for frequent, block, group in ((quality.FREQUENT, 1 << 20, 1 << 29), (40, 64, 1 << 12)):  # all n-grams looked up; most joined, by many blocks and groups
         for name, value in (("FREQUENT", frequent), ("BLOCK_TOKENS", block), ("GROUP_BYTES", group)):
             monkeypatch.setattr(quality, name, value)
-        got = {x.doc_id: x for x in quality.score(docs, counts).collect()}
+        model = quality.fit(sample)
+        got = {x.doc_id: x for x in quality.score(docs, model).collect()}
         assert len(got) == len(texts)
         for i, x in enumerate(want):
             assert got[i].log10_p == pytest.approx(x, abs=1e-9, rel=1e-9)
