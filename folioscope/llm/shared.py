@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,23 +27,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the setting is absent (tests, one machine)."""
+    """The folder named by spark.checkpoint.dir. Only where the setting is absent on one machine (tests) is it a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _FALLBACK:
         _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="folioscope-"))
     return _FALLBACK[0]
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and every executor can read it."""
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are saved within are deleted at the end, by when what was made of them must be written."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def saved(df: DataFrame, name: str, beyond: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there and every executor can read it. In scratch() the
+    table is deleted at that one's end, or at the end of the one around it if it is wanted beyond."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _SCRATCH[: -1 if beyond else None][-1:]:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Groups of this share of the rows and more are broadcast, which are LARGE_SHARE at most.
+LARGE_SHARE = 10_000
+
+
+def joined_to_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total: int) -> DataFrame:
+    """rows joined to groups of them by key (size: a group's rows, total: all rows) without that a large group meets in one task:
+    there are LARGE_SHARE large groups at most, which are broadcast; others are joined by a shuffle."""
+    large = F.broadcast(groups.where(F.col(size) * LARGE_SHARE >= total))
+    others = rows.join(large.select(*key), key, "left_anti")
+    return rows.join(large, key).unionByName(others.join(groups.where(F.col(size) * LARGE_SHARE < total), key))
+
+
 def fitted(df: DataFrame, rows: int, each: int) -> DataFrame:
     """df in no more partitions than its number of rows asks for, but one for each core: small tables in few files."""
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
