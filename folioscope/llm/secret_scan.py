@@ -7,12 +7,13 @@ paths carry it, and findings are joined back to all paths. Spans are code points
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import own_columns, saved, table
+from folioscope.llm.shared import own_columns, saved, shared_folder, table
 
 
 @dataclass(frozen=True)
@@ -39,67 +40,84 @@ MORE = (
 RULES = BASE + MORE
 
 
-def spans_of(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct<start, kind_order, end>> of a rule's matches: the gaps between leftmost matches and the matches' own
-    lengths, summed up, are their positions."""
+_SPANS = "array<struct<start:int,kind_order:int,end:int>>"
+
+
+def _lengths(text: Column, rule: Rule) -> Column:
+    """Of a rule's leftmost matches the lengths of the gap before, of the match, and of what counts of it."""
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     judged = hits if not rule.group else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(hits))
-    rows = F.transform(
+    return F.transform(
         F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), judged.alias("judged")),
-        lambda x: F.struct(F.char_length(x["gap"]).alias("gap"), F.char_length(x["hit"]).alias("length"), F.char_length(x["judged"]).alias("judged")),
+        lambda x: F.struct(F.char_length(x["gap"]).alias("gap"), F.char_length(x["hit"]).alias("length"), (F.char_length(x["judged"]) >= rule.least).alias("counts")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind_order:int,end:int,judged:int>>").alias("out"))
-    walked = F.aggregate(
-        rows,
-        start,
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + x["length"]).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), F.lit(order).alias("kind_order"), (s["at"] + x["gap"] + x["length"]).alias("end"), x["judged"].alias("judged")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return F.transform(F.filter(walked, lambda x: x["judged"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["kind_order"].alias("kind_order"), x["end"].alias("end")))
 
 
-def _empty() -> Column:
-    return F.array().cast("array<struct<start:int,kind_order:int,end:int>>")
+def _spans(fresh: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, spans) of fresh (blob, text, todo), blobs with findings only: the sums of lengths are positions."""
+    none = F.array().cast("array<struct<gap:int,length:int,counts:boolean>>")
+    per_rule = [F.when(F.array_contains("todo", _name(r)) & F.col("text").rlike(r.pattern), _lengths(F.col("text"), r)).otherwise(none) for r in rules]
+    by_rule = fresh.select("blob", F.posexplode(F.array(*per_rule)).alias("kind_order", "hits")).where(F.size("hits") > 0)
+    hits = by_rule.select("blob", "kind_order", F.posexplode("hits").alias("nth", "hit")).select("blob", "kind_order", "nth", "hit.*")
+    upto = Window.partitionBy("blob", "kind_order").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    placed = hits.withColumn("end", F.sum(F.col("gap") + F.col("length")).over(upto).cast("int")).where("counts")
+    span = F.struct((F.col("end") - F.col("length")).alias("start"), "kind_order", "end")
+    return placed.groupBy("blob").agg(F.collect_list(span).cast(_SPANS).alias("spans"))
+
 
+def _name(rule: Rule) -> str:
+    return f"{rule.kind}:{rule.version}"
 
-def ledger_rows(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, rule, version) for every blob and rule: what a run adds to the ledger."""
-    made = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
-    return blobs.select("blob", F.explode(made).alias("r")).select("blob", "r.rule", "r.version")
+
+def ledger_rows(todo: DataFrame) -> DataFrame:
+    """(blob, rule, version) of the pairs that a run scans: what it adds to the ledger."""
+    pair = F.split("pair", ":")
+    return todo.select("blob", F.explode("todo").alias("pair")).select("blob", pair[0].alias("rule"), pair[1].cast("int").alias("version"))
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scan docs (doc_id, text); returns (per row of docs: doc_id, blob, spans), (findings: blob, spans), (new ledger rows).
 
-    ledger and findings are those of earlier runs. A null text is empty; a repeated row gives the row again; an empty table
+    ledger and findings are those of earlier runs, whose rules begin these. A null text is empty; a repeated row gives the row again; an empty table
     gives no rows; other columns are ignored. spans are sorted by start, then by the rules' order.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     source = own_columns(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.sha2(text, 256).alias("blob"))
     versions = saved(source.select("doc_id", "blob"), "versions")
-    blobs = versions.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
-    every = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
+    blobs = versions.select("blob").distinct()
+    every = F.array(*[F.lit(_name(r)) for r in rules])
     if ledger is None:
         todo = blobs.withColumn("todo", every)
     else:
         seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", "version")).alias("seen"))
         todo = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("todo") > 0).drop("seen")
-    a, b = source.alias("a"), todo.alias("b")
-    fresh = a.join(b, (F.col("a.blob") == F.col("b.blob")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))).select("a.blob", "a.text", "b.todo")
-    per_rule = [
-        F.when(F.array_contains("todo", f"{r.kind}:{r.version}") & F.col("text").rlike(r.pattern), spans_of(F.col("text"), r, k)).otherwise(_empty()) for k, r in enumerate(rules)
-    ]
-    found = fresh.select("blob", F.flatten(F.array(*per_rule)).alias("spans")).where(F.size("spans") > 0)
+    any_rule = F.lit(False)
+    for r in rules:
+        any_rule = any_rule | F.col("text").rlike(r.pattern)
+    fresh = source.where(any_rule).dropDuplicates(["blob"]).join(todo, "blob").select("blob", "text", "todo")  # other texts have no match
+    found = _spans(fresh, rules)
     if findings is not None:
         found = found.unionByName(findings)
-    found = found.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"))
+    found = found.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     found = saved(found, "findings")
-    out = versions.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", _empty()).alias("spans"))
-    return out, found, ledger_rows(todo, rules)
+    out = versions.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+    return out, found, ledger_rows(todo)
+
+
+def scan_with_ledger(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """scan() of what the ledger in a folder of the shared store doesn't list yet; returns doc_id, blob and spans per row of docs.
+
+    Findings are appended before ledger rows, so a run that fails between them is only repeated. The first run makes the folder.
+    """
+    spark, parts = docs.sparkSession, ("ledger", "findings")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/ledger/_SUCCESS")
+    begun = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    ledger, findings = (spark.read.parquet(f"{folder}/{x}") for x in parts) if begun else (None, None)
+    rows, found, new = scan(docs, ledger, findings, rules)
+    found.write.mode("append").parquet(f"{folder}/findings")
+    new.write.mode("append").parquet(f"{folder}/ledger")
+    return rows
 
 
 def described(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -108,29 +126,49 @@ def described(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["kind_order"]), x["start"], x["end"])), ",")
 
 
+#: Code points in the pieces that a text is cut into when parts of it are taken out.
+_PIECE = 256
+
+
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """docs with each run of overlapping spans replaced by the mask and n_chars, if any, counted again; texts without findings are untouched."""
-    _, found, _ = scan(docs)
-    text = F.col("text")
-    walked = F.aggregate(
-        "_spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.struct(
-            F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mask))).alias("out"),
-        ),
-        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.lit(2**31 - 1) - s["at"])),
-    )
-    tagged = docs.withColumn("_blob", F.sha2(F.coalesce(text, F.lit("")), 256)).join(found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left")
-    found = F.col("_spans").isNotNull()
-    out = tagged.withColumn("text", F.when(found, walked).otherwise(text))
+    """docs with each run of overlapping spans replaced by the mask and n_chars, if any, counted again; texts without findings are untouched.
+
+    A null text stays null; repeated rows and rows with a null doc_id are masked alike; columns may have any names; an empty table stays empty.
+    """
+    matches = F.lit(False)
+    for r in RULES:
+        matches = matches | F.col("text").rlike(r.pattern)
+    matches = F.coalesce(matches, F.lit(False))
+    _, found, _ = scan(docs.where(matches))
+    each = found.select("blob", F.explode("spans").alias("s")).select("blob", "s.*")
+    before = Window.partitionBy("blob").orderBy("start", "kind_order").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = each.withColumn("at", F.coalesce(F.max("end").over(before), F.lit(0)))
+    gap = F.when(F.col("start") >= F.col("at"), F.struct("at", "start"))
+    gaps = cuts.groupBy("blob").agg(F.array_sort(F.collect_list(gap)).alias("gaps"), F.max("end").alias("last"))  # collect_list leaves nulls out
+
+    tagged = docs.where(matches).select(F.struct("*").alias("doc"), F.sha2("text", 256).alias("blob")).join(gaps, "blob", "left")
+    tagged = tagged.withColumn("pieces", F.when(F.col("gaps").isNotNull(), F.regexp_extract_all("doc.text", F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))))
+
+    def part(a: Column, b: Column) -> Column:
+        """Code points a to b, from the pieces that hold them."""
+        first = F.floor(a / _PIECE).cast("int")
+        own = F.array_join(F.slice("pieces", first + 1, F.floor((b - 1) / _PIECE).cast("int") - first + 1), "")
+        return F.when(b > a, F.substring(own, a % _PIECE + 1, b - a)).otherwise("")
+
+    head = F.array_join(F.transform("gaps", lambda x: F.concat(part(x["at"], x["start"]), F.lit(mask))), "")
+    text = F.when(F.col("gaps").isNotNull(), F.concat(head, part(F.col("last"), F.char_length("doc.text")))).otherwise(F.col("doc.text"))
+    doc = F.col("doc").withField("text", F.col("clean"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(found, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        doc = doc.withField("n_chars", F.when(F.col("gaps").isNotNull(), F.char_length("clean").cast("long")).otherwise(F.col("doc.n_chars")))
+    clean = tagged.withColumn("clean", text).select(doc.alias("doc")).select("doc.*")
+    return docs.where(~matches).unionByName(clean)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _, _ = scan(table(spark, sf_dir, "documents"))
+    """Two runs with one ledger: the base rules, then all rules, of which only the further ones are left to scan."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    scan_with_ledger(docs, folder, BASE)
+    rows = scan_with_ledger(docs, folder, RULES)
     base = F.filter("spans", lambda x: x["kind_order"] < len(BASE))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind_order"] == k)).cast("long")
     return rows.select(
