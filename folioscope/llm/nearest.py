@@ -23,10 +23,10 @@ from folioscope.plans.ship import ship
 
 #: Rows that codebooks are fitted on at most, centroids of each half, and rounds of k-means.
 FITTED, CENTROIDS, ROUNDS = 20_000, 64, 10
-#: The share of the distinct vectors that a query's pairs hold (recall against brute force: README), and the least number.
-VISITED, LEAST = 0.55, 3000
-#: Index entries that one group of reranking holds at most, or about.
-BLOCK = 4096
+#: The share of the distinct vectors that a query's pairs hold (recall against brute force: README).
+VISITED = 0.55
+#: Index entries, and queries, that one group of reranking holds at most, or about.
+BLOCK, ASKED = 4096, 2048
 
 
 @dataclass
@@ -91,10 +91,10 @@ def walked(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, wanted: int) -> li
     return found
 
 
-def _probes(shared, visited: float, least: int):
+def _probes(shared, visited: float):
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, sizes = shared.value
-        wanted = max(least, int(np.ceil(visited * sizes.sum())))
+        wanted = int(np.ceil(visited * sizes.sum()))
         for batch in batches:
             entries, vectors, c1, c2 = [], [], [], []
             if batch.num_rows:
@@ -137,7 +137,7 @@ def _reranked(k: int):
     return reranked
 
 
-def search(rows: DataFrame, is_query, k: int = 10, visited: float = VISITED, least: int = LEAST) -> DataFrame:
+def search(rows: DataFrame, is_query, k: int = 10, visited: float = VISITED) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k nearest among the other rows (vec_id, embedding).
 
     is_query is a Column over vec_id. score is the Euclidean distance in double precision, ties go to smaller vec_ids; with
@@ -163,13 +163,15 @@ def search(rows: DataFrame, is_query, k: int = 10, visited: float = VISITED, lea
     asked = fine.where(is_query)
     of_query = asked.join(entries.select("embedding", "entry"), "embedding").select("vec_id", "entry")
     of_query = saved(of_query, "queries")
-    probing = index.join(of_query.select("entry").distinct(), "entry", "left_semi").select("entry", "embedding")
-    probes = mapped(probing, _probes(spark.sparkContext.broadcast((books, sizes)), visited, least), "query long, vector array<float>, c1 int, seconds array<int>")
+    entries_asked = of_query.select("entry").distinct()
+    parts = F.lit(-(-max(1, entries_asked.count()) // ASKED))
+    probing = index.join(entries_asked, "entry", "left_semi").select("entry", "embedding")
+    probes = mapped(probing, _probes(spark.sparkContext.broadcast((books, sizes)), visited), "query long, vector array<float>, c1 int, seconds array<int>")
     blocks = spark.createDataFrame([(a, max(1, -(-int(n) // BLOCK))) for a, n in enumerate(sizes.sum(axis=1))], "c1 int, blocks int")
-    blocked = index.join(F.broadcast(blocks), "c1").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
-    spread = probes.join(F.broadcast(blocks), "c1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocked = index.join(F.broadcast(blocks), "c1").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    spread = probes.join(F.broadcast(blocks), "c1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("part", F.pmod(F.xxhash64("query"), parts).cast("int"))
     ship(spark)
-    near = spread.groupBy("c1", "block").cogroup(blocked.select("c1", "block", "entry", "embedding", "c2").groupBy("c1", "block")).applyInPandas(_reranked(k + 1), "query long, entry long, score double")
+    near = spread.groupBy("c1", "block", "part").cogroup(blocked.select("c1", "block", "part", "entry", "embedding", "c2").groupBy("c1", "block", "part")).applyInPandas(_reranked(k + 1), "query long, entry long, score double")
     by_score = Window.partitionBy("query").orderBy("score", "entry")
     best = near.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= k + 1)
     expanded = best.join(index.select("entry", "ids"), "entry").select("query", "score", F.explode("ids").alias("vec_id"))
