@@ -2,9 +2,10 @@
 
 Documents become token ids in the executors and are cut into pieces of one sequence at most. How many pieces there are of each
 length is all that packing depends on, and that is a table of as many rows as a sequence has tokens, whatever the size of
-the corpus. The search over it completes the bin of the largest piece left with undominated fillings, applies a filling as
-often as the counts allow, prunes a branch whose waste already exceeds what a better packing could have, and keeps the best packing
-so far, first that of best fit, as incumbent. It ends at the lower bound or after a stated number of nodes with the incumbent.
+the corpus. The search over it completes the bin of the largest piece left with undominated fillings, all of them, in the order of their
+waste; applies a filling as often as the counts allow, then, on its way back, less often; prunes a branch whose waste
+exceeds what a better packing could have; and keeps the best packing so far, first that of best fit, as incumbent. It ends
+when the incumbent is as small as the lower bound or nothing is left to try, which both prove it optimal, or after a stated number of steps.
 Pieces get their place by a distributed rank among those of their length and a join with the packing's rank ranges.
 """
 
@@ -12,9 +13,10 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,10 @@ from pyspark.sql import functions as F
 from folioscope.llm.shared import STEP_BYTES, mapped, own_columns, saved, steps, table, text_buffer
 
 CAPACITY = 2048
-#: Nodes that the search visits, fillings it tries at a node, and largest pieces it pairs when it looks for fillings.
-NODES, BRANCHES, LOOKED_AT = 12_000, 3, 64
-#: Words that a Python worker remembers, besides as many older ones; when they are more it forgets the older ones.
-REMEMBERED = 250_000
+#: Steps of the search at most: nodes, and lengths tried in fillings. Only a search that spends them all may miss the best packing, and says so.
+STEPS = 2_000_000
+#: Bytes that the words which a Python worker remembers take, or about, besides as many of older ones; when they are more it forgets the older ones.
+REMEMBERED = 48 << 20
 
 Filling = tuple[int, ...]
 
@@ -40,7 +42,7 @@ _JOINED = 2000
 
 
 class WordIds:
-    """The ids of white-space parted words, as little-endian 32-bit integers, remembered for REMEMBERED words and as many older ones.
+    """The ids of white-space parted words, as little-endian 32-bit integers, remembered up to REMEMBERED bytes and as many older ones.
 
     The tokenizer ends each run of letters with a token of its own kind, so that many words of letters are encoded as one text
     and cut there; signs behind an ASCII letter or digit are a run by themselves.
@@ -53,15 +55,17 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.size = 0
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for x, k in vocabulary.items() if x.endswith("</w>")]] = True
 
     def learn(self, wanted: set[bytes]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
+        if self.size > REMEMBERED:
+            self.known, self.older, self.size = {}, self.known, 0
         known, older = self.known, self.older
-        missing = wanted - known.keys()
+        wanted = wanted - known.keys()
+        missing = set(wanted)
         for word in missing & older.keys():
             known[word] = older[word]
         missing -= older.keys()
@@ -85,6 +89,7 @@ class WordIds:
             known.update(zip(part, [raw[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
         for word, core, tail in parted:
             known[word] = known[core] + known[tail]
+        self.size += sum(3 * len(x) + 150 for x in wanted)  # the word, its ids, and the table's own share
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -170,106 +175,137 @@ class _Counts:
         return (self.bits & ((1 << (most + 1)) - 1)).bit_length() - 1 if most > 0 and self.bits & ((1 << (most + 1)) - 1) else 0
 
 
-def _times(filling: Filling, counts: _Counts) -> int:
-    """How often a filling can be applied."""
-    return min(counts.of[k] // filling.count(k) for k in set(filling))
+class _Spent(Exception):
+    """The search has taken all its steps."""
 
 
-def _fits(filling: Filling, counts: _Counts) -> bool:
-    return all(counts.of.get(k, 0) >= filling.count(k) for k in set(filling))
+def _times(filling: Filling, counts: _Counts) -> int:
+    """How often a filling can be applied."""
+    return min(counts.of[k] // n for k, n in Counter(filling).items())
 
 
-def _filled(filling: Filling, room: int, counts: _Counts) -> tuple[Filling, int]:
+def _filled(filling: Filling, room: int, counts: _Counts) -> Filling:
     """Best fit: the largest piece that fits, again and again."""
     most = room
     while room and (k := counts.largest(min(room, most))):
-        if counts.of[k] > filling.count(k):
-            filling, room = (*filling, k), room - k
-        else:
-            most = k - 1
-    return filling, room
+        n = min(room // k, counts.of[k] - filling.count(k))
+        filling, room, most = filling + (k,) * n, room - n * k, k - 1
+    return filling
+
+
+class _Search:
+    def __init__(self, histogram: dict[int, int], capacity: int, steps_: int):
+        self.counts, self.capacity, self.left = _Counts(histogram), capacity, steps_
+
+    def _sums(self, room: int, most: int) -> Iterator[Filling]:
+        """All choices, largest pieces first, of pieces left of most at most that fill the room exactly."""
+        if not room:
+            yield ()
+            return
+        counts = self.counts
+        k = counts.largest(min(room, most))
+        while k:
+            self.left -= 1
+            if self.left < 0:
+                raise _Spent
+            for n in range(min(room // k, counts.of[k]), 0, -1):
+                rest = room - n * k
+                if not rest or counts.bits & ((1 << min(k, rest + 1)) - 2):  # something that fits is left
+                    for more in self._sums(rest, k - 1):
+                        yield (k,) * n + more
+            k = counts.largest(k - 1)
+
+    def _dominated(self, filling: Filling, waste: int) -> bool:
+        """Whether a larger piece that is left could take the place of one of the filling's pieces, or of two."""
+        own, all_ = Counter(filling[1:]), Counter(filling)
+        free = lambda low, high: any(self.counts.of[k] > all_.get(k, 0) for k in range(low, high + 1) if k in self.counts.of)
+        sizes = sorted(own)
+        if any(free(k + 1, k + waste) for k in sizes):
+            return True
+        return any(free(x + y, x + y + waste) for i, x in enumerate(sizes) for y in sizes[i:] if x != y or own[x] > 1)
+
+    def fillings(self, most_waste: int, after: tuple[int, Filling]) -> Iterator[tuple[int, Filling]]:
+        """(waste, lengths) of undominated fillings around the largest piece, least waste and then largest pieces first, from after on."""
+        first = self.counts.largest(self.capacity)
+        room = self.capacity - first
+        self.counts.take((first,), 1)
+        smallest = (self.counts.bits & -self.counts.bits).bit_length() - 1 if self.counts.bits else self.capacity + 1
+        self.counts.give((first,), 1)
+        for waste in range(max(0, after[0]), min(most_waste, room, smallest - 1) + 1):
+            self.counts.take((first,), 1)
+            sums = self._sums(room - waste, room)
+            while True:  # the counts are as they were whenever a filling is handed out
+                more = next(sums, None)
+                self.counts.give((first,), 1)
+                if more is None:
+                    break
+                filling = (first, *more)
+                if (waste, tuple(-k for k in filling)) >= (after[0], tuple(-k for k in after[1])) and not self._dominated(filling, waste):
+                    yield waste, filling
+                self.counts.take((first,), 1)
 
 
-def fillings(counts: _Counts, capacity: int) -> list[tuple[int, Filling]]:
-    """Fillings (waste, lengths) around the largest piece, least waste and then fewest pieces first, no dominated one.
+@dataclass
+class Packing:
+    """(times, lengths) of all sequences, how many they are, the lower bound, and whether no packing has fewer."""
 
-    A single piece that fills the room dominates all others. Else there is one for each of the largest pieces that can go
-    second: it and best fit, and it and the pair, or piece, that leaves least. Of equal sums the one with the largest
-    pieces dominates; no filling has room for a piece that is left.
-    """
-    first = counts.largest(capacity)
-    room = capacity - first
-    found: dict[int, Filling] = {}
-
-    def offer(filling: Filling) -> None:
-        if _fits(filling, counts):
-            filling, waste = _filled(filling, capacity - sum(filling), counts)
-            if waste not in found or sorted(filling, reverse=True) > sorted(found[waste], reverse=True):
-                found[waste] = filling
-
-    single = counts.largest(room)
-    if single == room and _fits((first, single) if single else (first,), counts):
-        return [(0, (first, single) if single else (first,))]
-    offer((first,))
-    second, looked = single, 0
-    while second and looked < LOOKED_AT:
-        offer((first, second))
-        third, tries = counts.largest(room - second), 0
-        while third and tries < 8:
-            offer((first, second, third))
-            rest = room - second - third
-            if rest and (fourth := counts.largest(rest)):
-                offer((first, second, third, fourth))
-            third, tries = counts.largest(third - 1), tries + 1
-        if 0 in found:
-            break
-        second, looked = counts.largest(second - 1), looked + 1
-    return sorted(found.items(), key=lambda x: (x[0], len(x[1])))
-
-
-def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[int, Filling]]:
-    """(times, lengths) of a packing of histogram (length: pieces) into few bins."""
+    bins: list[tuple[int, Filling]]
+    sequences: int
+    bound: int
+    proven: bool
+
+
+def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, most_steps: int = STEPS) -> Packing:
+    """A packing of histogram (length: pieces) into as few bins as possible; no pieces need none."""
     total = sum(k * v for k, v in histogram.items())
     bound = max(-(-total // capacity), sum(v for k, v in histogram.items() if 2 * k > capacity))
-    best: list[tuple[int, Filling]] = []
-    counts = _Counts(histogram)
+    search, best = _Search(histogram, capacity, most_steps), []
+    counts = search.counts
     while first := counts.largest(capacity):  # best fit, the first incumbent
-        filling, _ = _filled((first,), capacity - first, counts)
-        times = _times(filling, counts)
-        best.append((times, filling))
-        counts.take(filling, times)
+        filling = _filled((first,), capacity - first, counts)
+        best.append((_times(filling, counts), filling))
+        counts.take(filling, best[-1][0])
     fewest = sum(t for t, _ in best)
-    counts, path, used, wasted, visited = _Counts(histogram), [], 0, 0, 0
-    stack: list[list] = []  # of open nodes: the fillings that are still to try
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
-    while fewest > bound:
-        if not counts.of:
-            if used < fewest:
-                fewest, best = used, list(path)
-            options = []
-        else:
-            options = fillings(counts, capacity)[:BRANCHES][::-1] if visited < nodes else []
-            visited += 1
-        stack.append(options)
-        while stack:
-            if stack[-1] and visited < nodes:
-                waste, filling = stack[-1].pop()
-                times = _times(filling, counts)
-                # bins that a better packing has, in tokens, less the tokens: what it may waste at most
-                if wasted + waste * times <= (fewest - 1) * capacity - total:
-                    counts.take(filling, times)
-                    path.append((times, filling))
-                    used, wasted = used + times, wasted + waste * times
-                    break
-            else:
+    search.counts = counts = _Counts(histogram)
+    path: list[tuple[int, Filling]] = []
+    used = wasted = 0
+
+    def options(after: tuple[int, Filling]) -> Iterator[tuple[int, int, Filling]]:
+        """(waste, times, filling) to try next; a better packing may waste no more than its bins have room for."""
+        slack = lambda: (fewest - 1) * capacity - total - wasted
+        for waste, filling in search.fillings(slack(), after):
+            if waste > slack():
+                return
+            for times in range(_times(filling, counts), 0, -1):
+                if waste * times <= slack():
+                    yield waste, times, filling
+
+    start = (0, (capacity + 1,))
+    stack, proven = [options(start)], True
+    try:
+        while stack and fewest > bound:
+            search.left -= 1
+            if search.left < 0:
+                raise _Spent
+            found = next(stack[-1], None)
+            if found is None:
                 stack.pop()
-                if path and stack:
+                if path:
                     times, filling = path.pop()
                     counts.give(filling, times)
                     used, wasted = used - times, wasted - (capacity - sum(filling)) * times
-        if not stack:
-            break
-    return best
+                continue
+            waste, times, filling = found
+            counts.take(filling, times)
+            path.append((times, filling))
+            used, wasted = used + times, wasted + waste * times
+            if not counts.of and used < fewest:
+                fewest, best = used, list(path)
+            same = counts.largest(capacity) == filling[0]  # fillings around pieces of one length come in their order
+            stack.append(options((waste, filling) if same else start) if counts.of else iter(()))
+    except _Spent:
+        proven = False
+    return Packing(best, fewest, bound, proven)
 
 
 def rank_ranges(packing: list[tuple[int, Filling]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -286,27 +322,29 @@ def rank_ranges(packing: list[tuple[int, Filling]]) -> list[tuple[int, int, int,
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces with sequence_id and offset; what reaches the driver is one count for each length."""
+    """pieces (of tokenized()) with sequence_id, offset, lower_bound (of the number of sequences) and optimal (whether it is proven that
+    no packing has fewer); what reaches the driver is one count for each length. No pieces give no rows."""
     spark = pieces.sparkSession
     by_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r[0]: r[1] for r in by_task.groupBy("length").agg(F.sum("n")).collect()}
-    ranges = spark.createDataFrame(rank_ranges(complete_bins(histogram, capacity)), "length long, low long, high long, each long, first long, base long")
+    packing = complete_bins(histogram, capacity)
+    ranges = spark.createDataFrame(rank_ranges(packing.bins), "length long, low long, high long, each long, first long, base long")
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     firsts = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     # ranges has no more rows than the capacity squared, whatever the number of pieces
     ranked = pieces.join(firsts, ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
     placed = ranked.join(F.broadcast(ranges), (ranked["length"] == ranges["length"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).drop(ranges["length"])
     own = F.col("rank") - F.col("low")
-    return placed.withColumn("sequence_id", F.col("first") + F.floor(own / F.col("each"))).withColumn("offset", F.col("base") + own % F.col("each") * F.col("length")).drop(
-        "before", "rank", "low", "high", "each", "first", "base", "task", "nth"
-    )
+    placed = placed.withColumn("sequence_id", F.col("first") + F.floor(own / F.col("each"))).withColumn("offset", F.col("base") + own % F.col("each") * F.col("length"))
+    placed = placed.withColumn("lower_bound", F.lit(packing.bound).cast("long")).withColumn("optimal", F.lit(packing.proven))
+    return placed.drop("before", "rank", "low", "high", "each", "first", "base", "task", "nth")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     pieces = tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "lower_bound", "optimal")
 
 
 QUERIES = {"op6_best_fit_packing": (op6_best_fit_packing, None)}
