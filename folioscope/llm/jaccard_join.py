@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.graph import components
-from folioscope.llm.shared import fitted, mapped, mixed, own_columns, saved, steps, table, text_buffer, words
+from folioscope.llm.shared import fitted, joined_to_groups, mapped, mixed, own_columns, saved, steps, table, text_buffer, words
 
 #: Documents in a block, in a bottom node, and children of a node.
 BLOCK, LEAF, FAN = 256, 8, 8
@@ -252,7 +252,9 @@ def _between(percent: int):
 def _blocked(items: DataFrame, salt: int) -> DataFrame:
     """items (cluster, doc_id, ...) with a block number, BLOCK items each or so."""
     counts = items.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
-    return items.join(counts, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.ceil(F.col("_n") / BLOCK)).cast("long")).drop("_n")
+    sized = joined_to_groups(items, counts, ["cluster"], "_n", items.count())
+    numbered = sized.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.ceil(F.col("_n") / BLOCK)).cast("long")).drop("_n")
+    return numbered.repartition("cluster", "block")  # not by cluster alone, which would leave a large one in one task
 
 
 def linked_parts(sets: DataFrame, percent: int) -> DataFrame:
@@ -300,7 +302,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     profile = saved(mapped(source, _profiles(k), "doc_id long, n_shingles long, d1 long, d2 long"), "profiles")
     digest = ["n_shingles", "d1", "d2"]
     nodes = profile.where("doc_id IS NOT NULL AND n_shingles > 0")
-    copies = nodes.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
+    copies = nodes.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
     # keys that two rows share
     keyed = mapped(source.where("doc_id IS NOT NULL"), _keys(k, percent), "doc_id long, strong array<long>, other array<long>")
     tagged = keyed.select("doc_id", F.explode(F.array(F.struct(F.lit(True).alias("strong"), F.col("strong").alias("keys")), F.struct(F.lit(False).alias("strong"), F.col("other").alias("keys")))).alias("s"))
@@ -308,7 +310,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     by_key = Window.partitionBy("key")
     shared = saved(rows.withColumn("c", F.count(F.lit(1)).over(by_key)).where("c > 1").drop("c"), "shared-keys")
     # the same among the first of copies, and documents that share enough keys
-    names = saved(nodes.join(copies, digest).select("doc_id", "rep").distinct(), "names")
+    names = saved(joined_to_groups(nodes, copies, digest, "rows", nodes.count()).select("doc_id", "rep").distinct(), "names")
     of_reps = shared.join(names, "doc_id").select("key", "rep", "strong").repartition("key").groupBy("key", "rep").agg(F.max("strong").alias("strong"))
     again = of_reps.withColumn("c", F.count(F.lit(1)).over(by_key)).where("c > 1").withColumn("band", F.col("key").bitwiseAND(127))
     again = saved(again.select("key", "rep", "strong", "band"), "rep-keys")
