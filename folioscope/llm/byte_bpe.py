@@ -20,8 +20,8 @@ from folioscope.llm.shared import mapped, own_columns, table
 
 #: Words that one recursive query takes, bytes in them, and its rounds.
 WORDS, WORD_BYTES, ROUNDS = 40_000, 400_000, 48
-#: Pre-tokens that a Python worker remembers, besides as many older ones; when they are more it forgets the older ones.
-REMEMBERED = 350_000
+#: Bytes that the pre-tokens which a Python worker remembers take, or about, besides as many of older ones; when they are more it forgets the older ones.
+REMEMBERED = 96 << 20
 
 _SPLIT = """
 CREATE TEMP TABLE merges AS
@@ -76,6 +76,7 @@ class Codec:
         self.db.unregister("given")
         self.known: dict[str, tuple[str, bytes]] = {}
         self.older: dict[str, tuple[str, bytes]] = {}
+        self.size = 0
 
     def _contracted(self) -> None:
         """Contract start until its fixpoint; done then holds the final rows."""
@@ -89,14 +90,15 @@ class Codec:
 
     def learn(self, wanted: set[str]) -> None:
         """Have the ids (as decimal text) and the decoded bytes of all wanted words; others may be forgotten."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
+        if self.size > REMEMBERED:
+            self.known, self.older, self.size = {}, self.known, 0
         fresh = []
         for word in wanted - self.known.keys():
             if word in self.older:
                 self.known[word] = self.older[word]
             else:
                 fresh.append(word)
+            self.size += 6 * len(word) + 250  # the word, its ids and bytes, and the table's own share
         group, size = [], 0
         for word in fresh:
             group.append(word)
