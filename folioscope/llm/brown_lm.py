@@ -222,17 +222,24 @@ def _moved(matrix: np.ndarray):
 
 def exchange(bigrams: DataFrame, classes: DataFrame, n_units: int) -> tuple[DataFrame, np.ndarray]:
     """(unit, class) and the class bigrams, from bigrams (before, unit, c) and each unit's class at first. Every round each second
-    unit, by turns, takes its best class. Classes stay a table; the driver holds the class bigrams only."""
+    unit, by turns, takes its best class. Units that move together may get in each other's way: a round after which the class bigrams are
+    less likely is undone, and from then on half as many move at once. Classes stay a table; the driver holds the class bigrams only."""
     ship(bigrams.sparkSession)
+    share, kept = 2, None
     for turn in range(EXCHANGES + 1):
         named = F.broadcast(classes) if n_units <= SMALL_UNITS else classes
         earlier = named.select(F.col("unit").alias("before"), F.col("class").alias("p"))
         matrix = np.zeros((CLASSES, CLASSES))
         for p, c, n in bigrams.join(named, "unit").groupBy("before", "class").agg(F.sum("c").alias("c")).join(earlier, "before").groupBy("p", "class").agg(F.sum("c")).collect():
             matrix[p, c] = n
+        likelihood = _xlogx(matrix).sum() - _xlogx(matrix.sum(axis=0)).sum() - _xlogx(matrix.sum(axis=1)).sum()
+        if kept and likelihood < kept[0]:
+            share *= 2
+            likelihood, classes, matrix = kept
+        kept = likelihood, classes, matrix
         if turn == EXCHANGES:
             return classes, matrix
-        mine = lambda unit: (F.col(unit) != END) & (F.col(unit).bitwiseAND(1) == turn % 2)  # noqa: B023, E731
+        mine = lambda unit: (F.col(unit) != END) & (F.pmod(F.xxhash64(unit), F.lit(share)) == turn % share)  # noqa: B023, E731
         after = bigrams.where(mine("before")).join(named, "unit").groupBy(F.col("before").alias("unit"), "class").agg(F.sum("c").alias("c")).withColumn("side", F.lit(0))
         before = bigrams.where(mine("unit")).join(earlier, "before").groupBy("unit", F.col("p").alias("class")).agg(F.sum("c").alias("c")).withColumn("side", F.lit(1))
         own = bigrams.where(mine("unit") & (F.col("unit") == F.col("before"))).select("unit", F.lit(0).cast("long").alias("class"), "c", F.lit(2).alias("side"))
