@@ -171,8 +171,9 @@ def _bigrams(shared):
 
 def unit_bigrams(source: DataFrame, shared, far: DataFrame | None) -> DataFrame:
     """(before, unit, c) of training texts; units that may be far ones are joined to far (word), others go to their buckets."""
-    keys = ["before", "before_bucket", "unit", "unit_bucket"]
-    rows = saved(mapped(source, _bigrams(shared), "before long, before_bucket int, unit long, unit_bucket int, c long").groupBy(*keys).agg(F.sum("c").alias("c")), "bigrams")
+    keys = ["before", "before_bucket", "salt", "unit", "unit_bucket"]
+    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("unit"), F.lit(8))).repartition("before", "salt")  # noqa: E731  rows of a unit in few tasks, so that their sums by class are few
+    rows = saved(salted(mapped(source, _bigrams(shared), "before long, before_bucket int, unit long, unit_bucket int, c long")).groupBy(*keys).agg(F.sum("c").alias("c")), "bigrams")
     if far is None:
         return rows.select("before", "unit", "c")
     open_ = rows.where("before_bucket >= 0 OR unit_bucket >= 0")
@@ -180,7 +181,8 @@ def unit_bigrams(source: DataFrame, shared, far: DataFrame | None) -> DataFrame:
         maybe = F.col(f"{side}_bucket") >= 0
         spread = open_.withColumn("_k", F.when(maybe, F.col(side)).otherwise(F.xxhash64("before", "unit")))  # rows that need no match are dealt out
         open_ = spread.join(far.select(F.col("word").alias("_k"), F.lit(True).alias("_far")), "_k", "left").withColumn(side, F.when(maybe & F.col("_far").isNull(), F.col(f"{side}_bucket").cast("long")).otherwise(F.col(side))).drop("_k", "_far")
-    return saved(rows.where("before_bucket < 0 AND unit_bucket < 0").unionByName(open_).groupBy("before", "unit").agg(F.sum("c").alias("c")), "unit-bigrams")
+    every = rows.where("before_bucket < 0 AND unit_bucket < 0").unionByName(open_).select("before", "unit", "c")
+    return saved(salted(every).groupBy("before", "salt", "unit").agg(F.sum("c").alias("c")).drop("salt"), "unit-bigrams")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -230,7 +232,10 @@ def exchange(bigrams: DataFrame, classes: DataFrame, n_units: int) -> tuple[Data
         named = F.broadcast(classes) if n_units <= SMALL_UNITS else classes
         earlier = named.select(F.col("unit").alias("before"), F.col("class").alias("p"))
         matrix = np.zeros((CLASSES, CLASSES))
-        for p, c, n in bigrams.join(named, "unit").groupBy("before", "class").agg(F.sum("c").alias("c")).join(earlier, "before").groupBy("p", "class").agg(F.sum("c")).collect():
+        classed = bigrams.join(named, "unit")
+        if n_units > SMALL_UNITS:
+            classed = classed.groupBy("before", "class").agg(F.sum("c").alias("c"))
+        for p, c, n in classed.join(earlier, "before").groupBy("p", "class").agg(F.sum("c")).collect():
             matrix[p, c] = n
         likelihood = _xlogx(matrix).sum() - _xlogx(matrix.sum(axis=0)).sum() - _xlogx(matrix.sum(axis=1)).sum()
         if kept and likelihood < kept[0]:
