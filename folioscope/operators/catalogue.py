@@ -69,8 +69,9 @@ def requeue(documents: DataFrame, batches: DataFrame) -> DataFrame:
 def enrich_sources(sources: DataFrame, documents: DataFrame, access: DataFrame) -> DataFrame:
     """sources (answer_id, document_id, user_id) with the document's path, empty where the user may not see it."""
     d = documents.select(F.col("id").alias("document_id"), "source_path")
-    joined = sources.join(d, "document_id", "left").join(access, ["user_id", "document_id"], "left")
-    return joined.withColumn("source_path", F.when(F.coalesce("allowed", F.lit(False)), F.coalesce("source_path", F.lit(""))).otherwise("")).drop("allowed")
+    may = access.select("user_id", "document_id").distinct().withColumn("_may", F.lit(True))
+    joined = sources.join(d, "document_id", "left").join(may, ["user_id", "document_id"], "left")
+    return joined.withColumn("source_path", F.when(F.coalesce("_may", F.lit(False)), F.coalesce("source_path", F.lit(""))).otherwise("")).drop("_may")
 
 
 def resolve_documents(queries: DataFrame, documents: DataFrame) -> DataFrame:
@@ -150,15 +151,19 @@ def evaluate_aces(aces: DataFrame) -> DataFrame:
 
 
 def access(users: DataFrame, acl: DataFrame, now: Column, stale_days: int = 7) -> DataFrame:
-    """(user_id, document_id, allowed): no for stale or failed crawls; deny of the user or a group goes before allow.
+    """(user_id, document_id) of what users may see: nothing of stale or failed crawls; deny of the user or a group goes before allow.
 
-    users: user_id, groups; acl: document_id, allow_all, principals, denied, status, last_ok_at. users is the stated set
-    that meets all documents, broadcast if its checked size allows it."""
-    me = F.concat(F.array("user_id"), F.coalesce("groups", F.array().cast("array<string>")))
-    u = small(users.select("user_id", me.alias("_me")))
+    users: user_id, groups; acl: document_id, allow_all, principals, denied, status, last_ok_at. Users and documents meet by principal:
+    the user, the groups, and everyone."""
+    none = F.array().cast("array<string>")
+    me = F.array_distinct(F.concat(F.array("user_id", F.lit("*")), F.coalesce("groups", none)))
+    mine = small(users.select("user_id", F.explode(me).alias("_p")))
     fresh = F.coalesce((F.col("status") == "ok") & (F.col("last_ok_at") >= now - F.make_dt_interval(F.lit(stale_days))), F.lit(False))
-    denied = F.arrays_overlap("denied", "_me") | F.array_contains("denied", "*")
-    return acl.join(u).select("user_id", "document_id", (fresh & ~denied & (F.col("allow_all") | F.arrays_overlap("principals", "_me"))).alias("allowed"))
+    open_ = acl.where(fresh & ~F.array_contains("denied", "*"))
+    granted = F.array_distinct(F.concat("principals", F.when(F.col("allow_all"), F.array(F.lit("*"))).otherwise(none)))
+    allowed = open_.select("document_id", F.explode(granted).alias("_p")).join(mine, "_p").select("user_id", "document_id").distinct()
+    denied = open_.select("document_id", F.explode("denied").alias("_p")).join(mine, "_p").select("user_id", "document_id").distinct()
+    return allowed.join(denied, ["user_id", "document_id"], "left_anti")
 
 
 def corpus_index(manifest: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.operators.retrieval import ranked
+from folioscope.operators.retrieval import ranked, small
 
 
 def order_statistic(df: DataFrame, by: list[str], value: str, share: float, name: str) -> DataFrame:
@@ -81,7 +81,7 @@ def bootstrap(rows: DataFrame, by: list[str], value: str, samples: int = 10_000,
     numbered = rows.withColumn("_i", F.row_number().over(w.orderBy("id")) - 1).withColumn("_n", F.count(F.lit(1)).over(w)).select(*by, "_i", "_n", F.col(value).alias("_v"))
     draw = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "_s", "_i")), 1, 8), 16, 10).cast("long"), F.col("_n"))
     slots = numbered.select(*by, "_n", "_i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_s")).withColumn("_d", draw)
-    picked = slots.select(*by, "_s", F.col("_d").alias("_i")).join(numbered.select(*by, "_i", "_v"), [*by, "_i"])
+    picked = slots.select(*by, "_s", F.col("_d").alias("_i")).join(small(numbered.select(*by, "_i", "_v")), [*by, "_i"])
     means = picked.groupBy(*by, "_s").agg(F.avg("_v").alias("_m"))
     bounds = means.groupBy(*by).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
     return numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean")).join(bounds, by)

@@ -21,6 +21,21 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def containing(needles: DataFrame, haystacks: DataFrame, key: str = "query_id", needle: str = "question", owner: str = "source", text: str = "body") -> DataFrame:
+    """(key, owner) of all texts that hold a needle. A needle's longest inner word stands between white space wherever the needle
+    does, so the two sides meet by that word; needles without an inner word meet all texts."""
+    words = F.split(needle, r"\s+")
+    inner = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    asked = needles.select(key, F.col(needle).alias("_needle"), F.array_max(inner)["w"].alias("_word"))
+    asked = asked.withColumn("_word", F.when(F.col("_word") != "", F.col("_word")))
+    anchors = small(asked.where("_word IS NOT NULL").select(key, "_word"))
+    held = haystacks.select(owner, F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("_word"))
+    pairs = held.join(anchors, "_word").select(owner, key).distinct()
+    by_word = haystacks.select(owner, text).join(pairs, owner).join(small(asked.select(key, "_needle")), key).where(F.contains(text, "_needle"))
+    others = haystacks.select(owner, text).join(small(asked.where("_word IS NULL").select(key, "_needle")), F.contains(text, "_needle"))
+    return by_word.select(key, owner).unionByName(others.select(key, owner)).distinct()
+
+
 def ranked(df: DataFrame, by: list[str], *order: Column, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
 
@@ -203,6 +218,16 @@ def instructed(query: Column, instruction: Column) -> Column:
     return F.when(F.coalesce(instruction, F.lit("")) == "", query).otherwise(F.concat(F.lit("Instruct: "), instruction, F.lit("\nQuery: "), query))
 
 
+def retrieve(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], chunks: DataFrame, vectors: DataFrame, k: int = 20, keep: int = 12, **gate) -> DataFrame:
+    """The whole pipeline for queries (query_id, question, vector) over chunks (chunk_id, text) and their vectors (key, vector): dense and
+    sparse leg of k each, fusion, the gate, rerank of what it lets through, and tidy. gate: the bounds of rerank_skips()."""
+    dense = top_k(dense_scores(queries, vectors).withColumn("score", F.round("score", 6)), "key", k).withColumnRenamed("key", "chunk_id")
+    sparse = top_k(bm25(queries, *index).withColumn("score", F.round("score", 6)), "chunk_id", k, positive=True)
+    fused = fuse_or_dense(dense, sparse, "chunk_id")
+    skips = rerank_skips(fused, dense, "chunk_id", keep=keep, **gate)
+    return tidy(rerank(fused, skips, queries, chunks, "chunk_id", keep=keep), chunks, "chunk_id")
+
+
 def embed(df: DataFrame, text: str, model) -> DataFrame:
     """df with vector by model, an iterator pandas UDF; each distinct text is embedded once."""
     made = df.select(text).distinct().withColumn("vector", model(F.col(text)))

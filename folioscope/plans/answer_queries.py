@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folioscope.operators import citations as C
@@ -10,23 +11,23 @@ from folioscope.plans.tables import CHUNKS, chunks, load
 
 
 def _answers(spark, d):
-    """Assistant turns with markers behind, inside and before the text; sources are the first four lines of document conv_id."""
+    """Assistant turns with markers behind, inside and before the text; sources are the lines of document conv_id."""
     t = load(spark, d, "conversations").where("role = 'assistant'")
-    k = F.col("turn") % 5
+    k, half = F.col("turn") % 5, (F.length("text") / 2).cast("int")
     text = F.concat(
-        F.when(k == 1, F.lit("[Source 2]")).otherwise(F.lit("")), F.substring("text", 1, 40), F.lit(" [Source "), k + 1, F.lit("]"), F.lit(" [Sources 1-3, x, 9-2] "),
-        F.substring("text", 41, 200), F.when(k == 2, F.lit("")).otherwise(F.lit("[Source 1, 3]")), F.when(k == 3, F.lit(" tail without a source")).otherwise(F.lit("")),
+        F.when(k == 1, F.lit("[Source 2]")).otherwise(F.lit("")), F.substring("text", F.lit(1), half), F.lit(" [Source "), k + 1, F.lit("]"), F.lit(" [Sources 1-3, x, 9-2] "),
+        F.substring("text", half + 1, F.length("text")), F.when(k == 2, F.lit("")).otherwise(F.lit("[Source 1, 3]")), F.when(k == 3, F.lit(" tail without a source")).otherwise(F.lit("")),
     )
     c = chunks(spark, d)
-    n = G.ranked(c, ["doc_id"], F.col("chunk_index"), name="i").where("i < 4")
+    n = G.ranked(c, ["doc_id"], F.col("chunk_index"), name="i")
     sources = n.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "doc_id", (F.col("i") / 2).cast("int").alias("page"), "text"))), lambda x: F.struct(x["doc_id"].alias("doc_id"), x["page"].alias("page"), x["text"].alias("text"))).alias("sources"))
     return t.join(sources, t["conv_id"] == sources["doc_id"]).select(F.concat_ws(":", "conv_id", "turn").alias("answer_id"), text.alias("text"), "sources")
 
 
-_A = f"""n AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1 AS i FROM {CHUNKS} QUALIFY i < 4),
+_A = f"""n AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1 AS i FROM {CHUNKS}),
 src AS (SELECT doc_id, i + 1 AS number, i // 2 AS page, text FROM n),
-ans AS (SELECT conv_id || ':' || turn AS answer_id, conv_id, CASE WHEN turn % 5 = 1 THEN '[Source 2]' ELSE '' END || substr(text, 1, 40) || ' [Source ' || turn % 5 + 1 || ']' || ' [Sources 1-3, x, 9-2] ' ||
-  substr(text, 41, 200) || CASE WHEN turn % 5 = 2 THEN '' ELSE '[Source 1, 3]' END || CASE WHEN turn % 5 = 3 THEN ' tail without a source' ELSE '' END AS text,
+ans AS (SELECT conv_id || ':' || turn AS answer_id, conv_id, CASE WHEN turn % 5 = 1 THEN '[Source 2]' ELSE '' END || substr(text, 1, length(text) // 2) || ' [Source ' || turn % 5 + 1 || ']' || ' [Sources 1-3, x, 9-2] ' ||
+  substr(text, length(text) // 2 + 1) || CASE WHEN turn % 5 = 2 THEN '' ELSE '[Source 1, 3]' END || CASE WHEN turn % 5 = 3 THEN ' tail without a source' ELSE '' END AS text,
   (SELECT count(*) FROM src WHERE src.doc_id = conv_id) AS n FROM conversations WHERE role = 'assistant' AND conv_id IN (SELECT doc_id FROM src)),
 seg AS (SELECT answer_id, conv_id, n, i - 1 AS seg, x[i] AS text, m[i] AS marker FROM (SELECT answer_id, conv_id, n, x, m, unnest(range(1, len(x) + 1)) AS i FROM
   (SELECT answer_id, conv_id, n, string_split_regex(text, '\\[Sources?\\s+([\\d,\\s\\-]+)\\]') AS x, regexp_extract_all(text, '\\[Sources?\\s+([\\d,\\s\\-]+)\\]', 1) AS m FROM ans))),
@@ -75,10 +76,10 @@ def _f8(spark, d):
 
 
 def _graph(spark, d):
-    """Parts and suppliers as entities, the line items of every fiftieth order as relationships."""
+    """Parts and suppliers as entities, each part's latest supplier as relationship."""
     p = load(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_partkey") % 5).alias("document_id"), F.col("p_type").alias("description"))
     s = load(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 5).alias("document_id"), F.lit("a supplier").alias("description"))
-    rel = load(spark, d, "lineitem").where("l_orderkey % 50 = 0").select("l_partkey", "l_suppkey").distinct().select(
+    rel = load(spark, d, "lineitem").groupBy("l_partkey").agg(F.max_by("l_suppkey", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("l_suppkey")).select(
         F.concat_ws("-", "l_partkey", "l_suppkey").alias("id"), F.concat(F.lit("p"), "l_partkey").alias("source_id"), F.concat(F.lit("s"), "l_suppkey").alias("target_id"),
         F.when(F.col("l_partkey") % 3 == 0, F.lit("")).otherwise(F.lit("supplied_by")).alias("relation_type"), F.when(F.col("l_suppkey") % 2 == 0, F.lit("")).otherwise(F.lit("on order")).alias("description"),
     )
@@ -87,10 +88,10 @@ def _graph(spark, d):
 
 _G = """ent AS (SELECT 'p' || p_partkey AS id, p_name AS name, p_partkey % 5 AS document_id, p_type AS description FROM part UNION ALL SELECT 's' || s_suppkey, s_name, s_suppkey % 5, 'a supplier' FROM supplier),
 rel AS (SELECT l_partkey || '-' || l_suppkey AS id, 'p' || l_partkey AS source_id, 's' || l_suppkey AS target_id, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE 'supplied_by' END AS relation_type,
-  CASE WHEN l_suppkey % 2 = 0 THEN '' ELSE 'on order' END AS description FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 50 = 0)),
+  CASE WHEN l_suppkey % 2 = 0 THEN '' ELSE 'on order' END AS description FROM (SELECT l_partkey, arg_max(l_suppkey, l_orderkey * 10 + l_linenumber) AS l_suppkey FROM lineitem GROUP BY 1)),
 own AS (SELECT * FROM ent WHERE document_id < 4), inn AS (SELECT * FROM rel WHERE source_id IN (SELECT id FROM own) AND target_id IN (SELECT id FROM own)),
 edge AS (SELECT source_id AS a, target_id AS b, relation_type, description, id AS rel FROM inn UNION ALL SELECT target_id, source_id, relation_type, description, id FROM inn),
-seed AS (SELECT id, id AS query_id FROM own WHERE id LIKE 'p%' AND length(id) < 4),
+seed AS (SELECT id, id AS query_id FROM own WHERE id LIKE 'p%'),
 h1 AS (SELECT query_id, b AS id, 1 AS hop, min({'p': a, 'r': rel, 't': relation_type, 'd': description}) AS x FROM seed JOIN edge ON seed.id = a WHERE b <> query_id GROUP BY query_id, b),
 h2 AS (SELECT query_id, b AS id, 2 AS hop, min({'p': a, 'r': rel, 't': relation_type, 'd': description}) AS x FROM h1 JOIN edge ON h1.id = a WHERE b <> query_id AND NOT EXISTS (SELECT 1 FROM h1 y WHERE y.query_id = h1.query_id AND y.id = b) GROUP BY query_id, b),
 hops AS (SELECT query_id, id, hop, x.p AS parent, x.t AS relation_type, x.d AS description FROM h1 UNION ALL SELECT query_id, id, hop, x.p, x.t, x.d FROM h2),
@@ -100,7 +101,7 @@ dsc AS (SELECT query_id, h.id, hop, parent, CASE WHEN relation_type = '' THEN 'r
 def _walk(spark, d):
     e, r = _graph(spark, d)
     own = e.where("document_id < 4")
-    seeds = own.where("id LIKE 'p%' AND length(id) < 4").select("id", F.col("id").alias("query_id"))
+    seeds = own.where("id LIKE 'p%'").select("id", F.col("id").alias("query_id"))
     return own, G.k_hop(seeds, G.induced_edges(own, r))
 
 
@@ -121,13 +122,13 @@ def _e2(spark, d):
 
 def _e3(spark, d):
     e = load(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return G.match_entities(q, e.where("vec_id % 50 <> 0 AND label < 8").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), least=0.2)
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return G.match_entities(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), least=0.2)
 
 
 def _e4(spark, d):
     e, _ = _graph(spark, d)
-    q = load(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("What is "), F.upper("p_name"), F.lit("?")).alias("question")).where("query_id % 20 = 0")
+    q = load(spark, d, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("What is "), F.upper("p_name"), F.lit("?")).alias("question"))
     return G.match_by_name(q, e)
 
 
@@ -159,6 +160,14 @@ def _e10(spark, d):
     return G.graph_context(G.described(reached, own))
 
 
+def _length_model():
+    @F.pandas_udf("array<double>")
+    def model(texts: pd.Series) -> pd.Series:
+        return pd.Series([[float(len(t))] for t in texts])
+
+    return model
+
+
 QUERIES = {
     "f1_segments": (lambda s, d: C.segments(_answers(s, d)).select("answer_id", F.col("seg"), "text", "marked"), f"WITH {_A} SELECT answer_id, seg, text, marker IS NOT NULL AS marked FROM seg"),
     "f2_number_lists": (lambda s, d: C.segments(_answers(s, d)).select("answer_id", "seg", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited")), f"WITH {_A} SELECT answer_id, seg, array_to_string(c, ',') AS cited FROM cited"),
@@ -175,9 +184,9 @@ QUERIES = {
     "e2_entity_dedup": (_e2, "SELECT 'u' || user_id AS name, event_id % 10 AS document_id, event_id AS chunk_index FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 10 ORDER BY event_id % 100 < 90, event_id) = 1"),
     "e3_entity_match": (
         _e3,
-        "SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id) - 1 AS rank FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND v.vec_id % 50 <> 0 AND v.label < 8 AND round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) >= 0.2 QUALIFY rank < 5",
+        "SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id) - 1 AS rank FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) >= 0.2 QUALIFY rank < 5",
     ),
-    "e4_name_match": (_e4, f"WITH {_G} SELECT p_partkey AS query_id, id FROM part JOIN ent ON contains('what is ' || lower(p_name) || '?', lower(name)) WHERE p_partkey % 20 = 0"),
+    "e4_name_match": (_e4, f"WITH {_G} SELECT p_partkey AS query_id, id FROM part JOIN ent ON contains('what is ' || lower(p_name) || '?', lower(name))"),
     "e5_resolved": (
         _e5,
         f"WITH {_G}, nm AS (SELECT lower(name) AS k, min(id) AS i FROM ent GROUP BY 1) SELECT rel.id, a.i AS source_id, b.i AS target_id FROM rel JOIN ent s ON s.id = source_id JOIN ent t ON t.id = target_id JOIN nm a ON a.k = lower(s.name) JOIN nm b ON b.k = lower(t.name) WHERE rel.id NOT LIKE '%1'",
@@ -185,6 +194,14 @@ QUERIES = {
     "e6_induced_edges": (lambda s, d: (lambda e, r: G.induced_edges(e.where("document_id < 4"), r))(*_graph(s, d)), f"WITH {_G} SELECT * FROM edge"),
     "e7_two_hops": (_e7, f"WITH {_G} SELECT query_id, id, hop, parent FROM hops"),
     "e8_relations": (_e8, f"WITH {_G} SELECT query_id, id, hop, relation_type, description, name FROM dsc"),
+    "e9_walk": (
+        lambda s, d: (lambda e, r: G.walk(e.where("id LIKE 'p%'").select("id", F.col("id").alias("query_id")), r, e))(*_graph(s, d)),
+        f"WITH {_G.replace('FROM inn', 'FROM rel').replace('FROM own WHERE id LIKE', 'FROM ent WHERE id LIKE')} SELECT query_id, h.id, hop, relation_type, CASE WHEN h.description = '' THEN ent.description ELSE h.description END AS description, name FROM hops h JOIN ent ON ent.id = h.id",
+    ),
+    "e12_name_vectors": (
+        lambda s, d: G.vectors_of_names(_graph(s, d)[0].select("id", "name"), _length_model()).select("id", F.col("vector")[0].alias("length")),
+        f"WITH {_G} SELECT id, cast(length(name) AS DOUBLE) AS length FROM ent",
+    ),
     "e10_context": (
         _e10,
         f"WITH {_G} SELECT query_id, string_agg('- ' || name || ' (' || relation_type || '): ' || description, chr(10) ORDER BY rank) AS context FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, id) AS rank FROM dsc QUALIFY rank <= 10) GROUP BY query_id",

@@ -45,14 +45,14 @@ def _h12(s, d):
 
 
 def _aces(s, d):
-    o = load(s, d, "lineitem").where("l_orderkey % 40 = 0")
+    o = load(s, d, "lineitem")
     everyone = (F.col("l_linenumber") == 7) | (F.col("l_partkey") % 50 == 0)
     sid = F.when(everyone, F.lit("S-1-1-0")).when(F.col("l_partkey") % 9 == 0, F.lit("S-1-5-21-1")).otherwise(F.concat(F.lit("S-1-12-1-"), F.col("l_suppkey") % 5, F.lit("-0-0-0")))
     return o.select(F.col("l_orderkey").alias("document_id"), F.when(F.col("l_returnflag") == "R", "deny").otherwise("allow").alias("ace_type"), F.when(F.col("l_linenumber") == 3, 8).otherwise(0).alias("flags"), F.when(F.col("l_linenumber") == 5, 2).otherwise(1).alias("mask"), sid.alias("sid"))
 
 
 _ACE = """ace AS (SELECT l_orderkey AS document_id, CASE WHEN l_returnflag = 'R' THEN 'deny' ELSE 'allow' END AS t, CASE WHEN l_linenumber = 7 OR l_partkey % 50 = 0 THEN '*' WHEN l_partkey % 9 <> 0 THEN '0000000' || l_suppkey % 5 || '-0000-0000-0000-000000000000' END AS who,
-  l_linenumber NOT IN (3, 5) AS used FROM lineitem WHERE l_orderkey % 40 = 0),
+  l_linenumber NOT IN (3, 5) AS used FROM lineitem),
 acl AS (SELECT document_id, coalesce(bool_or(t = 'allow' AND who = '*') FILTER (used), false) AND NOT coalesce(bool_or(t = 'deny' AND who = '*') FILTER (used), false) AS allow_all,
   coalesce(list_sort(list(DISTINCT who) FILTER (used AND t = 'deny' AND who IS NOT NULL)), []) AS denied, coalesce(list_sort(list(DISTINCT who) FILTER (used AND t = 'allow' AND who IS NOT NULL AND who <> '*')), []) AS a, count(*) FILTER (used AND who IS NULL) AS unresolved FROM ace GROUP BY 1),
 acl2 AS (SELECT document_id, allow_all, CASE WHEN list_contains(denied, '*') THEN [] ELSE list_filter(a, lambda x: NOT list_contains(denied, x)) END AS principals, denied, unresolved FROM acl)"""
@@ -67,26 +67,26 @@ def _h13(s, d):
 
 
 def _access(s, d):
-    who = lambda k: F.concat(F.lit("0000000"), (F.col("c_custkey") % k).cast("string"), F.lit("-0000-0000-0000-000000000000"))
-    users = load(s, d, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("u"), "c_custkey").alias("user_id"), F.array(who(5), who(4)).alias("groups"))
+    who = lambda k: F.concat(F.lit("0000000"), (F.col("n_nationkey") % k).cast("string"), F.lit("-0000-0000-0000-000000000000"))
+    users = load(s, d, "nation").select(F.concat(F.lit("u"), "n_nationkey").alias("user_id"), F.array(who(5), who(4)).alias("groups"))
     i = F.col("document_id")
     acl = _acl(s, d).withColumn("status", F.when(i % 7 == 0, "error").otherwise("ok")).withColumn("last_ok_at", F.when(i % 11 != 0, F.timestamp_seconds(F.lit(1704067200) + i % 20 * 86400)))
     return K.access(users, acl, F.timestamp_seconds(F.lit(1704067200 + 20 * 86400)))
 
 
-_ACCESS = f"""{_ACE}, usr AS (SELECT 'u' || c_custkey AS user_id, ['0000000' || c_custkey % 5 || '-0000-0000-0000-000000000000', '0000000' || c_custkey % 4 || '-0000-0000-0000-000000000000'] AS g FROM customer WHERE c_custkey % 10 = 0),
-acc AS (SELECT user_id, document_id, document_id % 7 <> 0 AND document_id % 11 <> 0 AND document_id % 20 >= 13 AND NOT list_contains(denied, '*') AND len(list_intersect(denied, g)) = 0 AND (allow_all OR len(list_intersect(principals, g)) > 0) AS allowed FROM acl2, usr)"""
+_ACCESS = f"""{_ACE}, usr AS (SELECT 'u' || n_nationkey AS user_id, ['0000000' || n_nationkey % 5 || '-0000-0000-0000-000000000000', '0000000' || n_nationkey % 4 || '-0000-0000-0000-000000000000'] AS g FROM nation),
+acc AS (SELECT user_id, document_id FROM acl2, usr WHERE document_id % 7 <> 0 AND document_id % 11 <> 0 AND document_id % 20 >= 13 AND NOT list_contains(denied, '*') AND len(list_intersect(denied, g)) = 0 AND (allow_all OR len(list_intersect(principals, g)) > 0))"""
 
 
 def _h4(s, d):
     acc = _access(s, d).withColumn("document_id", F.col("document_id").cast("string"))
-    src = catalogue(s, d).where("n % 40 = 0").select(F.concat(F.lit("a"), "id").alias("answer_id"), F.col("id").alias("document_id"), F.concat(F.lit("u"), F.col("n") % 3 * 10 + 10).alias("user_id"))
+    src = catalogue(s, d).select(F.concat(F.lit("a"), "id").alias("answer_id"), F.col("id").alias("document_id"), F.concat(F.lit("u"), F.col("n") % 25).alias("user_id"))
     return K.enrich_sources(src, catalogue(s, d), acc).select("answer_id", "document_id", "source_path")
 
 
 def _h15(s, d):
     docs = catalogue(s, d)
-    acc = _access(s, d).where("allowed").select("user_id", F.col("document_id").cast("string").alias("id"))
+    acc = _access(s, d).select("user_id", F.col("document_id").cast("string").alias("id"))
     return acc.join(docs, "id").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("roots"))
 
 
@@ -111,10 +111,10 @@ def _h18(s, d):
 
 
 def _h19(s, d):
-    o = load(s, d, "orders").where("o_orderkey % 20 = 0")
+    o = load(s, d, "orders")
     i = F.col("o_orderkey")
-    acl = o.where("o_orderkey % 60 <> 0").select(i.alias("document_id"), F.lit("ok").alias("status"), F.array(F.lit("old")).alias("principals"), F.lit(1).alias("crawled_at"), F.lit(1).alias("last_ok_at"))
-    crawl = o.where("o_orderkey % 40 = 0").select(i.alias("document_id"), F.when(i % 80 == 0, "ok").otherwise("denied").alias("status"), F.array(F.lit("new")).alias("principals"), F.lit(2).alias("crawled_at"))
+    acl = o.where("o_orderkey % 3 <> 0").select(i.alias("document_id"), F.lit("ok").alias("status"), F.array(F.lit("old")).alias("principals"), F.lit(1).alias("crawled_at"), F.lit(1).alias("last_ok_at"))
+    crawl = o.where("o_orderkey % 2 = 0").select(i.alias("document_id"), F.when(i % 4 == 0, "ok").otherwise("denied").alias("status"), F.array(F.lit("new")).alias("principals"), F.lit(2).alias("crawled_at"))
     return K.acl_upsert(acl, crawl).select("document_id", "status", F.array_join("principals", ",").alias("principals"), "crawled_at", "last_ok_at")
 
 
@@ -139,7 +139,7 @@ QUERIES = {
     "h1_library_summary": (lambda s, d: K.library_summary(catalogue(s, d)), f"SELECT source AS category, count(*) AS documents, sum(page_count)::BIGINT AS pages, sum(chunk_count)::BIGINT AS chunks FROM {CATALOGUE} WHERE status = 'ready' GROUP BY ROLLUP (source)"),
     "h2_library_listing": (lambda s, d: K.library_listing(catalogue(s, d)), f"SELECT source AS category, string_agg('- ' || source_path || ' (' || page_count || ' pages)', chr(10) ORDER BY source_path) AS listing FROM {CATALOGUE} WHERE status = 'ready' GROUP BY 1"),
     "h3_ready_documents": (lambda s, d: ranked(catalogue(s, d).where("status = 'ready'"), ["batch_id"], F.desc("upload_date"), F.col("id")).select("id", "batch_id", "rank", "page_count"), f"SELECT id, batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY upload_date DESC, id) - 1 AS rank, page_count FROM {CATALOGUE} WHERE status = 'ready'"),
-    "h4_enriched_sources": (_h4, _R(_ACCESS, f"SELECT 'a' || id AS answer_id, id AS document_id, CASE WHEN coalesce(allowed, false) THEN source_path ELSE '' END AS source_path FROM {CATALOGUE} LEFT JOIN acc ON document_id = n AND user_id = 'u' || n % 3 * 10 + 10 WHERE n % 40 = 0").replace("'u' || n % 3 * 10 + 10", "'u' || (n % 3 * 10 + 10)")),
+    "h4_enriched_sources": (_h4, _R(_ACCESS, f"SELECT 'a' || id AS answer_id, id AS document_id, CASE WHEN user_id IS NOT NULL THEN source_path ELSE '' END AS source_path FROM {CATALOGUE} LEFT JOIN acc ON document_id = n AND user_id = 'u' || n % 25")),
     "h5_duplicates": (_h5, f"SELECT id, CASE WHEN n % 10 <> 0 AND (row_number() OVER (PARTITION BY file_hash ORDER BY id) > 1 OR file_hash IN (SELECT file_hash FROM {CATALOGUE} WHERE n % 2 = 1 AND status = 'ready')) THEN 'skipped_duplicate' ELSE 'pending' END AS status FROM {CATALOGUE} WHERE n % 2 = 0"),
     "h6_version_history": (_h6, f"SELECT lpad(id, 9, '0') AS id, row_number() OVER (PARTITION BY family ORDER BY version DESC, lpad(id, 9, '0') DESC) - 1 AS place, max(version) OVER (PARTITION BY family) + 1 AS next_version FROM {CATALOGUE}"),
     "h6_latest_versions": (lambda s, d: K.latest_versions(catalogue(s, d), "family").select("family", "version"), f"SELECT family, max(version) AS version FROM {CATALOGUE} WHERE status = 'ready' GROUP BY 1"),
@@ -164,11 +164,11 @@ QUERIES = {
     "h12_deletable_folders": (_h12, f"WITH f AS (SELECT DISTINCT lang || '/' || source AS path, lang FROM {CATALOGUE}), p AS (SELECT DISTINCT lang || '/' || source AS path FROM {CATALOGUE} WHERE n % 40 = 3) SELECT 'r' AS root, path, path IN (SELECT path FROM p) AS blocked FROM f UNION ALL SELECT DISTINCT 'r', lang, true FROM f"),
     "h13_evaluated_aces": (_h13, _R(_ACE, "SELECT document_id, allow_all, array_to_string(principals, ',') AS principals, array_to_string(denied, ',') AS denied, unresolved FROM acl2")),
     "h14_access": (_access, _R(_ACCESS, "SELECT * FROM acc")),
-    "h15_visible_roots": (_h15, _R(_ACCESS, f"SELECT user_id, string_agg(DISTINCT lang, ',' ORDER BY lang) AS roots FROM acc JOIN {CATALOGUE} ON n = document_id WHERE allowed GROUP BY 1")),
+    "h15_visible_roots": (_h15, _R(_ACCESS, f"SELECT user_id, string_agg(DISTINCT lang, ',' ORDER BY lang) AS roots FROM acc JOIN {CATALOGUE} ON n = document_id GROUP BY 1")),
     "h16_corpus_index": (lambda s, d: K.corpus_index(_manifest(s, d)), _R(_M, "SELECT lang AS category, count(*) AS documents, sum(pages)::BIGINT AS pages, sum(size_bytes)::BIGINT AS size_bytes, count(DISTINCT source) AS vendors, count(*) FILTER (source_url <> '') AS with_url, count(*) FILTER (golden_questions <> '') AS cited FROM man GROUP BY ROLLUP (lang)")),
     "h17_manifest": (_manifest, _R(_M, "SELECT path, pages, size_bytes, sha256, source_url, golden_questions FROM man")),
     "h18_fetch_status": (_h18, _R(_M, "SELECT CASE WHEN (length(path) + pages) % 3 = 1 THEN 'present' WHEN (length(path) + pages) % 3 = 2 THEN 'differs' WHEN source_url = '' THEN 'no-url' ELSE 'would-fetch' END AS status, count(*) AS n FROM man GROUP BY 1")),
-    "h19_acl_upsert": (_h19, "SELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 40 = 0 AND o_orderkey % 80 <> 0 THEN 'denied' ELSE 'ok' END AS status, CASE WHEN o_orderkey % 80 = 0 THEN 'new' WHEN o_orderkey % 60 <> 0 THEN 'old' END AS principals, CASE WHEN o_orderkey % 40 = 0 THEN 2 ELSE 1 END AS crawled_at, CASE WHEN o_orderkey % 80 = 0 THEN 2 WHEN o_orderkey % 60 <> 0 THEN 1 END AS last_ok_at FROM orders WHERE o_orderkey % 20 = 0 AND (o_orderkey % 60 <> 0 OR o_orderkey % 40 = 0)"),
+    "h19_acl_upsert": (_h19, "SELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 4 <> 0 THEN 'denied' ELSE 'ok' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN 'new' WHEN o_orderkey % 3 <> 0 THEN 'old' END AS principals, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS crawled_at, CASE WHEN o_orderkey % 4 = 0 THEN 2 WHEN o_orderkey % 3 <> 0 THEN 1 END AS last_ok_at FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0"),
     "h20_group_cache": (_h20, "SELECT user_id, CASE WHEN max(ts) >= TIMESTAMP '2024-01-30' THEN 'use' ELSE 'empty' END AS cache FROM events GROUP BY 1"),
     "h21_selection_state": (_h21, f"WITH x AS (SELECT lang || '/' || source AS path, source IN ('src1', 'src2') OR lang = 'fr' AS i FROM {CATALOGUE} UNION ALL SELECT lang, source IN ('src1', 'src2') OR lang = 'fr' FROM {CATALOGUE}) SELECT 'r' AS root, path, CASE WHEN bool_and(i) THEN 'all' WHEN bool_or(i) THEN 'some' ELSE 'none' END AS state FROM x GROUP BY path"),
 }

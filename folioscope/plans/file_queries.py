@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.plans.tables import CATALOGUE, catalogue, load
+from folioscope.plans.tables import shared_folder as _folder
 from folioscope.sources import files
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one where that is not set (one machine)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='folioscope-')}/files-{uuid.uuid4().hex}"
-
-
 def _a5(s, d):
     e = load(s, d, "events").select((F.col("user_id") % 2).alias("r"), (F.col("event_id") % 2).alias("c"), F.struct(F.concat(F.lit("q"), "event_id").alias("id"), "value").alias("q"))
     runs = e.groupBy("r", "c").agg(F.to_json(F.struct(F.lit("x").alias("label"), F.lit("now").alias("at"), F.lit(1).alias("repeats"), F.collect_list("q").alias("per_question"))).alias("value"))

@@ -48,7 +48,7 @@ def _g2(s, d):
 
 def _g1(s, d):
     words = F.get(F.array(*map(F.lit, ("List all docs ", "list files about ", "what is ", "Show me all "))), (F.col("conv_id") % 4).cast("int"))
-    return load(s, d, "conversations").select("conv_id", "turn", G.intent(F.concat(words, F.substring("text", 1, 40))).alias("i")).select("conv_id", "turn", "i.intent", "i.confidence")
+    return load(s, d, "conversations").select("conv_id", "turn", G.intent(F.concat(words, "text")).alias("i")).select("conv_id", "turn", "i.intent", "i.confidence")
 
 
 def _g6(s, d):
@@ -76,7 +76,7 @@ def _g8(s, d):
 def _g10(s, d):
     t = load(s, d, "conversations")
     i = F.col("turn") % 4
-    text = F.substring("text", 1, 30)
+    text = F.col("text")
     a = F.when(i == 0, F.concat(text, F.lit(" [[FILE_LIST]] and [[FILE_LIST]] end"))).when(i == 1, F.concat(text, F.lit(" [[FILE_  "))).when(i == 2, F.lit("[[FILE_LIST]]")).otherwise(text)
     return t.select("conv_id", "turn", G.spliced(a, F.lit("- a\n- b")).alias("answer"))
 
@@ -188,7 +188,7 @@ QUERIES = {
     ),
     "g1_intent": (
         _g1,
-        "SELECT conv_id, turn, CASE WHEN NOT lib THEN 'rag' WHEN conv_id % 4 = 1 OR ask THEN 'compound' ELSE 'library' END AS intent, CASE WHEN NOT lib THEN 1.0 WHEN conv_id % 4 = 1 OR ask THEN 0.9 ELSE 0.95 END AS confidence FROM (SELECT conv_id, turn, conv_id % 4 <> 2 AS lib, regexp_matches(lower(substr(text, 1, 40)), ' (about|regarding|related to|on the topic of|concerning|and|also|plus|as well as) ') OR regexp_matches(lower(substr(text, 1, 40)), '^(and|also|plus) ') AS ask FROM conversations)",
+        "SELECT conv_id, turn, CASE WHEN NOT lib THEN 'rag' WHEN conv_id % 4 = 1 OR ask THEN 'compound' ELSE 'library' END AS intent, CASE WHEN NOT lib THEN 1.0 WHEN conv_id % 4 = 1 OR ask THEN 0.9 ELSE 0.95 END AS confidence FROM (SELECT conv_id, turn, conv_id % 4 <> 2 AS lib, regexp_matches(lower(text), ' (about|regarding|related to|on the topic of|concerning|and|also|plus|as well as) ') OR regexp_matches(lower(text), '^(and|also|plus) ') AS ask FROM conversations)",
     ),
     "g2_context": (_g2, "WITH " + _G2),
     "g3_recent_turns": (lambda s, d: G.recent_turns(_turns(s, d), 2, 50).select("session_id", "turn_number", "answer", "place"), f"WITH {_T}, r AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn_number DESC) <= 2) SELECT session_id, turn_number, substr(answer, 1, 50) AS answer, row_number() OVER (PARTITION BY session_id ORDER BY turn_number) - 1 AS place FROM r"),
@@ -198,7 +198,7 @@ QUERIES = {
     "g7_routing": (_g7, "SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'library' WHEN 3 THEN 'compound' ELSE 'retrieval' END AS mode, CASE event_id % 4 WHEN 1 THEN 'q' || event_id ELSE event_type END AS query FROM events"),
     "g8_memory_update": (_g8, "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'old' ELSE 's' || event_id END AS summary, CASE WHEN event_id % 3 = 0 THEN 'o|x|1' ELSE 'f|x|' || event_id % 5 + 1 END AS facts FROM events".replace("|| event_id % 5 + 1", "|| (event_id % 5 + 1)")),
     "g9_merged_answer": (lambda s, d: _turns(s, d).select("session_id", "turn_number", F.md5(G.merged_answer(F.when(F.col("turn_number") % 4 == 0, F.lit("")).otherwise(F.col("user_query")), F.col("answer"))).alias("digest")), f"WITH {_T} SELECT session_id, turn_number, md5(CASE WHEN turn_number % 4 = 0 THEN answer ELSE user_query || chr(10) || chr(10) || answer END) AS digest FROM t"),
-    "g10_file_list": (_g10, r"SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN rtrim(substr(text, 1, 30) || ' ', ' ') || chr(10) || chr(10) || '- a' || chr(10) || '- b' || chr(10) || chr(10) || 'and  end' WHEN 1 THEN rtrim(substr(text, 1, 30) || ' ', ' ') || chr(10) || chr(10) || '- a' || chr(10) || '- b' WHEN 2 THEN '- a' || chr(10) || '- b' ELSE substr(text, 1, 30) END AS answer FROM conversations"),
+    "g10_file_list": (_g10, r"SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN rtrim(text || ' ', ' ') || chr(10) || chr(10) || '- a' || chr(10) || '- b' || chr(10) || chr(10) || 'and  end' WHEN 1 THEN rtrim(text || ' ', ' ') || chr(10) || chr(10) || '- a' || chr(10) || '- b' WHEN 2 THEN '- a' || chr(10) || '- b' ELSE text END AS answer FROM conversations"),
     "g11_appended_turns": (_g11, f"WITH {_T}, m AS (SELECT session_id, max(turn_number) AS m FROM t GROUP BY 1) SELECT session_id, turn_number, md5(user_query) AS q FROM t UNION ALL SELECT session_id, m + row_number() OVER (PARTITION BY session_id ORDER BY turn_number), md5('again ' || user_query) FROM t JOIN m USING (session_id) WHERE turn_number < 4"),
     "g12_expired_logins": (_g12, "SELECT user_id AS id FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-30 12:00:00' OR user_id % 60 < 30"),
     "g13_outcome": (_g13, "SELECT event_id, event_id % 3 <> 0 AND NOT f AS used_rag, event_id % 3 < 2 OR f AS used_library, event_id % 3 <> 0 AND NOT f AND event_id % 2 > 0 AS used_graph FROM (SELECT event_id, event_id % 3 = 2 AND event_id % 2 = 0 AND event_id % 5 = 0 AS f FROM events)"),
@@ -217,7 +217,7 @@ QUERIES = {
         "SELECT user_id AS key, string_agg(event_id, ',' ORDER BY ts, event_id) FILTER (r <= 5) AS last_turns, 2 * count(*) AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) GROUP BY 1",
     ),
     "l6_stage_latency": (
-        lambda s, d: _round(L.drained(L.stage_latency(L.event_stream(s, d).select("ts", F.col("event_type").alias("stage"), F.col("value").alias("ms"))), "complete"), "mean").drop("median"),
-        "SELECT date_trunc('hour', ts) AS start, event_type AS stage, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY ALL",
+        lambda s, d: _round(L.drained(L.stage_latency(L.event_stream(s, d).select("ts", F.col("event_type").alias("stage"), F.col("value").alias("ms"))), "complete"), "mean", "median"),
+        "SELECT date_trunc('hour', ts) AS start, event_type AS stage, count(*) AS n, round(avg(value), 4) AS mean, round(quantile_disc(value, 0.5), 4) AS median FROM events GROUP BY ALL",
     ),
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folioscope.plans.ship import ship
+from folioscope.plans.tables import shared_folder
 
 
 def fresh_documents(files: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -67,8 +67,14 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream has given when its sources are read to their end."""
-    spark, name = stream.sparkSession, f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """What a stream has given when its sources are read to their end, from files in the shared store: appended rows, the last whole
+    result (complete), or the rows of every update."""
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows")
+    if mode == "append":
+        query = writer.format("parquet").option("path", f"{folder}/appended").start()
+    else:
+        query = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/rows")).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/{'appended' if mode == 'append' else 'rows'}")
