@@ -317,8 +317,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     need = F.get(F.array(*[F.lit(key_count(b, percent) - differing(b, percent)) for b in range(len(_EDGES) - 1)]), F.col("band").cast("int"))
     able = again.groupBy("rep", "band").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= need).select("rep", "band")
     strong = again.where("strong").join(able, ["rep", "band"], "left_semi")
-    stars = strong.withColumn("b", F.min("rep").over(by_key)).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-    clusters = components(stars)
+    stars = saved(strong.withColumn("b", F.min("rep").over(by_key)).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "stars")
+    # each document keeps the edge to its least centre, and its other centres get one to that: as connected, and centres are few
+    least = stars.groupBy("a").agg(F.min("b").alias("low"))
+    of_centres = stars.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    clusters = components(of_centres.unionByName(least.select("a", F.col("low").alias("b"))))
     members = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     sets = saved(mapped(source.join(members, "doc_id").select("cluster", "doc_id", "text"), _sets(k), "cluster long, doc_id long, n long, shingles binary").where("n > 0"), "sets")
     linked = components(linked_parts(sets, percent).unionByName(names.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
