@@ -82,19 +82,6 @@ def test_entity_merge_takes_slots_then_own_list(spark):
     assert got == ["a0", "a1", "b0", "m0", "m1", "m2", "m3", "a2"]
 
 
-def test_each_table_row_appears_once_and_headers_repeat():
-    text = "|Model|Memory|\n|---|---|\n" + "\n".join(f"|M-{i:03}|{i} MB RAM and flash|" for i in range(40))
-    units = shaping._units(text)
-    chunks = shaping.pack_units(units, lambda x: len(x.split()), 40, 6, 0)
-    rows = [x[0] for c in chunks for x in c if not x[2]]
-    assert len(rows) == 40 == len(set(rows)) and len(chunks) > 1
-    assert all(c[0][0] == "|Model|Memory|" for c in chunks)
-
-
-def test_tiny_chunks_merge():
-    units = [(f"w{i} " * 20, False, False) for i in range(4)] + [("end", False, False)]
-    chunks = shaping.pack_units(units, lambda x: len(x.split()), 40, 0, 10)
-    assert len(chunks) == 2 and chunks[1][-1][0] == "end"
 
 
 @pytest.mark.parametrize(("q", "want"), [("list docs about x", "compound"), ("List documents", "library"), ("what is x", "rag")])
