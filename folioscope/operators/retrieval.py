@@ -40,13 +40,15 @@ def ranked(df: DataFrame, by: list[str], *order: Column, name: str = "rank") ->
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
 
 
-def build_postings(chunks: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def build_postings(chunks: DataFrame, text: str = "text", store=lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings: chunk_id, term, tf), (terms: term, idf), (lengths: chunk_id, dl, avgdl) of chunks (chunk_id, text).
 
-    idf is ln(n - df + 0.5) - ln(df + 0.5); a negative one is a quarter of the mean over all terms.
+    idf is ln(n - df + 0.5) - ln(df + 0.5); a negative one is a quarter of the mean over all terms. store writes a table and reads it
+    back, so that texts are cut into tokens once.
     """
-    tokens = chunks.select("chunk_id", X.tokenise(F.col(text)).alias("tokens"))
+    tokens = store(chunks.select("chunk_id", X.tokenise(F.col(text)).alias("tokens")))
     postings = tokens.select("chunk_id", F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    postings = store(postings.repartitionByRange("term").sortWithinPartitions("term"))
     total = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))  # one row
     lengths = tokens.select("chunk_id", F.size("tokens").alias("dl")).join(F.broadcast(total.select("avgdl")))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total.select("n")))

@@ -21,8 +21,7 @@ def _index(spark, d):
     """The index of the chunks: built once for an application, then read from the shared store, postings in the order of terms."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _INDEXES:
-        postings, terms, lengths = R.build_postings(stored(chunks(spark, d)))
-        postings = stored(postings.repartitionByRange("term").sortWithinPartitions("term"))
+        postings, terms, lengths = R.build_postings(chunks(spark, d), store=stored)
         _INDEXES[key] = postings, stored(terms), stored(lengths)
     return _INDEXES[key]
 
@@ -45,7 +44,7 @@ sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 
 def _d1(spark, d):
-    postings, terms, _ = R.build_postings(chunks(spark, d))
+    postings, terms, _ = R.build_postings(chunks(spark, d), store=stored)
     return postings.join(terms, "term").groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"), F.round(F.max("idf"), 6).alias("idf"))
 
 
