@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import mapped, own_columns, saved, steps, table, text_buffer, words
+from folioscope.llm.shared import mapped, own_columns, saved, scratch, steps, table, text_buffer, words
 from folioscope.plans.ship import ship
 
 UNIT_COUNT, LOOKUP_SHARE = 50, 400_000
@@ -170,7 +170,8 @@ def _bigrams(shared):
 
 
 def unit_bigrams(source: DataFrame, shared, far: DataFrame | None) -> DataFrame:
-    """(before, unit, c) of training texts; units that may be far ones are joined to far (word), others go to their buckets."""
+    """(before, unit, c) of training texts, a bigram in one row or two; units that may be far ones are joined to far (word), others
+    go to their buckets. Only bigrams with such a unit are shuffled again."""
     keys = ["before", "before_bucket", "salt", "unit", "unit_bucket"]
     salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("unit"), F.lit(8))).repartition("before", "salt")  # noqa: E731  rows of a unit in few tasks, so that their sums by class are few
     rows = saved(salted(mapped(source, _bigrams(shared), "before long, before_bucket int, unit long, unit_bucket int, c long")).groupBy(*keys).agg(F.sum("c").alias("c")), "bigrams")
@@ -181,8 +182,8 @@ def unit_bigrams(source: DataFrame, shared, far: DataFrame | None) -> DataFrame:
         maybe = F.col(f"{side}_bucket") >= 0
         spread = open_.withColumn("_k", F.when(maybe, F.col(side)).otherwise(F.xxhash64("before", "unit")))  # rows that need no match are dealt out
         open_ = spread.join(far.select(F.col("word").alias("_k"), F.lit(True).alias("_far")), "_k", "left").withColumn(side, F.when(maybe & F.col("_far").isNull(), F.col(f"{side}_bucket").cast("long")).otherwise(F.col(side))).drop("_k", "_far")
-    every = rows.where("before_bucket < 0 AND unit_bucket < 0").unionByName(open_).select("before", "unit", "c")
-    return saved(salted(every).groupBy("before", "salt", "unit").agg(F.sum("c").alias("c")).drop("salt"), "unit-bigrams")
+    resolved = saved(salted(open_.select("before", "unit", "c")).groupBy("before", "salt", "unit").agg(F.sum("c").alias("c")).drop("salt"), "open-bigrams")
+    return rows.where("before_bucket < 0 AND unit_bucket < 0").select("before", "unit", "c").unionByName(resolved)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -342,7 +343,6 @@ def class_lm(docs: DataFrame) -> DataFrame:
     common = counts.where(looked_up).toArrow().to_pandas().sort_values("word")  # LOOKUP_SHARE rows at most
     far = saved(counts.where(unit & ~looked_up).select("word"), "far-units") if UNIT_COUNT * LOOKUP_SHARE < tokens else None
     lookup = Lookup(common["word"].to_numpy(np.int64), common["c"].to_numpy() >= UNIT_COUNT, None if far is None else bitmap(far))
-    bigrams = unit_bigrams(source, spark.sparkContext.broadcast(lookup), far)
 
     # at first, by rank the buckets and the words of RANKED_SHARE (RANKED_SHARE at most); counts and words of each bucket
     in_bucket, types_in = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -354,7 +354,10 @@ def class_lm(docs: DataFrame) -> DataFrame:
     ranks = pd.concat([ranks, pd.DataFrame({"unit": [END], "class": [0]})])
     hashed = counts.where(unit & (F.col("c") * RANKED_SHARE < tokens)).select(F.col("word").alias("unit"), (1 + F.pmod(F.xxhash64("word"), F.lit(CLASSES - 1))).cast("long").alias("class"))
     classes = saved(spark.createDataFrame(ranks, "unit long, class long").unionByName(hashed), "classes")
-    classes, matrix = exchange(bigrams, classes, classes.count())
+    n_units = classes.count()
+    with scratch(spark):  # bigrams and the rounds' classes go when the last classes are written
+        classes, matrix = exchange(unit_bigrams(source, spark.sparkContext.broadcast(lookup), far), classes, n_units)
+        classes = saved(classes, "unit-classes", beyond=True)
 
     # tokens and distinct words of each class; rare words are counted by bucket
     bucket_class = np.zeros(BUCKETS, np.int64)
