@@ -6,8 +6,10 @@ the class bigrams' likelihood. A word's probability is that of its class after t
 its class's words by its own count in the whole training text (absolute discounting; unseen words share what it frees).
 
 Counts of all words stay a distributed table. Texts look up the words that make up 1 / LOOKUP_SHARE of the tokens (LOOKUP_SHARE words at
-most, which is what is broadcast) where they are; their other words, none of which is frequent, are joined to the table, and so are
-pairs with a word that is a unit but isn't looked up. Of these units a bitmap of fixed size is broadcast, which only spares joins.
+most) where they are; their other words, none of which is frequent, are joined to the table. Up to SMALL_UNITS units are looked up as
+well: then bigrams are numbers, packed into blocks of units that a round of exchange reads without a shuffle. More units
+stay a table, and so does all of the exchange: pairs with a unit that isn't looked up are joined to it, for which a bitmap of fixed size is
+broadcast that only spares joins. Both ways give the same classes.
 """
 
 from __future__ import annotations
@@ -23,16 +25,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import mapped, own_columns, saved, scratch, steps, table, text_buffer, words
+from folioscope.llm.shared import mapped, mixed, own_columns, saved, scratch, steps, table, text_buffer, words
 from folioscope.plans.ship import ship
 
 UNIT_COUNT, LOOKUP_SHARE = 50, 400_000
 #: Words of this share of the tokens and more begin in classes by their rank, other units by their hash.
 RANKED_SHARE = 10_000
-#: Classes of up to this many units are broadcast in a round of exchange; of more they are joined by a shuffle.
-SMALL_UNITS = 500_000
-#: Tokens whose bigrams a task counts at once.
-STEP_TOKENS = 1 << 20
+#: Up to this many units are looked up and their classes broadcast (some 40 bytes each); more are joined by a shuffle.
+SMALL_UNITS = 2_000_000
+#: Tokens whose bigrams a task counts at once, as rows and as packed numbers; tokens for each block of units.
+STEP_TOKENS, PACKED_TOKENS, BLOCK_TOKENS = 1 << 20, 1 << 22, 1 << 21
 #: Bits of a hash that choose a block of the bitmap, and a bit in its block.
 _BLOCK, _BIT = 12, 14
 #: Units by word ends, classes (0 is the text's end alone), rounds of exchange, and the weight of class frequencies in transitions.
@@ -223,30 +225,44 @@ def _moved(matrix: np.ndarray):
     return moved
 
 
+def likelihood_of(matrix: np.ndarray) -> float:
+    return _xlogx(matrix).sum() - _xlogx(matrix.sum(axis=0)).sum() - _xlogx(matrix.sum(axis=1)).sum()
+
+
+class Rounds:
+    """Every round each second unit, by turns, takes its best class. Units that move together may get in each other's way: a round after
+    which the class bigrams are less likely is undone, and from then on half as many move at once."""
+
+    def __init__(self):
+        self.share, self.kept = 2, None
+
+    def judged(self, classes, matrix: np.ndarray):
+        """The classes to go on from, with their class bigrams: those given, or those before them if they are likelier."""
+        likelihood = likelihood_of(matrix)
+        if self.kept and likelihood < self.kept[0]:
+            self.share *= 2
+        else:
+            self.kept = likelihood, classes, matrix
+        return self.kept[1:]
+
+
 def exchange(bigrams: DataFrame, classes: DataFrame, n_units: int) -> tuple[DataFrame, np.ndarray]:
-    """(unit, class) and the class bigrams, from bigrams (before, unit, c) and each unit's class at first. Every round each second
-    unit, by turns, takes its best class. Units that move together may get in each other's way: a round after which the class bigrams are
-    less likely is undone, and from then on half as many move at once. Classes stay a table; the driver holds the class bigrams only."""
+    """(unit, class) and the class bigrams after EXCHANGES rounds, from bigrams (before, unit, c) and each unit's class at first, for
+    more units than can be broadcast: classes stay a table; the driver holds the class bigrams only."""
     ship(bigrams.sparkSession)
-    share, kept = 2, None
+    rounds = Rounds()
     for turn in range(EXCHANGES + 1):
-        named = F.broadcast(classes) if n_units <= SMALL_UNITS else classes
-        earlier = named.select(F.col("unit").alias("before"), F.col("class").alias("p"))
+        earlier = classes.select(F.col("unit").alias("before"), F.col("class").alias("p"))
         matrix = np.zeros((CLASSES, CLASSES))
-        classed = bigrams.join(named, "unit")
-        if n_units > SMALL_UNITS:
-            classed = classed.groupBy("before", "class").agg(F.sum("c").alias("c"))
+        classed = bigrams.join(classes, "unit").groupBy("before", "class").agg(F.sum("c").alias("c"))
         for p, c, n in classed.join(earlier, "before").groupBy("p", "class").agg(F.sum("c")).collect():
             matrix[p, c] = n
-        likelihood = _xlogx(matrix).sum() - _xlogx(matrix.sum(axis=0)).sum() - _xlogx(matrix.sum(axis=1)).sum()
-        if kept and likelihood < kept[0]:
-            share *= 2
-            likelihood, classes, matrix = kept
-        kept = likelihood, classes, matrix
+        classes, matrix = rounds.judged(classes, matrix)
         if turn == EXCHANGES:
             return classes, matrix
-        mine = lambda unit: (F.col(unit) != END) & (F.pmod(F.xxhash64(unit), F.lit(share)) == turn % share)  # noqa: B023, E731
-        after = bigrams.where(mine("before")).join(named, "unit").groupBy(F.col("before").alias("unit"), "class").agg(F.sum("c").alias("c")).withColumn("side", F.lit(0))
+        earlier = classes.select(F.col("unit").alias("before"), F.col("class").alias("p"))
+        mine = lambda unit: (F.col(unit) != END) & (F.pmod(F.xxhash64(unit), F.lit(rounds.share)) == turn % rounds.share)  # noqa: B023, E731
+        after = bigrams.where(mine("before")).join(classes, "unit").groupBy(F.col("before").alias("unit"), "class").agg(F.sum("c").alias("c")).withColumn("side", F.lit(0))
         before = bigrams.where(mine("unit")).join(earlier, "before").groupBy("unit", F.col("p").alias("class")).agg(F.sum("c").alias("c")).withColumn("side", F.lit(1))
         own = bigrams.where(mine("unit") & (F.col("unit") == F.col("before"))).select("unit", F.lit(0).cast("long").alias("class"), "c", F.lit(2).alias("side"))
         now = classes.where(mine("unit")).select("unit", "class", F.lit(1).cast("long").alias("c"), F.lit(3).alias("side"))
@@ -256,6 +272,157 @@ def exchange(bigrams: DataFrame, classes: DataFrame, n_units: int) -> tuple[Data
         classes = saved(classes.where(~mine("unit")).unionByName(moved), "classes")
 
 
+def packed(x: np.ndarray) -> bytes:
+    """64-bit numbers, compressed with bytes of equal weight together."""
+    return pa.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<i8").ravel()
+
+
+def _dealt(pairs: np.ndarray, counts: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(part, number of pairs, the pairs' differences, counts) of ascending pairs."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True):
+        at = order[x:y]
+        yield int(part[at[0]]), y - x, packed(np.diff(pairs[at], prepend=0)), packed(counts[at])
+
+
+def _summed(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of packed rows, ascending, and their counts."""
+    pairs = np.concatenate([np.cumsum(unpacked(x, n)) for x, n in zip(rows["pairs"], rows["n"], strict=True)])
+    counts = np.concatenate([unpacked(x, n) for x, n in zip(rows["counts"], rows["n"], strict=True)])
+    order = np.argsort(pairs, kind="stable")
+    pairs = pairs[order]
+    first = np.flatnonzero(np.diff(pairs, prepend=-1))
+    return pairs[first], np.add.reduceat(counts[order], first)
+
+
+def _packed_bigrams(shared, parts: int):
+    """Bigrams of training texts as one number each (unit before << 32 | unit, by their places among the units), dealt by a mix of it."""
+
+    def rows(pairs):
+        pairs, counts = np.unique(np.concatenate(pairs), return_counts=True)
+        made = list(_dealt(pairs, counts, (mixed(pairs.view(np.uint64)) % np.uint64(parts)).astype(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "n", "pairs", "counts"])
+
+    def bigrams(batches):
+        lookup, word_places, bucket_places, end = shared.value
+        held, n = [], 0
+        for batch in batches:
+            for a, b, h, k, bounds in _texts(batch):
+                at, found, _ = lookup.find(h)
+                own = found & lookup.is_unit[at] if len(lookup.words) else found
+                places = np.where(own, word_places[at], bucket_places[k]) if len(lookup.words) else bucket_places[k]
+                before, tokens, cuts = _sequence(places, bounds, end)
+                chosen = _chosen(batch, a, b, cuts)
+                held.append(before[chosen] << 32 | tokens[chosen])
+                n += len(held[-1])
+                if n >= PACKED_TOKENS:
+                    yield rows(held)
+                    held, n = [], 0
+        if n:
+            yield rows(held)
+
+    return bigrams
+
+
+_LOW = (1 << 32) - 1
+
+
+def _by_unit(blocks: int):
+    """A part's pairs once by the unit before and once, turned round, by the unit."""
+
+    def by_unit(rows: pd.DataFrame) -> pd.DataFrame:
+        pairs, counts = _summed(rows)
+        made = [(*x, 0) for x in _dealt(pairs, counts, (pairs >> 32) % blocks)]
+        turned = (pairs & _LOW) << 32 | pairs >> 32
+        order = np.argsort(turned)
+        made += [(*x, 1) for x in _dealt(turned[order], counts[order], (turned[order] >> 32) % blocks)]
+        return pd.DataFrame(made, columns=["block", "n", "pairs", "counts", "side"])
+
+    return by_unit
+
+
+def _blocked(rows: pd.DataFrame) -> pd.DataFrame:
+    made = {"block": [int(rows["block"].iloc[0])]}
+    for side, name in enumerate(("after", "before")):
+        mine = rows[rows["side"] == side]
+        pairs, counts = _summed(mine) if len(mine) else (np.zeros(0, np.int64),) * 2
+        made |= {f"n_{name}": [len(pairs)], name: [packed(np.diff(pairs, prepend=0))], f"c_{name}": [packed(counts)]}
+    return pd.DataFrame(made)
+
+
+def packed_bigrams(source: DataFrame, shared, blocks: int) -> DataFrame:
+    """A row for each block of units (places modulo blocks): its pairs with units after and before. Pairs are summed by a mix of both units
+    first, so that a frequent unit's pairs meet in its block as often as it has neighbours, not as often as it occurs."""
+    counted = mapped(source, _packed_bigrams(shared, blocks), "part long, n long, pairs binary, counts binary")
+    turned = counted.groupBy("part").applyInPandas(_by_unit(blocks), "block long, n long, pairs binary, counts binary, side int")
+    made = turned.groupBy("block").applyInPandas(_blocked, "block long, n_after long, after binary, c_after binary, n_before long, before binary, c_before binary")
+    return saved(made, "bigrams")
+
+
+def _sides(batches, *sides):
+    """(block, then units, their neighbours and counts for each side) of each row."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            found = [row["block"]]
+            for side in sides:
+                pairs = np.cumsum(unpacked(row[side], row[f"n_{side}"]))
+                found += [pairs >> 32, pairs & _LOW, unpacked(row[f"c_{side}"], row[f"n_{side}"])]
+            yield found
+
+
+def _class_bigrams(shared):
+    def class_bigrams(batches):
+        classes, matrix = shared.value, np.zeros(CLASSES * CLASSES)
+        for _, units, after, c in _sides(batches, "after"):
+            matrix += np.bincount(classes[units].astype(np.int64) * CLASSES + classes[after], weights=c, minlength=len(matrix))
+        at = np.flatnonzero(matrix)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(matrix[at].astype(np.int64))], ["at", "c"])
+
+    return class_bigrams
+
+
+def _block_moves(shared, mixes, matrix: np.ndarray, blocks: int, share: int, turn: int):
+    def moves(batches):
+        classes = shared.value
+        for block, *rest in _sides(batches, "after", "before"):
+            places = np.arange(block, len(classes), blocks)
+            sides = [np.bincount((u - block) // blocks * CLASSES + classes[v], weights=c, minlength=len(places) * CLASSES).reshape(-1, CLASSES) for u, v, c in (rest[:3], rest[3:])]
+            own = np.bincount(((rest[0] - block) // blocks)[rest[0] == rest[1]], weights=rest[2][rest[0] == rest[1]], minlength=len(places))
+            mine = np.flatnonzero(mixes.value[places] % share == turn % share)
+            now = classes[places[mine]].astype(np.int64)
+            best = best_classes(sides[0][mine], sides[1][mine], own[mine], now, matrix)
+            yield pa.RecordBatch.from_arrays([pa.array(places[mine][best != now]), pa.array(best[best != now])], ["place", "class"])
+
+    return moves
+
+
+def packed_exchange(blocks_of_units: DataFrame, units: pd.DataFrame, blocks: int) -> tuple[DataFrame, np.ndarray]:
+    """As exchange(), for units (unit, class, mix; ascending) that can be broadcast: no round shuffles more than class bigrams."""
+    spark, rounds = blocks_of_units.sparkSession, Rounds()
+    classes, mixes = units["class"].to_numpy(np.int8), spark.sparkContext.broadcast(units["mix"].to_numpy(np.int64))
+    end = int(np.searchsorted(units["unit"].to_numpy(np.int64), END))
+    for turn in range(EXCHANGES + 1):
+        shared, matrix = spark.sparkContext.broadcast(classes), np.zeros((CLASSES, CLASSES))
+        counted = mapped(blocks_of_units.select("block", "n_after", "after", "c_after"), _class_bigrams(shared), "at long, c long")
+        for at, n in counted.groupBy("at").agg(F.sum("c")).collect():
+            matrix[divmod(at, CLASSES)] = n
+        classes, matrix = rounds.judged(classes, matrix)
+        if turn == EXCHANGES:
+            named = pa.table({"unit": units["unit"].to_numpy(np.int64), "class": classes.astype(np.int64)})
+            return spark.createDataFrame(named), matrix
+        shared = spark.sparkContext.broadcast(classes)
+        moves = mapped(blocks_of_units, _block_moves(shared, mixes, matrix, blocks, rounds.share, turn), "place long, class long").toArrow().to_pandas()
+        classes = classes.copy()
+        places = moves["place"].to_numpy(np.int64)
+        classes[places[places != end]] = moves["class"].to_numpy(np.int8)[places != end]
+
+
 @dataclass
 class Model:
     """What texts are scored by where they are: transitions (class, class), each class's unseen word, both as log10, the classes
@@ -340,8 +507,11 @@ def class_lm(docs: DataFrame) -> DataFrame:
     discount = once / (once + 2 * twice) if once and twice else 0.5
 
     looked_up, unit = F.col("c") * LOOKUP_SHARE >= tokens, F.col("c") >= UNIT_COUNT
-    common = counts.where(looked_up).toArrow().to_pandas().sort_values("word")  # LOOKUP_SHARE rows at most
-    far = saved(counts.where(unit & ~looked_up).select("word"), "far-units") if UNIT_COUNT * LOOKUP_SHARE < tokens else None
+    few = counts.where(unit).count() <= SMALL_UNITS
+    if few:
+        looked_up = looked_up | unit
+    common = counts.where(looked_up).toArrow().to_pandas().sort_values("word")  # LOOKUP_SHARE + SMALL_UNITS rows at most
+    far = saved(counts.where(unit & ~looked_up).select("word"), "far-units") if not few and UNIT_COUNT * LOOKUP_SHARE < tokens else None
     lookup = Lookup(common["word"].to_numpy(np.int64), common["c"].to_numpy() >= UNIT_COUNT, None if far is None else bitmap(far))
 
     # at first, by rank the buckets and the words of RANKED_SHARE (RANKED_SHARE at most); counts and words of each bucket
@@ -354,9 +524,15 @@ def class_lm(docs: DataFrame) -> DataFrame:
     ranks = pd.concat([ranks, pd.DataFrame({"unit": [END], "class": [0]})])
     hashed = counts.where(unit & (F.col("c") * RANKED_SHARE < tokens)).select(F.col("word").alias("unit"), (1 + F.pmod(F.xxhash64("word"), F.lit(CLASSES - 1))).cast("long").alias("class"))
     classes = saved(spark.createDataFrame(ranks, "unit long, class long").unionByName(hashed), "classes")
-    n_units = classes.count()
     with scratch(spark):  # bigrams and the rounds' classes go when the last classes are written
-        classes, matrix = exchange(unit_bigrams(source, spark.sparkContext.broadcast(lookup), far), classes, n_units)
+        if few:
+            units = classes.withColumn("mix", F.xxhash64("unit")).toArrow().to_pandas().sort_values("unit")
+            places = lambda keys: np.searchsorted(units["unit"].to_numpy(np.int64), keys)
+            blocks = max(spark.sparkContext.defaultParallelism, tokens // BLOCK_TOKENS)
+            shared = spark.sparkContext.broadcast((lookup, places(lookup.words), places(np.arange(BUCKETS)), int(places(END))))
+            classes, matrix = packed_exchange(packed_bigrams(source, shared, blocks), units, blocks)
+        else:
+            classes, matrix = exchange(unit_bigrams(source, spark.sparkContext.broadcast(lookup), far), classes, classes.count())
         classes = saved(classes, "unit-classes", beyond=True)
 
     # tokens and distinct words of each class; rare words are counted by bucket
