@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioscope.operators import campaign as C
 from folioscope.operators import evaluation as V
 from folioscope.operators.retrieval import containing, ranked
 from folioscope.plans.retrieval_queries import _BM25, _d3
@@ -105,9 +106,8 @@ def _i6(spark, d):
 
 
 def _i9(spark, d):
-    g = V.graded(_hits(spark, d), _expected(spark, d)).where("rank < 8")
     listed = F.when(F.col("query_id") % 3 != 0, (F.col("source") % 11 == 0).cast("int"))  # every third query lists no distractor
-    return g.groupBy("query_id").agg((F.max("relevance") == 2).alias("page_hit"), F.max(listed).alias("distractor"))
+    return C.page_hits(V.graded(_hits(spark, d), _expected(spark, d)), listed)
 
 
 def _poor(spark, d):
@@ -138,8 +138,7 @@ def _i7(spark, d):
 
 def _i4(spark, d):
     docs = load(spark, d, "documents").select("doc_id", F.ceil(F.char_length("text") / 2000).alias("page_count"))
-    cited = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 5 + 1).alias("page"))
-    return cited.join(docs, cited["id"] == docs["doc_id"], "left").groupBy("id").agg(F.bool_and(F.col("page") <= F.col("page_count")).alias("pages_ok"))
+    return C.pages_ok(docs.select(F.col("doc_id").alias("id"), "doc_id", (F.col("doc_id") % 5 + 1).alias("page")), docs)
 
 
 def _i8(spark, d):
@@ -168,28 +167,22 @@ def _i12(spark, d):
 
 def _i14(spark, d):
     c = _calls(spark, d).withColumn("day", F.date_trunc("day", "ts"))
-    return c.groupBy("user_id", "day").agg(F.sum("tokens").alias("tokens"), F.round(F.sum("ms"), 4).alias("ms"), F.count(F.lit(1)).alias("turns"))
+    return C.trace_rollup(c, ["user_id", "day"]).withColumn("ms", F.round("ms", 4))
 
 
 def _i15(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", "lang")
-    cited = docs.select(F.col("doc_id").alias("q"), (F.col("doc_id") * 7 % 200).alias("doc_id"), F.when(F.col("doc_id") % 2 == 0, F.lit("en")).otherwise(F.lit("de")).alias("folder"))
-    inside = cited.join(docs.withColumnRenamed("lang", "folder"), ["doc_id", "folder"], "left_anti")
-    return inside.groupBy("folder").agg(F.count(F.lit(1)).alias("outside"))
+    docs = load(spark, d, "documents").select("doc_id", F.col("lang").alias("folder"))
+    cited = docs.select((F.col("doc_id") * 7 % 200).alias("doc_id"), F.when(F.col("doc_id") % 2 == 0, F.lit("en")).otherwise(F.lit("de")).alias("folder"))
+    return C.outside_scope(cited, docs, "folder")
 
 
 def _i16(spark, d):
-    c, docs = chunks(spark, d).where("chunk_index % 50 <> 7"), load(spark, d, "documents").select("doc_id")
-    v = chunks(spark, d).where("chunk_index % 50 <> 9").select(F.col("chunk_id").alias("vid"))
-    sides = c.select("chunk_id").join(v, F.col("chunk_id") == F.col("vid"), "full_outer").agg(F.count_if(F.col("vid").isNull()).alias("no_vector"), F.count_if(F.col("chunk_id").isNull()).alias("no_chunk"), F.count("chunk_id").alias("chunks"))
-    return sides.crossJoin(docs.join(c, "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("empty_documents")))
+    c = chunks(spark, d)
+    return C.index_gate(c.where("chunk_index % 50 <> 7"), c.where("chunk_index % 50 <> 9"), load(spark, d, "documents"))
 
 
 def _i17(spark, d):
-    x = _records(spark, d)
-    part = F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long")  # summed, so that no task holds all ids
-    golden = x.select("id").distinct().agg(F.md5(F.concat_ws(":", F.count(F.lit(1)), F.sum(part))).alias("golden_digest"))
-    return x.groupBy("rung", "condition").agg(F.count(F.lit(1)).alias("n")).crossJoin(golden)
+    return C.with_manifest(_records(spark, d), ["rung", "condition"])
 
 
 def _j2(spark, d):
@@ -197,76 +190,51 @@ def _j2(spark, d):
 
 
 def _j6(spark, d):
-    x = _records(spark, d)
-    label = F.when(F.col("score").isNull(), "ungraded").when(F.col("score") == 1, "correct").otherwise("wrong")
-    g = x.withColumn("label", label).groupBy("condition", "category").agg(
-        *[F.count_if(F.col("label") == k).alias(k) for k in ("correct", "wrong", "ungraded")], F.avg(F.when(~F.col("answerable"), F.col("declined").cast("int"))).alias("declined_rate"), F.avg(F.when(F.col("answerable"), F.col("score"))).alias("mean_score")
-    )
-    return _rounded(g, "declined_rate", "mean_score")
+    return _rounded(C.config_summary(_records(spark, d), ["condition", "category"]), "declined_rate", "mean_score")
 
 
 def _j7(spark, d):
-    x = _records(spark, d)
-    m = x.groupBy("condition").agg(F.median("latency_s").alias("median"), F.avg("tokens").alias("tokens"), F.avg("reasoning").alias("reasoning"))
-    return _rounded(m.join(V.order_statistic(x, ["condition"], "latency_s", 0.9, "p90"), "condition"), "median", "tokens", "reasoning", "p90")
+    return _rounded(C.latencies(_records(spark, d), ["condition"]), "median", "tokens", "reasoning", "p90")
 
 
 def _j8(spark, d):
-    x = _records(spark, d).groupBy("condition", "repeat").agg(F.count(F.lit(1)).alias("n"), F.sum("latency_s").alias("s"))
-    per = x.groupBy("condition").agg(F.avg(F.col("s") / F.col("n")).alias("sequential"), F.max(F.col("n") * 60 / F.col("s")).alias("best"))
-    rate = F.when(F.col("condition") == "on", 2.0)
-    return _rounded(per.select("condition", (rate / 3600 * F.col("sequential") * 1000).alias("sequential"), (rate / (F.col("best") * 60) * 1000).alias("concurrent")), "sequential", "concurrent")
+    return _rounded(C.costs(_records(spark, d), F.when(F.col("condition") == "on", 2.0)), "sequential", "concurrent")
 
 
 def _j9(spark, d):
     x = _calls(spark, d).withColumn("concurrency", F.col("user_id") % 3).withColumn("error", F.col("purpose") == "error")
-    g = x.groupBy("concurrency").agg(F.count_if(~F.col("error")).alias("ok"), F.count_if("error").alias("errors"), F.median(F.when(~F.col("error"), F.col("ms"))).alias("median"), F.max("ms").alias("max"))
-    return _rounded(g.join(V.order_statistic(x.where("NOT error"), ["concurrency"], "ms", 0.9, "p90"), "concurrency"), "median", "p90", "max")
+    return _rounded(C.load_levels(x), "median", "p90", "max")
 
 
 def _j10(spark, d):
-    x = load(spark, d, "events").where("event_type = 'purchase'").withColumn("rung", F.concat(F.lit("r"), F.col("user_id") % 6))
-    g = x.rollup("rung").agg(F.sum("value").alias("cost"))
-    return g.select(F.coalesce("rung", F.lit("total")).alias("rung"), F.round("cost", 4).alias("cost"), (F.col("cost") <= 1000).alias("within"))
+    x = load(spark, d, "events").where("event_type = 'purchase'").select(F.concat(F.lit("r"), F.col("user_id") % 6).alias("rung"), F.col("value").alias("cost"))
+    return C.spend(x, 1000).withColumn("cost", F.round("cost", 4))
 
 
 def _j11(spark, d):
-    x = _calls(spark, d)
-    kind = F.when(F.col("purpose").isin("view", "click"), "answer").otherwise("side")
-    return _rounded(x.withColumn("kind", kind).groupBy("kind").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"), F.avg(F.col("tokens") * 1000 / F.col("ms")).alias("rate")), "rate")
+    return _rounded(C.call_metrics(_calls(spark, d), ["view", "click"]), "rate")
 
 
 def _j12(spark, d):
-    x = _pq(spark, d).join(_records(spark, d).select("id", "rung").distinct(), "id").groupBy("rung", "condition").agg(F.avg("score").alias("m"))
-    a, b = x.where("condition = 'off'").select("rung", F.col("m").alias("off")), x.where("condition = 'on'").select("rung", F.col("m").alias("on"))
-    place = F.array_position(F.array(F.lit("r1"), F.lit("r0")), F.col("rung"))
-    return _rounded(a.join(b, "rung", "full_outer").select("rung", "off", "on", (F.col("on") - F.col("off")).alias("delta"), place.alias("place")), "off", "on", "delta")
+    x = _pq(spark, d).join(_records(spark, d).select("id", "rung").distinct(), "id")
+    return _rounded(C.paired_conditions(x, "off", "on", ["r1", "r0"]), "off", "on", "delta")
 
 
 def _j13(spark, d):
-    x = _records(spark, d).where("score IS NOT NULL")
-    q = x.groupBy("condition", "id").agg((F.count_distinct("score") == 1).alias("stable"), F.avg("score").alias("m"))
-    return _rounded(q.groupBy("condition").agg(F.count_if("stable").alias("stable"), F.count(F.lit(1)).alias("questions"), F.avg("m").alias("share")), "share")
+    return _rounded(C.stability(_records(spark, d)), "share")
 
 
 def _j14(spark, d):
-    x = _records(spark, d)
-    g = x.groupBy("id", "condition").agg(F.array_sort(F.collect_list(F.struct("repeat", F.coalesce(F.col("score").cast("string"), F.lit("-")).alias("s")))).alias("l"))
-    m = g.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("condition", F.array_join(F.transform("l", lambda y: y["s"]), "")))).alias("m"))
-    return m.select("id", F.col("m")["off"].alias("off"), F.col("m")["on"].alias("on"))
+    return C.question_matrix(_records(spark, d), ["off", "on"])
 
 
 def _j15(spark, d):
-    x = load(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("cause"), "event_id", (F.col("event_id") % 4).alias("rung"))
-    w = ranked(x, ["id"], F.desc("rung"), F.desc("event_id"), name="r")
-    primary = w.where("r = 0").groupBy("cause").agg(F.count(F.lit(1)).alias("primary_n"))
-    every = x.groupBy("id").agg(F.array_distinct(F.collect_list("cause")).alias("c")).select("id", F.explode("c").alias("cause")).groupBy("cause").agg(F.count(F.lit(1)).alias("any_n"))
-    return every.join(primary, "cause", "left").na.fill(0, ["primary_n"])
+    x = load(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("cause"), F.col("event_id").alias("number"), (F.col("event_id") % 4).alias("rung"))
+    return C.diagnosis(x)
 
 
 def _j16(spark, d):
-    x = _records(spark, d).where("reasoning > 0 AND score IS NOT NULL")
-    return x.groupBy("condition", "score").agg(F.round(F.median("reasoning"), 6).alias("median"))
+    return _rounded(C.reasoning_lengths(_records(spark, d)), "median")
 
 
 def _j17(spark, d):
@@ -274,8 +242,7 @@ def _j17(spark, d):
 
 
 def _j18(spark, d):
-    x = _records(spark, d).groupBy("rung", "condition", "repeat").agg(F.avg("latency_s").alias("l"), F.sum("tokens").alias("t"))
-    return _rounded(x.groupBy("rung", "condition").agg(F.avg("l").alias("latency"), F.avg("t").alias("tokens")), "latency", "tokens")
+    return _rounded(C.rung_summary(_records(spark, d)), "latency", "tokens")
 
 
 def _j19(spark, d):
@@ -284,8 +251,7 @@ def _j19(spark, d):
 
 def _j20(spark, d):
     e = load(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    w = V.Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select("event_id", (F.unix_micros("ts") - F.unix_micros(F.first("ts").over(w))).alias("offset_us"))
+    return C.boot_timeline(e, ["user_id"], "event_id").select("event_id", "offset_us")
 
 
 def _k4(spark, d):
@@ -313,22 +279,16 @@ def _k8(spark, d):
 
 
 def _k9(spark, d):
-    x = _records(spark, d)
-    g = x.groupBy("condition").agg(F.count_if("answerable").alias("answerable"), F.count_if(F.col("answerable") & (F.col("score") == 1)).alias("correct"), F.count_if(F.col("score").isNull()).alias("ungraded"))
-    return _rounded(g.withColumn("correct_rate_answerable", F.col("correct") / F.col("answerable")), "correct_rate_answerable")
+    return _rounded(C.judge_summary(_records(spark, d), ["condition"]), "correct_rate_answerable")
 
 
 def _k2(spark, d):
     h = _hits(spark, d)
-    cited = h.where("rank = 2").select("query_id", "source", (F.col("page_start") + 1).alias("page")).distinct()
-    m = cited.join(h, ["query_id", "source"]).where("page BETWEEN page_start AND page_end").groupBy("query_id", "source", "page").agg(F.min_by("chunk_id", "rank").alias("chunk_id"))
-    return cited.join(m, ["query_id", "source", "page"], "left")
+    return C.citation_items(h.where("rank = 2").select("query_id", "source", (F.col("page_start") + 1).alias("page")).distinct(), h)
 
 
 def _k3(spark, d):
-    h = _hits(spark, d).where("rank < 8").join(chunks(spark, d).where("length(text) > 60").select("chunk_id", "text"), "chunk_id")
-    rows = F.array_sort(F.collect_list(F.struct("rank", F.col("text").alias("t"))))
-    return h.groupBy("query_id").agg(F.array_join(F.transform(rows, lambda x: F.concat((x["rank"] + 1).cast("string"), F.lit("."), x["t"])), "|").alias("passages"))
+    return C.faithfulness_items(_hits(spark, d), chunks(spark, d).where("length(text) > 60").select("chunk_id", "text"))
 
 
 def _k10(spark, d):
@@ -336,8 +296,8 @@ def _k10(spark, d):
 
 
 def _k11(spark, d):
-    x = _records(spark, d).where("NOT answerable").select("id", "repeat", "condition", "declined", "cited")
-    return x.select("id", "repeat", "condition", F.when(F.col("declined") & F.col("cited"), "declined").otherwise("answered_wrong").alias("label"))
+    x = _records(spark, d).where("NOT answerable")
+    return x.select("id", "repeat", "condition", C.unanswerable_label(F.col("declined"), F.col("cited")).alias("label"))
 
 
 def _k12(spark, d):
@@ -348,8 +308,8 @@ def _k12(spark, d):
 
 def _k1(spark, d):
     x = _records(spark, d).where("repeat = 1 AND condition = 'off'")
-    golden = load(spark, d, "documents").where("doc_id % 3 <> 0").select(F.concat(F.lit("q"), "doc_id").alias("id"), F.transform(F.array(F.concat("lang", F.lit("/A_"), "doc_id", F.lit(".TXT"))), lambda p: F.lower(F.regexp_extract(p, r"[^/\\]*$", 0))).alias("evidence"))
-    return x.select("id", "category").join(golden, "id", "left").select("id", "category", F.array_join("evidence", ",").alias("evidence"))
+    golden = load(spark, d, "documents").where("doc_id % 3 <> 0").select(F.concat(F.lit("q"), "doc_id").alias("id"), F.array(F.concat("lang", F.lit("/A_"), "doc_id", F.lit(".TXT"))).alias("evidence"))
+    return C.correctness_items(x, golden)
 
 
 def _i1(spark, d):
@@ -385,7 +345,7 @@ QUERIES = {
     ),
     "i11_calls_by_purpose": (lambda s, d: _rounded(V.calls_by_purpose(_calls(s, d), ["purpose"]), "ms_median"), _W(_CALLS, "SELECT purpose, count(*) AS calls, cast(sum(tokens) AS BIGINT) AS tokens, round(median(ms), 6) AS ms_median, count(*) FILTER (finish = 'length') AS truncated FROM cal GROUP BY 1")),
     "i12_gates": (_i12, _W(_R, "SELECT condition, category, round(h, 6) AS hit_rate, CASE WHEN h IS NULL THEN 'unknown' WHEN h >= 0.8 THEN 'pass' ELSE 'fail' END AS status FROM (SELECT condition, category, avg(cast(source_hit AS INTEGER)) AS h FROM rec GROUP BY ALL)")),
-    "i13_flattened": (lambda s, d: _hits(s, d).where("rank < 5").select("query_id", "source", "page_start", "page_end", "chunk_id", "score"), _W(_H, "SELECT query_id, source, page_start, page_end, chunk_id, score FROM hit WHERE rank < 5")),
+    "i13_flattened": (lambda s, d: C.flattened(_hits(s, d), 5), _W(_H, "SELECT query_id, source, page_start, page_end, chunk_id, score FROM hit WHERE rank < 5")),
     "i14_trace_rollup": (_i14, _W(_CALLS, "SELECT user_id, date_trunc('day', ts) AS day, cast(sum(tokens) AS BIGINT) AS tokens, round(sum(ms), 4) AS ms, count(*) AS turns FROM cal GROUP BY ALL")),
     "i15_scope_check": (_i15, "SELECT f AS folder, count(*) AS outside FROM (SELECT doc_id * 7 % 200 AS doc_id, CASE WHEN doc_id % 2 = 0 THEN 'en' ELSE 'de' END AS f FROM documents) q WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = q.doc_id AND d.lang = q.f) GROUP BY 1"),
     "i16_index_gate": (

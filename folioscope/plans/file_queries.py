@@ -10,16 +10,19 @@ from folioscope.sources import files
 
 
 def _a5(s, d):
-    e = load(s, d, "events").select((F.col("user_id") % 2).alias("r"), (F.col("event_id") % 2).alias("c"), F.struct(F.concat(F.lit("q"), "event_id").alias("id"), "value").alias("q"))
-    runs = e.groupBy("r", "c").agg(F.to_json(F.struct(F.lit("x").alias("label"), F.lit("now").alias("at"), F.lit(1).alias("repeats"), F.collect_list("q").alias("per_question"))).alias("value"))
+    e = load(s, d, "events").select((F.col("user_id") % 2).alias("r"), (F.col("event_id") % 2).alias("c"), F.floor(F.col("event_id") / 1000).alias("piece"), F.struct(F.concat(F.lit("q"), "event_id").alias("id"), "value").alias("q"))
+    runs = e.groupBy("r", "c", "piece").agg(F.to_json(F.struct(F.lit("x").alias("label"), F.lit("now").alias("at"), F.lit(1).alias("repeats"), F.collect_list("q").alias("per_question"))).alias("value"))
     root = _folder(s)
     for r, c in ((0, 0), (0, 1), (1, 0), (1, 1)):
-        runs.where((F.col("r") == r) & (F.col("c") == c)).select("value").coalesce(1).write.text(f"{root}/camp/r{r}/c{c}/r1.json")
-    # Spark's writers make folders: the run's number is that of the folder
-    kind = "label string, at string, repeats int, per_question array<struct<id:string, value:double>>"
-    rows = s.read.schema(kind).option("recursiveFileLookup", True).json(root)
-    part = F.regexp_extract(F.col("_metadata.file_path"), r"camp/([^/]+)/([^/]+)/r1", 1), F.regexp_extract(F.col("_metadata.file_path"), r"camp/([^/]+)/([^/]+)/r1", 2)
-    return rows.select(part[0].alias("rung"), part[1].alias("condition"), F.explode("per_question").alias("q")).groupBy("rung", "condition").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("q.value"), 4).alias("value"))
+        runs.where((F.col("r") == r) & (F.col("c") == c)).select("value").write.text(f"{root}/camp/r{r}/c{c}/r1.json")
+    rows, _ = files.read_campaign(s, root, "id string, value double", lines=True)
+    return rows.groupBy("rung", "condition").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
+
+
+def _m4(s, d):
+    p = load(s, d, "documents").select(F.concat(F.lit("a/"), "doc_id", F.element_at(F.array(F.lit(".TXT"), F.lit(".md"), F.lit(".bin")), (F.col("doc_id") % 3 + 1).cast("int"))).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    pages, left = files.parse_by_extension(p, {"txt": files.text_pages, "md": files.text_pages})
+    return pages.unionByName(left.select("path", F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("string").alias("text")))
 
 
 def _a6(s, d):
@@ -57,4 +60,10 @@ QUERIES = {
     "a7_fetch_log": (_a7, "SELECT 'p' || page_id AS path, 'ok' AS status, cast(length(html) AS VARCHAR) AS size, url FROM pages WHERE page_id % 4 <> 0"),
     "a8_manifest_file": (_a8, f"SELECT source_path AS path, 'a \"quoted\", title ' || id AS title, page_count AS pages, file_hash AS sha256 FROM {CATALOGUE}"),
     "a9_transcripts": (_a9, "SELECT cast(conv_id AS VARCHAR) AS id, turn, text FROM conversations WHERE conv_id = 5 AND turn % 2 = 1"),
+    "m4_parsed_files": (
+        _m4,
+        """SELECT path, CASE WHEN doc_id % 3 < 2 THEN page_number END AS page_number, CASE WHEN doc_id % 3 < 2 THEN pages[page_number] END AS text FROM (
+        SELECT *, unnest(CASE WHEN doc_id % 3 < 2 THEN range(1, len(pages) + 1) ELSE [1] END) AS page_number FROM (
+        SELECT doc_id, 'a/' || doc_id || ['.TXT', '.md', '.bin'][doc_id % 3 + 1] AS path, string_split(text, chr(12)) AS pages FROM documents))""",
+    ),
 }

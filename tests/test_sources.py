@@ -33,3 +33,15 @@ def test_report(spark, tmp_path):
     assert files.markdown(df, 1).endswith("more than 1 rows")
     files.write_report({"one": df}, f"file://{tmp_path}/r")
     assert spark.read.json(f"file://{tmp_path}/r/one").count() == 2
+
+
+def test_files_go_to_the_parser_of_their_extension(spark):
+    rows = [("a/b.TXT", b"one\ftwo"), ("c.md", b""), ("d.e/f", b"x"), (None, b"y"), ("g.bin", b"z"), (".txt", b"w"), ("h.txt", None)]
+    found = spark.createDataFrame(rows, "path string, content binary")
+    pages, left = files.parse_by_extension(found, {"txt": files.text_pages, "md": files.text_pages})
+    assert sorted(map(tuple, pages.collect())) == [("a/b.TXT", 1, "one"), ("a/b.TXT", 2, "two"), ("c.md", 1, "")]
+    assert {x.path for x in left.collect()} == {"d.e/f", None, "g.bin", ".txt"}
+    none, rest = files.parse_by_extension(found.where("false"), {"txt": files.text_pages})
+    assert none.count() == rest.count() == 0
+    everything, others = files.parse_by_extension(found, {})
+    assert everything.count() == 0 and others.count() == len(rows)
