@@ -39,15 +39,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _SCRATCH: list[list[str]] = []
+_NAMES: list[list[str]] = []
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are saved within are deleted at the end, by when what was made of them must be written."""
     _SCRATCH.append([])
+    _NAMES.append([])
     try:
         yield
     finally:
+        for name in _NAMES.pop():
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         for path in _SCRATCH.pop():
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
@@ -64,6 +68,18 @@ def saved(df: DataFrame, name: str, beyond: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed and sorted by key, so that joins by it of tables of as many buckets don't shuffle.
+    In scratch() it is deleted at that one's end."""
+    known = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{known}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(known)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+        _NAMES[-1].append(known)
+    return df.sparkSession.table(known)
+
+
 #: Groups of this share of the rows and more are broadcast, which are LARGE_SHARE at most.
 LARGE_SHARE = 10_000
 
