@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -9,16 +11,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
+from folioscope.operators.scoring import Scope, dense_top_k, sparse_top_k
 from folioscope.plans.ship import ship
 
 K1, B = 1.5, 0.75
-#: Rows of a table that is broadcast by hint at most; beyond, Spark chooses the join.
-BROADCAST_ROWS = 200_000
+#: Bytes of a table that is broadcast by hint at most; beyond, Spark chooses the join.
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, broadcast if its checked size allows it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _width(name: str, kind: str) -> Column:
+    """Bytes of a value, about: text and binary by their length, lists by their elements'."""
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 8
+    if kind in ("array<string>", "array<binary>"):
+        return F.coalesce(F.aggregate(name, F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 8), F.lit(0))
+    if kind.startswith("array"):
+        return 16 * F.greatest(F.size(name), F.lit(0))
+    return F.lit(16)
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, broadcast if its measured bytes allow it."""
+    each = reduce(lambda a, b: a + b, [_width(n, k) for n, k in df.dtypes])
+    return F.broadcast(df) if (df.agg(F.sum(each.cast("long"))).first()[0] or 0) <= most else df
 
 
 def containing(needles: DataFrame, haystacks: DataFrame, key: str = "query_id", needle: str = "question", owner: str = "source", text: str = "body") -> DataFrame:
@@ -40,13 +55,30 @@ def ranked(df: DataFrame, by: list[str], *order: Column, name: str = "rank") ->
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
 
 
-def build_postings(chunks: DataFrame, text: str = "text", store=lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings: chunk_id, term, tf), (terms: term, idf), (lengths: chunk_id, dl, avgdl) of chunks (chunk_id, text).
+@dataclass(frozen=True)
+class Index:
+    """A BM25 index: tokens (key, doc_id, tokens) of each chunk, postings (chunk_id, term, tf), terms (term, idf), lengths (chunk_id, dl,
+    avgdl) and average, that of all lengths."""
+
+    tokens: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    lengths: DataFrame
+    average: float
+
 
-    idf is ln(n - df + 0.5) - ln(df + 0.5); a negative one is a quarter of the mean over all terms. store writes a table and reads it
-    back, so that texts are cut into tokens once.
+def build_index(chunks: DataFrame, store=lambda df: df) -> Index:
+    """The index of chunks (chunk_id, doc_id, text); store writes a table and reads it back."""
+    tokens = store(chunks.select(F.col("chunk_id").alias("key"), "doc_id", X.tokenise(F.col("text")).alias("tokens")))
+    postings, terms, lengths = build_postings(tokens.select(F.col("key").alias("chunk_id"), "tokens"), store)
+    return Index(tokens, postings, store(terms), store(lengths), tokens.agg(F.avg(F.size("tokens"))).first()[0] or 0.0)
+
+
+def build_postings(tokens: DataFrame, store=lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings: chunk_id, term, tf), (terms: term, idf), (lengths: chunk_id, dl, avgdl) of tokens (chunk_id, tokens).
+
+    idf is ln(n - df + 0.5) - ln(df + 0.5); a negative one is a quarter of the mean over all terms.
     """
-    tokens = store(chunks.select("chunk_id", X.tokenise(F.col(text)).alias("tokens")))
     postings = tokens.select("chunk_id", F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     postings = store(postings.repartitionByRange("term").sortWithinPartitions("term"))
     total = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))  # one row
@@ -66,31 +98,12 @@ def bm25(queries: DataFrame, postings: DataFrame, terms: DataFrame, lengths: Dat
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(score).alias("score"))
 
 
-def allowed(hits: DataFrame, queries: DataFrame, owner: str) -> DataFrame:
-    """hits whose owner the query's allowed_ids hold (null: all, empty: none)."""
-    return hits.join(queries.select("query_id", "allowed_ids"), "query_id").where(F.col("allowed_ids").isNull() | F.array_contains("allowed_ids", F.col(owner))).drop("allowed_ids")
-
-
-def without_excluded(hits: DataFrame, excluded: DataFrame, path: str) -> DataFrame:
-    """hits without files that excluded (query_id, name) names in full or by base name, whatever the case."""
-    keys = excluded.select("query_id", F.explode(X.excluded_keys(F.array("name"))).alias("_key")).distinct()
-    full, base = F.lower(F.col(path)), X.basename(F.col(path))
-    return hits.withColumn("_key", full).join(keys, ["query_id", "_key"], "left_anti").withColumn("_key", base).join(keys, ["query_id", "_key"], "left_anti").drop("_key")
-
-
 def top_k(scored: DataFrame, key: str, k: int, positive: bool = False) -> DataFrame:
     """The k best of each query by score, ties by key; positive: only scores above 0."""
     hits = scored.where("score > 0") if positive else scored
     return ranked(hits, ["query_id"], F.desc("score"), F.col(key)).where(F.col("rank") < k)
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query_id, key, score): cosine of every query (query_id, vector) and vector (key, vector); queries are the
-    stated set that meets all rows, in blocks of them."""
-    q = small(queries.select("query_id", F.col("vector").alias("_q")))
-    return vectors.join(q).select("query_id", "key", X.cosine(F.col("_q"), F.col("vector")).alias("score"))
-
-
 def fuse(legs: list[DataFrame], key: str, k: int = 60, weights: list[float] | None = None) -> DataFrame:
     """Reciprocal rank fusion: the sum of weight / (k + rank + 1); ties by the leg and rank of first appearance."""
     weights = weights or [1.0] * len(legs)
@@ -122,7 +135,7 @@ def rerank(fused: DataFrame, skips: DataFrame, queries: DataFrame, texts: DataFr
     """
     scorer = scorer or (lambda q, t: X.overlap_score(X.overlap_tokens(q), X.overlap_tokens(t)))
     joined = fused.join(skips, "query_id")
-    scored = joined.where("NOT skip").join(queries.select("query_id", "question"), "query_id").join(texts.select(key, "text"), key).select("query_id", key, "rank", scorer(F.col("question"), F.col("text")).alias("score"))
+    scored = joined.where("NOT skip").join(queries.select("query_id", "question"), "query_id").join(texts.select(key, "text"), key).select("query_id", key, "rank", scorer(F.col("question"), F.col("text")).alias("score")).where("score IS NOT NULL")
     again = ranked(scored.withColumnRenamed("rank", "_before"), ["query_id"], F.desc("score"), F.col("_before")).drop("_before")
     return again.unionByName(joined.where("skip").select("query_id", key, "rank", "score")).where(F.col("rank") < keep)
 
@@ -220,14 +233,72 @@ def instructed(query: Column, instruction: Column) -> Column:
     return F.when(F.coalesce(instruction, F.lit("")) == "", query).otherwise(F.concat(F.lit("Instruct: "), instruction, F.lit("\nQuery: "), query))
 
 
-def retrieve(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], chunks: DataFrame, vectors: DataFrame, k: int = 20, keep: int = 12, **gate) -> DataFrame:
-    """The whole pipeline for queries (query_id, question, vector) over chunks (chunk_id, text) and their vectors (key, vector): dense and
-    sparse leg of k each, fusion, the gate, rerank of what it lets through, and tidy. gate: the bounds of rerank_skips()."""
-    dense = top_k(dense_scores(queries, vectors).withColumn("score", F.round("score", 6)), "key", k).withColumnRenamed("key", "chunk_id")
-    sparse = top_k(bm25(queries, *index).withColumn("score", F.round("score", 6)), "chunk_id", k, positive=True)
-    fused = fuse_or_dense(dense, sparse, "chunk_id")
+def retrieve(
+    queries: DataFrame, index: Index, chunks: DataFrame, vectors: DataFrame, scope: Scope = Scope(), k: int = 20, keep: int = 12, last: int = 8, scorer=None, digits: int | None = None, store=lambda df: df, **gate
+) -> tuple[DataFrame, DataFrame]:
+    """(fused candidates, final hits), each query_id, chunk_id, score, rank, for queries (query_id, question, vector) over chunks (chunk_id,
+    doc_id, text) and their vectors (key, doc_id, vector of unit length).
+
+    Dense and sparse leg of k each among what a query's scope shows, fusion, the gate, rerank of what it lets through, and tidy to the last
+    few. gate: the bounds of rerank_skips(). store keeps each leg's and the fusion's few rows, and the texts of candidates.
+    """
+    dense = store(dense_top_k(queries, vectors, k, scope, digits).withColumnRenamed("key", "chunk_id"))
+    sparse = store(sparse_top_k(queries, index.tokens, index.terms, index.average, k, scope, digits).withColumnRenamed("key", "chunk_id"))
+    fused = store(fuse_or_dense(dense, sparse, "chunk_id"))
+    texts = store(chunks.select("chunk_id", "text").join(small(fused.select("chunk_id").distinct()), "chunk_id", "left_semi"))
     skips = rerank_skips(fused, dense, "chunk_id", keep=keep, **gate)
-    return tidy(rerank(fused, skips, queries, chunks, "chunk_id", keep=keep), chunks, "chunk_id")
+    return fused, tidy(rerank(fused, skips, queries, texts, "chunk_id", keep=keep, scorer=scorer), texts, "chunk_id", keep=last)
+
+
+def retrieve_multi(queries: DataFrame, asked: DataFrame, index: Index, chunks: DataFrame, vectors: DataFrame, scope: Scope = Scope(), most: int = 4, slots: int = 2, doc_cap: int = 4, last: int = 8, store=lambda df: df, **options) -> tuple[DataFrame, DataFrame]:
+    """(pool, final) for queries (query_id, question, vector) about several entities: asked (query_id, entity, question, vector; entity from 1) has a
+    question for each, of which the first few count. Every question is retrieved by itself in its query's scope; final (query_id, chunk_id,
+    rank) merges their lists, pool (query_id, chunk_id) has all their candidates once."""
+    every = queries.select("query_id", F.lit(0).alias("entity"), "question", "vector").unionByName(asked.where(F.col("entity").between(1, most)).select("query_id", F.col("entity").cast("int").alias("entity"), "question", "vector"))
+    one = F.to_json(F.struct("query_id", "entity"))
+    every = store(every.select(one.alias("_one"), F.col("query_id").alias("_query"), "entity", "question", "vector"))
+    own = every.select("_one", "_query", "entity")
+
+    def spread(rows: DataFrame | None) -> DataFrame | None:
+        return rows if rows is None else rows.join(own.select("_one", F.col("_query").alias("query_id")), "query_id").drop("query_id").withColumnRenamed("_one", "query_id")
+
+    wide = Scope(spread(scope.closed), spread(scope.allowed), spread(scope.excluded))
+    fused, final = retrieve(every.withColumnRenamed("_one", "query_id"), index, chunks, vectors, wide, last=last, store=store, **options)
+    named = lambda rows: rows.withColumnRenamed("query_id", "_one").join(own, "_one").withColumnRenamed("_query", "query_id")
+    hits = named(store(final)).join(chunks.select("chunk_id", "doc_id"), "chunk_id").select("query_id", "entity", "rank", F.col("chunk_id").alias("key"), "doc_id")
+    return named(fused).select("query_id", "chunk_id").distinct(), merge_entities(hits, last, slots, doc_cap).withColumnRenamed("key", "chunk_id")
+
+
+def model_scores(client: Callable[[], Callable[[list[tuple[str, str]]], list[tuple[int, float]]]], size: int = 32) -> Callable[[Column, Column], Column]:
+    """A scorer for rerank() by a model: client() is called once in each task and makes what takes pairs (question, text), size at most, and replies
+    with (index of the pair, score), in any order. Replies with an index that isn't of the pairs sent are dropped, the first of an index
+    counts, and a pair without a reply has no score, so that rerank() leaves it out."""
+
+    def scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        ask = client()
+        for questions, texts in batches:
+            out: list[float | None] = [None] * len(texts)
+            for a in range(0, len(texts), size):
+                pairs = list(zip(questions[a : a + size], texts[a : a + size], strict=True))
+                for i, score in ask(pairs):
+                    if 0 <= i < len(pairs) and out[a + i] is None:
+                        out[a + i] = score
+            yield pd.Series(out, dtype="float64")
+
+    scores.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(scores, "double")
+
+
+def model_vectors(client: Callable[[], Callable[[list[str]], list[list[float]]]], size: int = 32) -> Callable[[Column], Column]:
+    """A model for embed(): client() is called once in each task and makes what embeds texts, size at most, in their order."""
+
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ask = client()
+        for texts in batches:
+            yield pd.Series([v for a in range(0, len(texts), size) for v in ask(list(texts[a : a + size]))])
+
+    vectors.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(vectors, "array<double>")
 
 
 def embed(df: DataFrame, text: str, model) -> DataFrame:

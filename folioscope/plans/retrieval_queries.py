@@ -8,26 +8,40 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from folioscope.operators import retrieval as R
+from folioscope.operators.scoring import Scope, dense_top_k, excluded_documents, sparse_top_k, unit
 from folioscope.plans.tables import CHUNKS, chunks, load, stored
 
-_INDEXES: dict[tuple[str, str], tuple] = {}
+_KEPT: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark, d, what, made):
+    """What is built once for an application, then read from the shared store."""
+    key = (spark.sparkContext.applicationId, d, what)
+    if key not in _KEPT:
+        _KEPT[key] = made()
+    return _KEPT[key]
 
 
 def _questions(spark, d):
     return load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
+def _chunks(spark, d):
+    return _once(spark, d, "chunks", lambda: stored(chunks(spark, d)))
+
+
 def _index(spark, d):
-    """The index of the chunks: built once for an application, then read from the shared store, postings in the order of terms."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _INDEXES:
-        postings, terms, lengths = R.build_postings(chunks(spark, d), store=stored)
-        _INDEXES[key] = postings, stored(terms), stored(lengths)
-    return _INDEXES[key]
+    return _once(spark, d, "index", lambda: R.build_index(_chunks(spark, d), stored))
+
+
+def _vectors(spark, d):
+    """Unit vectors of the chunks. The embedder is a count of some letters, so that the oracle can have the same vectors."""
+    return _once(spark, d, "vectors", lambda: stored(unit(_chunks(spark, d).select(F.col("chunk_id").alias("key"), "doc_id", _letters("text").alias("vector")))))
 
 
 def _scores(spark, d):
-    return R.bm25(_questions(spark, d), *_index(spark, d)).withColumn("score", F.round("score", 6))
+    i = _index(spark, d)
+    return R.bm25(_questions(spark, d), i.postings, i.terms, i.lengths).withColumn("score", F.round("score", 6))
 
 
 _TOK = r"""flatten(list_transform(regexp_extract_all(translate(regexp_replace(lower({c}), '<[^>]*>', ' ', 'g'), '*_|', '   '), '[a-z0-9][a-z0-9\-./]*[a-z0-9]|[a-z0-9]'),
@@ -44,19 +58,35 @@ sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 
 def _d1(spark, d):
-    postings, terms, _ = R.build_postings(chunks(spark, d), store=stored)
+    index = R.build_index(chunks(spark, d), stored)
+    postings, terms = index.postings, index.terms
     return postings.join(terms, "term").groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"), F.round(F.max("idf"), 6).alias("idf"))
 
 
+def _sparse(spark, d, scope=Scope()):
+    i = _index(spark, d)
+    return stored(sparse_top_k(_questions(spark, d), i.tokens, i.terms, i.average, 20, scope, 6).withColumnRenamed("key", "chunk_id"))
+
+
 def _d3(spark, d):
-    return stored(R.top_k(_scores(spark, d), "chunk_id", 20, positive=True))
+    return _once(spark, d, "sparse", lambda: _sparse(spark, d))
 
 
 def _dense(spark, d, k=20):
     e = load(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    v = e.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
-    return stored(R.top_k(R.dense_scores(q, v).where("query_id <> key").withColumn("score", F.round("score", 6)), "key", k))
+    v = unit(e.select(F.col("vec_id").alias("key"), F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")))
+    return stored(dense_top_k(q, v, k, Scope(excluded=q.select("query_id", F.col("query_id").alias("doc_id"))), 6))
+
+
+def _d4(spark, d):
+    """A query doesn't find itself; every other one sees rows with its own label alone."""
+    e = load(spark, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("vector"))
+    closed = q.where("query_id % 200 = 0")
+    allowed = e.select(F.col("vec_id").alias("doc_id"), "label").join(closed.select("query_id", "label"), "label").select("query_id", "doc_id")
+    v = unit(e.select(F.col("vec_id").alias("key"), F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")))
+    return dense_top_k(q, v, 20, Scope(closed.select("query_id"), allowed, q.select("query_id", F.col("query_id").alias("doc_id"))), 6)
 
 
 _DENSE = """dense AS (SELECT q.vec_id AS query_id, v.vec_id AS key, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score,
@@ -91,7 +121,7 @@ def _d6(spark, d):
 def _d7(spark, d):
     hits = _d3(spark, d)
     skips = hits.select("query_id", (F.col("query_id") % 5 == 0).alias("skip")).distinct()
-    return R.rerank(hits, skips, _questions(spark, d), chunks(spark, d), "chunk_id").withColumn("score", F.round("score", 6))
+    return R.rerank(hits, skips, _questions(spark, d), _chunks(spark, d), "chunk_id").withColumn("score", F.round("score", 6))
 
 
 _STOP = "[" + ", ".join(f"'{x}'" for x in R.X.STOPWORDS) + "]"
@@ -102,23 +132,44 @@ final AS (SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER
   UNION ALL SELECT query_id, chunk_id, given, before FROM n WHERE query_id % 5 = 0)"""
 
 
-def _d8(spark, d):
-    hits = _d3(spark, d).join(chunks(spark, d).select("chunk_id", "doc_id", "lang"), "chunk_id").withColumn("path", F.concat("lang", F.lit("/Doc_"), "doc_id", F.lit(".txt")))
+def _files(spark, d):
+    return load(spark, d, "documents").select("doc_id", F.concat("lang", F.lit("/Doc_"), "doc_id", F.lit(".txt")).alias("source_file"))
+
+
+def _excluded(spark, d):
+    """Every other query excludes each third file of those that it would find, in full or by base name."""
     docs = load(spark, d, "documents").select("doc_id", "lang")
     names = docs.where("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x/dOC_"), "doc_id", F.lit(".TXT"))).otherwise(F.concat("lang", F.lit("/doc_"), "doc_id", F.lit(".txt"))).alias("name"))
-    mine = hits.where("query_id % 2 = 0").select("query_id", "doc_id").distinct()  # a query excludes files that it found
-    excluded = mine.join(names, "doc_id").select("query_id", "name")
-    return R.without_excluded(hits, excluded, "path").select("query_id", "chunk_id", "rank")
+    found = _d3(spark, d).where("query_id % 2 = 0").select("query_id", F.split("chunk_id", ":")[0].cast("long").alias("doc_id")).distinct()
+    return excluded_documents(found.join(names, "doc_id").select("query_id", "name"), _files(spark, d))
+
+
+def _allowed(spark, d):
+    """A third of the queries sees one source's documents, another one no documents, or two that are listed."""
+    q = _questions(spark, d).select("query_id")
+    source = q.where("query_id % 3 = 1").select("query_id", F.concat(F.lit("src"), F.col("query_id") % 20).alias("source"))
+    some = load(spark, d, "documents").select("doc_id", "source").join(source, "source").select("query_id", "doc_id")
+    few = q.where("query_id % 9 = 2").select("query_id", F.explode(F.array(F.lit(0).cast("long"), F.col("query_id").cast("long"))).alias("doc_id"))
+    return Scope(q.where("query_id % 3 > 0"), some.unionByName(few).distinct())
+
+
+_SEES = """(q.item_id % 3 = 0 OR q.item_id % 3 = 1 AND d.source = 'src' || q.item_id % 20 OR q.item_id % 9 = 2 AND d.doc_id IN (0, q.item_id))"""
+_EXCLUDES = "excl AS (SELECT DISTINCT query_id, doc_id FROM sparse JOIN c USING (chunk_id) WHERE query_id % 2 = 0 AND doc_id % 3 = 0)"
+_SCOPED = """SELECT s.query_id, s.chunk_id, s.score, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.chunk_id) - 1 AS rank
+  FROM scores s JOIN c USING (chunk_id) JOIN vis USING (query_id, doc_id) WHERE s.score > 0 QUALIFY rank < 20"""
+_VIS = lambda sees, excludes: f"vis AS (SELECT q.item_id AS query_id, d.doc_id FROM benchmark q, documents d WHERE {sees} {'EXCEPT FROM excl' if excludes else ''})"
+
+
+def _d8(spark, d):
+    return _sparse(spark, d, Scope(excluded=_excluded(spark, d)))
 
 
 def _d9(spark, d):
-    hits = _d3(spark, d).join(chunks(spark, d).select("chunk_id", "lang"), "chunk_id")
-    q = _questions(spark, d).select("query_id", F.when(F.col("query_id") % 3 == 1, F.array(F.lit("en"), F.lit("de"))).when(F.col("query_id") % 3 == 2, F.array().cast("array<string>")).alias("allowed_ids"))
-    return R.allowed(hits, q, "lang").select("query_id", "chunk_id", "rank", "score")
+    return _sparse(spark, d, _allowed(spark, d))
 
 
 def _d11(spark, d):
-    return R.tidy(_d3(spark, d), chunks(spark, d), "chunk_id")
+    return R.tidy(_d3(spark, d), _chunks(spark, d), "chunk_id")
 
 
 _NORM = r"lower(regexp_replace(regexp_replace(c.text, '[ \t\n\x0B\f\r]+', ' ', 'g'), '^ | $', '', 'g'))"
@@ -129,10 +180,13 @@ tidied AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY que
 
 
 def _d10(spark, d):
-    """The whole pipeline. The embedder is a count of some letters, so that the oracle can have the same vectors."""
-    c = stored(chunks(spark, d))
+    """Fused candidates and final hits of the whole pipeline, in the scope of allow-lists and exclusions."""
+    scope = _allowed(spark, d)
+    scope = Scope(scope.closed, scope.allowed, _excluded(spark, d))
     q = _questions(spark, d).withColumn("vector", _letters("question"))
-    return stored(R.retrieve(q, _index(spark, d), c, c.select(F.col("chunk_id").alias("key"), _letters("text").alias("vector")), gap=0.001, least=0.9)).withColumn("score", F.round("score", 6))
+    fused, final = R.retrieve(q, _index(spark, d), _chunks(spark, d), _vectors(spark, d), scope, digits=6, store=stored, gap=0.001, least=0.9)
+    rows = fused.withColumn("list", F.lit("fused")).unionByName(final.withColumn("list", F.lit("final")))
+    return rows.withColumn("score", F.round("score", 6))
 
 
 def _letters(c):
@@ -142,12 +196,13 @@ def _letters(c):
 _COUNTED = "etaoinshrdlu"
 _LETTERS = lambda c: "[" + ", ".join(f"cast(length({c}) - length(replace({c}, '{x}', '')) AS DOUBLE)" for x in _COUNTED) + "]"
 _COS = "round(coalesce(CASE WHEN list_dot_product(x, x) > 0 AND list_dot_product(y, y) > 0 THEN list_cosine_similarity(x, y) END, 0), 6)"
-_D10 = rf"""{_BM25}, qv AS (SELECT item_id AS query_id, {_LETTERS('text')} AS x FROM benchmark), cv AS (SELECT chunk_id, {_LETTERS('text')} AS y FROM c),
-dense AS (SELECT query_id, chunk_id, {_COS} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, chunk_id) - 1 AS rank FROM qv, cv QUALIFY rank < 20),
-every AS (SELECT query_id, chunk_id, rank, 0 AS leg FROM dense UNION ALL SELECT query_id, chunk_id, rank, 1 FROM sparse),
+_D10 = rf"""{_BM25}, {_EXCLUDES}, {_VIS(_SEES, True)}, scoped AS ({_SCOPED}),
+qv AS (SELECT item_id AS query_id, {_LETTERS('text')} AS x FROM benchmark), cv AS (SELECT chunk_id, doc_id, {_LETTERS('text')} AS y FROM c),
+dense AS (SELECT query_id, chunk_id, {_COS} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, chunk_id) - 1 AS rank FROM qv JOIN vis USING (query_id) JOIN cv USING (doc_id) QUALIFY rank < 20),
+every AS (SELECT query_id, chunk_id, rank, 0 AS leg FROM dense UNION ALL SELECT query_id, chunk_id, rank, 1 FROM scoped),
 rrf AS (SELECT query_id, chunk_id, min({{'leg': leg, 'rank': rank}}) AS seen, sum(1.0::DOUBLE / (61 + rank)) AS score FROM every GROUP BY ALL),
 plain AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) - 1 AS rank FROM rrf),
-fused AS (SELECT * FROM plain WHERE query_id IN (SELECT query_id FROM sparse) UNION ALL SELECT query_id, chunk_id, score, rank FROM dense WHERE query_id NOT IN (SELECT query_id FROM sparse)),
+fused AS (SELECT * FROM plain WHERE query_id IN (SELECT query_id FROM scoped) UNION ALL SELECT query_id, chunk_id, score, rank FROM dense WHERE query_id NOT IN (SELECT query_id FROM scoped)),
 gate AS (SELECT f.query_id, coalesce(n > 1 AND s0 - (s - s0) / (n - 1) > 0.001 AND s0 > 0.9 AND first = winner, false) OR m <= 12 AS skip FROM (SELECT query_id, count(*) AS m, arg_min(chunk_id, rank) AS winner FROM fused GROUP BY 1) f
   LEFT JOIN (SELECT query_id, max(score) AS s0, sum(score) AS s, count(*) AS n, arg_min(chunk_id, rank) AS first FROM dense GROUP BY 1) g USING (query_id)),
 o AS (SELECT s.query_id, s.chunk_id, s.rank AS before, s.score AS given, skip, {_OVER('b.text')} AS x, {_OVER('c.text')} AS y FROM fused s JOIN gate USING (query_id) JOIN benchmark b ON b.item_id = s.query_id JOIN c ON c.chunk_id = s.chunk_id),
@@ -155,19 +210,21 @@ nn AS (SELECT *, CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_intersect(x,
 final AS (SELECT query_id, chunk_id, round(sc, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, before) - 1 AS rank FROM nn WHERE NOT skip UNION ALL SELECT query_id, chunk_id, round(given, 6), before FROM nn WHERE skip),
 u AS (SELECT s.*, {_NORM} AS norm, regexp_matches(c.text, '^\s*\|.*\|\s*$') AS bar FROM final s JOIN c ON c.chunk_id = s.chunk_id WHERE s.rank < 12),
 v AS (SELECT *, length(norm) < 100 AND rank > 0 AND NOT bar AS fragment FROM u QUALIFY row_number() OVER (PARTITION BY query_id, norm ORDER BY rank) = 1),
-w AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fragment, rank) <= 8)
-SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS rank FROM w"""
+w AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fragment, rank) <= 8)"""
 
 
 def _d12(spark, d):
-    dense = _dense(spark, d)
-    parts = dense.select(F.col("query_id"), (F.col("key") % 4).cast("int").alias("entity"), "rank", "key", (F.col("key") % 7).alias("doc_id"))
-    own = dense.select("query_id", F.lit(0).alias("entity"), "rank", "key", (F.col("key") % 7).alias("doc_id"))
-    return R.merge_entities(own.unionByName(parts.where("entity > 0")))
+    """Questions about several things: a question's four quarters are retrieved by themselves, and merged with its own hits."""
+    q = _questions(spark, d)
+    words, n = F.split("question", " "), F.ceil(F.size(F.split("question", " ")) / 4).cast("int")
+    parts = q.select("query_id", words.alias("w"), n.alias("n"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("entity"))
+    asked = parts.select("query_id", "entity", F.array_join(F.slice("w", (F.col("entity") - 1) * F.col("n") + 1, F.col("n")), " ").alias("question")).where("question <> ''")
+    pool, final = R.retrieve_multi(q.withColumn("vector", _letters("question")), asked.withColumn("vector", _letters("question")), _index(spark, d), _chunks(spark, d), _vectors(spark, d), digits=6, store=stored)
+    return final.select("query_id", "chunk_id", "rank", F.lit("final").alias("list")).unionByName(pool.select("query_id", "chunk_id", F.lit(None).cast("long").alias("rank"), F.lit("pool").alias("list")))
 
 
 def _d13(spark, d):
-    return R.expand_neighbours(stored(_d11(spark, d)), stored(chunks(spark, d))).withColumn("score", F.round("score", 6))
+    return R.expand_neighbours(stored(_d11(spark, d)), _chunks(spark, d)).withColumn("score", F.round("score", 6))
 
 
 _CONT = lambda a, b: " OR ".join(f"regexp_matches({x}, '{p}')" for x in (a, b) for p in (r"^\s*\|.*\|\s*$", r"^\s*(\(?\d{1,2}[.)]|[Ss][Tt][Ee][Pp]\s+\d+|[a-h][.)])\s+\S"))
@@ -200,7 +257,7 @@ def _b13(spark, d):
 
 def _slice(spark, d):
     """The flagship: BM25 top 20 of benchmark items, and how many of the documents that hold an item are found."""
-    hits = _d3(spark, d).join(chunks(spark, d).select("chunk_id", "doc_id"), "chunk_id")
+    hits = _d3(spark, d).join(_chunks(spark, d).select("chunk_id", "doc_id"), "chunk_id")
     found = hits.select("query_id", "doc_id").distinct()
     expected = R.containing(_questions(spark, d), load(spark, d, "documents").select("doc_id", "text"), owner="doc_id", text="text")
     joined = expected.join(found.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
@@ -228,16 +285,17 @@ QUERIES = {
     "d1_inverted_index": (_d1, _FROM(_BM25, "SELECT term, cast(sum(tf) AS BIGINT) AS tf, count(*) AS df, round(max(idf), 6) AS idf FROM p JOIN idf USING (term) GROUP BY term")),
     "d2_bm25": (_scores, _FROM(_BM25, "SELECT * FROM scores")),
     "d3_sparse_top_k": (_d3, _FROM(_BM25, "SELECT * FROM sparse")),
-    "d4_dense_top_k": (_dense, _FROM(_DENSE, "SELECT * FROM dense")),
+    "d4_dense_top_k": (_d4, _FROM(_DENSE.replace("v.vec_id <> q.vec_id", "v.vec_id <> q.vec_id AND (q.vec_id % 200 <> 0 OR v.label = q.label)"), "SELECT * FROM dense")),
     "d5_rank_fusion": (_d5, _FROM(_LEGS, "SELECT * FROM fused")),
     "d6_rerank_gate": (
         _d6,
         _FROM(_LEGS, "SELECT f.query_id, coalesce(n > 1 AND s0 - (s - s0) / (n - 1) > 0.1 AND s0 > 0.36 AND first = winner, false) OR m <= 12 AS skip FROM (SELECT query_id, count(*) AS m, arg_min(key, rank) AS winner FROM fused GROUP BY 1) f LEFT JOIN (SELECT query_id, max(score) AS s0, sum(score) AS s, count(*) AS n, arg_min(key, rank) AS first FROM dense GROUP BY 1) d USING (query_id)"),
     ),
     "d7_rerank": (_d7, _FROM(_D7, "SELECT * FROM final WHERE rank < 12")),
-    "d8_exclusion": (_d8, _FROM(_BM25, "SELECT query_id, chunk_id, rank FROM sparse JOIN c USING (chunk_id) WHERE NOT (query_id % 2 = 0 AND doc_id % 3 = 0)")),
-    "d9_scope": (_d9, _FROM(_BM25, f"SELECT query_id, s.chunk_id, rank, score FROM sparse s JOIN {CHUNKS} k ON k.chunk_id = s.chunk_id WHERE query_id % 3 = 0 OR query_id % 3 = 1 AND lang IN ('en', 'de')")),
-    "d10_pipeline": (_d10, _FROM(_D10.split("\nSELECT query_id, chunk_id, score, row_number()")[0], "SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS rank FROM w")),
+    "d8_exclusion": (_d8, _FROM(_BM25 + ", " + _EXCLUDES + ", " + _VIS("true", True), _SCOPED)),
+    "d9_scope": (_d9, _FROM(_BM25 + ", " + _VIS(_SEES, False), _SCOPED)),
+    "d10_pipeline": (_d10, _FROM(_D10, """SELECT query_id, chunk_id, round(score, 6) AS score, rank, 'fused' AS list FROM fused
+  UNION ALL SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1, 'final' FROM w""")),
     "d11_tidy": (_d11, _FROM(_TIDY, "SELECT * FROM tidied")),
     "d12_entity_merge": (_d12, None),
     "d13_neighbours": (_d13, "WITH " + _D13),
