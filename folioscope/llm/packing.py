@@ -225,24 +225,38 @@ class _Search:
         return any(free(x + y, x + y + waste) for i, x in enumerate(sizes) for y in sizes[i:] if x != y or own[x] > 1)
 
     def fillings(self, most_waste: int, after: tuple[int, Filling]) -> Iterator[tuple[int, Filling]]:
-        """(waste, lengths) of undominated fillings around the largest piece, least waste and then largest pieces first, from after on."""
+        """(waste, lengths) of undominated fillings around the largest piece, least waste and then largest pieces first, from after on.
+
+        A filling is not complete while a piece of its waste or less is left, so all of these are in it, whatever else is.
+        """
         first = self.counts.largest(self.capacity)
         room = self.capacity - first
         self.counts.take((first,), 1)
-        smallest = (self.counts.bits & -self.counts.bits).bit_length() - 1 if self.counts.bits else self.capacity + 1
+        low = (self.counts.bits & -self.counts.bits).bit_length() - 1 if self.counts.bits else room + 1
+        small = sorted((k, self.counts.of[k]) for k in self.counts.of if k <= room) if low <= min(most_waste, room) else []
         self.counts.give((first,), 1)
-        for waste in range(max(0, after[0]), min(most_waste, room, smallest - 1) + 1):
+        for waste in range(max(0, after[0]), min(most_waste, room) + 1):
+            forced = tuple(k for k, n in small if k <= waste for _ in range(min(n, room // k + 1)))[::-1] if waste >= low else ()
+            rest = room - waste - sum(forced)
+            if rest < 0:
+                return  # more waste only forces more pieces into less room
             self.counts.take((first,), 1)
-            sums = self._sums(room - waste, room)
+            for k in forced:
+                self.counts.take((k,), 1)
+            sums = self._sums(rest, rest)
             while True:  # the counts are as they were whenever a filling is handed out
                 more = next(sums, None)
+                for k in forced:
+                    self.counts.give((k,), 1)
                 self.counts.give((first,), 1)
                 if more is None:
                     break
-                filling = (first, *more)
+                filling = (first, *more, *forced)
                 if (waste, tuple(-k for k in filling)) >= (after[0], tuple(-k for k in after[1])) and not self._dominated(filling, waste):
                     yield waste, filling
                 self.counts.take((first,), 1)
+                for k in forced:
+                    self.counts.take((k,), 1)
 
 
 @dataclass
@@ -321,13 +335,14 @@ def rank_ranges(packing: list[tuple[int, Filling]]) -> list[tuple[int, int, int,
     return rows
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, most_steps: int = STEPS) -> DataFrame:
     """pieces (of tokenized()) with sequence_id, offset, lower_bound (of the number of sequences) and optimal (whether it is proven that
-    no packing has fewer); what reaches the driver is one count for each length. No pieces give no rows."""
+    no packing has fewer); what reaches the driver is one count for each length. No pieces give no rows. The search takes most_steps at most;
+    with enough of them it always ends with a proof."""
     spark = pieces.sparkSession
     by_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r[0]: r[1] for r in by_task.groupBy("length").agg(F.sum("n")).collect()}
-    packing = complete_bins(histogram, capacity)
+    packing = complete_bins(histogram, capacity, most_steps)
     ranges = spark.createDataFrame(rank_ranges(packing.bins), "length long, low long, high long, each long, first long, base long")
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     firsts = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,9 @@ MORE = (
 RULES = BASE + MORE
 
 
+#: Blobs of 64 characters that are broadcast at most.
+FEW_BLOBS = 200_000
+
 _SPANS = "array<struct<start:int,kind_order:int,end:int>>"
 
 
@@ -54,10 +58,10 @@ def _lengths(text: Column, rule: Rule) -> Column:
     )
 
 
-def _spans(fresh: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, spans) of fresh (blob, text, todo), blobs with findings only: the sums of lengths are positions."""
+def _spans(fresh: DataFrame, rules: tuple[Rule, ...], tried: tuple[Rule, ...]) -> DataFrame:
+    """(blob, spans) of fresh (blob, text, todo), blobs with findings only, by those of rules that are tried: the sums of lengths are positions."""
     none = F.array().cast("array<struct<gap:int,length:int,counts:boolean>>")
-    per_rule = [F.when(F.array_contains("todo", _name(r)) & F.col("text").rlike(r.pattern), _lengths(F.col("text"), r)).otherwise(none) for r in rules]
+    per_rule = [F.when(F.array_contains("todo", _name(r)) & F.col("text").rlike(r.pattern), _lengths(F.col("text"), r)).otherwise(none) if r in tried else none for r in rules]
     by_rule = fresh.select("blob", F.posexplode(F.array(*per_rule)).alias("kind_order", "hits")).where(F.size("hits") > 0)
     hits = by_rule.select("blob", "kind_order", F.posexplode("hits").alias("nth", "hit")).select("blob", "kind_order", "nth", "hit.*")
     upto = Window.partitionBy("blob", "kind_order").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
@@ -76,11 +80,20 @@ def ledger_rows(todo: DataFrame) -> DataFrame:
     return todo.select("blob", F.explode("todo").alias("pair")).select("blob", pair[0].alias("rule"), pair[1].cast("int").alias("version"))
 
 
+def _matching(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """rows whose text has a match of any of the rules; each blob once."""
+    any_rule = F.lit(False)
+    for r in rules:
+        any_rule = any_rule | F.col("text").rlike(r.pattern)
+    return rows.where(any_rule).dropDuplicates(["blob"])
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scan docs (doc_id, text); returns (per row of docs: doc_id, blob, spans), (findings: blob, spans), (new ledger rows).
+    """Scan docs (doc_id, text); returns (per row of docs: doc_id, blob, spans), (new findings: blob, spans), (new ledger rows).
 
-    ledger and findings are those of earlier runs, whose rules begin these. A null text is empty; a repeated row gives the row again; an empty table
-    gives no rows; other columns are ignored. spans are sorted by start, then by the rules' order.
+    ledger and findings are those of earlier runs, whose rules begin these. A rule version that the ledger doesn't know is tried on every text; one that it
+    knows on texts of blobs alone that it lacks for it, which are found before any text is looked at. A null text is empty; a repeated row gives the row
+    again; an empty table gives no rows; a null doc_id is a path like any other; other columns are ignored. spans are sorted by start, then by the rules' order.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     source = own_columns(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.sha2(text, 256).alias("blob"))
@@ -88,35 +101,47 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, findings: DataFrame |
     blobs = versions.select("blob").distinct()
     every = F.array(*[F.lit(_name(r)) for r in rules])
     if ledger is None:
-        todo = blobs.withColumn("todo", every)
+        fresh, todo = rules, blobs.withColumn("todo", every)
     else:
+        known = {f"{r[0]}:{r[1]}" for r in ledger.select("rule", "version").distinct().collect()}  # rule versions, not blobs
+        fresh = tuple(r for r in rules if _name(r) not in known)
         seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", "version")).alias("seen"))
         todo = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("todo") > 0).drop("seen")
-    any_rule = F.lit(False)
-    for r in rules:
-        any_rule = any_rule | F.col("text").rlike(r.pattern)
-    fresh = source.where(any_rule).dropDuplicates(["blob"]).join(todo, "blob").select("blob", "text", "todo")  # other texts have no match
-    found = _spans(fresh, rules)
-    if findings is not None:
-        found = found.unionByName(findings)
-    found = found.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    found = saved(found, "findings")
-    out = versions.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
-    return out, found, ledger_rows(todo)
+        todo = saved(todo, "todo")
+    found = []
+    if fresh:
+        found.append(_spans(_matching(source, fresh).withColumn("todo", every), rules, fresh))
+    old = tuple(r for r in rules if r not in fresh)
+    if old:
+        lacking = todo.where(F.arrays_overlap("todo", F.array(*[F.lit(_name(r)) for r in old])))
+        n = lacking.count()
+        if n:
+            lacking = F.broadcast(lacking) if n <= FEW_BLOBS else lacking
+            found.append(_spans(_matching(source.join(lacking, "blob"), old), rules, old))
+    new = saved(_sorted(found), "findings") if found else docs.sparkSession.createDataFrame([], f"blob string, spans {_SPANS}")
+    whole = new if findings is None else _sorted([new, findings])
+    out = versions.join(whole, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+    return out, new, ledger_rows(todo)
+
+
+def _sorted(found: list[DataFrame]) -> DataFrame:
+    """One row for each blob of some findings, its spans in order and once each."""
+    return reduce(DataFrame.unionByName, found).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
 def scan_with_ledger(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """scan() of what the ledger in a folder of the shared store doesn't list yet; returns doc_id, blob and spans per row of docs.
 
-    Findings are appended before ledger rows, so a run that fails between them is only repeated. The first run makes the folder.
+    A run adds its own findings and ledger rows alone, findings first, so that one that fails between them is only repeated (a span that was written
+    twice counts once). The first run makes the folder; an empty table adds nothing; nulls and repeated rows as in scan().
     """
     spark, parts = docs.sparkSession, ("ledger", "findings")
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/ledger/_SUCCESS")
     begun = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
     ledger, findings = (spark.read.parquet(f"{folder}/{x}") for x in parts) if begun else (None, None)
-    rows, found, new = scan(docs, ledger, findings, rules)
-    found.write.mode("append").parquet(f"{folder}/findings")
-    new.write.mode("append").parquet(f"{folder}/ledger")
+    rows, new, pairs = scan(docs, ledger, findings, rules)
+    new.write.mode("append").parquet(f"{folder}/findings")
+    pairs.write.mode("append").parquet(f"{folder}/ledger")
     return rows
 
 
