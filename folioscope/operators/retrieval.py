@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as X
 from folioscope.operators.scoring import Scope, dense_top_k, sparse_top_k
 from folioscope.plans.ship import ship
+from folioscope.plans.tables import stored
 
 K1, B = 1.5, 0.75
 #: Bytes of a table that is broadcast by hint at most; beyond, Spark chooses the join.
@@ -67,7 +68,7 @@ class Index:
     average: float
 
 
-def build_index(chunks: DataFrame, store=lambda df: df) -> Index:
+def build_index(chunks: DataFrame, store=stored) -> Index:
     """The index of chunks (chunk_id, doc_id, text); store writes a table and reads it back."""
     tokens = store(chunks.select(F.col("chunk_id").alias("key"), "doc_id", X.tokenise(F.col("text")).alias("tokens")))
     postings, terms, lengths = build_postings(tokens.select(F.col("key").alias("chunk_id"), "tokens"), store)
@@ -234,13 +235,13 @@ def instructed(query: Column, instruction: Column) -> Column:
 
 
 def retrieve(
-    queries: DataFrame, index: Index, chunks: DataFrame, vectors: DataFrame, scope: Scope = Scope(), k: int = 20, keep: int = 12, last: int = 8, scorer=None, digits: int | None = None, store=lambda df: df, **gate
+    queries: DataFrame, index: Index, chunks: DataFrame, vectors: DataFrame, scope: Scope = Scope(), k: int = 20, keep: int = 12, last: int = 8, scorer=None, digits: int | None = None, store=stored, **gate
 ) -> tuple[DataFrame, DataFrame]:
     """(fused candidates, final hits), each query_id, chunk_id, score, rank, for queries (query_id, question, vector) over chunks (chunk_id,
     doc_id, text) and their vectors (key, doc_id, vector of unit length).
 
     Dense and sparse leg of k each among what a query's scope shows, fusion, the gate, rerank of what it lets through, and tidy to the last
-    few. gate: the bounds of rerank_skips(). store keeps each leg's and the fusion's few rows, and the texts of candidates.
+    few. gate: the bounds of rerank_skips(). store writes each leg's and the fusion's few rows, and the texts of candidates, and reads them back.
     """
     dense = store(dense_top_k(queries, vectors, k, scope, digits).withColumnRenamed("key", "chunk_id"))
     sparse = store(sparse_top_k(queries, index.tokens, index.terms, index.average, k, scope, digits).withColumnRenamed("key", "chunk_id"))
@@ -250,7 +251,7 @@ def retrieve(
     return fused, tidy(rerank(fused, skips, queries, texts, "chunk_id", keep=keep, scorer=scorer), texts, "chunk_id", keep=last)
 
 
-def retrieve_multi(queries: DataFrame, asked: DataFrame, index: Index, chunks: DataFrame, vectors: DataFrame, scope: Scope = Scope(), most: int = 4, slots: int = 2, doc_cap: int = 4, last: int = 8, store=lambda df: df, **options) -> tuple[DataFrame, DataFrame]:
+def retrieve_multi(queries: DataFrame, asked: DataFrame, index: Index, chunks: DataFrame, vectors: DataFrame, scope: Scope = Scope(), most: int = 4, slots: int = 2, doc_cap: int = 4, last: int = 8, store=stored, **options) -> tuple[DataFrame, DataFrame]:
     """(pool, final) for queries (query_id, question, vector) about several entities: asked (query_id, entity, question, vector; entity from 1) has a
     question for each, of which the first few count. Every question is retrieved by itself in its query's scope; final (query_id, chunk_id,
     rank) merges their lists, pool (query_id, chunk_id) has all their candidates once."""

@@ -35,14 +35,14 @@ _G2 = f"""{_T}, {_S}, p AS (SELECT session_id, 0 AS kind, 0 AS place, 'Summary:
   UNION ALL SELECT session_id, 1, i - 1, '- ' || facts[i] FROM (SELECT *, unnest([1, 2, 3]) AS i FROM ses)
   UNION ALL SELECT session_id, 2, row_number() OVER (PARTITION BY session_id ORDER BY turn_number DESC) - 1 AS n, 'User: ' || user_query || chr(10) || 'Assistant: ' || substr(answer, 1, 150) FROM t QUALIFY n < 5),
 c AS (SELECT *, {_N('part')} AS cost, sum({_N('part')}) OVER (PARTITION BY session_id, kind ORDER BY place) AS run FROM p),
-k0 AS (SELECT * FROM c WHERE kind = 0 AND run <= 60), s0 AS (SELECT session_id, sum(cost) AS s FROM k0 GROUP BY 1),
-k1 AS (SELECT c.* FROM c LEFT JOIN s0 USING (session_id) WHERE kind = 1 AND coalesce(s, 0) + run <= 60), s1 AS (SELECT session_id, sum(cost) AS s FROM (FROM k0 UNION ALL FROM k1) GROUP BY 1),
-k2 AS (SELECT c.* FROM c LEFT JOIN s1 USING (session_id) WHERE kind = 2 AND coalesce(s, 0) + run <= 60)
+k0 AS (SELECT * FROM c WHERE kind = 0 AND run <= 1500), s0 AS (SELECT session_id, sum(cost) AS s FROM k0 GROUP BY 1),
+k1 AS (SELECT c.* FROM c LEFT JOIN s0 USING (session_id) WHERE kind = 1 AND coalesce(s, 0) + run <= 1500), s1 AS (SELECT session_id, sum(cost) AS s FROM (FROM k0 UNION ALL FROM k1) GROUP BY 1),
+k2 AS (SELECT c.* FROM c LEFT JOIN s1 USING (session_id) WHERE kind = 2 AND coalesce(s, 0) + run <= 1500)
 SELECT session_id, md5(string_agg(part, chr(10) ORDER BY kind, place)) AS context, cast(sum(cost) AS BIGINT) AS tokens FROM (FROM k0 UNION ALL FROM k1 UNION ALL FROM k2) GROUP BY 1"""
 
 
 def _g2(s, d):
-    r = G.conversation_context(_turns(s, d), _sessions(s, d), budget=60)
+    r = G.conversation_context(_turns(s, d), _sessions(s, d), budget=1500)
     return r.select("session_id", F.md5("context").alias("context"), F.col("tokens").cast("long").alias("tokens"))
 
 
@@ -130,7 +130,15 @@ def _b9(s, d):
 
 
 def _chunked(s, d):
-    return S.chunk_pages(pages(s, d), max_tokens=64, min_tokens=16)
+    return S.chunk_pages(pages(s, d))
+
+
+def _grouped_lines(s, d):
+    """Five lines of a document as one text; in every other document some rows are a table's rule."""
+    c = chunks(s, d)
+    ruled = F.when((F.col("chunk_index") % 5 == 1) & (F.col("doc_id") % 2 == 0) & F.col("text").rlike(r"^\s*\|"), "|---|---|").otherwise(F.col("text"))
+    lines = F.array_sort(F.collect_list(F.struct("chunk_index", ruled.alias("line"))))
+    return c.groupBy("doc_id", "lang", F.floor(F.col("chunk_index") / 5).alias("g")).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
 
 
 def _a4(s, d):
@@ -183,15 +191,18 @@ QUERIES = {
     ),
     "b12_chunks": (_chunked, None),
     "b14_chunk_statistics": (
-        lambda s, d: S.chunk_stats(chunks(s, d), "lang"),
-        rf"SELECT lang, count(*) AS chunks, cast(sum(n) AS BIGINT) AS tokens, count(*) FILTER (n < 48) AS small, count(*) FILTER (bar) AS table_openings, count(*) FILTER (bar) AS row_edges FROM (SELECT lang, {_N('text')} AS n, regexp_matches(text, '^\s*\|.*\|\s*$') AS bar FROM {CHUNKS}) GROUP BY 1",
+        lambda s, d: S.chunk_stats(_grouped_lines(s, d), "lang"),
+        rf"""SELECT lang, count(*) AS chunks, cast(sum(n) AS BIGINT) AS tokens, count(*) FILTER (n < 48) AS small, count(*) FILTER (opens AND NOT headed) AS bare_openings, count(*) FILTER (opens OR ends) AS row_edges
+  FROM (SELECT lang, {_N('text')} AS n, regexp_matches(x[1], '^\s*\|.*\|\s*$') AS opens, regexp_matches(x[-1], '^\s*\|.*\|\s*$') AS ends, list_bool_or(list_transform(x[:3], lambda y: regexp_matches(y, '^\s*\|[\s:|-]*-{{3,}}[\s:|-]*\|\s*$'))) AS headed
+    FROM (SELECT lang, string_agg(text, chr(10) ORDER BY chunk_index) AS text, string_split(string_agg(text, chr(10) ORDER BY chunk_index), chr(10)) AS x
+      FROM (SELECT doc_id, lang, chunk_index, CASE WHEN chunk_index % 5 = 1 AND doc_id % 2 = 0 AND regexp_matches(text, '^\s*\|') THEN '|---|---|' ELSE text END AS text FROM {CHUNKS}) GROUP BY doc_id, lang, chunk_index // 5)) GROUP BY 1""",
     ),
     "g1_intent": (
         _g1,
         "SELECT conv_id, turn, CASE WHEN NOT lib THEN 'rag' WHEN conv_id % 4 = 1 OR ask THEN 'compound' ELSE 'library' END AS intent, CASE WHEN NOT lib THEN 1.0 WHEN conv_id % 4 = 1 OR ask THEN 0.9 ELSE 0.95 END AS confidence FROM (SELECT conv_id, turn, conv_id % 4 <> 2 AS lib, regexp_matches(lower(text), ' (about|regarding|related to|on the topic of|concerning|and|also|plus|as well as) ') OR regexp_matches(lower(text), '^(and|also|plus) ') AS ask FROM conversations)",
     ),
     "g2_context": (_g2, "WITH " + _G2),
-    "g3_recent_turns": (lambda s, d: G.recent_turns(_turns(s, d), 2, 50).select("session_id", "turn_number", "answer", "place"), f"WITH {_T}, r AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn_number DESC) <= 2) SELECT session_id, turn_number, substr(answer, 1, 50) AS answer, row_number() OVER (PARTITION BY session_id ORDER BY turn_number) - 1 AS place FROM r"),
+    "g3_recent_turns": (lambda s, d: G.recent_turns(_turns(s, d)).select("session_id", "turn_number", "answer", "place"), f"WITH {_T}, r AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn_number DESC) <= 5) SELECT session_id, turn_number, substr(answer, 1, 500) AS answer, row_number() OVER (PARTITION BY session_id ORDER BY turn_number) - 1 AS place FROM r"),
     "g4_session_list": (lambda s, d: G.session_summaries(_sessions(s, d), _turns(s, d)), f"WITH {_T} SELECT session_id, count(*) AS turns, cast(sum(coalesce(tokens, 0)) AS BIGINT) AS tokens, max(ts) AS changed FROM t GROUP BY 1"),
     "g5_compact": (lambda s, d: G.clear(G.compact(_turns(s, d)), _sessions(s, d).where("session_id % 4 = 0")).select("session_id", "turn_number"), f"WITH {_T} SELECT session_id, turn_number FROM t WHERE session_id % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn_number DESC) <= 2"),
     "g6_scope": (_g6, "SELECT event_id, CASE WHEN event_id % 7 = 0 AND event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN event_id % 4 || ',' || event_id % 3 WHEN event_id % 5 = 0 THEN cast(event_id % 3 AS VARCHAR) WHEN event_id % 4 = event_id % 3 THEN event_id % 4 || ',' || event_id % 3 ELSE cast(event_id % 3 AS VARCHAR) END AS ids FROM events"),
