@@ -85,9 +85,14 @@ def build_postings(tokens: DataFrame, store=lambda df: df) -> tuple[DataFrame, D
     total = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))  # one row
     lengths = tokens.select("chunk_id", F.size("tokens").alias("dl")).join(F.broadcast(total.select("avgdl")))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total.select("n")))
-    raw = df.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    return postings, idf_of(df, F.col("n")), lengths
+
+
+def idf_of(df: DataFrame, n: Column) -> DataFrame:
+    """(term, idf) of document frequencies (term, df) among n chunks."""
+    raw = df.select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     floor = raw.agg((F.avg("raw") * 0.25).alias("floor"))
-    return postings, raw.join(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf")), lengths
+    return raw.join(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25(queries: DataFrame, postings: DataFrame, terms: DataFrame, lengths: DataFrame) -> DataFrame:

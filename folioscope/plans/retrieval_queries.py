@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from folioscope.operators import retrieval as R
+from folioscope.operators.maintained import MaintainedIndex
 from folioscope.operators.scoring import Scope, dense_top_k, excluded_documents, sparse_top_k, unit
-from folioscope.plans.tables import CHUNKS, chunks, load, stored
+from folioscope.plans.tables import CHUNKS, chunks, load, shared_folder, stored
 
 _KEPT: dict[tuple[str, str, str], object] = {}
 
@@ -63,6 +64,21 @@ def _d1(spark, d):
     return postings.join(terms, "term").groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"), F.round(F.max("idf"), 6).alias("idf"))
 
 
+def _d1_maintained(spark, d):
+    """An index that follows three batches: two thirds of the documents; the others, with every fifth one changed; deletions, and every eleventh one changed."""
+    c = chunks(spark, d)
+    index = MaintainedIndex(spark, shared_folder(spark), buckets=16)
+    index.apply(c.where("doc_id % 3 > 0"))
+    index.apply(c.where("doc_id % 3 = 0 AND doc_id % 5 > 0 OR doc_id % 5 = 0 AND chunk_index % 2 = 0"))
+    again = c.where("doc_id % 11 = 0 AND doc_id % 7 > 0").withColumn("text", F.concat(F.lit("again "), "text"))
+    index.apply(again, load(spark, d, "documents").where("doc_id % 7 = 0").select("doc_id"))
+    now = index.index()
+    return now.postings.join(now.terms, "term").groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"), F.round(F.max("idf"), 6).alias("idf"))
+
+
+_MAINTAINED = f"(SELECT chunk_id, doc_id, chunk_index, CASE WHEN doc_id % 11 = 0 THEN 'again ' || text ELSE text END AS text FROM {CHUNKS} WHERE doc_id % 7 > 0 AND (doc_id % 5 > 0 OR chunk_index % 2 = 0 OR doc_id % 11 = 0))"
+
+
 def _sparse(spark, d, scope=Scope()):
     i = _index(spark, d)
     return stored(sparse_top_k(_questions(spark, d), i.tokens, i.terms, i.average, 20, scope, 6).withColumnRenamed("key", "chunk_id"))
@@ -283,6 +299,7 @@ QUERIES = {
     ),
     "b13_context_prefix": (_b13, f"SELECT chunk_id, '[Source: doc_' || doc_id || ' | Page: ' || chunk_index || CASE WHEN lang = 'en' THEN ' | Section: Main' ELSE '' END || ']' AS prefix FROM {CHUNKS}"),
     "d1_inverted_index": (_d1, _FROM(_BM25, "SELECT term, cast(sum(tf) AS BIGINT) AS tf, count(*) AS df, round(max(idf), 6) AS idf FROM p JOIN idf USING (term) GROUP BY term")),
+    "d1_maintained_index": (_d1_maintained, _FROM(_BM25.replace(CHUNKS, _MAINTAINED), "SELECT term, cast(sum(tf) AS BIGINT) AS tf, count(*) AS df, round(max(idf), 6) AS idf FROM p JOIN idf USING (term) GROUP BY term")),
     "d2_bm25": (_scores, _FROM(_BM25, "SELECT * FROM scores")),
     "d3_sparse_top_k": (_d3, _FROM(_BM25, "SELECT * FROM sparse")),
     "d4_dense_top_k": (_d4, _FROM(_DENSE.replace("v.vec_id <> q.vec_id", "v.vec_id <> q.vec_id AND (q.vec_id % 200 <> 0 OR v.label = q.label)"), "SELECT * FROM dense")),

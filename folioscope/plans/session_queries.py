@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as X
 from folioscope.operators import conversation as G
 from folioscope.operators import shaping as S
-from folioscope.plans.tables import CHUNKS, PAGES, chunks, load, pages
+from folioscope.plans.tables import CHUNKS, PAGES, chunks, load, pages, shared_folder
+from folioscope.sources.store import BucketStore, worked_out
 from folioscope.streaming import live as L
 
 
@@ -147,21 +148,29 @@ def _a4(s, d):
 
 
 def _a10(s, d):
+    """A store of chunks: filled, a third of it replaced, a fifth deleted."""
     c = chunks(s, d).select("chunk_id", "doc_id", F.length("text").alias("n"))
-    new = c.where("doc_id % 3 = 0").withColumn("n", F.lit(0))
-    kept = S.delete_where(S.upsert(c, new, ["chunk_id"]), load(s, d, "documents").where("doc_id % 5 = 0"), ["doc_id"])
-    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("n").alias("length"))
+    store = BucketStore(s, shared_folder(s), "chunk_id string, doc_id long, n int", buckets=32)
+    store.upsert(c, ["chunk_id"])
+    store.upsert(c.where("doc_id % 3 = 0").withColumn("n", F.lit(0)), ["chunk_id"])
+    store.delete(load(s, d, "documents").where("doc_id % 5 = 0"))
+    return store.rows().groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("n").alias("length"))
 
 
 def _a11(s, d):
-    c = chunks(s, d)
+    store = BucketStore(s, shared_folder(s), "chunk_id string, doc_id long, chunk_index long, text string", buckets=32)
+    store.upsert(chunks(s, d), ["chunk_id"])
     wanted = load(s, d, "documents").select("doc_id", (F.col("doc_id") % 4).alias("chunk_index"))
-    return S.lookup(c, wanted, ["doc_id", "chunk_index"]).select("chunk_id", "text")
+    return store.lookup(wanted, ["chunk_index"]).select("chunk_id", "text")
 
 
 def _a12(s, d):
-    x = load(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), (F.col("doc_id") % 2).alias("fingerprint"))
-    return S.pending(x, x.where("doc_id % 3 = 0"), ["sha", "fingerprint"]).select("doc_id")
+    """Words of texts by two runs with one cache: a third of the documents, then all of them."""
+    x = load(s, d, "documents").select("doc_id", "text", F.sha2("text", 256).alias("sha"), (F.col("doc_id") % 2).alias("fingerprint"))
+    path, keys = shared_folder(s), ["sha", "fingerprint"]
+    for n, part in ((1, x.where("doc_id % 3 = 0")), (2, x)):
+        found = worked_out(part, path, keys, lambda rows, n=n: rows.select(*keys, X.word_count(F.col("text")).cast("long").alias("words"), F.lit(n).alias("run")), "sha string, fingerprint long, words long, run int")
+    return x.join(found, keys).select("doc_id", "words", "run")
 
 
 def _stream(f, mode):
@@ -176,7 +185,10 @@ QUERIES = {
     ),
     "a10_chunk_store": (_a10, f"SELECT doc_id, count(*) AS chunks, cast(sum(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE length(text) END) AS BIGINT) AS length FROM {CHUNKS} WHERE doc_id % 5 <> 0 GROUP BY 1"),
     "a11_lookup": (_a11, f"SELECT chunk_id, text FROM {CHUNKS} WHERE chunk_index = doc_id % 4"),
-    "a12_pending": (_a12, "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id % 3 = 0 AND x.text = d.text AND x.doc_id % 2 = d.doc_id % 2)"),
+    "a12_pending": (
+        _a12,
+        f"SELECT doc_id, cast({_N('text')} AS BIGINT) AS words, CASE WHEN EXISTS (SELECT 1 FROM documents x WHERE x.doc_id % 3 = 0 AND x.text = d.text AND x.doc_id % 2 = d.doc_id % 2) THEN 1 ELSE 2 END AS run FROM documents d WHERE text IS NOT NULL",
+    ),
     "b4_sections": (
         lambda s, d: S.sections(_paragraphs(s, d)).select("doc_id", "section", "heading", F.md5("text").alias("digest")),
         f"WITH p AS (SELECT doc_id, chunk_index, text, length(text) < 60 AS h FROM {CHUNKS}), q AS (SELECT *, sum(cast(h AS INTEGER)) OVER w + 1 - first_value(cast(h AS INTEGER)) OVER w AS section FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)) SELECT doc_id, section, max(text) FILTER (h) AS heading, md5(string_agg(text, chr(10) ORDER BY chunk_index)) AS digest FROM q GROUP BY doc_id, section",
