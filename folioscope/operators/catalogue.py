@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
+from folioscope.operators.edits import above
 from folioscope.operators.retrieval import ranked, small
 
 #: Progress of a document by stage (fixed values), and the most that a batch in work shows.
@@ -123,11 +124,10 @@ def folder_tree(rows: DataFrame, placements: DataFrame) -> DataFrame:
 
 
 def deletable(folders: DataFrame, placements: DataFrame) -> DataFrame:
-    """folders (root, path) with blocked: whether a placement or another folder lies under it."""
-    under = F.concat("path", F.lit("/"))
-    inner = folders.select("root", F.col("path").alias("_x")).unionByName(placements.select("root", F.col("folder").alias("_x")).withColumn("_x", F.concat("_x", F.lit("/")))).distinct()
-    hit = folders.join(inner, "root").where(F.startswith("_x", under)).select("root", "path").distinct().withColumn("blocked", F.lit(True))
-    return folders.join(hit, ["root", "path"], "left").na.fill(False, ["blocked"])
+    """folders (root, path) with blocked: whether a placement (root, folder) lies at or under it, or another folder under it."""
+    over = F.filter(above(F.col("path")), lambda x: x != F.col("path"))
+    inner = folders.select("root", F.explode(over).alias("path")).unionByName(placements.select("root", F.explode(above(F.col("folder"))).alias("path"))).distinct()
+    return folders.join(inner.withColumn("blocked", F.lit(True)), ["root", "path"], "left").na.fill(False, ["blocked"])
 
 
 def selection_state(nodes: DataFrame, scope: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.operators import catalogue as K
+from folioscope.operators.edits import replay
 from folioscope.operators.retrieval import ranked
 from folioscope.plans.tables import CATALOGUE, catalogue, load
 
@@ -44,6 +45,51 @@ def _h12(s, d):
     return K.deletable(folders, placements)
 
 
+_FOLDERS = ("a", "a/b", "a/b/c", "a/d", "e", "e/f", "g", "")
+
+
+def _edits(s, d):
+    """Edits by event: of 3 roots, 8 paths, and a document for each user; half of them on folders."""
+    e = load(s, d, "events")
+    i = F.col("event_id")
+    mixed = F.conv(F.substring(F.md5(i.cast("string")), 1, 8), 16, 10).cast("long")
+    kind = F.get(F.array(*map(F.lit, ("create", "remove", "create", "remove", "place", "clear", "clear", "delete"))), (mixed % 8).cast("int"))
+    root = F.concat(F.lit("r"), (mixed / 64).cast("long") % 3)
+    return e.select(i.alias("seq"), kind.alias("kind"), root.alias("root"), F.get(F.array(*map(F.lit, _FOLDERS)), ((mixed / 1024).cast("long") % 8).cast("int")).alias("path"), F.col("user_id").alias("document_id"))
+
+
+def _edits_sql(t="events"):
+    paths = "[" + ", ".join(f"'{p}'" for p in _FOLDERS) + "]"
+    return f"""m AS (SELECT event_id, user_id, cast('0x' || substr(md5(event_id::VARCHAR), 1, 8) AS BIGINT) AS x FROM {t}),
+ed AS (SELECT event_id AS seq, ['create', 'remove', 'create', 'remove', 'place', 'clear', 'clear', 'delete'][x % 8 + 1] AS kind, 'r' || x // 64 % 3 AS root, {paths}[x // 1024 % 8 + 1] AS path, user_id AS document_id FROM m)"""
+
+
+def _h12_replay(s, d):
+    """What became of each edit; and the folders and placements that are left, without a number."""
+    e = _edits(s, d)
+    outcomes, folders, placements, _ = replay(e, e.where("false").select("root", "path"), e.where("false").select("document_id", "root", "path"))
+    left = folders.select(F.lit(None).cast("long").alias("seq"), F.concat_ws(":", F.lit("folder"), "root", "path").alias("outcome"))
+    return outcomes.unionByName(left).unionByName(placements.select(F.lit(None).cast("long").alias("seq"), F.concat_ws(":", F.lit("document"), "document_id", "root", "path").alias("outcome")))
+
+
+_REPLAY = f"""WITH RECURSIVE {_edits_sql()},
+own AS (SELECT *, lag(kind) OVER w AS was, lead(seq) OVER w AS until FROM ed WHERE kind IN ('place', 'clear', 'delete') WINDOW w AS (PARTITION BY document_id ORDER BY seq)),
+rem AS (SELECT e.*, EXISTS (SELECT 1 FROM own o WHERE o.kind = 'place' AND o.root = e.root AND (o.path = e.path OR starts_with(o.path, e.path || '/')) AND o.seq < e.seq AND (o.until IS NULL OR o.until > e.seq)) AS used,
+  row_number() OVER (PARTITION BY root ORDER BY seq) AS n FROM ed e WHERE kind IN ('create', 'remove')),
+fold AS (
+  SELECT root, 0::BIGINT AS n, -1::BIGINT AS seq, [] ::VARCHAR[] AS folders, '' AS outcome FROM (SELECT DISTINCT root FROM rem)
+  UNION ALL
+  SELECT root, n, seq, CASE outcome WHEN 'created' THEN list_append(folders, path) WHEN 'removed' THEN list_filter(folders, lambda f: f <> path) ELSE folders END, outcome FROM (
+    SELECT r.root, r.n, r.seq, r.path, f.folders, CASE WHEN r.kind = 'create' THEN CASE WHEN list_contains(f.folders, r.path) THEN 'exists' ELSE 'created' END
+      WHEN NOT list_contains(f.folders, r.path) THEN 'absent' WHEN r.used OR len(list_filter(f.folders, lambda y: starts_with(y, r.path || '/'))) > 0 THEN 'blocked' ELSE 'removed' END AS outcome
+    FROM fold f JOIN rem r ON r.root = f.root AND r.n = f.n + 1)
+)
+SELECT seq, outcome FROM fold WHERE n > 0
+UNION ALL SELECT seq, CASE WHEN kind = 'place' THEN CASE WHEN was = 'place' THEN 'moved' ELSE 'placed' END WHEN was = 'place' THEN CASE kind WHEN 'clear' THEN 'cleared' ELSE 'deleted' END ELSE 'nothing' END FROM own
+UNION ALL SELECT NULL, 'folder:' || root || ':' || unnest(folders) FROM fold f WHERE n = (SELECT max(n) FROM fold g WHERE g.root = f.root)
+UNION ALL SELECT NULL, 'document:' || document_id || ':' || root || ':' || path FROM own WHERE kind = 'place' AND until IS NULL"""
+
+
 def _aces(s, d):
     o = load(s, d, "lineitem")
     everyone = (F.col("l_linenumber") == 7) | (F.col("l_partkey") % 50 == 0)
@@ -162,6 +208,7 @@ QUERIES = {
         SELECT root, path, count(DISTINCT id) AS documents, count(*) FILTER (status = 'processing') AS in_work, array_to_string(list_transform(regexp_extract_all(lower(path), '\\d+|\\D+'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(x, 12, '0') ELSE x END), '') AS sort_key FROM e GROUP BY root, path""".replace("\\\\", "\\"),
     ),
     "h12_deletable_folders": (_h12, f"WITH f AS (SELECT DISTINCT lang || '/' || source AS path, lang FROM {CATALOGUE}), p AS (SELECT DISTINCT lang || '/' || source AS path FROM {CATALOGUE} WHERE n % 40 = 3) SELECT 'r' AS root, path, path IN (SELECT path FROM p) AS blocked FROM f UNION ALL SELECT DISTINCT 'r', lang, true FROM f"),
+    "h12_edit_replay": (_h12_replay, _REPLAY),
     "h13_evaluated_aces": (_h13, _R(_ACE, "SELECT document_id, allow_all, array_to_string(principals, ',') AS principals, array_to_string(denied, ',') AS denied, unresolved FROM acl2")),
     "h14_access": (_access, _R(_ACCESS, "SELECT * FROM acc")),
     "h15_visible_roots": (_h15, _R(_ACCESS, f"SELECT user_id, string_agg(DISTINCT lang, ',' ORDER BY lang) AS roots FROM acc JOIN {CATALOGUE} ON n = document_id GROUP BY 1")),
