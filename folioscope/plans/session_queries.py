@@ -177,6 +177,35 @@ def _stream(f, mode):
     return lambda s, d: L.drained(f(L.event_stream(s, d)), mode)
 
 
+def _moves(s, d):
+    """Users as documents that move between seven batches and five states."""
+    return L.event_stream(s, d).select(F.col("user_id").alias("document_id"), (F.col("event_id") % 7).alias("batch_id"), F.col("event_type").alias("status"), "ts")
+
+
+def _l1_feed(s, d):
+    """Two feeds into one store: the documents with even numbers, then the others."""
+    store, schema = shared_folder(s), load(s, d, "documents").schema
+    for name, half in (("even", 0), ("odd", 1)):
+        files = s.readStream.schema(schema).parquet(f"{d}/document[s].parquet").where(F.col("doc_id") % 2 == half)
+        key = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+        L.feed(files.select(key.alias("id"), key.alias("source_path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash")), name, store, shared_folder(s))
+    return L.documents_of(s, store).select("id", "status", "duplicate_of")
+
+
+def _l2_scores(s, d):
+    """Views and their scores, which two thirds of them get, some of these too late."""
+    e = L.event_stream(s, d)
+    scores = L.event_stream(s, d).where("event_id % 3 > 0").select(F.col("event_id").alias("trace_id"), (F.col("ts") + F.make_dt_interval(mins=F.col("event_id") % 90)).alias("ts"), F.round("value", 2).alias("confidence"))
+    rows = L.drained(L.late_scores(e.where("event_type = 'view'").select(F.col("event_id").alias("trace_id"), "ts"), scores), "append")
+    return rows.select("trace_id", "confidence")
+
+
+_SCORES = """WITH s AS (SELECT event_id, ts + to_minutes(event_id % 90) AS ts, round(value, 2) AS confidence FROM events WHERE event_id % 3 > 0),
+w AS (SELECT least((SELECT max(ts) FROM events WHERE event_type = 'view'), (SELECT max(ts) FROM s)) - INTERVAL 10 MINUTE AS mark)
+SELECT e.event_id AS trace_id, CASE WHEN e.event_id % 90 <= 60 THEN confidence END AS confidence FROM events e LEFT JOIN s USING (event_id), w
+WHERE event_type = 'view' AND (s.event_id IS NOT NULL AND e.event_id % 90 <= 60 OR e.ts + INTERVAL 1 HOUR < mark)"""
+
+
 _round = lambda df, *c: df.select(*[F.round(x, 4).alias(x) if x in c else F.col(x) for x in df.columns])
 QUERIES = {
     "a4_rows_to_text": (
@@ -226,7 +255,17 @@ QUERIES = {
     "g12_expired_logins": (_g12, "SELECT user_id AS id FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-30 12:00:00' OR user_id % 60 < 30"),
     "g13_outcome": (_g13, "SELECT event_id, event_id % 3 <> 0 AND NOT f AS used_rag, event_id % 3 < 2 OR f AS used_library, event_id % 3 <> 0 AND NOT f AND event_id % 2 > 0 AS used_graph FROM (SELECT event_id, event_id % 3 = 2 AND event_id % 2 = 0 AND event_id % 5 = 0 AS f FROM events)"),
     "l1_fresh_documents": (_stream(lambda e: L.fresh_documents(e.select("ts", F.col("user_id").alias("hash")), "60 days").select("hash", "status"), "append"), "SELECT DISTINCT user_id AS hash, 'pending' AS status FROM events"),
-    "l2_status_counts": (_stream(lambda e: L.status_counts(e, "user_id", "event_type"), "complete"), "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL"),
+    "l1_ingest_feed": (
+        _l1_feed,
+        """WITH f AS (SELECT doc_id, text, doc_id % 2 AS half FROM documents), g AS (SELECT *, min(CASE WHEN half = 0 THEN lpad(doc_id::VARCHAR, 12, '0') END) OVER (PARTITION BY text) AS before, min(lpad(doc_id::VARCHAR, 12, '0')) OVER (PARTITION BY text, half) AS same FROM f),
+  h AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS id, CASE WHEN half = 0 THEN same ELSE coalesce(before, same) END AS first FROM g) SELECT id, CASE WHEN id = first THEN 'pending' ELSE 'skipped_duplicate' END AS status, CASE WHEN id <> first THEN first END AS duplicate_of FROM h""",
+    ),
+    "l2_status_counts": (
+        lambda s, d: L.drained(L.status_changes(_moves(s, d)), "append").groupBy("batch_id", "status").agg(F.sum("change").alias("n")).where("n <> 0"),
+        "SELECT batch_id, status, count(*) AS n FROM (SELECT user_id, arg_max(event_id % 7, {'t': ts, 's': event_type}) AS batch_id, arg_max(event_type, {'t': ts, 's': event_type}) AS status FROM events GROUP BY 1) GROUP BY ALL",
+    ),
+    "l2_event_counts": (_stream(lambda e: L.status_counts(e, "user_id", "event_type"), "complete"), "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL"),
+    "l2_late_scores": (_l2_scores, _SCORES),
     "l3_throughput": (
         lambda s, d: _round(L.drained(L.throughput(L.event_stream(s, d), 100), "complete"), "per_minute", "minutes_left"),
         "SELECT w AS start, count(*) AS n, CASE WHEN count(*) >= 2 THEN round(count(*) / 5.0, 4) END AS per_minute, CASE WHEN count(*) >= 2 THEN round(500.0 / count(*), 4) END AS minutes_left FROM (SELECT date_trunc('minute', ts) - to_minutes(k) AS w FROM events, range(5) r(k)) GROUP BY 1",
@@ -236,8 +275,11 @@ QUERIES = {
         "WITH x AS (SELECT user_id AS key, ts, event_id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY ts) AS g FROM x) SELECT key, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS \"end\", count(*) AS turns, cast(sum(event_id) AS BIGINT) AS tokens FROM y GROUP BY key, g",
     ),
     "l5_session_memory": (
-        lambda s, d: L.drained(L.session_memory(L.event_stream(s, d).select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("turn"), F.lit(2).cast("long").alias("tokens"))), "update").select("key", F.array_join(F.col("last_turns").cast("array<string>"), ",").alias("last_turns"), "tokens"),
-        "SELECT user_id AS key, string_agg(event_id, ',' ORDER BY ts, event_id) FILTER (r <= 5) AS last_turns, 2 * count(*) AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) GROUP BY 1",
+        lambda s, d: L.drained(L.session_memory(L.event_stream(s, d).select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("turn"), F.lit(2).cast("long").alias("tokens"))), "update").select("key", F.array_join(F.col("last_turns").cast("array<string>"), ",").alias("last_turns"), "tokens", "expired"),
+        """WITH x AS (SELECT user_id AS key, ts, event_id, CASE WHEN epoch_ms(ts) - epoch_ms(lag(ts) OVER w) < 43200000 THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), y AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY ts, event_id) AS g FROM x),
+  z AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) AS r, max(g) OVER (PARTITION BY key) AS last FROM y),
+  m AS (SELECT key, string_agg(event_id, ',' ORDER BY ts, event_id) FILTER (r <= 5) AS last_turns, 2 * count(*) AS tokens, max(ts) AS ts FROM z WHERE g = last GROUP BY 1)
+  SELECT key, last_turns, tokens, false AS expired FROM m UNION ALL SELECT key, last_turns, tokens, true FROM m WHERE ts + INTERVAL 12 HOUR < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
     ),
     "l6_stage_latency": (
         lambda s, d: _round(L.drained(L.stage_latency(L.event_stream(s, d).select("ts", F.col("event_type").alias("stage"), F.col("value").alias("ms"))), "complete"), "mean", "median"),
