@@ -3,8 +3,8 @@
 Each partition holds a DuckDB database with the vocabulary and the merge table: (left id, right id, merged id), whose merged id
 is the rank, for every split of a token into two tokens. A distinct pre-token that is no token itself becomes rows
 (word, position, token); a recursive query joins neighbouring rows to the merge table and contracts each word's leftmost pair
-of least rank until nothing merges. The word's other pairs of that rank come next, from left to right, until a contraction makes a pair of lower rank; the round contracts
-all of these, so that a word takes about as many rounds as it has ranks. Ids and decoded bytes come from ordered aggregation.
+of least rank until nothing merges. In a word of many bytes the other pairs of that rank come next, from left to right, until a contraction makes a pair of lower rank; there a round
+contracts all of these, so that a word takes about as many rounds as it has ranks. Ids and decoded bytes come from ordered aggregation.
 
 A query recurses as many rounds as keep its rows within ROWS and then starts again from its last state. A long pre-token is cut where no
 token of the vocabulary matches its bytes on both sides of the cut: no merge can ever cross it, so its parts are words of their own.
@@ -25,8 +25,8 @@ from folioscope.llm.shared import mapped, own_columns, table
 
 #: Words that one recursive query takes, bytes in them, its rounds, and rows of all its rounds.
 WORDS, WORD_BYTES, ROUNDS, ROWS = 40_000, 400_000, 48, 2_000_000
-#: Code points of a pre-token that is cut.
-LONG = 200
+#: Code points of a pre-token that is cut, and bytes of one that is contracted by ranks.
+LONG, MANY = 200, 48
 #: Bytes that the pre-tokens which a Python worker remembers take, or about, besides as many of older ones; when they are more it forgets the older ones.
 REMEMBERED = 96 << 20
 
@@ -39,9 +39,26 @@ CREATE TEMP TABLE merges AS
 SELECT l * 65536 + r AS pair, merged, merged IN (SELECT l FROM splits WHERE merged < l UNION SELECT r FROM splits WHERE merged < r) AS alone FROM splits
 """
 
-#: k is a row's word and position, follower the k of the next row. Pairs of one rank that share a token are a chain, of which every other one is contracted.
+#: k is a row's word and position, follower the k of the next row; low is a pair's rank, then its position.
+_CONTRACT_PAIR = """
+WITH RECURSIVE state(round, w, k, follower, token) AS (
+  SELECT 0, w, k, follower, token FROM start
+  UNION ALL
+  (WITH pairs AS (
+    SELECT s.w, s.k, t.k AS gone, t.follower, merged * 4294967296 + s.k % 4294967296 AS low
+    FROM state s JOIN state t ON t.k = s.follower JOIN merges ON pair = s.token * 65536 + t.token WHERE s.round < {rounds}
+  ), best AS (
+    SELECT pairs.* FROM pairs JOIN (SELECT w, min(low) AS low FROM pairs GROUP BY w) USING (w, low)
+  )
+  SELECT round + 1, s.w, s.k, CASE WHEN s.k = b.k THEN b.follower ELSE s.follower END, CASE WHEN s.k = b.k THEN low // 4294967296 ELSE token END
+  FROM state s JOIN best b ON s.w = b.w WHERE s.k <> b.gone)
+)
+SELECT s.w, k, follower, token, round FROM state s JOIN (SELECT w, max(round) AS last FROM state GROUP BY w) l ON l.w = s.w AND round = last
+"""
+
+#: The same for words of many bytes, by ranks: pairs of one rank that share a token are a chain, of which every other one is contracted.
 #: alone: the merged token is part of a token of lower rank, so that its neighbours are looked at; waiting has the first that makes such a pair.
-_CONTRACT = """
+_CONTRACT_RANK = """
 WITH RECURSIVE state(round, w, k, follower, token) AS (
   SELECT 0, w, k, follower, token FROM start
   UNION ALL
@@ -116,12 +133,13 @@ class Codec:
                     break
         return [*out, data[first:]]
 
-    def _contracted(self) -> None:
+    def _contracted(self, by_rank: bool) -> None:
         """Contract start until its fixpoint; done then holds the final rows."""
+        contract = _CONTRACT_RANK if by_rank else _CONTRACT_PAIR
         self.db.execute("CREATE OR REPLACE TEMP TABLE done (w BIGINT, k BIGINT, token BIGINT)")
         while rows := self.db.execute("SELECT count(*) FROM start").fetchall()[0][0]:
             rounds = max(1, min(ROUNDS, ROWS // rows))
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE result AS {_CONTRACT.format(rounds=rounds)}")
+            self.db.execute(f"CREATE OR REPLACE TEMP TABLE result AS {contract.format(rounds=rounds)}")
             self.db.execute(f"INSERT INTO done SELECT w, k, token FROM result WHERE round < {rounds}")
             self.db.execute(f"CREATE OR REPLACE TEMP TABLE start AS SELECT w, k, follower, token FROM result WHERE round = {rounds}")
 
@@ -136,17 +154,20 @@ class Codec:
             else:
                 fresh.append(word)
             self.size += 6 * len(word) + 250  # the word, its ids and bytes, and the table's own share
-        group, size = [], 0
-        for word in fresh:
-            group.append(word)
-            size += len(word) if isinstance(word, bytes) else len(word.encode())
-            if len(group) >= WORDS or size >= WORD_BYTES:
-                self._encode(group)
-                group, size = [], 0
-        if group:
-            self._encode(group)
-
-    def _encode(self, group: list[str | bytes]) -> None:
+        length = lambda word: len(word if isinstance(word, bytes) else word.encode())
+        for by_rank in (False, True):
+            group, size = [], 0
+            for word in fresh:
+                if (length(word) > MANY) == by_rank:
+                    group.append(word)
+                    size += length(word)
+                    if len(group) >= WORDS or size >= WORD_BYTES:
+                        self._encode(group, by_rank)
+                        group, size = [], 0
+            if group:
+                self._encode(group, by_rank)
+
+    def _encode(self, group: list[str | bytes], by_rank: bool) -> None:
         """A word that is a token is not contracted; a part of a word is, whatever it is."""
         whole = {w: self.tokens[x.encode()] for w, x in enumerate(group) if isinstance(x, str) and x.encode() in self.tokens}
         words = [(w, x if isinstance(x, bytes) else x.encode()) for w, x in enumerate(group) if w not in whole]
@@ -161,7 +182,7 @@ class Codec:
             self.db.register("given", pa.table({c: pa.array(v, pa.int64()) for c, v in columns.items()}))
             self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        self._contracted()
+        self._contracted(by_rank)
         for w, ids, decoded in self.db.execute(_COLLECTED).fetchall():
             self.known[group[w]] = ids, bytes.fromhex(decoded)
 
@@ -192,7 +213,10 @@ def _encoded(path: str, pattern: str, digest: bool):
                 parts, size, first = [], 0, at
                 while at < batch.num_rows and (at == first or size < 1 << 20):
                     text = texts[at].as_py() or ""
-                    parts.append([x for word in split(text) for x in (codec.parts(word) if len(word) > LONG else (word,))])
+                    words = split(text)
+                    if max(map(len, words), default=0) > LONG:
+                        words = [x for word in words for x in codec.parts(word)]
+                    parts.append(words)
                     size += len(text)
                     at += 1
                 codec.learn(set().union(*parts))
