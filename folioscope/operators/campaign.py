@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.operators.evaluation import order_statistic
+from folioscope.operators.order import order_statistics, table_digest
 
 
 def _n() -> Column:
@@ -26,8 +26,8 @@ def config_summary(records: DataFrame, by: list[str]) -> DataFrame:
 
 def latencies(records: DataFrame, by: list[str]) -> DataFrame:
     """Median and 90th order statistic of latency, mean tokens and reasoning."""
-    means = records.groupBy(*by).agg(F.median("latency_s").alias("median"), F.avg("tokens").alias("tokens"), F.avg("reasoning").alias("reasoning"))
-    return means.join(order_statistic(records, by, "latency_s", 0.9, "p90"), by)
+    means = records.groupBy(*by).agg(F.avg("tokens").alias("tokens"), F.avg("reasoning").alias("reasoning"))
+    return means.join(order_statistics(records, by, "latency_s", {"median": 0.5, "p90": 0.9}, ("median",)), by)
 
 
 def costs(records: DataFrame, rate_per_hour: Column) -> DataFrame:
@@ -38,10 +38,14 @@ def costs(records: DataFrame, rate_per_hour: Column) -> DataFrame:
 
 
 def load_levels(calls: DataFrame) -> DataFrame:
-    """Calls (concurrency, error, ms) by level: good and failed ones, median, 90th order statistic and largest latency."""
-    good = calls.where("NOT error")
-    rows = calls.groupBy("concurrency").agg(F.count_if(~F.col("error")).alias("ok"), F.count_if("error").alias("errors"), F.median(F.when(~F.col("error"), F.col("ms"))).alias("median"), F.max("ms").alias("max"))
-    return rows.join(order_statistic(good, ["concurrency"], "ms", 0.9, "p90"), "concurrency")
+    """Calls (concurrency, error, ms, tokens, started, first_ms) by level: good and failed ones and these a minute of the level's time; of good ones
+    the median, 90th order statistic and largest latency, the median and 90th of tokens a second, of the time to the first token, and of tokens a second after it."""
+    good = calls.where("NOT error").withColumns({"_rate": F.try_divide(F.col("tokens") * 1000, F.col("ms")), "_decode": F.try_divide(F.col("tokens") * 1000, F.when(F.col("ms") > F.col("first_ms"), F.col("ms") - F.col("first_ms")))})
+    wall = (F.max(F.unix_micros("started") / 1000 + F.col("ms")) - F.min(F.unix_micros("started") / 1000)) / 60000
+    rows = calls.groupBy("concurrency").agg(F.count_if(~F.col("error")).alias("ok"), F.count_if("error").alias("errors"), F.max(F.when(~F.col("error"), F.col("ms"))).alias("max"), F.try_divide(F.count_if(~F.col("error")), wall).alias("per_minute"))
+    for value, name in (("ms", ""), ("_rate", "rate_"), ("first_ms", "first_"), ("_decode", "decode_")):
+        rows = rows.join(order_statistics(good, ["concurrency"], value, {f"{name}median": 0.5, f"{name}p90": 0.9}, (f"{name}median",)), "concurrency", "left")
+    return rows
 
 
 def spend(ledger: DataFrame, limit: float) -> DataFrame:
@@ -132,11 +136,10 @@ def index_gate(chunks: DataFrame, vectors: DataFrame, documents: DataFrame) -> D
     return sides.crossJoin(empty)  # of one row each
 
 
-def with_manifest(records: DataFrame, by: list[str]) -> DataFrame:
-    """Records of each run and a digest of all questions, which is a sum, so that no task holds all ids."""
-    part = F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long")
-    golden = records.select("id").distinct().agg(F.md5(F.concat_ws(":", _n(), F.sum(part))).alias("golden_digest"))
-    return records.groupBy(*by).agg(_n().alias("n")).crossJoin(golden)  # golden has one row
+def with_manifest(records: DataFrame, by: list[str], golden: DataFrame, **facts) -> DataFrame:
+    """Records of each run, the digest and number of whole golden rows, and given facts (settings, sizes of an index, ids of a subset: values of the run)."""
+    stamped = table_digest(golden).select(F.col("digest").alias("golden_digest"), F.col("rows").alias("golden_rows"), *[F.lit(v).alias(k) for k, v in facts.items()])
+    return records.groupBy(*by).agg(_n().alias("n")).crossJoin(stamped)  # of one row
 
 
 def correctness_items(records: DataFrame, golden: DataFrame) -> DataFrame:

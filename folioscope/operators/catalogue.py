@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
 from folioscope.operators.edits import above
+from folioscope.operators.matching import contained
 from folioscope.operators.retrieval import ranked, small
+from folioscope.plans.tables import stored
 
 #: Progress of a document by stage (fixed values), and the most that a batch in work shows.
 STAGES = {"parsing": 20, "chunking": 50, "embedding": 75}
@@ -77,24 +79,27 @@ def enrich_sources(sources: DataFrame, documents: DataFrame, access: DataFrame)
 
 def resolve_documents(queries: DataFrame, documents: DataFrame) -> DataFrame:
     """(query_id, rule, document_id): what a query's text names: 1 a file name, 2 a quoted part of one, 3 an ordinal, 4 the only document,
-    5 most words of names (two at least). The first rule with a match counts. queries is the stated set that meets all documents."""
+    5 most words of names (two at least). The first rule with a match counts."""
     base = X.basename(F.col("filename"))
     d = documents.where("status = 'ready'").select(F.col("id").alias("document_id"), F.lower("filename").alias("_f"), base.alias("_b"), F.array_distinct(F.regexp_extract_all(base, F.lit("[a-z0-9]{4,}"), F.lit(0))).alias("_w"))
     low = F.lower("question")
     quoted = F.transform(F.regexp_extract_all("question", F.lit("""'[^']+'|"[^"]+\""""), F.lit(0)), lambda x: F.lower(X.trimmed(F.substring(x, F.lit(2), F.length(x) - 2))))
-    q = small(queries.select("query_id", low.alias("_q"), F.filter(quoted, lambda x: x != "").alias("_quoted"), F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z0-9]{4,}"), F.lit(0))).alias("_t")))
+    q = stored(queries.select("query_id", low.alias("_q"), F.filter(quoted, lambda x: x != "").alias("_quoted"), F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z0-9]{4,}"), F.lit(0))).alias("_t")))
+    d = stored(d)
     nth = F.lit(None).cast("int")
     for a, b, n in reversed(ORDINALS):
         nth = F.when(F.contains("_q", F.lit(a)) | F.contains("_q", F.lit(b)), n).otherwise(nth)
     q = q.withColumn("_nth", F.when(F.col("_q").rlike("doc|manual|file"), nth)).withColumn("_the", F.col("_q").rlike("(the|this) doc|(the|this) manual"))
-    pairs = d.join(q)
-    shared = F.size(F.array_intersect("_w", "_t"))
-    named = pairs.select("query_id", "document_id", F.when(F.contains("_q", F.col("_f")) | F.contains("_q", F.col("_b")), 1).when(F.exists("_quoted", lambda x: F.contains(F.col("_f"), x)), 2).alias("rule"), shared.alias("_s"))
-    direct = named.where("rule IS NOT NULL").select("query_id", "rule", "document_id")
+    names = d.select(F.col("document_id").alias("id"), F.explode(F.array_distinct(F.array("_f", "_b"))).alias("pattern"))
+    whole = contained(names, q.select(F.col("query_id").alias("key"), F.col("_q").alias("text"))).select(F.col("key").alias("query_id"), F.lit(1).alias("rule"), F.col("id").alias("document_id"))
+    parts = q.select(F.col("query_id").alias("id"), F.explode("_quoted").alias("pattern"))
+    part = contained(parts, d.select(F.col("document_id").alias("key"), F.col("_f").alias("text"))).select(F.col("id").alias("query_id"), F.lit(2).alias("rule"), F.col("key").alias("document_id"))
+    direct = whole.unionByName(part)
+    words = d.select("document_id", F.explode("_w").alias("_x")).join(q.select("query_id", F.explode("_t").alias("_x")), "_x").groupBy("query_id", "document_id").agg(F.count(F.lit(1)).alias("_s"))
     places = ranked(d.withColumn("_one", F.lit(1)), ["_one"], F.col("_b"), F.col("document_id"), name="_i").where(F.col("_i") < len(ORDINALS))  # the first four are looked at
     ordinal = places.join(q, F.col("_i") + 1 == F.col("_nth")).select("query_id", F.lit(3).alias("rule"), "document_id")
     only = d.groupBy().agg(F.min("document_id").alias("document_id"), F.count(F.lit(1)).alias("_n")).where("_n = 1").join(q.where("_the")).select("query_id", F.lit(4).alias("rule"), "document_id")
-    most = named.where("_s >= 2").withColumn("_m", F.max("_s").over(Window.partitionBy("query_id"))).where("_s = _m").select("query_id", F.lit(5).alias("rule"), "document_id")
+    most = words.where("_s >= 2").withColumn("_m", F.max("_s").over(Window.partitionBy("query_id"))).where("_s = _m").select("query_id", F.lit(5).alias("rule"), "document_id")
     every = direct.unionByName(ordinal).unionByName(only).unionByName(most)
     return every.withColumn("_r", F.min("rule").over(Window.partitionBy("query_id"))).where("rule = _r").drop("_r").distinct()
 

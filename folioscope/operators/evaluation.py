@@ -10,14 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.order import order_statistics, placed
 from folioscope.operators.retrieval import ranked, small
-
-
-def order_statistic(df: DataFrame, by: list[str], value: str, share: float, name: str) -> DataFrame:
-    """The sorted values' element at floor(share * (n - 1)), not interpolated."""
-    w = Window.partitionBy(*by)
-    rows = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return rows.where(F.col("_r") == F.floor(share * (F.col("_n") - 1)) + 1).select(*by, F.col(value).alias(name))
+from folioscope.plans.tables import stored
 
 
 def graded(hits: DataFrame, expected: DataFrame) -> DataFrame:
@@ -56,9 +51,9 @@ def scorecard(records: DataFrame, by: list[str]) -> DataFrame:
     """A run's rates over what isn't null, medians and 90th order statistics."""
     rows = records.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col("source_hit").cast("int")).alias("hit_rate"), F.avg(F.col("cited").cast("int")).alias("cited_rate"), F.bool_and("pages_ok").alias("all_pages_ok"),
-        F.count_if("declined").alias("declined"), F.median("latency_s").alias("latency_median"), F.max("latency_s").alias("latency_max"), F.sum("tokens").alias("tokens"),
+        F.count_if("declined").alias("declined"), F.max("latency_s").alias("latency_max"), F.sum("tokens").alias("tokens"),
     )
-    return rows.join(order_statistic(records, by, "latency_s", 0.9, "latency_p90"), by, "left")
+    return rows.join(order_statistics(records, by, "latency_s", {"latency_median": 0.5, "latency_p90": 0.9}, ("latency_median",)), by, "left")
 
 
 def calls_by_purpose(calls: DataFrame, by: list[str]) -> DataFrame:
@@ -77,8 +72,8 @@ def per_question(scores: DataFrame, by: list[str]) -> DataFrame:
 def bootstrap(rows: DataFrame, by: list[str], value: str, samples: int = 10_000, seed: int = 7) -> DataFrame:
     """by, n, mean, low and high: the 2.5 and 97.5 percentiles (interpolated) of means of resamples; a draw is the md5 of seed, sample
     and slot modulo n, so that any engine draws the same. The resamples of a group are the product of its rows and samples."""
-    w = Window.partitionBy(*by)
-    numbered = rows.withColumn("_i", F.row_number().over(w.orderBy("id")) - 1).withColumn("_n", F.count(F.lit(1)).over(w)).select(*by, "_i", "_n", F.col(value).alias("_v"))
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = stored(placed(rows.select(*by, "id", F.col(value).alias("_v")), by, F.col("id"), name="_i").join(small(sizes), by).select(*by, "_i", "_n", "_v"))
     draw = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "_s", "_i")), 1, 8), 16, 10).cast("long"), F.col("_n"))
     slots = numbered.select(*by, "_n", "_i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_s")).withColumn("_d", draw)
     picked = slots.select(*by, "_s", F.col("_d").alias("_i")).join(small(numbered.select(*by, "_i", "_v")), [*by, "_i"])
@@ -145,6 +140,13 @@ def batches(items: DataFrame, order: str, size: int) -> DataFrame:
     return items.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("category").orderBy(order)) - 1) / size))
 
 
+def subset(golden: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, known, place) of wanted ids: those of golden (id, number) in its order, numbered from 0; the others are not known and have no place."""
+    known = placed(golden.select("id", "number").join(wanted.select("id").distinct(), "id", "left_semi"), [], F.col("number"), F.col("id"))
+    unknown = wanted.select("id").distinct().join(golden, "id", "left_anti")
+    return known.select("id", F.lit(True).alias("known"), "place").unionByName(unknown.select("id", F.lit(False).alias("known"), F.lit(None).cast("long").alias("place")))
+
+
 def balanced_subset(items: DataFrame, n: int, skip: tuple[str, ...] = ()) -> DataFrame:
     """The first n by turns of the categories, each in order of number and id."""
     rows = ranked(items.where(~F.col("category").isin(*skip)) if skip else items, ["category"], F.col("number"), F.col("id"), name="_turn")

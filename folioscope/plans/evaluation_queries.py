@@ -144,8 +144,7 @@ def _i4(spark, d):
 def _i8(spark, d):
     x = _records(spark, d).select("id", "number", "category").distinct()
     wanted = load(spark, d, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("q"), "doc_id").alias("id"))
-    known = ranked(x.join(wanted, "id", "left_semi").withColumn("known", F.lit(True)), ["known"], F.col("number"), name="place").select("id", "known", "place")
-    return known.unionByName(wanted.join(x, "id", "left_anti").select("id", F.lit(False).alias("known"), F.lit(None).cast("int").alias("place")))
+    return V.subset(x, wanted)
 
 
 def _i10(spark, d):
@@ -182,7 +181,9 @@ def _i16(spark, d):
 
 
 def _i17(spark, d):
-    return C.with_manifest(_records(spark, d), ["rung", "condition"])
+    r = _records(spark, d)
+    golden = r.select("id", "number", "category", "answerable").distinct()
+    return C.with_manifest(r, ["rung", "condition"], golden, index_chunks=chunks(spark, d).count(), settings="k=20;keep=12")
 
 
 def _j2(spark, d):
@@ -203,7 +204,9 @@ def _j8(spark, d):
 
 def _j9(spark, d):
     x = _calls(spark, d).withColumn("concurrency", F.col("user_id") % 3).withColumn("error", F.col("purpose") == "error")
-    return _rounded(C.load_levels(x), "median", "p90", "max")
+    x = x.withColumns({"started": F.col("ts").cast("timestamp"), "first_ms": F.col("ms") * (F.col("user_id") % 5 + 1) / 8})
+    found = C.load_levels(x)
+    return _rounded(found, *[c for c in found.columns if c not in ("concurrency", "ok", "errors")])
 
 
 def _j10(spark, d):
@@ -353,7 +356,13 @@ QUERIES = {
         f"""WITH c AS (SELECT * FROM {CHUNKS}) SELECT count(*) FILTER (chunk_index % 50 = 9) AS no_vector, (SELECT count(*) FROM c WHERE chunk_index % 50 = 7) AS no_chunk, count(*) AS chunks,
         (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM c WHERE chunk_index % 50 <> 7)) AS empty_documents FROM c WHERE chunk_index % 50 <> 7""",
     ),
-    "i17_manifest": (_i17, _W(_R, ", g AS (SELECT md5(count(*) || ':' || sum(cast('0x' || substr(md5(id), 1, 8) AS BIGINT))) AS golden_digest FROM (SELECT DISTINCT id FROM rec)) SELECT rung, condition, count(*) AS n, any_value(golden_digest) AS golden_digest FROM rec, g GROUP BY ALL")),
+    "i17_manifest": (
+        _i17,
+        _W(_R, f""", r AS (SELECT sha256(concat_ws(chr(31), 'answerable=' || answerable, 'category=' || category, 'id=' || id, 'number=' || number)) AS d, count(*) OVER () AS n FROM (SELECT DISTINCT id, number, category, answerable FROM rec)),
+  leaf AS (SELECT CASE WHEN n > 1000 THEN substr(d, 1, 1) ELSE '' END AS p, sha256(string_agg(d || ':1', ',' ORDER BY d)) AS t, any_value(n) AS n FROM r GROUP BY 1),
+  g AS (SELECT CASE WHEN any_value(n) > 1000 THEN sha256(string_agg(p || ':' || t, ',' ORDER BY p)) ELSE any_value(t) END AS golden_digest, any_value(n) AS golden_rows FROM leaf)
+  SELECT rung, condition, count(*) AS n, any_value(golden_digest) AS golden_digest, any_value(golden_rows) AS golden_rows, (SELECT count(*) FROM {CHUNKS}) AS index_chunks, 'k=20;keep=12' AS settings FROM rec, g GROUP BY ALL"""),
+    ),
     "j1_bootstrap": (_j1, _W(f"{_PQ}, {_boot('SELECT condition, id, score AS v FROM pq', 'bt')}", "SELECT * FROM bt")),
     "j2_correctness": (_j2, _W(_PQ, "SELECT condition, count(*) AS questions, round(avg(score), 6) AS rate FROM pq GROUP BY 1")),
     "j3_paired_bootstrap": (_j3, _W(f"{_PQ}, dd AS (SELECT 'delta' AS condition, a.id, b.score - a.score AS v FROM pq a JOIN pq b ON a.id = b.id AND a.condition = 'off' AND b.condition = 'on'), {_boot('SELECT * FROM dd', 'bt')}", "SELECT * FROM bt")),
@@ -365,7 +374,15 @@ QUERIES = {
     "j6_config_summary": (_j6, _W(_R, "SELECT condition, category, count(*) FILTER (score = 1) AS correct, count(*) FILTER (score = 0) AS wrong, count(*) FILTER (score IS NULL) AS ungraded, round(avg(cast(declined AS INTEGER)) FILTER (NOT answerable), 6) AS declined_rate, round(avg(score) FILTER (answerable), 6) AS mean_score FROM rec GROUP BY ALL")),
     "j7_latency": (_j7, _W(_R + ", x AS (SELECT * FROM rec)", f"SELECT condition, round(median(latency_s), 6) AS median, round(avg(tokens), 6) AS tokens, round(avg(reasoning), 6) AS reasoning, round(any_value(p90), 6) AS p90 FROM rec JOIN {_P90('latency_s', 'condition')} USING (condition) GROUP BY 1")),
     "j8_cost": (_j8, _W(_R, ", x AS (SELECT condition, repeat, count(*) AS n, sum(latency_s) AS s FROM rec GROUP BY ALL) SELECT condition, CASE WHEN condition = 'on' THEN round(2.0 / 3600 * avg(s / n) * 1000, 6) END AS sequential, CASE WHEN condition = 'on' THEN round(2.0 / (max(n * 60 / s) * 60) * 1000, 6) END AS concurrent FROM x GROUP BY 1")),
-    "j9_load_levels": (_j9, _W(_CALLS + ", y AS (SELECT *, user_id % 3 AS concurrency, purpose = 'error' AS error FROM cal), x AS (SELECT * FROM y WHERE NOT error)", f"SELECT concurrency, count(*) FILTER (NOT error) AS ok, count(*) FILTER (error) AS errors, round(median(ms) FILTER (NOT error), 6) AS median, round(max(ms), 6) AS max, round(any_value(p90), 6) AS p90 FROM y JOIN {_P90('ms', 'concurrency')} USING (concurrency) GROUP BY 1")),
+    "j9_load_levels": (
+        _j9,
+        _W(_CALLS, """, y AS (SELECT *, user_id % 3 AS concurrency, purpose = 'error' AS error, ms * (user_id % 5 + 1) / 8 AS first_ms, CASE WHEN ms <> 0 THEN tokens * 1000 / ms END AS rate FROM cal),
+  z AS (SELECT *, CASE WHEN ms > first_ms THEN tokens * 1000 / (ms - first_ms) END AS dec FROM y)
+  SELECT concurrency, count(*) FILTER (NOT error) AS ok, count(*) FILTER (error) AS errors, round(max(ms) FILTER (NOT error), 6) AS max,
+    round(count(*) FILTER (NOT error) / ((max(epoch_us(ts) / 1000 + ms) - min(epoch_us(ts) / 1000)) / 60000), 6) AS per_minute, """
+           + ", ".join(f"round(median({v}) FILTER (NOT error), 6) AS {n}median, round(list_sort(list({v}) FILTER (NOT error AND {v} IS NOT NULL))[cast(floor(0.9 * (count({v}) FILTER (NOT error) - 1)) AS BIGINT) + 1], 6) AS {n}p90" for v, n in (("ms", ""), ("rate", "rate_"), ("first_ms", "first_"), ("dec", "decode_")))
+           + " FROM z GROUP BY 1"),
+    ),
     "j10_spend": (_j10, "SELECT coalesce('r' || r, 'total') AS rung, round(sum(value), 4) AS cost, sum(value) <= 1000 AS within FROM (SELECT user_id % 6 AS r, value FROM events WHERE event_type = 'purchase') GROUP BY ROLLUP (r)"),
     "j11_call_metrics": (_j11, _W(_CALLS, "SELECT CASE WHEN purpose IN ('view', 'click') THEN 'answer' ELSE 'side' END AS kind, count(*) AS calls, cast(sum(tokens) AS BIGINT) AS tokens, round(avg(tokens * 1000 / ms), 6) AS rate FROM cal GROUP BY 1")),
     "j12_pairing": (_j12, _W(_PQ, ", m AS (SELECT rung, condition, avg(score) AS m FROM pq JOIN (SELECT DISTINCT id, rung FROM rec) USING (id) GROUP BY ALL) SELECT rung, round(max(m) FILTER (condition = 'off'), 6) AS off, round(max(m) FILTER (condition = 'on'), 6) AS on, round(max(m) FILTER (condition = 'on') - max(m) FILTER (condition = 'off'), 6) AS delta, list_position(['r1', 'r0'], rung) AS place FROM m GROUP BY rung")),
