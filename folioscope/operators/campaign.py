@@ -9,19 +9,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.operators.order import order_statistics, table_digest
+from folioscope.operators.evaluation import bootstrap
+from folioscope.operators.order import order_statistics, running_sum, table_digest
 
 
 def _n() -> Column:
     return F.count(F.lit(1))
 
 
-def config_summary(records: DataFrame, by: list[str]) -> DataFrame:
-    """Verdict counts, the rate at which unanswerable questions are declined, and the mean score of answerable ones."""
-    label = F.when(F.col("score").isNull(), "ungraded").when(F.col("score") == 1, "correct").otherwise("wrong")
-    counts = [F.count_if(label == k).alias(k) for k in ("correct", "wrong", "ungraded")]
-    declined = F.avg(F.when(~F.col("answerable"), F.col("declined").cast("int")))
-    return records.groupBy(*by).agg(*counts, declined.alias("declined_rate"), F.avg(F.when(F.col("answerable"), F.col("score"))).alias("mean_score"))
+#: Verdicts (fixed values) of answers to answerable questions and to the others; what a verdict counts where half credit is given.
+VERDICTS, UNANSWERABLE = ("correct", "partial", "wrong", "abstained"), ("declined", "answered_wrong")
+HALF = 0.5
+
+
+def _yes(flags: str) -> Column:
+    return F.size(F.filter(flags, lambda x: x))
+
+
+def _judged() -> list[Column]:
+    """Counts and rates of judge entries: verdicts, claims that are supported, citations that are used."""
+    known, label = F.col("answerable"), F.col("label")
+    count = lambda name, kind: F.count_if(kind & (label == name)).alias(name)
+    claims, cited = F.coalesce(F.sum(F.greatest(F.size("claims"), F.lit(0))), F.lit(0)), F.coalesce(F.sum(F.greatest(F.size("citations"), F.lit(0))), F.lit(0))
+    return [
+        *[count(v, known) for v in VERDICTS], *[count(v, ~known) for v in UNANSWERABLE], F.count_if(~known & label.isNotNull()).alias("unanswerable"), F.count_if(label.isNull()).alias("ungraded"),
+        F.try_divide(F.count_if(~known & (label == "declined")), F.count_if(~known & label.isNotNull())).alias("declined_rate"),
+        claims.alias("claims"), F.try_divide(F.sum(F.greatest(_yes("claims"), F.lit(0))), claims).alias("supported_rate"), cited.alias("citations"), F.try_divide(F.sum(F.greatest(_yes("citations"), F.lit(0))), cited).alias("used_rate"),
+    ]
+
+
+def question_means(entries: DataFrame, by: list[str], partial: float = 0.0) -> DataFrame:
+    """(by, id, score): each answerable, judged question's mean over repeats; a partial answer counts so much."""
+    score = F.when(F.col("label") == "correct", 1.0).when(F.col("label") == "partial", partial).otherwise(0.0)
+    return entries.where("answerable AND label IS NOT NULL").groupBy(*by, "id").agg(F.avg(score).alias("score"))
+
+
+def config_summary(records: DataFrame, entries: DataFrame, by: list[str]) -> DataFrame:
+    """A configuration's headline numbers: what judges said (entries: by, id, repeat, category, answerable, label, claims, citations; the last two are arrays of
+    booleans), the mean of its runs' hit rates, means of retrieval metrics, and the mean score of its questions."""
+    runs = records.groupBy(*by, "repeat").agg(F.avg(F.col("source_hit").cast("int")).alias("hit"))
+    hits = runs.groupBy(*by).agg(F.avg("hit").alias("source_hit_rate"), _n().alias("repeats"))
+    means = records.groupBy(*by).agg(F.avg("recall").alias("recall"), F.avg("mrr").alias("mrr"), F.count_if("declined").alias("declined_answers"), F.avg("tokens").alias("tokens"))
+    right = question_means(entries, by).groupBy(*by).agg(F.avg("score").alias("correct_rate"), _n().alias("judged"))
+    return entries.groupBy(*by).agg(*_judged()).join(hits, by, "left").join(means, by, "left").join(right, by, "left")
+
+
+def category_rates(records: DataFrame, entries: DataFrame, by: list[str]) -> DataFrame:
+    """By category too: the mean of the questions' means, and the mean recall."""
+    keys = [*by, "category"]
+    recall = records.groupBy(*keys).agg(F.avg("recall").alias("recall"))
+    return recall.join(question_means(entries, keys).groupBy(*keys).agg(F.avg("score").alias("correct_rate"), _n().alias("questions")), keys, "left")
 
 
 def latencies(records: DataFrame, by: list[str]) -> DataFrame:
@@ -54,10 +91,30 @@ def spend(ledger: DataFrame, limit: float) -> DataFrame:
     return sums.select(F.coalesce("rung", F.lit("total")).alias("rung"), "cost", (F.col("cost") <= limit).alias("within"))
 
 
+def spent_so_far(ledger: DataFrame, limit: float) -> DataFrame:
+    """ledger (at, number, cost) with the sum up to each entry, and whether that is within the limit. Ranges are summed apart."""
+    return running_sum(ledger, "cost", "spent", F.col("at"), F.col("number")).withColumn("within", F.col("spent") <= limit)
+
+
 def call_metrics(calls: DataFrame, answering: list[str]) -> DataFrame:
-    """Calls (purpose, tokens, ms) that answer, and side calls: how many, tokens, mean tokens a second."""
+    """Calls (id, purpose, tokens, ms, finish) that answer, and side calls: how many, tokens, tokens a question (of all questions with calls), medians of tokens a
+    second and of ms, and answers that were cut."""
     kind = F.when(F.col("purpose").isin(answering), "answer").otherwise("side")
-    return calls.groupBy(kind.alias("kind")).agg(_n().alias("calls"), F.sum("tokens").alias("tokens"), F.avg(F.col("tokens") * 1000 / F.col("ms")).alias("rate"))
+    rows = calls.withColumns({"kind": kind, "_rate": F.try_divide(F.col("tokens") * 1000, F.col("ms"))})
+    questions = calls.agg(F.count_distinct("id").alias("questions"))  # one row
+    sums = rows.groupBy("kind").agg(_n().alias("calls"), F.sum("tokens").alias("tokens"), F.count_if(F.col("finish") == "length").alias("truncated"))
+    for value, name in (("_rate", "rate_median"), ("ms", "ms_median")):
+        sums = sums.join(order_statistics(rows, ["kind"], value, {name: 0.5}, (name,)), "kind", "left")
+    return sums.crossJoin(questions).withColumn("tokens_per_question", F.try_divide("tokens", "questions")).drop("questions").withColumn("source", F.lit("calls"))
+
+
+def approximate_call_metrics(records: DataFrame, by: list[str]) -> DataFrame:
+    """The same of records without calls (tokens, answer_ms, reasoning), as far as it can be told: the answer's rate from all tokens and its stage's time."""
+    rows = records.withColumn("_rate", F.when(F.col("answer_ms") > 1, F.col("tokens") * 1000 / F.col("answer_ms"))).withColumn("_ms", F.when(F.col("answer_ms") > 0, F.col("answer_ms")))
+    out = rows.groupBy(*by).agg(F.avg(F.coalesce("reasoning", F.lit(0))).alias("reasoning_per_question"))
+    for value, name in (("_rate", "rate_median"), ("_ms", "ms_median")):
+        out = out.join(order_statistics(rows, by, value, {name: 0.5}, (name,)), by, "left")
+    return out.withColumn("source", F.lit("approx"))
 
 
 def paired_conditions(scores: DataFrame, off: str, on: str, rungs: list[str]) -> DataFrame:
@@ -72,11 +129,25 @@ def stability(records: DataFrame) -> DataFrame:
     return questions.groupBy("condition").agg(F.count_if("same").alias("stable"), _n().alias("questions"), F.avg("m").alias("share"))
 
 
-def question_matrix(records: DataFrame, conditions: list[str]) -> DataFrame:
-    """A row for each question, a column for each condition: its repeats' scores in order as text, '-' where not graded."""
-    repeats = lambda c: F.array_sort(F.collect_list(F.when(F.col("condition") == c, F.struct("repeat", F.coalesce(F.col("score").cast("string"), F.lit("-")).alias("s")))))  # noqa: E731  one entry a repeat
-    text = lambda c: F.when(F.count_if(F.col("condition") == c) > 0, F.array_join(F.transform(repeats(c), lambda x: x["s"]), ""))
-    return records.groupBy("id").agg(*[text(c).alias(c) for c in conditions])
+def verdict_mix(entries: DataFrame, by: list[str], samples: int = 10_000) -> DataFrame:
+    """Shares of verdicts of answerable, judged answers; the mean of the questions' means with half credit, with its interval of resamples; questions whose
+    repeats all have one verdict."""
+    rows = entries.where("answerable AND label IS NOT NULL")
+    shares = rows.groupBy(*by).agg(*[(F.count_if(F.col("label") == v) / _n()).alias(f"{v}_share") for v in VERDICTS])
+    same = rows.groupBy(*by, "id").agg((F.count_distinct("label") == 1).alias("same")).groupBy(*by).agg(F.count_if("same").alias("stable"))
+    return shares.join(same, by).join(bootstrap(question_means(entries, by, HALF), by, "score", samples), by)
+
+
+def question_matrix(records: DataFrame, entries: DataFrame, config: str, reason: int = 400, answer: int = 900) -> DataFrame:
+    """(id, cells): for each question a map from its configurations to what their repeats gave, in order: repeat, label, reason and answer (cut), cited, latency_s.
+
+    records: id, repeat, config, answer, cited (array), latency_s; entries: id, repeat, config, label, reason. A question has as many cells as configurations and repeats."""
+    said = entries.select("id", config, "repeat", "label", "reason")
+    rows = records.select("id", config, "repeat", "answer", "cited", "latency_s").join(said, ["id", config, "repeat"], "left")
+    cut = [F.substring(F.coalesce("reason", F.lit("")), 1, reason).alias("reason"), F.substring(F.trim(F.coalesce("answer", F.lit(""))), 1, answer).alias("answer")]
+    cell = F.struct("repeat", "label", *cut, "cited", "latency_s")
+    cells = rows.groupBy("id", config).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    return cells.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(config, "cells")))).alias("cells"))
 
 
 def diagnosis(found: DataFrame) -> DataFrame:
@@ -162,11 +233,13 @@ def faithfulness_items(hits: DataFrame, texts: DataFrame, k: int = 8) -> DataFra
     return rows.groupBy("query_id").agg(F.array_join(F.transform(found, lambda x: F.concat((x["rank"] + 1).cast("string"), F.lit("."), x["t"])), "|").alias("passages"))
 
 
-def judge_summary(records: DataFrame, by: list[str]) -> DataFrame:
-    """Answerable records, how many are correct, the rate, and records that aren't graded."""
-    right = F.count_if(F.col("answerable") & (F.col("score") == 1))
-    rows = records.groupBy(*by).agg(F.count_if("answerable").alias("answerable"), right.alias("correct"), F.count_if(F.col("score").isNull()).alias("ungraded"))
-    return rows.withColumn("correct_rate_answerable", F.try_divide("correct", "answerable"))
+def judge_summary(entries: DataFrame, by: list[str]) -> DataFrame:
+    """Verdict counts, rates of claims and citations, and the rate of correct answers over *all* answerable entries, graded or not: for each group of by, and (category
+    null) over all categories of one."""
+    rate = F.try_divide(F.count_if(F.col("answerable") & (F.col("label") == "correct")), F.count_if("answerable")).alias("correct_rate_answerable")
+    every = [*_judged(), F.count_if("answerable").alias("answerable"), rate]
+    whole = entries.groupBy(*by).agg(*every).withColumn("category", F.lit(None).cast("string"))
+    return entries.groupBy(*by, "category").agg(*every).unionByName(whole)
 
 
 def unanswerable_label(declined: Column, cited: Column) -> Column:

@@ -34,6 +34,16 @@ def placed(df: DataFrame, by: list[str], *order: Column, name: str = "place") ->
     return rows.select(*[F.col(f"l.{c}") for c in df.columns], (F.col(f"l.{name}") + F.coalesce(F.col("r._before"), F.lit(0))).alias(name))
 
 
+def running_sum(df: DataFrame, value: str, name: str, *order: Column) -> DataFrame:
+    """df with the sum of value up to each row in order; rows of equal order are taken as they are stored."""
+    ranged, _ = _ranged(df, [], list(order))
+    pieces = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    carried = F.broadcast(pieces.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before")))
+    own = F.sum(value).over(Window.partitionBy("_part").orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn(name, own).join(carried, "_part").select(*df.columns, (F.col(name) + F.col("_before")).alias(name))
+
+
 def order_statistics(df: DataFrame, by: list[str], value: str, shares: dict[str, float], between: tuple[str, ...] = ()) -> DataFrame:
     """by and, for each name and share, the sorted values' element at floor(share * (n - 1)); those named in between are interpolated with the next one, so
     that a share of a half is the median. Nulls aren't values, and a group without any has no row.

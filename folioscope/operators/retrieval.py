@@ -69,23 +69,17 @@ class Index:
 
 
 def build_index(chunks: DataFrame, store=stored) -> Index:
-    """The index of chunks (chunk_id, doc_id, text); store writes a table and reads it back."""
-    tokens = store(chunks.select(F.col("chunk_id").alias("key"), "doc_id", X.tokenise(F.col("text")).alias("tokens")))
-    postings, terms, lengths = build_postings(tokens.select(F.col("key").alias("chunk_id"), "tokens"), store)
-    return Index(tokens, postings, store(terms), store(lengths), tokens.agg(F.avg(F.size("tokens"))).first()[0] or 0.0)
-
-
-def build_postings(tokens: DataFrame, store=lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings: chunk_id, term, tf), (terms: term, idf), (lengths: chunk_id, dl, avgdl) of tokens (chunk_id, tokens).
+    """The index of chunks (chunk_id, doc_id, text); store writes a table and reads it back, so that texts are cut into tokens once. Postings and lengths are
+    made of the tokens when they are read.
 
     idf is ln(n - df + 0.5) - ln(df + 0.5); a negative one is a quarter of the mean over all terms.
     """
-    postings = tokens.select("chunk_id", F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    postings = store(postings.repartitionByRange("term").sortWithinPartitions("term"))
-    total = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))  # one row
-    lengths = tokens.select("chunk_id", F.size("tokens").alias("dl")).join(F.broadcast(total.select("avgdl")))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total.select("n")))
-    return postings, idf_of(df, F.col("n")), lengths
+    tokens = store(chunks.select(F.col("chunk_id").alias("key"), "doc_id", X.tokenise(F.col("text")).alias("tokens")))
+    n, average = tokens.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0))).first()
+    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    postings = tokens.select(F.col("key").alias("chunk_id"), F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    lengths = tokens.select(F.col("key").alias("chunk_id"), F.size("tokens").alias("dl"), F.lit(average).alias("avgdl"))
+    return Index(tokens, postings, store(idf_of(df, F.lit(n))), lengths, average)
 
 
 def idf_of(df: DataFrame, n: Column) -> DataFrame:
@@ -96,7 +90,7 @@ def idf_of(df: DataFrame, n: Column) -> DataFrame:
 
 
 def bm25(queries: DataFrame, postings: DataFrame, terms: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) of queries (query_id, question); a repeated term counts as often as it occurs."""
+    """(query_id, chunk_id, score) of queries (query_id, question): all scores, so as many rows as chunks have a term of a query; a repeated term counts as often as it occurs."""
     asked = queries.select("query_id", F.explode(X.tokenise(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     hits = postings.join(asked.join(terms, "term"), "term").join(lengths, "chunk_id")
     tf = F.col("tf")

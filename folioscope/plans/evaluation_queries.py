@@ -34,6 +34,24 @@ _R = """rec AS (SELECT 'q' || doc_id AS id, doc_id AS number, lang AS category,
   FROM (SELECT *, CASE WHEN condition = 'off' THEN quality ELSE 1 - toxic END AS base FROM labels JOIN documents USING (doc_id), (VALUES (1), (2), (3)) a(repeat), (VALUES ('off'), ('on')) b(condition)))"""
 
 
+def _entries(spark, d):
+    """What judges said of the answers: verdict, reason, claims and citations."""
+    i, r = F.col("number"), F.col("repeat")
+    label = F.when(F.col("score").isNull(), None).when(~F.col("answerable"), F.when((i + r) % 3 > 0, "declined").otherwise("answered_wrong")).when(F.col("score") == 1, "correct").otherwise(F.get(F.array(*map(F.lit, ("partial", "abstained", "wrong"))), ((i + r) % 3).cast("int")))
+    flags = lambda n, m: F.transform(F.slice(F.array(*map(F.lit, (0, 1, 2))), F.lit(1), (i % n).cast("int")), lambda k: (i + k + r) % m > 0)
+    rows = _records(spark, d).withColumns({"label": label, "claims": flags(4, 3), "citations": flags(3, 2)})
+    return rows.withColumn("reason", F.concat_ws(" ", F.lit("Judged"), "label", F.repeat(F.lit("because "), (i % 70).cast("int"))))
+
+
+_E = """ent AS (SELECT *, CASE WHEN score IS NULL THEN NULL WHEN NOT answerable THEN CASE WHEN (number + repeat) % 3 > 0 THEN 'declined' ELSE 'answered_wrong' END WHEN score = 1 THEN 'correct' ELSE ['partial', 'abstained', 'wrong'][(number + repeat) % 3 + 1] END AS label,
+  list_transform(([0, 1, 2])[:number % 4], lambda k: (number + k + repeat) % 3 > 0) AS claims, list_transform(([0, 1, 2])[:number % 3], lambda k: (number + k + repeat) % 2 > 0) AS citations FROM rec)"""
+_JUDGED = ", ".join(
+    [f"count(*) FILTER (answerable AND label = '{v}') AS {v}" for v in ("correct", "partial", "wrong", "abstained")] + [f"count(*) FILTER (NOT answerable AND label = '{v}') AS {v}" for v in ("declined", "answered_wrong")]
+    + ["count(*) FILTER (NOT answerable AND label IS NOT NULL) AS unanswerable", "count(*) FILTER (label IS NULL) AS ungraded", "round(count(*) FILTER (NOT answerable AND label = 'declined') / nullif(count(*) FILTER (NOT answerable AND label IS NOT NULL), 0), 6) AS declined_rate"]
+    + [f"cast(sum(len({c})) AS BIGINT) AS {c}, round(sum(len(list_filter({c}, lambda x: x))) / nullif(sum(len({c})), 0), 6) AS {n}" for c, n in (("claims", "supported_rate"), ("citations", "used_rate"))]
+)
+
+
 def _pq(spark, d):
     return V.per_question(_records(spark, d), ["condition"])
 
@@ -190,8 +208,19 @@ def _j2(spark, d):
     return _rounded(_pq(spark, d).groupBy("condition").agg(F.count(F.lit(1)).alias("questions"), F.avg("score").alias("rate")), "rate")
 
 
+def _with_metrics(spark, d):
+    return _records(spark, d).withColumns({"recall": F.when(F.col("number") % 6 > 0, F.col("number") % 5 / 4), "mrr": 1 / (F.col("number") % 7 + F.col("repeat"))})
+
+
+_WM = "wm AS (SELECT *, CASE WHEN number % 6 > 0 THEN number % 5 / 4 END AS recall, 1 / (number % 7 + repeat) AS mrr FROM rec)"
+
+
 def _j6(spark, d):
-    return _rounded(C.config_summary(_records(spark, d), ["condition", "category"]), "declined_rate", "mean_score")
+    return _rounded(C.config_summary(_with_metrics(spark, d), _entries(spark, d), ["condition"]), "declined_rate", "supported_rate", "used_rate", "source_hit_rate", "recall", "mrr", "tokens", "correct_rate")
+
+
+def _j6_categories(spark, d):
+    return _rounded(C.category_rates(_with_metrics(spark, d), _entries(spark, d), ["condition"]), "recall", "correct_rate")
 
 
 def _j7(spark, d):
@@ -214,8 +243,19 @@ def _j10(spark, d):
     return C.spend(x, 1000).withColumn("cost", F.round("cost", 4))
 
 
+def _j10_running(spark, d):
+    x = load(spark, d, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("number"), F.col("ts").alias("at"), F.round(F.col("value") * 100).cast("long").alias("cost"))
+    return C.spent_so_far(x, 1_000_000).select("number", "spent", "within")
+
+
 def _j11(spark, d):
-    return _rounded(C.call_metrics(_calls(spark, d), ["view", "click"]), "rate")
+    found = C.call_metrics(_calls(spark, d).withColumn("id", F.col("user_id")), ["view", "click"])
+    return _rounded(found, "rate_median", "ms_median", "tokens_per_question")
+
+
+def _j11_approximate(spark, d):
+    r = _records(spark, d).withColumn("answer_ms", F.when(F.col("number") % 9 > 0, F.col("latency_s") * 700))
+    return _rounded(C.approximate_call_metrics(r, ["condition", "rung"]), "rate_median", "ms_median", "reasoning_per_question")
 
 
 def _j12(spark, d):
@@ -227,8 +267,15 @@ def _j13(spark, d):
     return _rounded(C.stability(_records(spark, d)), "share")
 
 
+def _j13_mix(spark, d):
+    return _rounded(C.verdict_mix(_entries(spark, d), ["condition"]), *[f"{v}_share" for v in C.VERDICTS], "mean", "low", "high")
+
+
 def _j14(spark, d):
-    return C.question_matrix(_records(spark, d), ["off", "on"])
+    texts = load(spark, d, "documents").select(F.col("doc_id").alias("number"), F.col("text").alias("answer"))
+    r = _records(spark, d).join(texts, "number").withColumn("cited", F.array(F.concat(F.lit("d"), F.col("number") % 5), F.col("category")))
+    cell = lambda x: F.concat_ws("|", x["repeat"].cast("string"), F.coalesce(x["label"], F.lit("-")), x["reason"], F.md5(x["answer"]), F.array_join(x["cited"], "+"), F.round(x["latency_s"], 2).cast("string"))
+    return C.question_matrix(r, _entries(spark, d), "condition").select("id", *[F.md5(F.array_join(F.transform(F.col("cells")[c], cell), "#")).alias(c) for c in ("off", "on")])
 
 
 def _j15(spark, d):
@@ -282,7 +329,7 @@ def _k8(spark, d):
 
 
 def _k9(spark, d):
-    return _rounded(C.judge_summary(_records(spark, d), ["condition"]), "correct_rate_answerable")
+    return _rounded(C.judge_summary(_entries(spark, d), ["condition"]), "declined_rate", "supported_rate", "used_rate", "correct_rate_answerable")
 
 
 def _k2(spark, d):
@@ -371,7 +418,18 @@ QUERIES = {
         _j5,
         _W(_R, f", q AS (SELECT condition, id, avg(score) AS s, 2 * sum(score) > count(*) AS g FROM rec WHERE answerable AND score IS NOT NULL GROUP BY ALL), r AS (SELECT count(*) AS common, round(avg(y.s - x.s), 6) AS delta, count(*) FILTER (x.g AND NOT y.g) AS b, count(*) FILTER (y.g AND NOT x.g) AS c FROM q x JOIN q y ON x.id = y.id AND x.condition = 'off' AND y.condition = 'on') SELECT common, delta, b AS only_a, c AS only_b, round({_MC}, 6) AS p FROM r"),
     ),
-    "j6_config_summary": (_j6, _W(_R, "SELECT condition, category, count(*) FILTER (score = 1) AS correct, count(*) FILTER (score = 0) AS wrong, count(*) FILTER (score IS NULL) AS ungraded, round(avg(cast(declined AS INTEGER)) FILTER (NOT answerable), 6) AS declined_rate, round(avg(score) FILTER (answerable), 6) AS mean_score FROM rec GROUP BY ALL")),
+    "j6_config_summary": (
+        _j6,
+        _W(_R, f""", {_E}, {_WM}, q AS (SELECT condition, id, avg(cast(label = 'correct' AS INTEGER)) AS m FROM ent WHERE answerable AND label IS NOT NULL GROUP BY ALL), a AS (SELECT condition, {_JUDGED} FROM ent GROUP BY 1),
+  h AS (SELECT condition, round(avg(h), 6) AS source_hit_rate, count(*) AS repeats FROM (SELECT condition, repeat, avg(cast(source_hit AS INTEGER)) AS h FROM rec GROUP BY ALL) GROUP BY 1),
+  m AS (SELECT condition, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, count(*) FILTER (declined) AS declined_answers, round(avg(tokens), 6) AS tokens FROM wm GROUP BY 1)
+  SELECT * FROM a JOIN h USING (condition) JOIN m USING (condition) JOIN (SELECT condition, round(avg(m), 6) AS correct_rate, count(*) AS judged FROM q GROUP BY 1) USING (condition)"""),
+    ),
+    "j6_category_rates": (
+        _j6_categories,
+        _W(_R, f""", {_E}, {_WM}, q AS (SELECT condition, category, id, avg(cast(label = 'correct' AS INTEGER)) AS m FROM ent WHERE answerable AND label IS NOT NULL GROUP BY ALL)
+  SELECT * FROM (SELECT condition, category, round(avg(recall), 6) AS recall FROM wm GROUP BY ALL) LEFT JOIN (SELECT condition, category, round(avg(m), 6) AS correct_rate, count(*) AS questions FROM q GROUP BY ALL) USING (condition, category)"""),
+    ),
     "j7_latency": (_j7, _W(_R + ", x AS (SELECT * FROM rec)", f"SELECT condition, round(median(latency_s), 6) AS median, round(avg(tokens), 6) AS tokens, round(avg(reasoning), 6) AS reasoning, round(any_value(p90), 6) AS p90 FROM rec JOIN {_P90('latency_s', 'condition')} USING (condition) GROUP BY 1")),
     "j8_cost": (_j8, _W(_R, ", x AS (SELECT condition, repeat, count(*) AS n, sum(latency_s) AS s FROM rec GROUP BY ALL) SELECT condition, CASE WHEN condition = 'on' THEN round(2.0 / 3600 * avg(s / n) * 1000, 6) END AS sequential, CASE WHEN condition = 'on' THEN round(2.0 / (max(n * 60 / s) * 60) * 1000, 6) END AS concurrent FROM x GROUP BY 1")),
     "j9_load_levels": (
@@ -384,10 +442,30 @@ QUERIES = {
            + " FROM z GROUP BY 1"),
     ),
     "j10_spend": (_j10, "SELECT coalesce('r' || r, 'total') AS rung, round(sum(value), 4) AS cost, sum(value) <= 1000 AS within FROM (SELECT user_id % 6 AS r, value FROM events WHERE event_type = 'purchase') GROUP BY ROLLUP (r)"),
-    "j11_call_metrics": (_j11, _W(_CALLS, "SELECT CASE WHEN purpose IN ('view', 'click') THEN 'answer' ELSE 'side' END AS kind, count(*) AS calls, cast(sum(tokens) AS BIGINT) AS tokens, round(avg(tokens * 1000 / ms), 6) AS rate FROM cal GROUP BY 1")),
+    "j10_running_spend": (_j10_running, "SELECT event_id AS number, cast(sum(round(value * 100)::BIGINT) OVER w AS BIGINT) AS spent, sum(round(value * 100)::BIGINT) OVER w <= 1000000 AS within FROM events WHERE event_type = 'purchase' WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"),
+    "j11_call_metrics": (
+        _j11,
+        _W(_CALLS, """ SELECT CASE WHEN purpose IN ('view', 'click') THEN 'answer' ELSE 'side' END AS kind, count(*) AS calls, cast(sum(tokens) AS BIGINT) AS tokens, count(*) FILTER (finish = 'length') AS truncated,
+  round(median(CASE WHEN ms <> 0 THEN tokens * 1000 / ms END), 6) AS rate_median, round(median(ms), 6) AS ms_median, round(sum(tokens) / (SELECT count(DISTINCT user_id) FROM cal), 6) AS tokens_per_question, 'calls' AS source FROM cal GROUP BY 1"""),
+    ),
+    "j11_approximate": (
+        _j11_approximate,
+        _W(_R, """, x AS (SELECT *, CASE WHEN number % 9 > 0 THEN latency_s * 700 END AS ams FROM rec) SELECT condition, rung, round(avg(coalesce(reasoning, 0)), 6) AS reasoning_per_question, round(median(CASE WHEN ams > 1 THEN tokens * 1000 / ams END), 6) AS rate_median,
+  round(median(CASE WHEN ams > 0 THEN ams END), 6) AS ms_median, 'approx' AS source FROM x GROUP BY ALL"""),
+    ),
     "j12_pairing": (_j12, _W(_PQ, ", m AS (SELECT rung, condition, avg(score) AS m FROM pq JOIN (SELECT DISTINCT id, rung FROM rec) USING (id) GROUP BY ALL) SELECT rung, round(max(m) FILTER (condition = 'off'), 6) AS off, round(max(m) FILTER (condition = 'on'), 6) AS on, round(max(m) FILTER (condition = 'on') - max(m) FILTER (condition = 'off'), 6) AS delta, list_position(['r1', 'r0'], rung) AS place FROM m GROUP BY rung")),
     "j13_stability": (_j13, _W(_R, "SELECT condition, count(*) FILTER (k = 1) AS stable, count(*) AS questions, round(avg(m), 6) AS share FROM (SELECT condition, id, count(DISTINCT score) AS k, avg(score) AS m FROM rec WHERE score IS NOT NULL GROUP BY ALL) GROUP BY 1")),
-    "j14_question_matrix": (_j14, _W(_R, "SELECT id, string_agg(coalesce(score::VARCHAR, '-'), '' ORDER BY repeat) FILTER (condition = 'off') AS off, string_agg(coalesce(score::VARCHAR, '-'), '' ORDER BY repeat) FILTER (condition = 'on') AS on FROM rec GROUP BY 1")),
+    "j13_verdict_mix": (
+        _j13_mix,
+        _W(f"{_R}, {_E}, hq AS (SELECT condition, id, avg(CASE label WHEN 'correct' THEN 1.0::DOUBLE WHEN 'partial' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS v FROM ent WHERE answerable AND label IS NOT NULL GROUP BY ALL), {_boot('SELECT * FROM hq', 'bt')}",
+           ", a AS (SELECT * FROM ent WHERE answerable AND label IS NOT NULL), s AS (SELECT condition, count(*) FILTER (k = 1) AS stable FROM (SELECT condition, id, count(DISTINCT label) AS k FROM a GROUP BY ALL) GROUP BY 1), v AS (SELECT condition, "
+           + ", ".join(f"round(count(*) FILTER (label = '{x}') / count(*), 6) AS {x}_share" for x in ("correct", "partial", "wrong", "abstained")) + " FROM a GROUP BY 1) SELECT * FROM v JOIN s USING (condition) JOIN bt USING (condition)"),
+    ),
+    "j14_question_matrix": (
+        _j14,
+        _W(_R, f""", {_E}, c AS (SELECT id, condition, md5(string_agg(concat_ws('|', repeat, coalesce(label, '-'), substr(concat_ws(' ', 'Judged', label, repeat('because ', number % 70)), 1, 400), md5(substr(trim(coalesce(text, ''), ' '), 1, 900)), 'd' || number % 5 || '+' || category, round(latency_s, 2)), '#' ORDER BY repeat)) AS x
+  FROM ent JOIN documents d ON d.doc_id = number GROUP BY ALL) SELECT id, max(x) FILTER (condition = 'off') AS off, max(x) FILTER (condition = 'on') AS on FROM c GROUP BY 1"""),
+    ),
     "j15_diagnosis": (_j15, "WITH p AS (SELECT event_type AS cause, count(*) AS k FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % 4 DESC, event_id DESC) = 1) GROUP BY 1) SELECT event_type AS cause, count(DISTINCT user_id) AS any_n, coalesce(any_value(k), 0) AS primary_n FROM events LEFT JOIN p ON cause = event_type GROUP BY 1"),
     "j16_reasoning": (_j16, _W(_R, ", x AS MATERIALIZED (SELECT condition, score, reasoning FROM rec) SELECT condition, score, round(median(reasoning), 6) AS median FROM x WHERE reasoning > 0 AND score IS NOT NULL GROUP BY condition, score")),
     "j17_balanced_subset": (_j17, _W(_R, ", x AS (SELECT DISTINCT id, number, category FROM rec WHERE category <> 'fr') SELECT id, category FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY number, id) AS t FROM x) ORDER BY t, category LIMIT 24")),
@@ -403,7 +481,11 @@ QUERIES = {
     "k6_stratified_sample": (_k6, _W(_R, ", x AS (SELECT DISTINCT id, category FROM rec) SELECT id, category FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5('3:' || id), id) AS r, count(*) OVER (PARTITION BY category) AS n FROM x) WHERE r <= greatest(1, round_even(n * 0.15, 0))")),
     "k7_pending": (_k7, _W(_R, "SELECT DISTINCT id FROM rec WHERE NOT (number % 3 <> 0 AND number % 5 <> 0 AND number % 7 <> 0)")),
     "k8_upsert": (_k8, _W(_R, "SELECT DISTINCT id, CASE WHEN number % 3 = 0 THEN 'new' ELSE 'old' END AS verdict FROM rec WHERE number % 2 = 0 OR number % 3 = 0")),
-    "k9_judge_summary": (_k9, _W(_R, "SELECT condition, count(*) FILTER (answerable) AS answerable, count(*) FILTER (answerable AND score = 1) AS correct, count(*) FILTER (score IS NULL) AS ungraded, round(count(*) FILTER (answerable AND score = 1) / count(*) FILTER (answerable), 6) AS correct_rate_answerable FROM rec GROUP BY 1")),
+    "k9_judge_summary": (
+        _k9,
+        _W(_R, f""", {_E} SELECT condition, category, {_JUDGED}, count(*) FILTER (answerable) AS answerable, round(count(*) FILTER (answerable AND label = 'correct') / nullif(count(*) FILTER (answerable), 0), 6) AS correct_rate_answerable
+  FROM ent GROUP BY GROUPING SETS ((condition, category), (condition))"""),
+    ),
     "k10_batches": (_k10, _W(_R, "SELECT id, (row_number() OVER (PARTITION BY category ORDER BY number) - 1) // 10 AS batch FROM (SELECT DISTINCT id, number, category FROM rec)")),
     "k11_unanswerable": (_k11, _W(_R, "SELECT id, repeat, condition, CASE WHEN declined AND cited THEN 'declined' ELSE 'answered_wrong' END AS label FROM rec WHERE NOT answerable")),
     "k12_calibration": (_k12, _W(_R, ", x AS (SELECT quality AS a, other AS b FROM rec WHERE condition = 'off' AND repeat = 1), t AS (SELECT count(*) AS n, avg(cast(a = b AS INTEGER)) AS po, (sum(a) * sum(b) + (count(*) - sum(a)) * (count(*) - sum(b))) / (count(*) * count(*)) AS pe, count(*) FILTER (a <> b) AS dis FROM x) SELECT n, round((po - pe) / (1 - pe), 6) AS kappa, CASE WHEN (po - pe) / (1 - pe) >= 0.8 THEN 'pass' ELSE 'fail' END AS gate, dis AS disagreements FROM t")),
