@@ -76,19 +76,19 @@ def _f8(spark, d):
 
 
 def _graph(spark, d):
-    """Parts and suppliers as entities, each part's latest supplier as relationship."""
+    """Parts and orders as entities, each line item as a relationship."""
     p = load(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_partkey") % 5).alias("document_id"), F.col("p_type").alias("description"))
-    s = load(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 5).alias("document_id"), F.lit("a supplier").alias("description"))
-    rel = load(spark, d, "lineitem").groupBy("l_partkey").agg(F.max_by("l_suppkey", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("l_suppkey")).select(
-        F.concat_ws("-", "l_partkey", "l_suppkey").alias("id"), F.concat(F.lit("p"), "l_partkey").alias("source_id"), F.concat(F.lit("s"), "l_suppkey").alias("target_id"),
-        F.when(F.col("l_partkey") % 3 == 0, F.lit("")).otherwise(F.lit("supplied_by")).alias("relation_type"), F.when(F.col("l_suppkey") % 2 == 0, F.lit("")).otherwise(F.lit("on order")).alias("description"),
+    o = load(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.concat(F.lit("Order "), "o_orderkey").alias("name"), (F.col("o_orderkey") % 5).alias("document_id"), F.col("o_orderpriority").alias("description"))
+    rel = load(spark, d, "lineitem").select(
+        F.concat_ws("-", "l_partkey", "l_orderkey", "l_linenumber").alias("id"), F.concat(F.lit("p"), "l_partkey").alias("source_id"), F.concat(F.lit("o"), "l_orderkey").alias("target_id"),
+        F.when(F.col("l_partkey") % 3 == 0, F.lit("")).otherwise(F.lit("ordered_in")).alias("relation_type"), F.when(F.col("l_orderkey") % 2 == 0, F.lit("")).otherwise(F.lit("a line of it")).alias("description"),
     )
-    return p.unionByName(s), rel
+    return p.unionByName(o), rel
 
 
-_G = """ent AS (SELECT 'p' || p_partkey AS id, p_name AS name, p_partkey % 5 AS document_id, p_type AS description FROM part UNION ALL SELECT 's' || s_suppkey, s_name, s_suppkey % 5, 'a supplier' FROM supplier),
-rel AS (SELECT l_partkey || '-' || l_suppkey AS id, 'p' || l_partkey AS source_id, 's' || l_suppkey AS target_id, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE 'supplied_by' END AS relation_type,
-  CASE WHEN l_suppkey % 2 = 0 THEN '' ELSE 'on order' END AS description FROM (SELECT l_partkey, arg_max(l_suppkey, l_orderkey * 10 + l_linenumber) AS l_suppkey FROM lineitem GROUP BY 1)),
+_G = """ent AS (SELECT 'p' || p_partkey AS id, p_name AS name, p_partkey % 5 AS document_id, p_type AS description FROM part UNION ALL SELECT 'o' || o_orderkey, 'Order ' || o_orderkey, o_orderkey % 5, o_orderpriority FROM orders),
+rel AS (SELECT l_partkey || '-' || l_orderkey || '-' || l_linenumber AS id, 'p' || l_partkey AS source_id, 'o' || l_orderkey AS target_id, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE 'ordered_in' END AS relation_type,
+  CASE WHEN l_orderkey % 2 = 0 THEN '' ELSE 'a line of it' END AS description FROM lineitem),
 own AS (SELECT * FROM ent WHERE document_id < 4), inn AS (SELECT * FROM rel WHERE source_id IN (SELECT id FROM own) AND target_id IN (SELECT id FROM own)),
 edge AS (SELECT source_id AS a, target_id AS b, relation_type, description, id AS rel FROM inn UNION ALL SELECT target_id, source_id, relation_type, description, id FROM inn),
 seed AS (SELECT id, id AS query_id FROM own WHERE id LIKE 'p%'),
