@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -157,15 +159,18 @@ def clean_url(url: Column) -> Column:
     return F.when(~trim.rlike("(?i)^https?://"), "").when(trim.rlike(r"(?i)^[^?#]*\?([^#]*&)?x-sign="), bare).otherwise(trim)
 
 
-def redacted(c: Column) -> Column:
-    """Without user names in addresses and without the names of rented hosts."""
+def redacted(c: Column, rented: tuple[str, ...] = ()) -> Column:
+    """Without user names in addresses, and without what names a machine in hosts that are rented: in `<name>-<port>.<domain>` for each of the rented domains."""
     bare = F.regexp_replace(c, r"(?i)(https?://)[^/\s@]+@", "$1<redacted>@")
-    return F.regexp_replace(bare, r"(?i)(?<![\w.-])[a-z0-9-]+(-\d+\.proxy\.runpod\.net)\b", "<pod-id>$1")
+    if not rented:
+        return bare
+    domains = "|".join(map(re.escape, rented))
+    return F.regexp_replace(bare, rf"(?i)(?<![\w.-])[a-z0-9-]+(-\d+\.(?:{domains}))\b", "<pod-id>$1")
 
 
-def host_of(url: Column) -> Column:
+def host_of(url: Column, rented: tuple[str, ...] = ()) -> Column:
     """Host and port of an address, redacted."""
-    return redacted(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)))
+    return redacted(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), rented)
 
 
 def masked(c: Column) -> Column:

@@ -171,6 +171,11 @@ def access(users: DataFrame, acl: DataFrame, now: Column, stale_days: int = 7) -
     return allowed.join(denied, ["user_id", "document_id"], "left_anti")
 
 
+def visible_roots(documents: DataFrame, access: DataFrame) -> DataFrame:
+    """(user_id, root, documents): the roots of documents (id, root) in which a user may see any (access: user_id, id), and how many there."""
+    return access.join(documents, "id").groupBy("user_id", "root").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def corpus_index(manifest: DataFrame) -> DataFrame:
     """Per category and (null) in all: documents, pages, size, vendors, with an address, cited."""
     m = manifest.withColumn("category", X.path_level(F.col("path"), 0)).withColumn("vendor", X.path_level(F.col("path"), 1))

@@ -133,7 +133,7 @@ def _h4(s, d):
 def _h15(s, d):
     docs = catalogue(s, d)
     acc = _access(s, d).select("user_id", F.col("document_id").cast("string").alias("id"))
-    return acc.join(docs, "id").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("roots"))
+    return K.visible_roots(docs.select("id", F.col("lang").alias("root")), acc)
 
 
 def _manifest(s, d):
@@ -211,7 +211,7 @@ QUERIES = {
     "h12_edit_replay": (_h12_replay, _REPLAY),
     "h13_evaluated_aces": (_h13, _R(_ACE, "SELECT document_id, allow_all, array_to_string(principals, ',') AS principals, array_to_string(denied, ',') AS denied, unresolved FROM acl2")),
     "h14_access": (_access, _R(_ACCESS, "SELECT * FROM acc")),
-    "h15_visible_roots": (_h15, _R(_ACCESS, f"SELECT user_id, string_agg(DISTINCT lang, ',' ORDER BY lang) AS roots FROM acc JOIN {CATALOGUE} ON n = document_id GROUP BY 1")),
+    "h15_visible_roots": (_h15, _R(_ACCESS, f"SELECT user_id, lang AS root, count(*) AS documents FROM acc JOIN {CATALOGUE} ON n = document_id GROUP BY ALL")),
     "h16_corpus_index": (lambda s, d: K.corpus_index(_manifest(s, d)), _R(_M, "SELECT lang AS category, count(*) AS documents, sum(pages)::BIGINT AS pages, sum(size_bytes)::BIGINT AS size_bytes, count(DISTINCT source) AS vendors, count(*) FILTER (source_url <> '') AS with_url, count(*) FILTER (golden_questions <> '') AS cited FROM man GROUP BY ROLLUP (lang)")),
     "h17_manifest": (_manifest, _R(_M, "SELECT path, pages, size_bytes, sha256, source_url, golden_questions FROM man")),
     "h18_fetch_status": (_h18, _R(_M, "SELECT CASE WHEN (length(path) + pages) % 3 = 1 THEN 'present' WHEN (length(path) + pages) % 3 = 2 THEN 'differs' WHEN source_url = '' THEN 'no-url' ELSE 'would-fetch' END AS status, count(*) AS n FROM man GROUP BY 1")),

@@ -86,13 +86,15 @@ def _c12(spark, d):
 
 def _c13(spark, d):
     p = load(spark, d, "pages")
-    line = F.concat(F.lit("see https://me:pw@ab"), "page_id", F.lit("-8000.proxy.runpod.net/x and "), "url")
-    return p.select("page_id", X.redacted(line).alias("line"))
+    line = F.concat(F.lit("see https://me:pw@ab"), "page_id", F.lit("-8000.proxy.pods.example/x and "), "url")
+    return p.select("page_id", X.redacted(line, ("proxy.pods.example", "other.example")).alias("line"))
 
 
 def _c14(spark, d):
     p = load(spark, d, "pages")
-    text = F.concat(F.lit("pod ab12cd34ef56gh of "), "page_id", F.lit("\nab12cd34ef56gh alone\nvolume ab12cd34ef here /home/ann_b/x\n"), F.coalesce("url", F.lit("")))
+    own, k = F.substring(F.md5(F.col("page_id").cast("string")), 1, 12), (F.col("page_id") % 4).cast("int")
+    pod = F.concat(F.lit("pod a1"), own, F.lit(" of "), "page_id", F.lit("\n"))
+    text = F.concat(F.repeat(pod, k), F.lit("a1"), own, F.lit(" alone\nvolume b2"), F.substring(own, 1, 8), F.lit(" here /home/ann_b/x\n"), F.coalesce("url", F.lit("")))
     return p.select("page_id", X.masked(text).alias("m")).select("page_id", "m.text", F.col("m.n").alias("replacements"))
 
 
@@ -221,8 +223,8 @@ QUERIES = {
         """SELECT page_id, CASE page_id % 5 WHEN 1 THEN '' WHEN 0 THEN CASE WHEN contains(url, '?') AND NOT contains(url, '#') THEN url || '&v=2' ELSE url || '&x-sign=abc&v=2' END
           WHEN 2 THEN CASE WHEN contains(url, '?') OR contains(url, '#') THEN url || '?x-SIGN=1' ELSE url END ELSE url END AS url FROM pages""",
     ),
-    "c13_redacted": (_c13, "SELECT page_id, 'see https://<redacted>@<pod-id>-8000.proxy.runpod.net/x and ' || url AS line FROM pages"),
-    "c14_masked": (_c14, "SELECT page_id, 'pod <pod-id> of ' || page_id || chr(10) || 'ab12cd34ef56gh alone' || chr(10) || 'volume <volume-id> here ~/x' || chr(10) || coalesce(url, '') AS text, 3 AS replacements FROM pages"),
+    "c13_redacted": (_c13, "SELECT page_id, 'see https://<redacted>@<pod-id>-8000.proxy.pods.example/x and ' || url AS line FROM pages"),
+    "c14_masked": (_c14, "SELECT page_id, repeat('pod <pod-id> of ' || page_id || chr(10), (page_id % 4)::INT) || 'a1' || substr(md5(page_id::VARCHAR), 1, 12) || ' alone' || chr(10) || 'volume <volume-id> here ~/x' || chr(10) || coalesce(url, '') AS text, (page_id % 4 + 2)::INT AS replacements FROM pages"),
     "c15_declined": (
         _c15,
         f"""SELECT conv_id, turn, turn % 2 = 0 AND (turn % 3 < 2 OR regexp_matches(text, '(?i){_DECLINE_SQL}')) AS declined, turn % 3 = 1 OR regexp_matches(text, '(?i)</?think>') AS residue FROM conversations""",

@@ -15,8 +15,8 @@ from folioscope.plans import registry  # noqa: E402
 
 #: Columns that must hold more than one value, but on the smallest tables: what the operator decides.
 OUTCOMES = {
-    "b14_chunk_statistics": ("table_openings", "row_edges"), "c5_continues": ("has_row", "continues"), "d6_rerank_gate": ("skip",), "h4_enriched_sources": ("source_path",), "h7_batch_status": ("parsing", "chunking", "embedding"),
-    "i6_retrieval_metrics": ("recall", "mrr", "ndcg"), "i12_gates": ("status",), "i3_recall": ("recall_at_8",), "h15_visible_roots": ("user_id",), "h14_access": ("user_id", "document_id"),
+    "b14_chunk_statistics": ("bare_openings", "row_edges"), "c5_continues": ("has_row", "continues"), "d6_rerank_gate": ("skip",), "h4_enriched_sources": ("source_path",), "h7_batch_status": ("parsing", "chunking", "embedding"),
+    "i6_retrieval_metrics": ("recall", "mrr", "ndcg"), "i12_gates": ("status",), "i3_recall": ("recall_at_8", "recall_at_20"), "h15_visible_roots": ("user_id", "root", "documents"), "c14_masked": ("replacements",), "h12_edit_replay": ("outcome",), "l1_ingest_feed": ("status",), "l5_session_memory": ("expired",), "a12_pending": ("run",), "h14_access": ("user_id", "document_id"),
 }
 
 
