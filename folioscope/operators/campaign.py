@@ -199,12 +199,15 @@ def outside_scope(cited: DataFrame, members: DataFrame, scope: str) -> DataFrame
     return cited.join(members, ["doc_id", scope], "left_anti").groupBy(scope).agg(_n().alias("outside"))
 
 
-def index_gate(chunks: DataFrame, vectors: DataFrame, documents: DataFrame) -> DataFrame:
-    """One row: chunks without vector, vectors without chunk, chunks, and documents without chunk."""
+def index_gate(chunks: DataFrame, vectors: DataFrame, documents: DataFrame, recorded: int | None = None) -> DataFrame:
+    """One row: chunks without vector, vectors without chunk, chunks, documents without chunk, vectors, and ok: whether nothing is missing and as many vectors are there as
+    were recorded when the index was made (null: it isn't known)."""
     both = chunks.select("chunk_id").join(vectors.select(F.col("chunk_id").alias("_v")), F.col("chunk_id") == F.col("_v"), "full_outer")
     sides = both.agg(F.count_if(F.col("_v").isNull()).alias("no_vector"), F.count_if(F.col("chunk_id").isNull()).alias("no_chunk"), F.count("chunk_id").alias("chunks"))
     empty = documents.select("doc_id").join(chunks, "doc_id", "left_anti").agg(_n().alias("empty_documents"))
-    return sides.crossJoin(empty)  # of one row each
+    both = sides.crossJoin(empty).crossJoin(vectors.agg(_n().alias("vectors")))  # of one row each
+    whole = F.col("no_vector") + F.col("no_chunk") + F.col("empty_documents") == 0
+    return both.withColumn("ok", whole & (F.lit(True) if recorded is None else F.col("vectors") == recorded))
 
 
 def with_manifest(records: DataFrame, by: list[str], golden: DataFrame, **facts) -> DataFrame:

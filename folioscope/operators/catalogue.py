@@ -142,6 +142,36 @@ def selection_state(nodes: DataFrame, scope: DataFrame) -> DataFrame:
     return g.select("root", "path", F.when(F.col("_k") == 0, "none").when(F.col("_k") == F.col("_n"), "all").otherwise("some").alias("state"))
 
 
+def scope_of(nodes: DataFrame, selected: DataFrame) -> DataFrame:
+    """(id) of the documents of selected folders (root, path): all that nodes (root, path, id) list under them, once each."""
+    return nodes.join(selected.select("root", "path").distinct(), ["root", "path"], "left_semi").select("id").distinct()
+
+
+#: What becomes of a document in a crawl, besides ok and blank_path.
+DENIED, UNREACHABLE, UNPARSED = "access_denied", "unreachable", "parse_error"
+
+
+def crawl_status(path: Column, error: Column, stage: Column) -> Column:
+    """The status of a crawled document: no path, no error, an error while its entries were parsed, a denied access, or any other error."""
+    low = F.lower(error)
+    denied = F.contains(low, F.lit("access")) & F.contains(low, F.lit("denied"))
+    return F.when(F.trim(F.coalesce(path, F.lit(""))) == "", "blank_path").when(error.isNull(), "ok").when(stage == "parse", UNPARSED).when(denied, DENIED).otherwise(UNREACHABLE)
+
+
+def crawl_summary(acl: DataFrame) -> DataFrame:
+    """(status, documents, unresolved, last_crawl) of acl (document_id, status, unresolved: array, crawled_at): counts by status, and in all (status null) with the
+    number of distinct identifiers that no principal was found for and the time of the last crawl."""
+    names = acl.select(F.explode("unresolved").alias("sid")).agg(F.count_distinct("sid").alias("unresolved"))  # one row
+    whole = acl.agg(F.count(F.lit(1)).alias("documents"), F.max("crawled_at").alias("last_crawl")).crossJoin(names).withColumn("status", F.lit(None).cast("string"))
+    by = acl.groupBy("status").agg(F.count(F.lit(1)).alias("documents"), F.max("crawled_at").alias("last_crawl")).withColumn("unresolved", F.lit(None).cast("long"))
+    return by.unionByName(whole)
+
+
+def failing(acl: DataFrame, most: int = 200) -> DataFrame:
+    """The first documents, by id, whose crawl failed, with their error: a list for an administrator, of most rows."""
+    return acl.where("status <> 'ok'").orderBy("document_id").limit(most).select("document_id", "path", "status", "error")
+
+
 def evaluate_aces(aces: DataFrame) -> DataFrame:
     """(document_id, allow_all, principals, denied, unresolved) of entries (document_id, ace_type, flags, mask, sid): those that
     are inherited only or don't read are left out; a denied everyone clears what is allowed."""
@@ -184,11 +214,27 @@ def corpus_index(manifest: DataFrame) -> DataFrame:
     )
 
 
-def build_manifest(files: DataFrame, log: DataFrame, golden: DataFrame) -> DataFrame:
-    """files (path, pages, size_bytes, sha256) with source_url of log (path, url) and the ids of golden (id, sources) that cite them."""
+def vendor_listing(manifest: DataFrame) -> DataFrame:
+    """Per category, vendor and product family (null where a path has no such folder): documents and pages, and for each vendor (family null, whole true) and
+    category (vendor null too) the same in all, with how many families there are."""
+    m = manifest.select("pages", *[F.nullif(X.path_level(F.col("path"), k), F.lit("")).alias(n) for k, n in enumerate(("category", "vendor", "family"))])
+    sums = [F.count(F.lit(1)).alias("documents"), F.sum("pages").alias("pages"), F.count_distinct("family").alias("families")]
+    none = F.lit(None).cast("string")
+    each = m.groupBy("category", "vendor", "family").agg(*sums).withColumn("whole", F.lit(False))
+    vendors = m.groupBy("category", "vendor").agg(*sums).withColumns({"family": none, "whole": F.lit(True)})
+    whole = m.groupBy("category").agg(*sums).withColumns({"vendor": none, "family": none, "whole": F.lit(True)})
+    return each.unionByName(vendors).unionByName(whole)
+
+
+def build_manifest(files: DataFrame, log: DataFrame, golden: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """files (path, pages, size_bytes, sha256) with source_url of log (path, url), or of known (path, source_url: an earlier manifest) where the log has none, and
+    the ids of golden (id, sources) that cite them."""
     urls = log.groupBy("path").agg(F.max(X.clean_url(F.col("url"))).alias("source_url"))
     ids = golden.select("id", F.explode("sources").alias("_b")).groupBy("_b").agg(F.array_join(F.array_sort(F.collect_set("id")), " ").alias("golden_questions"))
     rows = files.withColumn("_b", X.basename(F.col("path"))).join(urls, "path", "left").join(ids, "_b", "left").drop("_b")
+    if known is not None:
+        older = known.groupBy("path").agg(F.max("source_url").alias("_known"))
+        rows = rows.join(older, "path", "left").withColumn("source_url", F.when(F.coalesce("source_url", F.lit("")) != "", F.col("source_url")).otherwise(F.col("_known"))).drop("_known")
     return rows.na.fill("", ["source_url", "golden_questions"])
 
 

@@ -139,14 +139,15 @@ def _h15(s, d):
 def _manifest(s, d):
     c = catalogue(s, d)
     files = c.select(F.concat("source_path", F.lit("")).alias("path"), F.col("page_count").alias("pages"), (F.col("n") * 10).alias("size_bytes"), F.col("file_hash").alias("sha256"))
-    log = load(s, d, "pages").join(load(s, d, "documents"), F.col("page_id") == F.col("doc_id")).select(F.concat_ws("/", "lang", "source", F.concat(F.lit("doc_"), "doc_id", F.lit(".txt"))).alias("path"), "url")
+    log = load(s, d, "pages").join(load(s, d, "documents"), F.col("page_id") == F.col("doc_id")).select(F.concat_ws("/", "lang", "source", F.concat(F.lit("doc_"), "doc_id", F.lit(".txt"))).alias("path"), "url", "page_id")
     golden = load(s, d, "benchmark").select(F.concat(F.lit("g"), "item_id").alias("id"), F.array(F.concat(F.lit("doc_"), "item_id", F.lit(".txt")), F.concat(F.lit("doc_"), F.col("item_id") * 2, F.lit(".txt"))).alias("sources"))
-    return K.build_manifest(files, log, golden)
+    known = files.select("path", F.concat(F.lit("http://mirror.example/"), "path").alias("source_url")).where(F.length("path") % 4 == 0)
+    return K.build_manifest(files, log.where("page_id % 3 > 0"), golden, known)
 
 
 _M = f"""gold AS (SELECT b, string_agg(DISTINCT id, ' ' ORDER BY id) AS ids FROM (SELECT 'g' || item_id AS id, unnest(['doc_' || item_id || '.txt', 'doc_' || item_id * 2 || '.txt']) AS b FROM benchmark) GROUP BY 1),
-man AS (SELECT source_path AS path, page_count AS pages, n * 10 AS size_bytes, file_hash AS sha256, coalesce(url, '') AS source_url, coalesce(ids, '') AS golden_questions, lang, source, n
-  FROM {CATALOGUE} c LEFT JOIN pages ON page_id = n LEFT JOIN gold ON b = 'doc_' || id || '.txt')"""
+man AS (SELECT source_path AS path, page_count AS pages, n * 10 AS size_bytes, file_hash AS sha256, coalesce(nullif(url, ''), CASE WHEN length(source_path) % 4 = 0 THEN 'http://mirror.example/' || source_path END, '') AS source_url, coalesce(ids, '') AS golden_questions, lang, source, n
+  FROM {CATALOGUE} c LEFT JOIN pages ON page_id = n AND page_id % 3 > 0 LEFT JOIN gold ON b = 'doc_' || id || '.txt')"""
 
 
 def _h18(s, d):
@@ -164,16 +165,38 @@ def _h19(s, d):
     return K.acl_upsert(acl, crawl).select("document_id", "status", F.array_join("principals", ",").alias("principals"), "crawled_at", "last_ok_at")
 
 
+def _h16_listing(s, d):
+    """Two thirds of the documents are in one of four product families of their vendor."""
+    c = catalogue(s, d)
+    return K.vendor_listing(c.select(F.concat_ws("/", "lang", "source", F.when(F.col("n") % 3 > 0, F.concat(F.lit("f"), F.col("n") % 4)), "id").alias("path"), F.col("page_count").alias("pages")))
+
+
+def _crawled(s, d):
+    """Orders as crawled documents; some have no path, some fail in one of three ways, some have identifiers that nobody knows."""
+    o, i = load(s, d, "orders"), F.col("o_orderkey")
+    error = F.when(i % 7 == 0, "Error: ACCESS was Denied").when(i % 11 == 0, "timed out").when(i % 13 == 0, "bad entry")
+    rows = o.select(i.alias("document_id"), F.when(i % 29 == 0, " ").otherwise(F.concat(F.lit("/o/"), i)).alias("path"), error.alias("error"), F.when(i % 13 == 0, "parse").otherwise("read").alias("stage"), F.col("o_orderdate").cast("string").alias("crawled_at"), F.when(i % 5 == 0, F.array((i % 90).cast("string"))).otherwise(F.array().cast("array<string>")).alias("unresolved"))
+    return rows.withColumn("status", K.crawl_status(F.col("path"), F.col("error"), F.col("stage")))
+
+
+_CRAWL = """cr AS (SELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 29 = 0 THEN ' ' ELSE '/o/' || o_orderkey END AS path, CASE WHEN o_orderkey % 7 = 0 THEN 'Error: ACCESS was Denied' WHEN o_orderkey % 11 = 0 THEN 'timed out' WHEN o_orderkey % 13 = 0 THEN 'bad entry' END AS error,
+  CASE WHEN o_orderkey % 29 = 0 THEN 'blank_path' WHEN o_orderkey % 7 > 0 AND o_orderkey % 11 > 0 AND o_orderkey % 13 > 0 THEN 'ok' WHEN o_orderkey % 13 = 0 THEN 'parse_error' WHEN o_orderkey % 7 = 0 THEN 'access_denied' ELSE 'unreachable' END AS status, cast(o_orderdate AS VARCHAR) AS crawled_at FROM orders)"""
+
+
 def _h20(s, d):
     e = load(s, d, "events").groupBy("user_id").agg(F.max("ts").alias("ts"))
     fresh = F.col("ts").cast("timestamp") >= F.timestamp_seconds(F.lit(1704067200 + 29 * 86400))
     return e.select("user_id", F.when(fresh, "use").otherwise("empty").alias("cache"))
 
 
+def _nodes(s, d):
+    c = catalogue(s, d)
+    return c.select(F.lit("r").alias("root"), F.concat_ws("/", "lang", "source").alias("path"), "id").unionByName(c.select(F.lit("r").alias("root"), F.col("lang").alias("path"), "id"))
+
+
 def _h21(s, d):
     c = catalogue(s, d)
-    nodes = c.select(F.lit("r").alias("root"), F.concat_ws("/", "lang", "source").alias("path"), "id").unionByName(c.select(F.lit("r").alias("root"), F.col("lang").alias("path"), "id"))
-    return K.selection_state(nodes, c.where("source IN ('src1', 'src2') OR lang = 'fr'"))
+    return K.selection_state(_nodes(s, d), c.where("source IN ('src1', 'src2') OR lang = 'fr'"))
 
 
 _R = lambda ctes, body: f"WITH {ctes} {body}"
@@ -213,9 +236,17 @@ QUERIES = {
     "h14_access": (_access, _R(_ACCESS, "SELECT * FROM acc")),
     "h15_visible_roots": (_h15, _R(_ACCESS, f"SELECT user_id, lang AS root, count(*) AS documents FROM acc JOIN {CATALOGUE} ON n = document_id GROUP BY ALL")),
     "h16_corpus_index": (lambda s, d: K.corpus_index(_manifest(s, d)), _R(_M, "SELECT lang AS category, count(*) AS documents, sum(pages)::BIGINT AS pages, sum(size_bytes)::BIGINT AS size_bytes, count(DISTINCT source) AS vendors, count(*) FILTER (source_url <> '') AS with_url, count(*) FILTER (golden_questions <> '') AS cited FROM man GROUP BY ROLLUP (lang)")),
+    "h16_vendor_listing": (
+        _h16_listing,
+        _R(f"fam AS (SELECT lang AS category, source AS vendor, CASE WHEN n % 3 > 0 THEN 'f' || n % 4 END AS family, page_count AS pages FROM {CATALOGUE})", """SELECT category, vendor, family, count(*) AS documents, sum(pages)::BIGINT AS pages, count(DISTINCT family) AS families, false AS whole FROM fam GROUP BY ALL
+  UNION ALL SELECT category, vendor, NULL, count(*), sum(pages)::BIGINT, count(DISTINCT family), true FROM fam GROUP BY ALL UNION ALL SELECT category, NULL, NULL, count(*), sum(pages)::BIGINT, count(DISTINCT family), true FROM fam GROUP BY ALL"""),
+    ),
     "h17_manifest": (_manifest, _R(_M, "SELECT path, pages, size_bytes, sha256, source_url, golden_questions FROM man")),
     "h18_fetch_status": (_h18, _R(_M, "SELECT CASE WHEN (length(path) + pages) % 3 = 1 THEN 'present' WHEN (length(path) + pages) % 3 = 2 THEN 'differs' WHEN source_url = '' THEN 'no-url' ELSE 'would-fetch' END AS status, count(*) AS n FROM man GROUP BY 1")),
     "h19_acl_upsert": (_h19, "SELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 4 <> 0 THEN 'denied' ELSE 'ok' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN 'new' WHEN o_orderkey % 3 <> 0 THEN 'old' END AS principals, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS crawled_at, CASE WHEN o_orderkey % 4 = 0 THEN 2 WHEN o_orderkey % 3 <> 0 THEN 1 END AS last_ok_at FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0"),
+    "h19_crawl_summary": (lambda s, d: K.crawl_summary(_crawled(s, d)), _R(_CRAWL, "SELECT status, count(*) AS documents, NULL::BIGINT AS unresolved, max(crawled_at) AS last_crawl FROM cr GROUP BY 1 UNION ALL SELECT NULL, count(*), (SELECT count(DISTINCT o_orderkey % 90) FROM orders WHERE o_orderkey % 5 = 0), max(crawled_at) FROM cr")),
+    "h19_failing": (lambda s, d: K.failing(_crawled(s, d)), _R(_CRAWL, "SELECT document_id, path, status, error FROM cr WHERE status <> 'ok' ORDER BY document_id LIMIT 200")),
+    "h21_scope": (lambda s, d: K.scope_of(_nodes(s, d), _nodes(s, d).where("path IN ('fr', 'en/src1', 'de/src2')").select("root", "path")), f"SELECT id FROM {CATALOGUE} WHERE lang = 'fr' OR lang = 'en' AND source = 'src1' OR lang = 'de' AND source = 'src2'"),
     "h20_group_cache": (_h20, "SELECT user_id, CASE WHEN max(ts) >= TIMESTAMP '2024-01-30' THEN 'use' ELSE 'empty' END AS cache FROM events GROUP BY 1"),
     "h21_selection_state": (_h21, f"WITH x AS (SELECT lang || '/' || source AS path, source IN ('src1', 'src2') OR lang = 'fr' AS i FROM {CATALOGUE} UNION ALL SELECT lang, source IN ('src1', 'src2') OR lang = 'fr' FROM {CATALOGUE}) SELECT 'r' AS root, path, CASE WHEN bool_and(i) THEN 'all' WHEN bool_or(i) THEN 'some' ELSE 'none' END AS state FROM x GROUP BY path"),
 }

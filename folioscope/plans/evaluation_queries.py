@@ -195,7 +195,9 @@ def _i15(spark, d):
 
 def _i16(spark, d):
     c = chunks(spark, d)
-    return C.index_gate(c.where("chunk_index % 50 <> 7"), c.where("chunk_index % 50 <> 9"), load(spark, d, "documents"))
+    broken = C.index_gate(c.where("chunk_index % 50 <> 7"), c.where("chunk_index % 50 <> 9"), load(spark, d, "documents"), c.count())
+    whole = C.index_gate(c, c, load(spark, d, "documents").join(c, "doc_id", "left_semi"), c.count())
+    return broken.unionByName(whole).unionByName(C.index_gate(c, c, load(spark, d, "documents").join(c, "doc_id", "left_semi"), c.count() + 1))
 
 
 def _i17(spark, d):
@@ -401,7 +403,8 @@ QUERIES = {
     "i16_index_gate": (
         _i16,
         f"""WITH c AS (SELECT * FROM {CHUNKS}) SELECT count(*) FILTER (chunk_index % 50 = 9) AS no_vector, (SELECT count(*) FROM c WHERE chunk_index % 50 = 7) AS no_chunk, count(*) AS chunks,
-        (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM c WHERE chunk_index % 50 <> 7)) AS empty_documents FROM c WHERE chunk_index % 50 <> 7""",
+        (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM c WHERE chunk_index % 50 <> 7)) AS empty_documents, (SELECT count(*) FROM c WHERE chunk_index % 50 <> 9) AS vectors, false AS ok FROM c WHERE chunk_index % 50 <> 7
+        UNION ALL SELECT 0, 0, count(*), 0, count(*), true FROM c UNION ALL SELECT 0, 0, count(*), 0, count(*), false FROM c""",
     ),
     "i17_manifest": (
         _i17,

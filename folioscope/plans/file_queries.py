@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioscope.operators import shaping as S
 from folioscope.plans.tables import CATALOGUE, catalogue, load
 from folioscope.plans.tables import shared_folder as _folder
 from folioscope.sources import files
@@ -54,7 +55,32 @@ def _a9(s, d):
     return files.transcript(s, path, "id string, turn long, text string, run string", "run1", "5").select("id", "turn", "text")
 
 
+def _a1(s, d):
+    """Files of some document digests each, accepted by their extension, and others of a kind that isn't wanted."""
+    root, c = _folder(s), load(s, d, "documents").select((F.col("doc_id") % 50).alias("bucket"), "doc_id", F.concat_ws(" ", "doc_id", F.md5(F.coalesce("text", F.lit("")))).alias("value"))
+    dealt = c.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+    dealt.select("bucket", "value").write.partitionBy("bucket").text(f"{root}/Texts")
+    dealt.where("bucket < 5").select("bucket", "value").write.partitionBy("bucket").json(f"{root}/other")
+    good, bad = S.scan_files(s, root, (".txt", ".md"))
+    bucket = F.regexp_extract("path", r"bucket=(\d+)", 1).cast("long").alias("bucket")
+    return good.select(bucket, "length", "sha256").unionByName(bad.select(bucket, F.lit(None).cast("long").alias("length"), F.lit("rejected").alias("sha256")))
+
+
+def _a13(s, d):
+    """A report of two parts, written and read back."""
+    c, path = load(s, d, "documents"), _folder(s)
+    files.write_report({k: c.groupBy(F.col(k).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars")) for k in ("lang", "source")}, path)
+    parts = [s.read.schema("key string, n long, chars long").json(f"{path}/{k}").withColumn("part", F.lit(k)) for k in ("lang", "source")]
+    return parts[0].unionByName(parts[1])
+
+
 QUERIES = {
+    "a1_folder_scan": (
+        _a1,
+        """WITH t AS (SELECT doc_id % 50 AS bucket, string_agg(doc_id || ' ' || md5(coalesce(text, '')) || chr(10), '' ORDER BY doc_id) AS x FROM documents GROUP BY 1)
+  SELECT bucket, cast(length(x) AS BIGINT) AS length, sha256(x) AS sha256 FROM t UNION ALL SELECT bucket, NULL, 'rejected' FROM t WHERE bucket < 5""",
+    ),
+    "a13_report": (_a13, "SELECT 'lang' AS part, lang AS key, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*), sum(length(text))::BIGINT FROM documents GROUP BY source"),
     "a5_campaign_files": (_a5, "SELECT 'r' || user_id % 2 AS rung, 'c' || event_id % 2 AS condition, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL"),
     "a6_ledger": (_a6, "SELECT 'r' || user_id % 6 AS rung, round(sum(value), 4) AS cost FROM events WHERE event_type = 'purchase' GROUP BY 1"),
     "a7_fetch_log": (_a7, "SELECT 'p' || page_id AS path, 'ok' AS status, cast(length(html) AS VARCHAR) AS size, url FROM pages WHERE page_id % 4 <> 0"),
