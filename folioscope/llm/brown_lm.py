@@ -3,7 +3,8 @@
 Words that occur UNIT_COUNT times or more in the training texts are units of their own, however many they are; other words belong to
 units by their last two bytes and their length. Units, their classes and their bigrams are tables. The exchange algorithm moves units between classes by the gain in
 the class bigrams' likelihood. A word's probability is that of its class after the class before, times that of the word among
-its class's words by its own count in the whole training text (absolute discounting; unseen words share what it frees).
+its class's words by its own count in the whole training text (absolute discounting; what it frees is shared by as many unseen words as the
+class is estimated to have).
 
 Counts of all words stay a distributed table. Texts look up the words that make up 1 / LOOKUP_SHARE of the tokens (LOOKUP_SHARE words at
 most) where they are; their other words, none of which is frequent, are joined to the table. Up to SMALL_UNITS units are looked up as
@@ -490,7 +491,17 @@ def _waiting(texts: DataFrame, far: DataFrame, steps_: np.ndarray) -> DataFrame:
 
 
 def class_lm(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
+    """scored_by_classes() without the classes."""
+    return scored_by_classes(docs)[0]
+
+
+def unseen_words(once: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """How many words a class is estimated to have that weren't seen, from those seen once and twice (Chao's bound); one at least."""
+    return np.maximum(1.0, np.where(twice > 0, once * once / (2 * np.maximum(twice, 1)), once * (once - 1) / 2))
+
+
+def scored_by_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10); and the classes (unit, class) of units.
 
     Tokens are words ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case, then one end; a null text is empty and has the end alone.
     Texts that aren't held out are learned from, repeated rows as often as they occur. An empty table gives no rows; if
@@ -515,9 +526,9 @@ def class_lm(docs: DataFrame) -> DataFrame:
     lookup = Lookup(common["word"].to_numpy(np.int64), common["c"].to_numpy() >= UNIT_COUNT, None if far is None else bitmap(far))
 
     # at first, by rank the buckets and the words of RANKED_SHARE (RANKED_SHARE at most); counts and words of each bucket
-    in_bucket, types_in = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for k, n, m in counts.where(~unit).groupBy("bucket").agg(F.sum("c"), F.count(F.lit(1))).collect():
-        in_bucket[k], types_in[k] = n, m
+    in_bucket, types_in, once_in, twice_in = np.zeros((4, BUCKETS))
+    for k, *found in counts.where(~unit).groupBy("bucket").agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).collect():
+        in_bucket[k], types_in[k], once_in[k], twice_in[k] = found
     top = common[(common["c"] >= UNIT_COUNT) & (common["c"] * RANKED_SHARE >= tokens)]
     ranks = pd.DataFrame({"unit": np.concatenate([np.arange(BUCKETS), top["word"].to_numpy(np.int64)]), "c": np.concatenate([in_bucket, top["c"].to_numpy(float)])})
     ranks = ranks.sort_values("c", ascending=False, kind="stable")[["unit"]].assign(**{"class": 1 + np.arange(len(ranks)) % (CLASSES - 1)})
@@ -539,19 +550,18 @@ def class_lm(docs: DataFrame) -> DataFrame:
     bucket_class = np.zeros(BUCKETS, np.int64)
     for k, c in classes.where((F.col("unit") >= 0) & (F.col("unit") < BUCKETS)).collect():
         bucket_class[k] = c
-    sizes, types = np.zeros(CLASSES), np.zeros(CLASSES)
-    np.add.at(sizes, bucket_class, in_bucket)
-    np.add.at(types, bucket_class, types_in)
+    sizes, types, once_of, twice_of = (np.bincount(bucket_class, x, CLASSES) for x in (in_bucket, types_in, once_in, twice_in))
     of_words = counts.where(unit).join(classes, F.col("word") == F.col("unit"))
     for k, n, m in of_words.groupBy("class").agg(F.sum("c"), F.count(F.lit(1))).collect():
         sizes[k] += n
         types[k] += m
     sizes[0] = ends
     share = (sizes + 0.5) / (sizes.sum() + 0.5 * CLASSES)
+    spread = np.log10(unseen_words(once_of, twice_of))
     with np.errstate(divide="ignore", invalid="ignore"):
         transitions = np.log10((matrix + KAPPA * share) / (matrix.sum(axis=1, keepdims=True) + KAPPA))
-        unseen = np.where(sizes > 0, np.log10(discount * types / sizes), 0.0)  # a class without words has unseen ones only
-        seen_less = np.where(types > 0, np.log10(discount * types), 0.0)
+        unseen = np.where(sizes > 0, np.log10(discount * types / sizes), 0.0) - spread  # a class without words has unseen ones only
+        seen_less = np.where(types > 0, np.log10(discount * types), 0.0) - spread
     unseen[0] = 0.0
     known = of_words.where(looked_up).select("word", "class").toArrow().to_pandas()  # of the words looked up
     spot = bucket_class[common["bucket"].to_numpy(np.int64)] if len(common) else np.zeros(0, np.int64)
@@ -577,7 +587,7 @@ def class_lm(docs: DataFrame) -> DataFrame:
     sum_of = lambda x, y: (F.col(x) + F.coalesce(F.col(y), F.lit(0))).alias(x)
     return texts.select(*_NAMES[:7]).join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", sum_of("n_known", "k"), F.lit(tokens).cast("long").alias("train_tokens"), sum_of("base_score", "b"), sum_of("score", "s")
-    )
+    ), classes
 
 
 def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
