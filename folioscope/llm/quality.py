@@ -270,6 +270,9 @@ class _Block:
                 yield {"block": self.number, "shard": k, "grams": grams[a:b][last].tobytes(), "ends": (last + 1).astype(np.int32).tobytes(), "docs": texts[a:b].tobytes()}
 
 
+#: Bytes of text that are cut into n-grams at once where documents are sent: a step's arrays are some fifty times that.
+SENT_BYTES = 1 << 18
+
 #: Rows of n-grams have grams, ends and docs; rows of documents have the others, and a shard that only carries them.
 _KINDS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("grams", pa.binary()), ("ends", pa.binary()), ("docs", pa.binary()), ("first", pa.int32()), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("n", pa.binary()), ("sums", pa.binary())])
 _SENT = "block long, shard int, grams binary, ends binary, docs binary, first int, ids array<long>, langs array<string>, n binary, sums binary"
@@ -282,7 +285,7 @@ def _sent(shared):
         block = _Block(task << 32)
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
-            for a, b in steps(offsets):
+            for a, b in steps(offsets, SENT_BYTES):
                 g = grams_of(data, offsets[a : b + 1])
                 at, known = _found(m.words, g.word)
                 per_token = np.where(known, m.adds[at], m.unknown) if len(m.words) else np.full(len(at), m.unknown)
