@@ -262,23 +262,27 @@ def linked_parts(sets: DataFrame, percent: int) -> DataFrame:
     size = sets.count()
     few = lambda df: fitted(df, size, 2 * BLOCK)  # noqa: E731  a task for two blocks of documents at least
     within = lambda rows: saved(few(rows.groupBy("cluster", "block").applyInPandas(_within(percent), "a long, b long")), "links")
-    edges = within(_blocked(sets.withColumn("part", F.col("doc_id")), 0))
+    known = components(within(_blocked(sets.withColumn("part", F.col("doc_id")), 0)))
     large = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("cluster")
-    members = saved(few(sets.select("cluster", "doc_id").join(large, "cluster", "left_semi")), "large")
+    members = sets.select("cluster", "doc_id").join(large, "cluster", "left_semi")
+    units = saved(few(members.join(known, members["doc_id"] == known["node"], "left").select("cluster", "doc_id", F.coalesce("component", "doc_id").alias("part"))), "units")
     salt, before = 0, None
     while True:  # in other blocks, until few documents are left outside each cluster's largest part or rounds gain little
-        known = components(edges)
-        units = saved(few(members.join(known, members["doc_id"] == known["node"], "left").select("cluster", "doc_id", F.coalesce("component", "doc_id").alias("part"))), "units")
         largest = units.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("top")).select("cluster", F.col("top.part").alias("part"))
         others = units.join(largest, ["cluster", "part"], "left_anti")
         left = others.count()
-        if not left:
-            return edges
         if left <= CROSSED * BLOCK or before is not None and 5 * left > 4 * before:
             break
         salt, before = salt + 1, left
-        again = _blocked(sets.join(units, ["cluster", "doc_id"]), salt)
-        edges = saved(few(edges.unionByName(within(again))), "part-edges")
+        fresh = within(_blocked(sets.join(units, ["cluster", "doc_id"]), salt))
+        # only parts are connected from now on, by what a round has found between them
+        part_of = lambda side: units.select(F.col("doc_id").alias(side), F.col("part").alias(f"_{side}"))
+        merged = components(fresh.join(part_of("a"), "a").join(part_of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+        units = saved(few(units.join(merged, units["part"] == merged["node"], "left").select("cluster", "doc_id", F.coalesce("component", "part").alias("part"))), "units")
+    parts = units.select(F.col("doc_id").alias("node"), "part")
+    edges = known.join(parts, "node", "full_outer").select(F.col("node").alias("a"), F.coalesce("part", "component").alias("b")).where("a <> b")
+    if not left:
+        return edges
     units = saved(few(_blocked(units, 0)), "units")
     others = saved(few(_blocked(others, salt + 1)), "others")
     pairs = others.select("cluster", F.col("block").alias("x")).distinct().join(units.select("cluster", F.col("block").alias("y")).distinct(), "cluster")
