@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.operators.order import order_statistics, placed
+from folioscope.operators.resampling import resampled
 from folioscope.operators.retrieval import ranked, small
 from folioscope.plans.tables import stored
 
@@ -71,13 +72,10 @@ def per_question(scores: DataFrame, by: list[str]) -> DataFrame:
 
 def bootstrap(rows: DataFrame, by: list[str], value: str, samples: int = 10_000, seed: int = 7) -> DataFrame:
     """by, n, mean, low and high: the 2.5 and 97.5 percentiles (interpolated) of means of resamples; a draw is the md5 of seed, sample
-    and slot modulo n, so that any engine draws the same. The resamples of a group are the product of its rows and samples."""
+    and slot modulo n, so that any engine draws the same. Draws are made in resampling.py, none is a row."""
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     numbered = stored(placed(rows.select(*by, "id", F.col(value).alias("_v")), by, F.col("id"), name="_i").join(small(sizes), by).select(*by, "_i", "_n", "_v"))
-    draw = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "_s", "_i")), 1, 8), 16, 10).cast("long"), F.col("_n"))
-    slots = numbered.select(*by, "_n", "_i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_s")).withColumn("_d", draw)
-    picked = slots.select(*by, "_s", F.col("_d").alias("_i")).join(small(numbered.select(*by, "_i", "_v")), [*by, "_i"])
-    means = picked.groupBy(*by, "_s").agg(F.avg("_v").alias("_m"))
+    means = resampled(numbered, by, samples, seed)
     bounds = means.groupBy(*by).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
     return numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean")).join(bounds, by)
 
