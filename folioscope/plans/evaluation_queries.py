@@ -408,10 +408,13 @@ QUERIES = {
     ),
     "i17_manifest": (
         _i17,
-        _W(_R, f""", r AS (SELECT sha256(concat_ws(chr(31), 'answerable=' || answerable, 'category=' || category, 'id=' || id, 'number=' || number)) AS d, count(*) OVER () AS n FROM (SELECT DISTINCT id, number, category, answerable FROM rec)),
-  leaf AS (SELECT CASE WHEN n > 1000 THEN substr(d, 1, 1) ELSE '' END AS p, sha256(string_agg(d || ':1', ',' ORDER BY d)) AS t, any_value(n) AS n FROM r GROUP BY 1),
-  g AS (SELECT CASE WHEN any_value(n) > 1000 THEN sha256(string_agg(p || ':' || t, ',' ORDER BY p)) ELSE any_value(t) END AS golden_digest, any_value(n) AS golden_rows FROM leaf)
-  SELECT rung, condition, count(*) AS n, any_value(golden_digest) AS golden_digest, any_value(golden_rows) AS golden_rows, (SELECT count(*) FROM {CHUNKS}) AS index_chunks, 'k=20;keep=12' AS settings FROM rec, g GROUP BY ALL"""),
+        # the tree has as many levels as its rows ask for: the least depth at which 16^depth leaves of 1000 rows hold them
+        f"""WITH RECURSIVE {_R}, r AS (SELECT sha256(concat_ws(chr(31), 'answerable=' || answerable, 'category=' || category, 'id=' || id, 'number=' || number)) AS d, count(*) OVER () AS n FROM (SELECT DISTINCT id, number, category, answerable FROM rec)),
+  dep AS (SELECT max(n) AS golden_rows, (SELECT min(k) FROM range(60) x(k) WHERE 16.0::DOUBLE ** k * 1000 >= max(n)) AS depth FROM r),
+  tree AS (SELECT depth AS level, substr(d, 1, CAST(depth AS INTEGER)) AS p, d || ':1' AS t FROM r, dep
+    UNION ALL SELECT level - 1, substr(any_value(p), 1, CAST(level - 1 AS INTEGER)), any_value(p) || ':' || sha256(string_agg(t, ',' ORDER BY t)) FROM tree WHERE level >= 0 GROUP BY level, p),
+  g AS (SELECT split_part(t, ':', 2) AS golden_digest, golden_rows FROM tree, dep WHERE level = -1)
+  SELECT rung, condition, count(*) AS n, any_value(golden_digest) AS golden_digest, any_value(golden_rows) AS golden_rows, (SELECT count(*) FROM {CHUNKS}) AS index_chunks, 'k=20;keep=12' AS settings FROM rec, g GROUP BY ALL""",
     ),
     "j1_bootstrap": (_j1, _W(f"{_PQ}, {_boot('SELECT condition, id, score AS v FROM pq', 'bt')}", "SELECT * FROM bt")),
     "j2_correctness": (_j2, _W(_PQ, "SELECT condition, count(*) AS questions, round(avg(score), 6) AS rate FROM pq GROUP BY 1")),
