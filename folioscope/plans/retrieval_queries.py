@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import retrieval as R
 from folioscope.operators.maintained import MaintainedIndex
-from folioscope.operators.scoring import Scope, dense_top_k, excluded_documents, sparse_top_k, unit
+from folioscope.operators.scoring import Scope, dense_top_k, excluded_documents, sparse_scores, sparse_top_k, unit
 from folioscope.plans.tables import CHUNKS, chunks, load, shared_folder, stored
 
 _KEPT: dict[tuple[str, str, str], object] = {}
@@ -42,7 +42,7 @@ def _vectors(spark, d):
 
 def _scores(spark, d):
     i = _index(spark, d)
-    return R.bm25(_questions(spark, d), i.postings, i.terms, i.lengths).withColumn("score", F.round("score", 6))
+    return sparse_scores(_questions(spark, d), i.tokens, i.terms, i.average).select("query_id", F.col("key").alias("chunk_id"), F.round("score", 6).alias("score"))
 
 
 _TOK = r"""flatten(list_transform(regexp_extract_all(translate(regexp_replace(lower({c}), '<[^>]*>', ' ', 'g'), '*_|', '   '), '[a-z0-9][a-z0-9\-./]*[a-z0-9]|[a-z0-9]'),
