@@ -34,7 +34,8 @@ def tokenise(c: Column) -> Column:
     """Lower-case tokens; one with - . or / in it is followed by its parts."""
     plain = F.translate(F.regexp_replace(F.lower(c), "<[^>]*>", " "), "*_|", "   ")
     tokens = F.regexp_extract_all(plain, F.lit(r"[a-z0-9][a-z0-9\-./]*[a-z0-9]|[a-z0-9]"), F.lit(0))
-    return F.flatten(F.transform(tokens, lambda t: F.when(t.rlike("[-./]"), F.concat(F.array(t), F.filter(F.split(t, "[-./]"), lambda x: x != ""))).otherwise(F.array(t))))
+    parted = F.flatten(F.transform(tokens, lambda t: F.when(t.rlike("[-./]"), F.concat(F.array(t), F.filter(F.split(t, "[-./]"), lambda x: x != ""))).otherwise(F.array(t))))
+    return F.when(plain.rlike(r"[a-z0-9][\-./]+[a-z0-9]"), parted).otherwise(tokens)  # few lines have a token of parts
 
 
 def overlap_tokens(c: Column) -> Column:
