@@ -1,16 +1,16 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Trusted are documents with label quality 1 that aren't toxic. The model is fitted on a bounded sample of them: TRUSTED texts, as many
-of each language as of any other where there are enough, whole, and TRUSTED_BYTES of UTF-8 in all. Its counts are tables; discounts,
-lower orders and back-off weights are joins and aggregations of them.
+Trusted are documents with label quality 1 that aren't toxic. The model is fitted on all of them that don't judge, whole texts. Its
+counts are tables; discounts, lower orders and back-off weights are joins and aggregations of them.
 
-A token's log probability is a sum of what its n-grams add: that of the last word after any other (back-off weight of
-the word before, and unigram), more if the bigram is known, more if the trigram is, and the back-off weight of the two words before. So
-a document's score is the sum, over its own distinct n-grams, of count times addend, which is a join of the corpus's n-grams with the model's.
+A token's log probability is a sum of what its n-grams add: that of an unknown word, more if the word is known, the back-off weight of
+the word before, more if the bigram is known, more if the trigram is, and the back-off weight of the two words before. So
+a document's score is the sum, over its own n-grams, of count times addend, which is a join of the corpus's n-grams with the model's.
 That join is sharded by n-gram hash: blocks of documents send each shard the n-grams that may be in the model (a Bloom filter of
-it says so), with the documents that hold them, and get back a sum for each document. Groups of blocks of GROUP_BYTES have copies
-of the shards of their own, so that no task's share grows with the corpus or with one frequent n-gram. Words and the few
-frequent n-grams (a millionth of the sample's tokens and more) are looked up where the documents are, because they would make up most of what is sent.
+it says so), with the documents that hold them, and get back a sum for each document. There are as many shards as the fitted text asks for,
+and groups of blocks have copies of them where the corpus outgrows it, so that no task's share grows with either or with one frequent
+n-gram. The few frequent n-grams are looked up where the documents are, because they would make up most of what is sent; what is looked up
+and the Bloom filter are bounded, and only spare work: what they don't settle is joined.
 
 A word that repeats the two before it is a token of its own that is never learned, however often trusted texts hold one: it has
 an unknown word's probability, so that a text of one word over and over is as unlikely as noise.
@@ -33,23 +33,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import fold_of, mapped, mixed, own_columns, saved, steps, table, text_buffer, words
+from folioscope.llm.shared import fold_of, mapped, mixed, own_columns, saved, scratch, steps, table, text_buffer, words
 from folioscope.plans.ship import ship
 
-#: Bounds of the sample that the model is fitted on.
-TRUSTED, TRUSTED_BYTES = 2500, 16 << 20
-#: n-grams of this share of the sample's tokens and more are looked up without a join, so there are FREQUENT of an order at most.
-FREQUENT = 1_000_000
-#: Shards of the model, text of a block of documents in tokens, and bytes of text that share one copy of the shards.
-SHARDS, BLOCK_TOKENS, GROUP_BYTES = 32, 1 << 20, 1 << 29
+#: n-grams of this share of the fitted tokens and more are looked up without a join, so there are FREQUENT of an order at most.
+FREQUENT = 4_000_000
+#: Shards of the model at least, fitted text of a shard, trigrams that are worked on at once, text of a block of documents in tokens, and bytes of text that share
+#: one copy of the shards: GROUP_BYTES, or the fitted text GROUP_TIMES.
+SHARDS, SHARD_BYTES, PART, BLOCK_TOKENS, GROUP_BYTES, GROUP_TIMES = 32, 1 << 22, 1 << 19, 1 << 20, 1 << 29, 4
+#: Words up to which a row for each is broadcast; more are joined by a shuffle.
+WORDS = 500_000
 #: Languages, and bytes of their names, up to which a row for each is broadcast.
 LANGUAGES, LANGUAGE_BYTES = 100_000, 1 << 23
 #: The quantile that is the threshold, and how many documents at all languages' quantile are added to a language's own.
 QUANTILE, PRIOR = 0.998, 10
 #: Trusted documents whose log perplexity is outside the quartiles by more than FENCE times their distance are outliers.
 FENCE = 3
-#: Bits of the Bloom filter for each n-gram of the model.
-BLOOM_BITS = 16
+#: Bits of the Bloom filter for each n-gram of the model, and in all at most.
+BLOOM_BITS, BLOOM_MOST = 16, 1 << 28
 #: Hashes of a text's begin and end, and of a word that repeats the two before it.
 _BEGIN, _END, _REPEATED = np.uint64(1), np.uint64(2), np.uint64(3)
 
@@ -121,119 +122,150 @@ def _shares(context: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarr
     return (c - cut) / every[at], rest[at], contexts, rest
 
 
-def _addends(shared, d2: np.ndarray, d3: np.ndarray):
-    def addends(rows: pd.DataFrame) -> pd.DataFrame:
-        """What n-grams of some middle words add, as (kind, key, add, c): bigrams after their first word, trigrams, contexts of trigrams;
-        and the back-off weights of the middle words."""
-        known, p1 = shared.value
-        u, v, w = (rows[x].to_numpy().view(np.uint64) for x in "uvw")
-        c = rows["c"].to_numpy()
-        bigram, first, of, c2 = np.unique(_paired(v, w), return_index=True, return_inverse=True, return_counts=True)
-        share, rest, middles, weights = _shares(v[first], c2, d2)
-        lower = rest * p1[np.searchsorted(known, w[first])]
+def _packed(keys: np.ndarray, adds: np.ndarray, c: np.ndarray, shards: int) -> pa.Table:
+    """A row for each shard that has some of the n-grams."""
+    order = np.argsort(keys)  # shards are ranges of n-grams
+    keys, adds, c = keys[order], adds[order], c[order].astype(np.int64)
+    cuts = np.searchsorted(_shard(keys, shards), np.arange(shards + 1)).tolist()
+    found = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    columns = [[x[a:b].tobytes() for _, a, b in found] for x in (keys, adds, c)]
+    return pa.table([pa.array([k for k, _, _ in found], pa.int32()), *[pa.array(x, pa.binary()) for x in columns]], ["shard", "keys", "adds", "c"])
+
+
+_PACKED = "shard int, keys binary, adds binary, c binary"
+
+
+def _addends(d2: np.ndarray, d3: np.ndarray, shards: int):
+    def addends(tri: pa.Table, low: pa.Table) -> pa.Table:
+        """What n-grams of some middle words add: bigrams after their first word, trigrams, contexts of trigrams, and the middle words as ones before
+        others. tri has the trigrams (u, v, w, c), low all bigrams (v, w, c, n, p1) of these middle words, perhaps in several copies, of which those of salt 0 are given."""
+        column = lambda t, x: t[x].to_numpy()
+        v, w = (column(low, x).view(np.uint64) for x in "vw")
+        bigram = _paired(v, w)
+        order = np.lexsort((column(low, "salt"), bigram))
+        order = order[np.append(True, bigram[order][1:] != bigram[order][:-1])] if len(order) else order
+        bigram, v, c2, n, p1, own = bigram[order], v[order], *(column(low, x)[order] for x in ("c", "n", "p1")), column(low, "salt")[order] == 0
+        share, rest, middles, weights = _shares(v, c2, d2)
+        lower = rest * p1
         p2 = share + lower
-        context = _paired(u, v)
+        u, middle, last = (column(tri, x).view(np.uint64) for x in "uvw")
+        c, context = column(tri, "c"), _paired(u, middle)
         share, rest, contexts, weights3 = _shares(context, c, d3)
-        backed = rest * p2[of]
+        backed = rest * p2[np.searchsorted(bigram, _paired(middle, last))]
+        given = np.isin(middles, v[own])
         none = lambda x: np.zeros(len(x), np.int64)
-        parts = [(0, bigram, p2 / lower, np.bincount(of, weights=c).astype(np.int64)), (0, _paired(context, w), (share + backed) / backed, c), (0, contexts, weights3, none(contexts)), (1, middles, weights, none(middles))]
-        return pd.concat([pd.DataFrame({"kind": k, "key": x.view(np.int64), "add": np.log10(y), "c": n}) for k, x, y, n in parts])
+        parts = [(bigram[own], (p2 / lower)[own], n[own]), (_paired(context, last), (share + backed) / backed, c), (contexts, weights3, none(contexts)), (middles[given], weights[given], none(middles[given]))]
+        keys, adds, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return _packed(keys, np.log10(adds), c, shards)
 
     return addends
 
 
+def _words_packed(shards: int):
+    def packed(batches):
+        for batch in batches:
+            yield from _packed(batch.column("w").to_numpy().view(np.uint64), batch.column("add").to_numpy(), batch.column("n").to_numpy(), shards).to_batches()
+
+    return packed
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """doc_id of trusted documents, with fold 0 for those that the model isn't fitted on."""
     return labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("fold", fold_of("doc_id", 5))
 
 
-def sample(docs: DataFrame, trusted: DataFrame, limit: int = TRUSTED, limit_bytes: int = TRUSTED_BYTES) -> DataFrame:
-    """The texts to learn from, saved: languages take turns, each in the order of id hashes; a text that no longer fits is passed by."""
+def sample(docs: DataFrame, trusted: DataFrame, limit: int | None = None, limit_bytes: int | None = None) -> DataFrame:
+    """The texts to learn from: all trusted ones that don't judge. Only where a caller sets a limit of texts or bytes, which classify() doesn't, some of them:
+    languages take turns, each in the order of id hashes; a text that no longer fits is passed by."""
     rows = own_columns(docs, "doc_id", "text", "lang").where("text IS NOT NULL").join(trusted.where("fold <> 0").select("doc_id"), "doc_id", "left_semi")
+    if limit is None and limit_bytes is None:
+        return rows.select("text")
     sizes = rows.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.sum(F.octet_length("text")).alias("size"))
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    first = sizes.withColumn("turn", turn).where(F.col("turn") <= limit).orderBy("turn", F.xxhash64("doc_id"), "doc_id").limit(limit)
+    first = sizes.withColumn("turn", turn).orderBy("turn", F.xxhash64("doc_id"), "doc_id")
     chosen, left = [], limit_bytes
-    for doc_id, size in first.select("doc_id", "size").collect():  # limit rows at most
-        if size <= left:
+    for doc_id, size in (first if limit is None else first.limit(limit)).select("doc_id", "size").toLocalIterator():
+        if left is None or size <= left:
             chosen.append((doc_id,))
-            left -= size
+            left = None if left is None else left - size
     return saved(rows.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long")), "doc_id").select("text"), "trusted")
 
 
 @dataclass
 class Lookup:
-    """What blocks of documents hold of the model; all of it is bounded by the sample's size: sorted words with what each adds as the last
-    one and as the one before it, sorted frequent n-grams with what they add, a Bloom filter of all n-grams by shard, the log10 of an
-    unknown word's probability, and what a text's begin adds."""
+    """What blocks of documents hold of the model, bounded whatever that was fitted on: sorted frequent n-grams with what they add, a Bloom
+    filter of all n-grams by shard, the number of shards, the log10 of an unknown word's probability, and what a text's begin adds."""
 
-    words: np.ndarray
-    adds: np.ndarray
-    rests: np.ndarray
     frequent: np.ndarray
     frequent_adds: np.ndarray
     bloom: np.ndarray
+    shards: int
     unknown: float
     start: float
 
     def may_hold(self, grams: np.ndarray) -> np.ndarray:
         found = np.ones(len(grams), bool)
-        for bit in _bits(grams, len(self.bloom) * 8):
+        for bit in _bits(grams, len(self.bloom) * 8, self.shards):
             found &= (self.bloom[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
         return found
 
 
-def _shard(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(58)).astype(np.int64) * SHARDS >> 6
+def _shard(grams: np.ndarray, shards: int) -> np.ndarray:
+    return (grams >> np.uint64(40)).astype(np.int64) * shards >> 24
 
 
-def _bits(grams: np.ndarray, size: int) -> list[np.ndarray]:
+def _bits(grams: np.ndarray, size: int, shards: int) -> list[np.ndarray]:
     """Two bits of a Bloom filter of size bits, in the part of the n-grams' shard."""
-    each = np.uint64(size // SHARDS)
-    return [_shard(grams).astype(np.uint64) * each + (grams >> np.uint64(shift)) % each for shift in (0, 27)]
+    each = np.uint64(size // shards)
+    return [_shard(grams, shards).astype(np.uint64) * each + (grams >> np.uint64(shift)) % each for shift in (0, 27)]
 
 
 @dataclass
 class Model:
-    """The lookup, and shards (shard, grams, adds): sorted n-grams with what they add, as bytes."""
+    """The lookup, shards (shard, grams, adds): sorted n-grams with what they add, as bytes, and the bytes of the fitted texts."""
 
     lookup: Lookup
     shards: DataFrame
+    text_bytes: int
 
 
 def fit(texts: DataFrame) -> Model:
-    """The model of texts (text); without any, every token has the same probability."""
+    """The model of texts (text), all of them; without any, every token has the same probability."""
     spark = texts.sparkSession
     ship(spark)
-    tri = saved(mapped(texts, _trigrams, "u long, v long, w long, c long").groupBy("u", "v", "w").agg(F.sum("c").alias("c")), "trigrams")
-    bi = saved(tri.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c")), "bigrams")
-    uni = saved(bi.groupBy("w").agg(F.count(F.lit(1)).alias("c")), "unigrams")
-    known, c = _columns(uni, "w", "c")
-    d1 = discounts(uni)
-    floor = d1[np.minimum(c, 3)].sum() / c.sum() / (len(c) + 1) if len(c) else 1.0
-    p1 = (c - d1[np.minimum(c, 3)]) / c.sum() + floor if len(c) else np.zeros(0)
-    part = F.pmod(F.xxhash64("v"), F.lit(SHARDS))
-    rows = tri.groupBy(part.alias("part")).applyInPandas(_addends(spark.sparkContext.broadcast((known, p1)), discounts(bi), discounts(tri)), "kind int, key long, add double, c long")
-    rows = saved(rows, "addends")
-
-    tokens, n = tri.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    size = SHARDS << max(10, int(np.ceil(np.log2((n + bi.count() + 1) * BLOOM_BITS / SHARDS))))
-    shard = F.shiftright(F.shiftrightunsigned("key", 58) * SHARDS, 6)
-    shards = rows.where("kind = 0").groupBy(shard.alias("shard")).applyInPandas(_sharded(tokens, size), "shard int, grams binary, adds binary, frequent binary, frequent_adds binary, bloom binary")
-    shards = saved(shards, "shards")
-    bloom, frequent = np.zeros(size // 8, np.uint8), []
-    for k, x, y, bits in shards.select("shard", "frequent", "frequent_adds", "bloom").collect():  # SHARDS rows
+    text_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(SHARDS, -(-text_bytes // SHARD_BYTES))
+    with scratch(spark):
+        tri = saved(mapped(texts, _trigrams, "u long, v long, w long, c long").groupBy("u", "v", "w").agg(F.sum("c").alias("c")), "trigrams")
+        bi = saved(tri.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c"), F.sum("c").alias("n")), "bigrams")
+        uni = saved(bi.groupBy("w").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")), "unigrams")
+        d1, d2, d3 = map(discounts, (uni, bi, tri))
+        cut = F.when(F.col("c") == 1, float(d1[1])).when(F.col("c") == 2, float(d1[2])).otherwise(float(d1[3]))
+        n1, total, freed, tokens = uni.agg(F.count(F.lit(1)), F.sum("c"), F.sum(cut), F.sum("n")).first()
+        floor = freed / total / (n1 + 1) if n1 else 1.0
+        words = uni.select("w", ((F.col("c") - cut) / F.lit(total or 1) + floor).alias("p1"), "n")
+
+        n2, n3 = bi.count(), tri.count()
+        parts, salts = max(SHARDS, -(-n3 // PART)), F.coalesce("salts", F.lit(1))
+        heavy = tri.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("salts")).where("salts > 1")  # of PART trigrams each
+        heavy = F.broadcast(saved(heavy, "heavy"))
+        part = F.pmod(F.xxhash64("v", "salt"), F.lit(parts)).alias("part")
+        salted = tri.join(heavy, "v", "left").select("u", "v", "w", "c", F.pmod(F.xxhash64("u"), salts).cast("int").alias("salt"))
+        each = words.select("w", "p1")
+        lower = bi.join(F.broadcast(each) if n1 <= WORDS else each, "w").join(heavy, "v", "left").select("v", "w", "c", "n", "p1", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        longer = salted.groupBy(part).cogroup(lower.groupBy(part)).applyInArrow(_addends(d2, d3, shards), _PACKED)
+        single = mapped(words.select("w", F.log10(F.col("p1") / floor).alias("add"), "n"), _words_packed(shards), _PACKED)
+        size = shards << max(10, int(np.ceil(np.log2(min((n1 + n2 + n3 + 1) * BLOOM_BITS, BLOOM_MOST) / shards))))
+        made = longer.unionByName(single).groupBy("shard").applyInArrow(_sharded(tokens or 0, size, shards), "shard int, grams binary, adds binary, frequent binary, frequent_adds binary, bloom binary, start double")
+        made = saved(made, "shards", beyond=True)
+    bloom, frequent, start = np.zeros(size // 8, np.uint8), [], 0.0
+    for k, x, y, bits, own in made.select("shard", "frequent", "frequent_adds", "bloom", "start").toLocalIterator():
         frequent.append((np.frombuffer(x, np.uint64), np.frombuffer(y)))
         bloom[k * len(bits) : (k + 1) * len(bits)] = np.frombuffer(bits, np.uint8)
+        start += own
     frequent, adds = (np.concatenate([x[k] for x in frequent]) if frequent else np.zeros(0, t) for k, t in ((0, np.uint64), (1, np.float64)))
     order = np.argsort(frequent)
-    middles, rests = _columns(rows.where("kind = 1"), "key", "add")
-    every = np.union1d(known, middles)
-    of_word, of_middle = np.full(len(every), np.log10(floor)), np.zeros(len(every))
-    of_word[np.searchsorted(every, known)] = np.log10(p1)
-    of_middle[np.searchsorted(every, middles)] = rests
-    start = rows.where((F.col("kind") == 0) & (F.col("key") == int(_START.view(np.int64)[0]))).agg(F.sum("add")).first()[0]
-    return Model(Lookup(every, of_word, of_middle, frequent[order], adds[order], bloom, float(np.log10(floor)), start or 0.0), shards)
+    return Model(Lookup(frequent[order], adds[order], bloom, shards, float(np.log10(floor)), start), made.select("shard", "grams", "adds"), text_bytes)
 
 
 def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,26 +276,19 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, keys[at] == wanted
 
 
-def _columns(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order with their values, of a table as large as the sample's vocabulary at most."""
-    rows = df.select(key, value).toArrow()
-    keys, values = rows.column(0).to_numpy().astype(np.int64).view(np.uint64), rows.column(1).to_numpy()
-    order = np.argsort(keys)
-    return keys[order], values[order]
-
-
 class _Block:
     """n-grams of some documents that wait for the join."""
 
-    def __init__(self, number: int):
+    def __init__(self, number: int, shards: int):
+        self.shards = shards
         self.number, self.docs, self.tokens, self.grams, self.texts = number, 0, 0, [], []
 
     def sent(self) -> Iterator[dict]:
         """A row for each shard: n-grams in order, where each one's documents end, and the documents."""
         grams, texts = (np.concatenate(x) for x in (self.grams, self.texts))
-        shard = _shard(grams)
+        shard = _shard(grams, self.shards)
         order = np.lexsort((texts, grams))  # shards are ranges of n-grams
-        grams, texts, cuts = grams[order], texts[order], np.searchsorted(shard[order], np.arange(SHARDS + 1))
+        grams, texts, cuts = grams[order], texts[order], np.searchsorted(shard[order], np.arange(self.shards + 1))
         for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
             if b > a:
                 last = np.append(np.flatnonzero(grams[a + 1 : b] != grams[a : b - 1]), b - a - 1)
@@ -282,51 +307,45 @@ def _sent(shared):
     def sent(batches):
         m: Lookup = shared.value
         task, number = TaskContext.get().partitionId(), 0
-        block = _Block(task << 32)
+        block = _Block(task << 32, m.shards)
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             for a, b in steps(offsets, SENT_BYTES):
                 g = grams_of(data, offsets[a : b + 1])
-                at, known = _found(m.words, g.word)
-                per_token = np.where(known, m.adds[at], m.unknown) if len(m.words) else np.full(len(at), m.unknown)
-                before = np.empty_like(at)
-                before[1:] = at[:-1]
-                rested = np.append(False, known[:-1])
-                rested[g.bounds[:-1]] = False
-                if len(m.words):
-                    per_token[rested] += m.rests[before[rested]]
-                    begin, known = _found(m.words, np.array([_BEGIN]))
-                    per_token[g.bounds[:-1]] += m.start + (m.rests[begin[0]] if known[0] else 0.0)
-                for grams in (g.bigram, g.trigram):
+                per_token = np.full(len(g.word), m.unknown)
+                per_token[g.bounds[:-1]] += m.start
+                for grams in (g.word, g.bigram, g.trigram):
                     maybe = np.flatnonzero(m.may_hold(grams))
                     at, known = _found(m.frequent, grams[maybe])
                     per_token[maybe[known]] += m.frequent_adds[at[known]]
                     block.grams.append(grams[maybe[~known]])
                     block.texts.append((g.text[maybe[~known]] + block.docs).astype(np.int32))
                 sums = np.add.reduceat(per_token, g.bounds[:-1])
-                own = {"block": block.number, "shard": block.number % SHARDS, "first": block.docs, "ids": batch.column("doc_id").slice(a, b - a).to_pylist(), "langs": batch.column("lang").slice(a, b - a).to_pylist(), "n": np.diff(g.bounds).astype(np.int64).tobytes(), "sums": sums.tobytes()}
+                own = {"block": block.number, "shard": block.number % m.shards, "first": block.docs, "ids": batch.column("doc_id").slice(a, b - a).to_pylist(), "langs": batch.column("lang").slice(a, b - a).to_pylist(), "n": np.diff(g.bounds).astype(np.int64).tobytes(), "sums": sums.tobytes()}
                 yield pa.RecordBatch.from_pylist([own], _KINDS)
                 block.docs, block.tokens = block.docs + b - a, block.tokens + len(g.word)
                 if block.tokens >= BLOCK_TOKENS:
                     yield pa.RecordBatch.from_pylist(list(block.sent()), _KINDS)
                     number += 1
-                    block = _Block(task << 32 | number)
+                    block = _Block(task << 32 | number, m.shards)
         if block.docs:
             yield pa.RecordBatch.from_pylist(list(block.sent()), _KINDS)
 
     return sent
 
 
-def _sharded(tokens: int, size: int):
-    def sharded(rows: pd.DataFrame) -> pd.DataFrame:
-        grams, at = np.unique(rows["key"].to_numpy().view(np.uint64), return_inverse=True)
-        adds, c = (np.bincount(at, weights=rows[x].to_numpy()) for x in ("add", "c"))
+def _sharded(tokens: int, size: int, shards: int):
+    def sharded(rows: pa.Table) -> pa.Table:
+        keys, add, n = (np.concatenate([np.frombuffer(x.as_py(), t) for x in rows[name]]) for name, t in (("keys", np.uint64), ("adds", np.float64), ("c", np.int64)))
+        grams, at = np.unique(keys, return_inverse=True)
+        adds, c = (np.bincount(at, weights=x) for x in (add, n))
+        start = float(adds[np.isin(grams, [_BEGIN, _START[0]])].sum())
         often = c * FREQUENT >= tokens
-        bits, shard = np.zeros(size // SHARDS, bool), int(_shard(grams[:1])[0])
-        for bit in _bits(grams, size):
+        bits, shard = np.zeros(size // shards, bool), rows["shard"][0].as_py()
+        for bit in _bits(grams, size, shards):
             bits[bit.astype(np.int64) - shard * len(bits)] = True
-        rest = grams[~often], adds[~often]
-        return pd.DataFrame({"shard": [shard], "grams": [rest[0].tobytes()], "adds": [rest[1].tobytes()], "frequent": [grams[often].tobytes()], "frequent_adds": [adds[often].tobytes()], "bloom": [np.packbits(bits, bitorder="little").tobytes()]})
+        found = [x.tobytes() for x in (grams[~often], adds[~often], grams[often], adds[often], np.packbits(bits, bitorder="little"))]
+        return pa.table([pa.array([shard], pa.int32()), *[pa.array([x], pa.binary()) for x in found], pa.array([start])], ["shard", "grams", "adds", "frequent", "frequent_adds", "bloom", "start"])
 
     return sharded
 
@@ -366,7 +385,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     ship(spark)
     lookup = spark.sparkContext.broadcast(model.lookup)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = F.lit(max(1, -(-size // GROUP_BYTES)))
+    groups = F.lit(max(1, -(-size // max(GROUP_BYTES, GROUP_TIMES * model.text_bytes))))
     sent = mapped(own_columns(docs, "doc_id", "text", "lang"), _sent(lookup), _SENT).withColumn("group", F.pmod(F.xxhash64("block"), groups).cast("int"))
     copies = model.shards.select("shard", "grams", "adds", F.explode(F.sequence(F.lit(0), groups.cast("int") - 1)).alias("group"))
     sums = sent.groupBy("group", "shard").cogroup(copies.groupBy("group", "shard")).applyInArrow(_joined, "block long, first int, ids array<long>, langs array<string>, n binary, sums binary")
@@ -385,7 +404,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     """Per row of docs (doc_id, text, lang): doc_id, lang, n_tokens, perplexity, threshold and kept.
 
     Tokens are words ``[^\\x20\\x09-\\x0D]+`` and an end; a text without words has the end alone and is kept, as there is nothing to judge.
-    A null lang is a language of its own. Without trusted documents outside the sample all are kept. Repeated rows give
+    A null lang is a language of its own. Without trusted documents that judge all are kept. Repeated rows give
     repeated results, an empty table none; other columns are ignored.
     """
     trusted = saved(trusted_ids(labels), "trusted-ids")
