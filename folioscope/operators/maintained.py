@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
-from folioscope.operators.retrieval import Index, idf_of
+from folioscope.operators.retrieval import Index, idf_of, postings_of, small
 from folioscope.plans.tables import stored
 from folioscope.sources.store import BucketStore, exists, mark
 
@@ -59,8 +59,8 @@ class MaintainedIndex:
         sums = signed.select(F.col("sign").cast("long").alias("n"), (F.col("sign") * F.size("tokens")).cast("long").alias("length"))
         totals = self._read("totals", "n long, length long", done).unionByName(sums).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"))
         self._write(totals, "totals", g)
-        postings = new.select(F.col("key").alias("chunk_id"), "doc_id", F.explode("tokens").alias("term")).groupBy("chunk_id", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-        self._write(postings.repartitionByRange("term").sortWithinPartitions("term"), "postings", g)
+        postings = postings_of(new.select(F.col("key").alias("chunk_id"), "doc_id", "tokens"))
+        self._write(postings.sortWithinPartitions("term"), "postings", g)  # in each file, where they are made
         mark(self.spark, f"{self.path}/prepared/{g}")
         self.recover()
 
@@ -84,7 +84,7 @@ class MaintainedIndex:
         last = self.recover()
         first = max(self._last("compacted"), 1)
         gone = self._generations("touched", "doc_id long", first + 1, last).groupBy("doc_id").agg(F.max("generation").alias("replaced"))
-        live = self._generations("postings", _POSTINGS, first, last).join(gone, "doc_id", "left").where("replaced IS NULL OR generation >= replaced")
+        live = self._generations("postings", _POSTINGS, first, last).join(small(gone), "doc_id", "left").where("replaced IS NULL OR generation >= replaced")
         return live.select("chunk_id", "doc_id", "term", "tf")
 
     def compact(self) -> None:

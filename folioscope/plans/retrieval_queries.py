@@ -60,8 +60,7 @@ sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 def _d1(spark, d):
     index = R.build_index(chunks(spark, d), stored)
-    postings, terms = index.postings, index.terms
-    return postings.join(terms, "term").groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"), F.round(F.max("idf"), 6).alias("idf"))
+    return R.term_totals(index).withColumn("idf", F.round("idf", 6))
 
 
 def _d1_maintained(spark, d):
@@ -72,8 +71,7 @@ def _d1_maintained(spark, d):
     index.apply(c.where("doc_id % 3 = 0 AND doc_id % 5 > 0 OR doc_id % 5 = 0 AND chunk_index % 2 = 0"))
     again = c.where("doc_id % 11 = 0 AND doc_id % 7 > 0").withColumn("text", F.concat(F.lit("again "), "text"))
     index.apply(again, load(spark, d, "documents").where("doc_id % 7 = 0").select("doc_id"))
-    now = index.index()
-    return now.postings.join(now.terms, "term").groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"), F.round(F.max("idf"), 6).alias("idf"))
+    return R.term_totals(index.index()).withColumn("idf", F.round("idf", 6))
 
 
 _MAINTAINED = f"(SELECT chunk_id, doc_id, chunk_index, CASE WHEN doc_id % 11 = 0 THEN 'again ' || text ELSE text END AS text FROM {CHUNKS} WHERE doc_id % 7 > 0 AND (doc_id % 5 > 0 OR chunk_index % 2 = 0 OR doc_id % 11 = 0))"
