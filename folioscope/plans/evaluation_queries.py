@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.operators import campaign as C
 from folioscope.operators import evaluation as V
 from folioscope.operators.retrieval import containing, ranked
-from folioscope.plans.retrieval_queries import _BM25, _d3
+from folioscope.plans.retrieval_queries import _BM25, _chunks, _d3
 from folioscope.plans.tables import CHUNKS, chunks, load
 
 
@@ -99,7 +99,7 @@ _MC = "CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(rang
 
 
 def _hits(spark, d):
-    h = _d3(spark, d).join(chunks(spark, d).select("chunk_id", "doc_id", "chunk_index"), "chunk_id")
+    h = _d3(spark, d).join(_chunks(spark, d).select("chunk_id", "doc_id", "chunk_index"), "chunk_id")
     return h.select("query_id", F.col("doc_id").alias("source"), F.col("chunk_index").alias("page_start"), (F.col("chunk_index") + 1).alias("page_end"), "chunk_id", "rank", "score")
 
 

@@ -256,7 +256,7 @@ def _d14(spark, d):
 
 
 def _d15(spark, d):
-    c = chunks(spark, d).select("chunk_id", F.concat(F.lit("doc_"), "doc_id").alias("source_file"), F.col("chunk_index").alias("page"), F.when(F.col("lang") == "en", F.lit("Main")).alias("section"), "text")
+    c = _chunks(spark, d).select("chunk_id", F.concat(F.lit("doc_"), "doc_id").alias("source_file"), F.col("chunk_index").alias("page"), F.when(F.col("lang") == "en", F.lit("Main")).alias("section"), "text")
     return R.prompt_blocks(_d11(spark, d), c).select("query_id", F.md5("prompt").alias("digest"))
 
 
