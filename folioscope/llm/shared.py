@@ -68,15 +68,15 @@ def saved(df: DataFrame, name: str, beyond: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+def bucketed(df: DataFrame, name: str, buckets: int, key: str, beyond: bool = False, deal: bool = True) -> DataFrame:
     """df as a table in the shared folder, bucketed and sorted by key, so that joins by it of tables of as many buckets don't shuffle.
-    In scratch() it is deleted at that one's end."""
+    In scratch() it is deleted at that one's end, or at the end of the one around it if it is wanted beyond. deal=False: df is dealt by key already."""
     known = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_folder(df.sparkSession)}/{known}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(known)
-    if _SCRATCH:
-        _SCRATCH[-1].append(path)
-        _NAMES[-1].append(known)
+    (df.repartition(buckets, key) if deal else df).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(known)
+    for paths, names in list(zip(_SCRATCH, _NAMES, strict=True))[: -1 if beyond else None][-1:]:
+        paths.append(path)
+        names.append(known)
     return df.sparkSession.table(known)
 
 

@@ -24,3 +24,16 @@ def test_parts_and_bounds_change_no_score(spark, monkeypatch):
     got = {x.doc_id: x.log10_p for x in quality.score(docs_of(spark, list(enumerate(texts))), model).collect()}
     for i, x in enumerate(want):
         assert got[i] == pytest.approx(x, abs=1e-9, rel=1e-9)
+
+
+def test_the_model_is_kept_in_buckets_and_read_without_a_shuffle(spark):
+    model = quality.fit(spark.createDataFrame([(prose(i, 40),) for i in range(60)], "text string"))
+    plan = quality._met(model.more, model.shards, lambda rows: rows, quality._ROW)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the other rows', not the trigrams'
+
+
+def test_numbers_keep_their_value_in_few_bytes():
+    for x in ([], [0], [255, 0, 3], [1 << 16, 7], [(1 << 40) + 5, 1]):
+        raw = quality._planes(quality.np.array(x, quality.np.int64))
+        assert quality._unplaned(raw, len(x)).tolist() == x
+    assert len(quality._planes(quality.np.arange(256))) == 256
