@@ -183,7 +183,7 @@ def _d9(spark, d):
 
 
 def _d11(spark, d):
-    return R.tidy(_d3(spark, d), _chunks(spark, d), "chunk_id")
+    return R.tidy(R.small(_d3(spark, d)), _chunks(spark, d), "chunk_id")  # so that texts aren't shuffled
 
 
 _NORM = r"lower(regexp_replace(regexp_replace(c.text, '[ \t\n\x0B\f\r]+', ' ', 'g'), '^ | $', '', 'g'))"
