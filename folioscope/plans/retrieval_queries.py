@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from folioscope.operators import retrieval as R
 from folioscope.operators.maintained import MaintainedIndex
 from folioscope.operators.scoring import Scope, dense_top_k, excluded_documents, sparse_scores, sparse_top_k, unit
+from folioscope.plans.ship import ship
 from folioscope.plans.tables import CHUNKS, chunks, load, shared_folder, stored
 
 _KEPT: dict[tuple[str, str, str], object] = {}
@@ -37,7 +41,7 @@ def _index(spark, d):
 
 def _vectors(spark, d):
     """Unit vectors of the chunks. The embedder is a count of some letters, so that the oracle can have the same vectors."""
-    return _once(spark, d, "vectors", lambda: stored(unit(_chunks(spark, d).select(F.col("chunk_id").alias("key"), "doc_id", _letters("text").alias("vector")))))
+    return _once(spark, d, "vectors", lambda: stored(unit(_chunks(spark, d).select(F.col("chunk_id").alias("key"), "doc_id", "text").transform(_lettered))))
 
 
 def _scores(spark, d):
@@ -208,6 +212,29 @@ def _letters(c):
 
 
 _COUNTED = "etaoinshrdlu"
+#: A counted letter's place, or that behind all of them.
+_PLACES = bytes(_COUNTED.index(chr(x)) if chr(x) in _COUNTED else len(_COUNTED) for x in range(256))
+
+
+def _letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = len(_COUNTED)
+    for batch in batches:
+        for a in range(0, batch.num_rows, 1024):
+            rows = batch.slice(a, 1024)
+            texts = pc.cast(rows.column("text"), pa.large_binary())
+            size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            places = np.frombuffer(b"".join(x for x in texts.to_pylist() if x).translate(_PLACES), np.uint8)
+            counts = np.bincount(np.repeat(np.arange(len(size)) * (n + 1), size) + places, minlength=len(size) * (n + 1)).reshape(-1, n + 1)[:, :n]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * n, pa.int32()), pa.array(counts.astype(np.float64).ravel()))
+            yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("doc_id"), lists], ["key", "doc_id", "vector"])
+
+
+def _lettered(texts):
+    """(key, doc_id, vector) of texts (key, doc_id, text), as _letters() counts, in one pass over the bytes of a batch."""
+    ship(texts.sparkSession)
+    return texts.mapInArrow(_letter_counts, "key string, doc_id long, vector array<double>")
+
+
 _LETTERS = lambda c: "[" + ", ".join(f"cast(length({c}) - length(replace({c}, '{x}', '')) AS DOUBLE)" for x in _COUNTED) + "]"
 _COS = "round(coalesce(CASE WHEN list_dot_product(x, x) > 0 AND list_dot_product(y, y) > 0 THEN list_cosine_similarity(x, y) END, 0), 6)"
 _D10 = rf"""{_BM25}, {_EXCLUDES}, {_VIS(_SEES, True)}, scoped AS ({_SCOPED}),
