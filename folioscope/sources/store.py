@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.operators.retrieval import small
 from folioscope.plans.tables import stored
 
 #: Rows of a store's file at most.
@@ -36,8 +37,8 @@ def mark(spark: SparkSession, path: str) -> None:
 class BucketStore:
     """Rows that belong to documents (column owner), in so many buckets by a hash of it.
 
-    A change is worked out and staged before the first bucket is replaced. If it fails in between, it is only run again: each of the changes gives the
-    same rows when it is repeated. A document of many rows makes its bucket large, but not a task: buckets are written by several tasks where need be.
+    A change is worked out and staged (by Spark's writer, beside the buckets) before the first bucket is replaced. If it fails in between, it is only run again: each of the changes
+    gives the same rows when it is repeated. A document of many rows makes its bucket large, but not a task: buckets are written by several tasks where need be.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, owner: str = "doc_id", buckets: int = 64):
@@ -63,7 +64,7 @@ class BucketStore:
 
     def of(self, wanted: DataFrame) -> DataFrame:
         """All rows of wanted documents (owner); only their buckets are read."""
-        return self.rows().where(F.col("bucket").isin(self._touched(wanted))).join(wanted.select(self.owner).distinct(), self.owner, "left_semi").select(*self.columns)
+        return self.rows().where(F.col("bucket").isin(self._touched(wanted))).join(small(wanted.select(self.owner).distinct()), self.owner, "left_semi").select(*self.columns)
 
     def lookup(self, wanted: DataFrame, keys: list[str]) -> DataFrame:
         """Rows whose keys are among wanted (owner and the other keys); only the buckets of wanted documents are read."""
@@ -72,10 +73,10 @@ class BucketStore:
 
     def _replace(self, rows: DataFrame, touched: list[int]) -> None:
         """Put rows, all that belong in the touched buckets, in the place of what is there."""
-        staged = stored(rows.select(*self.columns, self.bucket().alias("bucket")))
-        writer = staged.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_ROWS)
-        writer.partitionBy("bucket").parquet(self.path)
-        full = {r[0] for r in staged.select("bucket").distinct().collect()}
+        rows = rows.select(*self.columns, self.bucket().alias("bucket"))
+        full = {r[0] for r in rows.select("bucket").distinct().collect()}
+        writer = rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_ROWS)
+        writer.option("compression", "zstd").partitionBy("bucket").parquet(self.path)
         for b in set(touched) - full:  # overwriting doesn't empty a bucket
             remove(self.spark, f"{self.path}/bucket={b}")
 
@@ -87,14 +88,19 @@ class BucketStore:
         old = self.rows().where(F.col("bucket").isin(touched)).select(*self.columns)
         self._replace(new.unionByName(old.join(new.select(*keys), keys, "left_anti")), touched)
 
-    def replace_owners(self, new: DataFrame, owners: DataFrame | None = None) -> None:
-        """Have exactly the new rows for each document that occurs in them or in owners, whose documents without new rows go."""
-        new = stored(new.select(*self.columns))
-        gone = new.select(self.owner) if owners is None else new.select(self.owner).unionByName(owners.select(self.owner))
-        gone = stored(gone.distinct())
+    def replace_owners(self, new: DataFrame, owners: DataFrame | None = None, written: bool = False) -> None:
+        """Have exactly the new rows for each document that occurs in them or in owners, whose documents without new rows go. written: both are written tables, and owners
+        has each of these documents once, so that they needn't be written here."""
+        new = new.select(*self.columns)
+        if written:
+            gone = owners.select(self.owner)
+        else:
+            new = stored(new)
+            gone = new.select(self.owner) if owners is None else new.select(self.owner).unionByName(owners.select(self.owner))
+            gone = stored(gone.distinct())
         touched = self._touched(gone)
         old = self.rows().where(F.col("bucket").isin(touched)).select(*self.columns)
-        self._replace(new.unionByName(old.join(gone, self.owner, "left_anti")), touched)
+        self._replace(new.unionByName(old.join(small(gone), self.owner, "left_anti")), touched)
 
     def delete(self, owners: DataFrame) -> None:
         self.replace_owners(self.empty, owners)

@@ -113,3 +113,18 @@ def test_results_are_worked_out_once(spark, tmp_path):
     for part in (inputs.where("sha = 'a'"), inputs, inputs):
         found = store.worked_out(part, f"{tmp_path}/cache", ["sha"], work, "sha string, n int")
     assert given == [["xx"], ["yyy"]] and sorted(map(tuple, found.collect())) == [("a", 2), ("b", 3)]
+
+
+def test_tokens_of_a_batch_are_not_copied_before_they_are_kept(spark, tmp_path, monkeypatch):
+    copies, plain = [], store.stored
+    for module in (store, maintained):
+        monkeypatch.setattr(module, "stored", lambda df: copies.append(df.columns) or plain(df))
+    index = maintained.MaintainedIndex(spark, f"{tmp_path}/index", buckets=4)
+    rows = spark.range(300).selectExpr("concat('c', id) AS chunk_id", "id % 30 AS doc_id", "IF(id % 10 = 9, '', concat('pump x-', id, ' seal'))  AS text")
+    index.apply(rows)
+    index.apply(rows.where("doc_id % 3 = 0"), rows.where("doc_id = 1").select("doc_id"))
+    assert not copies  # before: what is new, and all rows of the buckets that it touches
+    assert not [f for what in ("new", "old") for f in glob.glob(f"{tmp_path}/index/{what}/*/*.parquet")]
+    parts = parts_of(index.index())
+    assert parts == parts_of(retrieval.build_index(rows.where("doc_id <> 1")))
+    assert ((), ("pump", "x-3", "x", "3", "seal")) == tuple(next(t for k, t in parts[4] if k == key) for key in ("c9", "c3"))
